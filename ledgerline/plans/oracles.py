@@ -93,3 +93,140 @@ tp AS (SELECT CAST(product_id AS VARCHAR) AS product, revenue, rank FROM (
   SELECT product_id, CAST(SUM(revenue) AS DOUBLE) AS revenue,
          row_number() OVER (ORDER BY CAST(SUM(revenue) AS DOUBLE) DESC, product_id) AS rank
   FROM sales GROUP BY product_id) t WHERE rank <= 10)""")
+
+# ---- series ---------------------------------------------------------------------------------
+
+_D0 = "d0 AS (SELECT date AS k, CAST(SUM(revenue) AS DOUBLE) AS y FROM sales WHERE date IS NOT NULL GROUP BY date)"
+_DAILY = _D0 + """,
+cal AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS k FROM (SELECT MIN(k) AS lo, MAX(k) AS hi FROM d0) b),
+daily AS (SELECT cal.k AS ds, COALESCE(d0.y, 0) AS y FROM cal LEFT JOIN d0 ON cal.k = d0.k)"""
+
+
+def with_daily(body: str, extra: str = "") -> str:
+    return with_sales(body, _DAILY + (",\n" + extra if extra else ""))
+
+
+ORACLES["daily_series"] = with_daily("SELECT ds, y FROM daily")
+
+ORACLES["daily_series_by_region"] = with_sales("""
+SELECT cal.region, cal.k AS ds, COALESCE(r0.y, 0) AS y FROM cal LEFT JOIN r0 ON cal.region = r0.region AND cal.k = r0.k""",
+    """r0 AS (SELECT region, date AS k, CAST(SUM(revenue) AS DOUBLE) AS y FROM sales
+         WHERE date IS NOT NULL AND region IS NOT NULL GROUP BY region, date),
+cal AS (SELECT region, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS k
+        FROM (SELECT region, MIN(k) AS lo, MAX(k) AS hi FROM r0 GROUP BY region) b)""")
+
+_WEEKLY = """w0 AS (SELECT date + (7 - isodow(date))::INTEGER AS k, CAST(SUM(revenue) AS DOUBLE) AS y
+         FROM sales WHERE date IS NOT NULL GROUP BY 1),
+wcal AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS k FROM (SELECT MIN(k) AS lo, MAX(k) AS hi FROM w0) b),
+weekly AS (SELECT wcal.k AS ds, COALESCE(w0.y, 0) AS y FROM wcal LEFT JOIN w0 ON wcal.k = w0.k)"""
+
+_MONTHLY_S = """m0 AS (SELECT CAST(date_trunc('month', date) AS DATE) AS k, CAST(SUM(revenue) AS DOUBLE) AS y
+         FROM sales WHERE date IS NOT NULL GROUP BY 1),
+mcal AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS k FROM (SELECT MIN(k) AS lo, MAX(k) AS hi FROM m0) b),
+monthly AS (SELECT last_day(mcal.k) AS ds, COALESCE(m0.y, 0) AS y FROM mcal LEFT JOIN m0 ON mcal.k = m0.k)"""
+
+ORACLES["weekly_series"] = with_sales("SELECT ds, y FROM weekly", _WEEKLY)
+ORACLES["monthly_series"] = with_sales("SELECT ds, y FROM monthly", _MONTHLY_S)
+
+
+def _cal(ds: str = "ds") -> str:
+    return f"""CAST(isodow({ds}) - 1 AS INTEGER) AS day_of_week, CAST(dayofmonth({ds}) AS INTEGER) AS day_of_month,
+  CAST(weekofyear({ds}) AS INTEGER) AS week_of_year, CAST(month({ds}) AS INTEGER) AS month,
+  CAST(quarter({ds}) AS INTEGER) AS quarter, CAST(year({ds}) AS INTEGER) AS year,
+  CAST(isodow({ds}) >= 6 AS INTEGER) AS is_weekend, CAST(dayofmonth({ds}) = 1 AS INTEGER) AS is_month_start,
+  CAST({ds} = last_day({ds}) AS INTEGER) AS is_month_end,
+  CAST({ds} = CAST(date_trunc('quarter', {ds}) AS DATE) AS INTEGER) AS is_quarter_start,
+  CAST(dayofyear({ds}) AS INTEGER) AS day_of_year,
+  {R(f'sin(2 * pi() * month({ds}) / 12)', 6)} AS month_sin, {R(f'cos(2 * pi() * month({ds}) / 12)', 6)} AS month_cos,
+  {R(f'sin(2 * pi() * (isodow({ds}) - 1) / 7)', 6)} AS dow_sin, {R(f'cos(2 * pi() * (isodow({ds}) - 1) / 7)', 6)} AS dow_cos"""
+
+
+def _lags() -> str:
+    parts = [f"lag(y, {k}) OVER (ORDER BY ds) AS lag_{k}" for k in (1, 7, 14, 30)]
+    for n in (7, 14, 30):
+        fr = f"(ORDER BY ds ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+        parts.append(f"CASE WHEN count(y) OVER {fr} = {n} THEN {R(f'avg(y) OVER {fr}', 2)} END AS rolling_mean_{n}")
+        parts.append(f"CASE WHEN count(y) OVER {fr} = {n} THEN {R(f'stddev_samp(y) OVER {fr}', 2)} END AS rolling_std_{n}")
+    return ",\n  ".join(parts)
+
+
+ORACLES["calendar_features"] = with_daily(f"SELECT ds, y,\n  {_cal()}\nFROM daily")
+ORACLES["lag_features"] = with_daily(f"SELECT ds, y,\n  {_lags()}\nFROM daily")
+
+_FEATS = ["day_of_week", "day_of_month", "week_of_year", "month", "quarter", "year", "is_weekend",
+          "is_month_start", "is_month_end", "is_quarter_start", "day_of_year", "month_sin", "month_cos",
+          "dow_sin", "dow_cos", "lag_1", "lag_7", "lag_14", "lag_30", "rolling_mean_7", "rolling_std_7",
+          "rolling_mean_14", "rolling_std_14", "rolling_mean_30", "rolling_std_30"]
+
+ORACLES["feature_table"] = with_daily(
+    f"SELECT * FROM (SELECT ds, y,\n  {_cal()},\n  {_lags()}\nFROM daily) f WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in _FEATS))
+
+ORACLES["chrono_split"] = with_daily(
+    "SELECT ds, y, row_number() OVER (ORDER BY ds) <= floor(0.8 * count(*) OVER ()) AS is_train FROM daily")
+
+ORACLES["sequence_windows"] = with_daily("""
+SELECT t.ds, t.y AS label, CAST(h.i - t.i + 31 AS INTEGER) AS pos, h.y AS value
+FROM di t JOIN di h ON h.i BETWEEN t.i - 30 AND t.i - 1
+WHERE t.i > 30""", "di AS (SELECT ds, y, row_number() OVER (ORDER BY ds) AS i FROM daily)")
+
+ORACLES["scaled_series"] = with_daily(f"""
+SELECT ds, y, {R('mu')} AS y_mean, {R('sd')} AS y_std, {R('CASE WHEN sd > 0 THEN (y - mu) / sd ELSE 0 END', 6)} AS y_scaled
+FROM (SELECT ds, y, avg(y) OVER () AS mu, stddev_pop(y) OVER () AS sd FROM daily) z""")
+
+# ---- seasonality and insights ------------------------------------------------------------------
+
+ORACLES["month_profile"] = with_sales(
+    f"SELECT CAST(month(ds) AS INTEGER) AS month, {R('avg(y)')} AS avg_value FROM monthly GROUP BY 1", _MONTHLY_S)
+
+ORACLES["weekday_profile"] = with_daily(
+    f"SELECT CAST(isodow(ds) - 1 AS INTEGER) AS dow, strftime(ds, '%a') AS day, {R('avg(y)')} AS avg_value FROM daily GROUP BY 1, 2")
+
+ORACLES["weekday_profile_weekly"] = with_sales(
+    f"SELECT CAST(isodow(ds) - 1 AS INTEGER) AS dow, strftime(ds, '%a') AS day, {R('avg(y)')} AS avg_value FROM weekly GROUP BY 1, 2",
+    _WEEKLY)
+
+ORACLES["weekday_names"] = with_daily(f"SELECT dayname(ds) AS day_name, {R('avg(y)')} AS avg_value FROM daily GROUP BY 1")
+
+ORACLES["peak_periods"] = with_sales("""
+SELECT (SELECT month FROM mp ORDER BY v DESC, month LIMIT 1) AS peak_month,
+       (SELECT day FROM wp ORDER BY v DESC, dow LIMIT 1) AS peak_day""",
+    _DAILY + ",\n" + _MONTHLY_S + """,
+mp AS (SELECT CAST(month(ds) AS INTEGER) AS month, avg(y) AS v FROM monthly GROUP BY 1),
+wp AS (SELECT isodow(ds) - 1 AS dow, strftime(ds, '%a') AS day, avg(y) AS v FROM daily GROUP BY 1, 2)""")
+
+_NAIVE = """np AS (SELECT ds, y AS actual, lag(y, 7) OVER (ORDER BY ds) AS predicted,
+                row_number() OVER (ORDER BY ds) AS rn, count(*) OVER () AS n FROM daily),
+ev AS (SELECT actual, predicted, actual - predicted AS e FROM np
+       WHERE rn > floor(0.8 * n) AND actual IS NOT NULL AND predicted IS NOT NULL)"""
+
+_METRICS = f"""SELECT {R('avg(abs(e))', 4)} AS mae, {R('sqrt(avg(e * e))', 4)} AS rmse,
+       {R('CASE WHEN var_pop(actual) * count(actual) > 0 THEN 1 - sum(e * e) / (var_pop(actual) * count(actual)) WHEN sum(e * e) = 0 THEN 1 ELSE 0 END', 4)} AS r2,
+       {R('avg(abs(e / (actual + 1e-8))) * 100', 4)} AS mape FROM ev"""
+
+ORACLES["forecast_metrics"] = with_daily(_METRICS, _NAIVE)
+
+_FMT1 = "printf('%.1f', CAST(ROUND(CAST(({x}) AS DECIMAL(28,6)), 1) AS DOUBLE))"
+_FMT2 = "printf('%.2f', CAST(ROUND(CAST(({x}) AS DECIMAL(28,6)), 2) AS DOUBLE))"
+
+ORACLES["insights"] = with_daily("""
+SELECT CAST(row_number() OVER (ORDER BY rule) AS BIGINT) AS ordinal, text AS insight FROM rules WHERE text IS NOT NULL""",
+    _MONTHLY_S + ",\n" + _NAIVE + f""",
+mt AS ({_METRICS}),
+mi AS (SELECT y, row_number() OVER (ORDER BY ds) AS i, count(*) OVER () AS n FROM monthly),
+mf AS (SELECT max(n) AS n_months, max(CASE WHEN i = n THEN y END) AS last, max(CASE WHEN i = n - 1 THEN y END) AS prev,
+              avg(CASE WHEN i > n - 3 THEN y END) AS q4, avg(CASE WHEN i BETWEEN 7 AND 9 THEN y END) AS q3 FROM mi),
+dn AS (SELECT dayname(ds) AS day_name, avg(y) AS v FROM daily GROUP BY 1),
+f AS (SELECT mf.*, (last - prev) / (prev + 1e-8) * 100 AS g,
+             (SELECT day_name FROM dn ORDER BY v DESC, day_name LIMIT 1) AS best_day,
+             (SELECT day_name FROM dn ORDER BY v ASC, day_name LIMIT 1) AS worst_day,
+             COALESCE(mt.r2, 0) AS r2, COALESCE(mt.mape, 100) AS mape FROM mf, mt),
+rules AS (
+  SELECT 1 AS rule, CASE WHEN n_months >= 2 AND g > 10 THEN 'Strong month-over-month growth of ' || {_FMT1.format(x='g')} || '% — consider scaling inventory.'
+                         WHEN n_months >= 2 AND g < -10 THEN 'Revenue declined ' || {_FMT1.format(x='abs(g)')} || '% MoM — review pricing and promotions.' END AS text FROM f
+  UNION ALL SELECT 2, best_day || ' is your highest-performing day — optimize staffing and stock accordingly.' FROM f
+  UNION ALL SELECT 3, worst_day || ' shows lowest sales — consider targeted promotions on this day.' FROM f
+  UNION ALL SELECT 4, CASE WHEN n_months >= 12 AND q4 > q3 * 1.1 THEN 'Q4 shows strong seasonality — prepare 10-15% extra inventory for year-end.' END FROM f
+  UNION ALL SELECT 5, CASE WHEN r2 > 0.85 THEN 'High forecast accuracy (R²>' || {_FMT2.format(x='r2')} || ') — rely on these predictions for procurement decisions.'
+                           WHEN r2 < 0.5 THEN 'Forecast accuracy is moderate — consider collecting more feature-rich data for improvement.' END FROM f
+  UNION ALL SELECT 6, CASE WHEN mape < 10 THEN 'MAPE under 10% indicates excellent forecast reliability for operational planning.' END FROM f)""")

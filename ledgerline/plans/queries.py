@@ -91,3 +91,118 @@ def revenue_growth(spark, d):
 @register
 def report_rows(spark, d):
     return dash.report_rows(S(spark, d, ["product_id", "date", "revenue", "profit"]), ROLES, 10)
+
+# ---- series ---------------------------------------------------------------------------------
+
+from ..operators import insights as ins  # noqa: E402
+from ..operators import seasonal as sea  # noqa: E402
+from ..operators import series as ser  # noqa: E402
+from ..operators.forecast import metrics as met  # noqa: E402
+from ..functions.numeric import round_to  # noqa: E402
+
+
+def daily(spark, d, series_cols=()):
+    cols = ["date", "revenue", *series_cols]
+    return ser.rollup(S(spark, d, cols), "date", "revenue", "D", series_cols)
+
+
+def _r(df, cols, digits):
+    return df.select(*[round_to(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@register
+def daily_series(spark, d):
+    return daily(spark, d)
+
+
+@register
+def daily_series_by_region(spark, d):
+    return daily(spark, d, ["region"])
+
+
+@register
+def weekly_series(spark, d):
+    return ser.rollup(S(spark, d, ["date", "revenue"]), "date", "revenue", "W")
+
+
+@register
+def monthly_series(spark, d):
+    return ser.rollup(S(spark, d, ["date", "revenue"]), "date", "revenue", "M")
+
+
+_TRIG = ["month_sin", "month_cos", "dow_sin", "dow_cos"]
+_ROLL = [f"rolling_{k}_{n}" for n in (7, 14, 30) for k in ("mean", "std")]
+
+
+@register
+def calendar_features(spark, d):
+    return _r(ser.with_calendar(daily(spark, d)), _TRIG, 6)
+
+
+@register
+def lag_features(spark, d):
+    return _r(ser.with_lags(daily(spark, d)), _ROLL, 2)
+
+
+@register
+def feature_table(spark, d):
+    return _r(_r(ser.feature_table(daily(spark, d)), _TRIG, 6), _ROLL, 2)
+
+
+@register
+def chrono_split(spark, d):
+    return ser.chrono_split(daily(spark, d))
+
+
+@register
+def sequence_windows(spark, d):
+    return ser.sequence_windows(daily(spark, d), (), 30)
+
+
+@register
+def scaled_series(spark, d):
+    z = ser.zscore(daily(spark, d))
+    return _r(z, ["y_mean", "y_std"], 2).withColumn("y_scaled", round_to("y_scaled", 6))
+
+
+# ---- seasonality and insights ------------------------------------------------------------------
+
+
+@register
+def month_profile(spark, d):
+    return sea.rounded(sea.month_profile(S(spark, d, ["date", "revenue"]), "date", "revenue"))
+
+
+@register
+def weekday_profile(spark, d):
+    return sea.rounded(sea.weekday_profile(S(spark, d, ["date", "revenue"]), "date", "revenue", "daily"))
+
+
+@register
+def weekday_profile_weekly(spark, d):
+    return sea.rounded(sea.weekday_profile(S(spark, d, ["date", "revenue"]), "date", "revenue", "weekly"))
+
+
+@register
+def weekday_names(spark, d):
+    return sea.rounded(sea.weekday_name_means(S(spark, d, ["date", "revenue"]), "date", "revenue"))
+
+
+@register
+def peak_periods(spark, d):
+    return sea.peak_periods(S(spark, d, ["date", "revenue"]), "date", "revenue")
+
+
+def _naive_points(spark, d):
+    return met.seasonal_naive_points(daily(spark, d), (), 7, 0.8)
+
+
+@register
+def forecast_metrics(spark, d):
+    return met.evaluate(_naive_points(spark, d))
+
+
+@register
+def insights(spark, d):
+    sales_df = S(spark, d, ["date", "revenue"])
+    return ins.insights(sales_df, "date", "revenue", met.evaluate(_naive_points(spark, d)))
