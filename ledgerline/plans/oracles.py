@@ -230,3 +230,55 @@ rules AS (
   UNION ALL SELECT 5, CASE WHEN r2 > 0.85 THEN 'High forecast accuracy (R²>' || {_FMT2.format(x='r2')} || ') — rely on these predictions for procurement decisions.'
                            WHEN r2 < 0.5 THEN 'Forecast accuracy is moderate — consider collecting more feature-rich data for improvement.' END FROM f
   UNION ALL SELECT 6, CASE WHEN mape < 10 THEN 'MAPE under 10% indicates excellent forecast reliability for operational planning.' END FROM f)""")
+
+# ---- customers and inventory ---------------------------------------------------------------------
+
+_RFM = """rb0 AS (SELECT customer_id, max(date) AS last, CAST(count(date) AS BIGINT) AS frequency,
+                COALESCE(CAST(sum(revenue) AS DOUBLE), 0) AS monetary FROM sales WHERE customer_id IS NOT NULL GROUP BY customer_id),
+rb AS (SELECT customer_id, CAST(date_diff('day', last, (SELECT max(last) FROM rb0)) AS BIGINT) AS recency, frequency, monetary FROM rb0),
+qe AS (SELECT quantile_cont(recency, 0.25) AS r1, quantile_cont(recency, 0.5) AS r2, quantile_cont(recency, 0.75) AS r3,
+              quantile_cont(monetary, 0.25) AS m1, quantile_cont(monetary, 0.5) AS m2, quantile_cont(monetary, 0.75) AS m3,
+              count(*) AS n FROM rb),
+rs0 AS (SELECT rb.*, row_number() OVER (ORDER BY frequency, customer_id) AS f_rank FROM rb),
+rs1 AS (SELECT customer_id, recency, frequency, monetary,
+          CAST(CASE WHEN recency IS NULL THEN NULL WHEN recency <= r1 THEN 4 WHEN recency <= r2 THEN 3 WHEN recency <= r3 THEN 2 ELSE 1 END AS INTEGER) AS r_score,
+          CAST(CASE WHEN f_rank <= 1 + (n - 1) * 0.25 THEN 1 WHEN f_rank <= 1 + (n - 1) * 0.5 THEN 2 WHEN f_rank <= 1 + (n - 1) * 0.75 THEN 3 ELSE 4 END AS INTEGER) AS f_score,
+          CAST(CASE WHEN monetary IS NULL THEN NULL WHEN monetary <= m1 THEN 1 WHEN monetary <= m2 THEN 2 WHEN monetary <= m3 THEN 3 ELSE 4 END AS INTEGER) AS m_score
+        FROM rs0, qe),
+rs AS (SELECT *, CAST(COALESCE(r_score, 0) + COALESCE(f_score, 0) + COALESCE(m_score, 0) AS INTEGER) AS rfm_score,
+         CASE WHEN COALESCE(r_score, 0) + COALESCE(f_score, 0) + COALESCE(m_score, 0) >= 10 THEN 'Champions'
+              WHEN COALESCE(r_score, 0) + COALESCE(f_score, 0) + COALESCE(m_score, 0) >= 7 THEN 'Loyal Customers'
+              WHEN COALESCE(r_score, 0) + COALESCE(f_score, 0) + COALESCE(m_score, 0) >= 4 THEN 'At Risk'
+              ELSE 'Churned' END AS segment FROM rs1)"""
+
+ORACLES["rfm_base"] = with_sales("SELECT customer_id, recency, frequency, monetary FROM rb", _RFM)
+ORACLES["rfm_scores"] = with_sales("SELECT * FROM rs", _RFM)
+ORACLES["rfm_segments"] = with_sales("""
+SELECT CAST(count(*) AS BIGINT) AS total_customers,
+       CAST(count(*) FILTER (WHERE segment = 'Champions') AS BIGINT) AS champions,
+       CAST(count(*) FILTER (WHERE segment = 'Loyal Customers') AS BIGINT) AS loyal_customers,
+       CAST(count(*) FILTER (WHERE segment = 'At Risk') AS BIGINT) AS at_risk,
+       CAST(count(*) FILTER (WHERE segment = 'Churned') AS BIGINT) AS churned FROM rs""", _RFM)
+ORACLES["rfm_summary"] = with_sales(f"""
+SELECT {R('avg(monetary)')} AS avg_clv, {R('avg(frequency)')} AS avg_purchase_frequency, {R('avg(recency)', 1)} AS avg_recency_days FROM rb""", _RFM)
+ORACLES["rfm_share"] = with_sales(f"""
+SELECT segment, CAST(count(*) AS BIGINT) AS customers, {R('count(*) / (SELECT count(*) FROM rs) * 100', 0)} AS share_pct
+FROM rs GROUP BY segment""", _RFM)
+
+_INV = f"""rw AS (SELECT * FROM sales WHERE date >= (SELECT max(date) FROM sales) - INTERVAL 90 DAY),
+ig AS (SELECT product_id, COALESCE(sum(quantity), 0) / 90 AS daily,
+              CASE WHEN count(*) > 1 THEN stddev_samp(quantity) ELSE COALESCE(sum(quantity), 0) / 90 * 0.2 END AS sd
+       FROM rw WHERE product_id IS NOT NULL GROUP BY product_id),
+ic AS (SELECT product_id, daily, daily * 7 + 1.65 * sd * sqrt(7) AS safety FROM ig),
+rec AS (SELECT product_id, CAST(product_id AS VARCHAR) AS product, {R('daily')} AS daily_avg_demand,
+               {R('safety', 0)} AS safety_stock, {R('daily * 14 + safety', 0)} AS reorder_point,
+               {R('daily * 30', 0)} AS recommended_order_qty,
+               CASE WHEN daily > 0 AND daily * 30 > 0 THEN 'REORDER NOW' ELSE 'LOW DEMAND' END AS alert FROM ic),
+top20 AS (SELECT CAST(row_number() OVER (ORDER BY daily_avg_demand DESC, product_id) AS BIGINT) AS rank, * EXCLUDE (product_id)
+          FROM rec QUALIFY row_number() OVER (ORDER BY daily_avg_demand DESC, product_id) <= 20)"""
+
+ORACLES["inventory_recommendations"] = with_sales("SELECT * FROM top20", _INV)
+ORACLES["inventory_all_products"] = with_sales("SELECT * EXCLUDE (product_id) FROM rec", _INV)
+ORACLES["inventory_alert_counts"] = with_sales("""
+SELECT CAST(count(*) AS BIGINT) AS total_products, CAST(count(*) FILTER (WHERE alert = 'REORDER NOW') AS BIGINT) AS reorder_alerts,
+       CAST(count(*) FILTER (WHERE alert = 'LOW DEMAND') AS BIGINT) AS low_demand FROM top20""", _INV)

@@ -206,3 +206,56 @@ def forecast_metrics(spark, d):
 def insights(spark, d):
     sales_df = S(spark, d, ["date", "revenue"])
     return ins.insights(sales_df, "date", "revenue", met.evaluate(_naive_points(spark, d)))
+
+# ---- customers and inventory ---------------------------------------------------------------------
+
+from ..operators import customers as cust  # noqa: E402
+from ..operators import inventory as inv  # noqa: E402
+
+
+def _rfm_base(spark, d):
+    return cust.rfm_base(S(spark, d, ["date", "customer_id", "revenue"]), "date", ROLES.customer, ROLES.revenue)
+
+
+@register
+def rfm_base(spark, d):
+    return _rfm_base(spark, d).withColumnRenamed("customer", "customer_id")
+
+
+@register
+def rfm_scores(spark, d):
+    return cust.rfm_scores(_rfm_base(spark, d)).withColumnRenamed("customer", "customer_id")
+
+
+@register
+def rfm_segments(spark, d):
+    return cust.segment_counts(cust.rfm_scores(_rfm_base(spark, d)))
+
+
+@register
+def rfm_summary(spark, d):
+    return cust.rfm_summary(_rfm_base(spark, d))
+
+
+@register
+def rfm_share(spark, d):
+    return cust.segment_share(cust.rfm_scores(_rfm_base(spark, d)))
+
+
+def _recs(spark, d):
+    return inv.recommendations(S(spark, d, ["date", "product_id", "quantity"]), "date", ROLES.product, ROLES.quantity)
+
+
+@register
+def inventory_recommendations(spark, d):
+    return inv.top_recommendations(_recs(spark, d), 20)
+
+
+@register
+def inventory_all_products(spark, d):
+    return _recs(spark, d).drop("_key")
+
+
+@register
+def inventory_alert_counts(spark, d):
+    return inv.alert_counts(inv.top_recommendations(_recs(spark, d), 20))
