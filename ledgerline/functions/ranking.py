@@ -36,29 +36,62 @@ def global_index(df: DataFrame, order_cols: Sequence[Column | str], name: str =
     return tagged.join(F.broadcast(offsets), "_pid").select(*cols, (F.col("_off") + pos + 1).alias(name))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], prefix: str = "q") -> DataFrame:
-    """One row with linear-interpolated quantiles ``{prefix}_{i}`` of the non-null ``col``.
+def weighted_prefix(df: DataFrame, order_cols: Sequence[str], weight: str, name: str = "_before") -> DataFrame:
+    """Exclusive running total of ``weight`` over a global order, computed per range partition.
 
-    Same definition as Spark ``percentile`` / numpy ``linear``; works for any number of
-    distinct values because it reads order statistics from ``global_index``.
+    Range partitions are checkpointed, summed per partition (one row each, broadcast as
+    offsets) and prefixed locally with a window keyed by the partition id.
     """
-    vals = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"))
-    idx = global_index(vals, ["v"], "rn")
-    n = idx.select(F.count(F.lit(1))).scalar()
-    out = []
-    for i, p in enumerate(probs):
-        pos = (n - 1) * F.lit(float(p))
-        lo = F.floor(pos) + 1
-        frac = pos - F.floor(pos)
-        v_lo = F.max(F.when(F.col("rn") == lo, F.col("v")))
-        v_hi = F.max(F.when(F.col("rn") == F.least(lo + 1, n), F.col("v")))
-        out.append((v_lo + (v_hi - v_lo) * frac).alias(f"{prefix}_{i}"))
-    # only the rows at the needed ranks reach the final aggregate
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = df.columns
+    tagged = cut_lineage(df.repartitionByRange(n, *order_cols).select("*", F.spark_partition_id().alias("_pid")))
+    w_in = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    within = tagged.select("*", F.coalesce(F.sum(weight).over(w_in), F.lit(0)).alias("_in"))
+    totals = tagged.groupBy("_pid").agg(F.sum(weight).alias("_t"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # over partitions only
+    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_off"))
+    return within.join(F.broadcast(offsets), "_pid").select(*cols, (F.col("_off") + F.col("_in")).alias(name))
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], prefix: str = "q") -> DataFrame:
+    """Exact linear-interpolated quantiles of several columns in one distributed pass.
+
+    Output: one row per column: ``column``, ``n`` (non-null count), ``{prefix}_{i}`` per
+    probability. Same definition as Spark ``percentile`` / numpy ``linear``.
+
+    Plan: unpivot to (column, value) -> count per distinct value (partial aggregation, so a
+    value held by a third of all rows is one row per task) -> global weighted prefix over
+    (column, value) -> keep only the distinct values covering the needed ranks.
+    """
+    cols = list(cols)
+    stack = ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols)
+    long = df.selectExpr(f"stack({len(cols)}, {stack}) as (column, v)").where(F.col("v").isNotNull())
+    hist = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    pref = weighted_prefix(hist, ["column", "v"], "cnt", "_before")
+    # per-column counts and the number of values in earlier columns (one row per column)
+    totals = hist.groupBy("column").agg(F.sum("cnt").alias("n"))
+    col_off = totals.select(
+        "column", "n",
+        F.coalesce(F.sum("n").over(Window.orderBy("column").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_coff"),
+    )  # one row per column
+    p = pref.join(F.broadcast(col_off), "column").select(
+        "column", "v", "cnt", "n", (F.col("_before") - F.col("_coff")).alias("b")
+    )
     need = F.lit(False)
-    for p in probs:
-        pos = (n - 1) * F.lit(float(p))
-        need = need | F.col("rn").between(F.floor(pos) + 1, F.floor(pos) + 2)
-    return idx.where(need).agg(*out)
+    aggs = []
+    for i, q in enumerate(probs):
+        pos = (F.col("n") - 1) * F.lit(float(q))
+        lo = F.floor(pos)
+        hi = F.least(lo + 1, F.col("n") - 1)
+        covers_lo = (F.col("b") <= lo) & (lo < F.col("b") + F.col("cnt"))
+        covers_hi = (F.col("b") <= hi) & (hi < F.col("b") + F.col("cnt"))
+        need = need | covers_lo | covers_hi
+        frac = F.max(pos - lo)
+        v_lo = F.max(F.when(covers_lo, F.col("v")))
+        v_hi = F.max(F.when(covers_hi, F.col("v")))
+        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(f"{prefix}_{i}"))
+    return p.where(need).groupBy("column").agg(F.max("n").alias("n"), *aggs)
 
 
 def map_quantiles(df: DataFrame, col: str, probs: Sequence[float], prefix: str = "q") -> DataFrame:

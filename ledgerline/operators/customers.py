@@ -60,7 +60,7 @@ def rfm_scores(base: DataFrame) -> DataFrame:
     """R, F, M quartile scores, total and segment per customer."""
     base = cut_lineage(base)  # read once; every later step reads the checkpoint
     rq = map_quantiles(base, "recency", QUARTILES, "r")  # recency: bounded domain (days)
-    mq = exact_quantiles(base, "monetary", QUARTILES, "m")  # monetary: any cardinality
+    mq = exact_quantiles(base, ["monetary"], QUARTILES, "m")  # monetary: any cardinality
     redges = [rq.select(f"r_{i}").scalar() for i in range(3)]
     medges = [mq.select(f"m_{i}").scalar() for i in range(3)]
     # F: quartiles of rank(method="first") = row number by (frequency, customer)

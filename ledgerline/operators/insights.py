@@ -30,7 +30,7 @@ GROWTH_EPS = 1e-8
 
 def _fmt(x: Column, digits: int) -> Column:
     """Fixed-point text of an already rounded decimal (no binary tie issues)."""
-    return F.format_string(f"%.{digits}f", F.round(x.cast("decimal(28,6)"), digits).cast("double"))
+    return F.format_string(f"%.{digits}f", F.round(x.try_cast("decimal(38,10)"), digits).cast("double"))
 
 
 def monthly_facts(df: DataFrame, date_col: str, target_col: str) -> DataFrame:

@@ -43,7 +43,8 @@ def _bucket(d: Column, freq: str) -> Column:
 
 
 def rollup(
-    df: DataFrame, date_col: str, value_col: str, freq: str = "D", series_cols: Sequence[str] = ()
+    df: DataFrame, date_col: str, value_col: str, freq: str = "D", series_cols: Sequence[str] = (),
+    keep_decimal: bool = False,
 ) -> DataFrame:
     """Sum of ``value_col`` per period with missing periods filled with 0 (D8-D10 + C1).
 
@@ -51,6 +52,9 @@ def rollup(
     -> calendar by ``explode(sequence(...))`` (bounded by the date span, not by the data) ->
     left join on (series, period). The rollup side is already hash-partitioned on the join
     key, so only the small calendar is shuffled for the join.
+
+    ``keep_decimal`` keeps an exact decimal ``y`` for decimal money columns, so later window
+    sums are exact; otherwise ``y`` is double.
     """
     s = list(series_cols)
     d = as_date(df, date_col)
@@ -60,13 +64,15 @@ def rollup(
     agg = (
         df.where(keep)
         .groupBy(*[F.col(c) for c in s], _bucket(d, freq).alias("_k"))
-        .agg(F.sum(F.col(value_col)).cast("double").alias("y"))
+        .agg(F.sum(F.col(value_col)).alias("y"))
     )
     bounds = agg.groupBy(*s).agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
     cal = bounds.select(*s, F.explode(F.sequence("_lo", "_hi", F.expr(_STEP[freq]))).alias("_k"))
     out = cal.join(agg, on=s + ["_k"], how="left")
     ds = F.last_day("_k") if freq == "M" else F.col("_k")
-    return out.select(*s, ds.alias("ds"), F.coalesce(F.col("y"), F.lit(0.0)).alias("y"))
+    y = F.coalesce(F.col("y"), F.lit(0).cast(agg.schema["y"].dataType))
+    is_dec = agg.schema["y"].dataType.simpleString().startswith("decimal")
+    return out.select(*s, ds.alias("ds"), (y if (keep_decimal and is_dec) else y.cast("double")).alias("y"))
 
 
 def _w(series_cols: Sequence[str]) -> Window:
@@ -82,15 +88,18 @@ def with_lags(ts: DataFrame, series_cols: Sequence[str] = (), y: str = "y") -> D
     """Lags 1/7/14/30 and rolling mean / sample std over the previous 7/14/30 rows.
 
     A rolling value exists only once its window is full, as with a fixed-size rolling window.
+    A decimal ``y`` gives exact window sums (the mean is sum / n); output columns are double.
     """
     w = _w(series_cols)
-    cols = [F.lag(y, k).over(w).alias(f"lag_{k}") for k in LAGS]
+    cols = [F.lag(y, k).over(w).cast("double").alias(f"lag_{k}") for k in LAGS]
     for n in ROLLING_WINDOWS:
         frame = w.rowsBetween(-n, -1)
         full = F.count(y).over(frame) == n
-        cols.append(F.when(full, F.avg(y).over(frame)).alias(f"rolling_mean_{n}"))
-        cols.append(F.when(full, F.stddev_samp(y).over(frame)).alias(f"rolling_std_{n}"))
-    return ts.select("*", *cols)
+        mean = F.sum(y).over(frame).cast("double") / F.lit(float(n))
+        cols.append(F.when(full, mean).alias(f"rolling_mean_{n}"))
+        cols.append(F.when(full, F.stddev_samp(F.col(y).cast("double")).over(frame)).alias(f"rolling_std_{n}"))
+    others = [F.col(c).cast("double").alias(c) if c == y else F.col(c) for c in ts.columns]
+    return ts.select(*others, *cols)
 
 
 def feature_table(ts: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:

@@ -34,7 +34,7 @@ def S(spark: SparkSession, sf_dir: str, cols: Optional[Iterable[str]] = None) ->
 
 def R(expr: str, digits: int = 2) -> str:
     """Oracle twin of ``functions.numeric.round_to``."""
-    return f"CAST(ROUND(CAST(({expr}) AS DECIMAL(28,6)), {digits}) AS DOUBLE)"
+    return f"CAST(ROUND(TRY_CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
 
 
 def with_sales(body: str, extra_ctes: str = "") -> str:

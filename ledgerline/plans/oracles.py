@@ -142,25 +142,29 @@ def _cal(ds: str = "ds") -> str:
 
 
 def _lags() -> str:
-    parts = [f"lag(y, {k}) OVER (ORDER BY ds) AS lag_{k}" for k in (1, 7, 14, 30)]
+    parts = [f"CAST(lag(y, {k}) OVER (ORDER BY ds) AS DOUBLE) AS lag_{k}" for k in (1, 7, 14, 30)]
     for n in (7, 14, 30):
         fr = f"(ORDER BY ds ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
-        parts.append(f"CASE WHEN count(y) OVER {fr} = {n} THEN {R(f'avg(y) OVER {fr}', 2)} END AS rolling_mean_{n}")
+        parts.append(f"CASE WHEN count(y) OVER {fr} = {n} THEN {R(f'CAST(sum(y) OVER {fr} AS DOUBLE) / {n}.0', 2)} END AS rolling_mean_{n}")
         parts.append(f"CASE WHEN count(y) OVER {fr} = {n} THEN {R(f'stddev_samp(y) OVER {fr}', 2)} END AS rolling_std_{n}")
     return ",\n  ".join(parts)
 
 
 ORACLES["calendar_features"] = with_daily(f"SELECT ds, y,\n  {_cal()}\nFROM daily")
-ORACLES["lag_features"] = with_daily(f"SELECT ds, y,\n  {_lags()}\nFROM daily")
+_EXACT_DAILY = """e0 AS (SELECT date AS k, SUM(revenue) AS y FROM sales WHERE date IS NOT NULL GROUP BY date),
+ecal AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS k FROM (SELECT MIN(k) AS lo, MAX(k) AS hi FROM e0) b),
+edaily AS (SELECT ecal.k AS ds, COALESCE(e0.y, 0) AS y FROM ecal LEFT JOIN e0 ON ecal.k = e0.k)"""
+
+ORACLES["lag_features"] = with_sales(f"SELECT ds, CAST(y AS DOUBLE) AS y,\n  {_lags()}\nFROM edaily", _EXACT_DAILY)
 
 _FEATS = ["day_of_week", "day_of_month", "week_of_year", "month", "quarter", "year", "is_weekend",
           "is_month_start", "is_month_end", "is_quarter_start", "day_of_year", "month_sin", "month_cos",
           "dow_sin", "dow_cos", "lag_1", "lag_7", "lag_14", "lag_30", "rolling_mean_7", "rolling_std_7",
           "rolling_mean_14", "rolling_std_14", "rolling_mean_30", "rolling_std_30"]
 
-ORACLES["feature_table"] = with_daily(
-    f"SELECT * FROM (SELECT ds, y,\n  {_cal()},\n  {_lags()}\nFROM daily) f WHERE "
-    + " AND ".join(f"{c} IS NOT NULL" for c in _FEATS))
+ORACLES["feature_table"] = with_sales(
+    f"SELECT * FROM (SELECT ds, CAST(y AS DOUBLE) AS y,\n  {_cal()},\n  {_lags()}\nFROM edaily) f WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in _FEATS), _EXACT_DAILY)
 
 ORACLES["chrono_split"] = with_daily(
     "SELECT ds, y, row_number() OVER (ORDER BY ds) <= floor(0.8 * count(*) OVER ()) AS is_train FROM daily")
@@ -204,10 +208,11 @@ _METRICS = f"""SELECT {R('avg(abs(e))', 4)} AS mae, {R('sqrt(avg(e * e))', 4)} A
        {R('CASE WHEN var_pop(actual) * count(actual) > 0 THEN 1 - sum(e * e) / (var_pop(actual) * count(actual)) WHEN sum(e * e) = 0 THEN 1 ELSE 0 END', 4)} AS r2,
        {R('avg(abs(e / (actual + 1e-8))) * 100', 4)} AS mape FROM ev"""
 
-ORACLES["forecast_metrics"] = with_daily(_METRICS, _NAIVE)
+ORACLES["forecast_metrics"] = with_daily(
+    "SELECT " + ", ".join(f"CAST(printf('%.9e', {c}) AS DOUBLE) AS {c}" for c in ("mae", "rmse", "r2", "mape")) + f" FROM ({_METRICS}) m", _NAIVE)
 
-_FMT1 = "printf('%.1f', CAST(ROUND(CAST(({x}) AS DECIMAL(28,6)), 1) AS DOUBLE))"
-_FMT2 = "printf('%.2f', CAST(ROUND(CAST(({x}) AS DECIMAL(28,6)), 2) AS DOUBLE))"
+_FMT1 = "printf('%.1f', CAST(ROUND(TRY_CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38,10)), 1) AS DOUBLE))"
+_FMT2 = "printf('%.2f', CAST(ROUND(TRY_CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38,10)), 2) AS DOUBLE))"
 
 ORACLES["insights"] = with_daily("""
 SELECT CAST(row_number() OVER (ORDER BY rule) AS BIGINT) AS ordinal, text AS insight FROM rules WHERE text IS NOT NULL""",
@@ -282,3 +287,94 @@ ORACLES["inventory_all_products"] = with_sales("SELECT * EXCLUDE (product_id) FR
 ORACLES["inventory_alert_counts"] = with_sales("""
 SELECT CAST(count(*) AS BIGINT) AS total_products, CAST(count(*) FILTER (WHERE alert = 'REORDER NOW') AS BIGINT) AS reorder_alerts,
        CAST(count(*) FILTER (WHERE alert = 'LOW DEMAND') AS BIGINT) AS low_demand FROM top20""", _INV)
+
+# ---- dates, cleaning, profile ------------------------------------------------------------------------
+
+from ..sources.tables import dirty_sales_oracle_cte  # noqa: E402
+
+_PY_FORMATS = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%Y/%m/%d", "%d-%m-%Y", "%B %d, %Y", "%b %d, %Y"]
+
+
+def _parse_sql(raw_expr: str) -> str:
+    fails = ", ".join(f"count(*) FILTER (WHERE try_strptime(raw, '{f}') IS NULL) AS f{i}" for i, f in enumerate(_PY_FORMATS))
+    succ = ", ".join(f"count(*) FILTER (WHERE try_strptime(raw, '{f}') IS NOT NULL) AS s{i}" for i, f in enumerate(_PY_FORMATS))
+    strict = " ".join(f"WHEN f{i} = 0 THEN {i}" for i in range(len(_PY_FORMATS)))
+    best = "greatest(" + ", ".join(f"s{i}" for i in range(len(_PY_FORMATS))) + ")"
+    fb = " ".join(f"WHEN s{i} = {best} THEN {i}" for i in range(len(_PY_FORMATS)))
+    parse = " ".join(f"WHEN {i} THEN try_strptime(raw, '{f}')" for i, f in enumerate(_PY_FORMATS))
+    return f"""WITH raw AS (SELECT o_orderkey, {raw_expr} AS raw FROM orders),
+st AS (SELECT {fails}, {succ} FROM raw WHERE raw IS NOT NULL),
+pat AS (SELECT CASE {strict} ELSE CASE {fb} END END AS p FROM st)
+SELECT * FROM (SELECT o_orderkey, raw, CAST(CASE p {parse} END AS DATE) AS parsed FROM raw, pat) x WHERE parsed IS NOT NULL"""
+
+
+ORACLES["parse_dates"] = _parse_sql("strftime(o_orderdate, '%m/%d/%Y')")
+ORACLES["parse_dates_mixed"] = _parse_sql(
+    "CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%B %-d, %Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END")
+ORACLES["coerce_dates"] = """SELECT o_orderkey, raw, CAST(try_strptime(raw, '%Y-%m-%d') AS DATE) AS parsed
+FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS raw FROM orders) o"""
+
+_NUMS = ["product_id", "customer_id", "quantity", "unit_price", "revenue"]
+_CLEAN = dirty_sales_oracle_cte() + """,
+dd AS (SELECT DISTINCT * FROM dirty),
+med AS (SELECT """ + ", ".join(f"median(CAST({c} AS DOUBLE)) AS m_{c}" for c in _NUMS) + """ FROM dd),
+imp AS (SELECT date, COALESCE(CAST(product_id AS DOUBLE), m_product_id) AS product_id, category, region,
+               COALESCE(CAST(customer_id AS DOUBLE), m_customer_id) AS customer_id,
+               COALESCE(quantity, m_quantity) AS quantity, COALESCE(unit_price, m_unit_price) AS unit_price,
+               COALESCE(revenue, m_revenue) AS revenue FROM dd, med),
+fil AS (SELECT date, product_id, COALESCE(category, 'Unknown') AS category, COALESCE(region, 'Unknown') AS region,
+               customer_id, quantity, unit_price, revenue FROM imp),
+qb AS (SELECT """ + ", ".join(
+    f"quantile_cont({c}, 0.25) - 3 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo_{c}, "
+    f"quantile_cont({c}, 0.75) + 3 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi_{c}" for c in _NUMS) + """ FROM imp),
+cap AS (SELECT date, """ + ", ".join(
+    f"least(greatest({c}, lo_{c}), hi_{c}) AS {c}" if c not in ("category", "region") else c
+    for c in ["product_id", "category", "region", "customer_id", "quantity", "unit_price", "revenue"]) + """ FROM fil, qb)"""
+
+
+def _rounded(tab: str) -> str:
+    cols = ["date", "product_id", "category", "region", "customer_id", "quantity", "unit_price", "revenue"]
+    return "SELECT " + ", ".join(f"{R(c, 6)} AS {c}" if c in _NUMS else c for c in cols) + f" FROM {tab}"
+
+
+ORACLES["dedupe"] = "WITH " + dirty_sales_oracle_cte() + "\nSELECT DISTINCT * FROM dirty"
+ORACLES["impute_median"] = "WITH " + _CLEAN + "\n" + _rounded("imp")
+ORACLES["fill_unknown"] = "WITH " + _CLEAN + "\n" + _rounded("fil")
+ORACLES["cap_outliers"] = "WITH " + _CLEAN + "\n" + _rounded("cap")
+
+ORACLES["cleaning_report"] = "WITH " + _CLEAN + """,
+rep AS (
+  SELECT 'original_rows' AS issue, '*' AS "column", CAST(count(*) AS BIGINT) AS n FROM dirty
+  UNION ALL SELECT 'final_rows', '*', CAST(count(*) AS BIGINT) FROM dd
+  UNION ALL SELECT 'duplicates_removed', '*', CAST((SELECT count(*) FROM dirty) - (SELECT count(*) FROM dd) AS BIGINT)
+""" + "".join(
+    f"  UNION ALL SELECT 'missing_filled_median', '{c}', CAST(count(*) - count({c}) AS BIGINT) FROM dd\n" for c in _NUMS) + "".join(
+    f"  UNION ALL SELECT 'missing_filled_unknown', '{c}', CAST(count(*) - count({c}) AS BIGINT) FROM dd\n" for c in ("category", "region")) + "".join(
+    f"  UNION ALL SELECT 'outliers_capped', '{c}', CAST(count(*) FILTER (WHERE {c} < lo_{c} OR {c} > hi_{c}) AS BIGINT) FROM imp, qb\n" for c in _NUMS) + """)
+SELECT * FROM rep WHERE issue IN ('original_rows', 'final_rows') OR n > 0"""
+
+_DIRTY_COLS = ["date", "product_id", "category", "region", "customer_id", "quantity", "unit_price", "revenue"]
+
+ORACLES["numeric_profile"] = "WITH " + dirty_sales_oracle_cte() + ",\nlong AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v FROM dirty" for c in _NUMS) + f""")
+SELECT "column", {R('avg(v)', 4)} AS mean, {R('median(v)', 4)} AS median, {R('stddev_samp(v)', 4)} AS std,
+       {R('min(v)', 4)} AS min, {R('max(v)', 4)} AS max FROM long GROUP BY 1"""
+
+ORACLES["categorical_profile"] = "WITH " + dirty_sales_oracle_cte() + ",\nlong AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {c} AS v FROM dirty" for c in ("category", "region")) + """),
+cnt AS (SELECT "column", v, CAST(count(*) AS BIGINT) AS n FROM long WHERE v IS NOT NULL GROUP BY 1, 2),
+uq AS (SELECT "column", CAST(count(*) AS BIGINT) AS unique_count FROM cnt GROUP BY 1)
+SELECT c."column", unique_count, rank, v AS value, n FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, v) AS BIGINT) AS rank FROM cnt) c
+JOIN uq ON c."column" = uq."column" WHERE rank <= 5"""
+
+ORACLES["missing_counts"] = "WITH " + dirty_sales_oracle_cte() + "\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(count(*) - count({c}) AS BIGINT) AS missing FROM dirty" for c in _DIRTY_COLS)
+
+ORACLES["dataset_shape"] = "WITH " + dirty_sales_oracle_cte() + "\nSELECT CAST(count(*) AS BIGINT) AS rows, CAST(8 AS BIGINT) AS columns FROM dirty"
+
+ORACLES["date_range"] = with_sales("SELECT min(date) AS start, max(date) AS \"end\" FROM sales")
+
+ORACLES["target_stats"] = with_sales(f"""
+SELECT {R('COALESCE(sum(CAST(revenue AS DOUBLE)), 0)')} AS total, {R('avg(CAST(revenue AS DOUBLE))')} AS mean,
+       {R('max(CAST(revenue AS DOUBLE))')} AS max, {R('min(CAST(revenue AS DOUBLE))')} AS min FROM sales""")

@@ -101,9 +101,9 @@ from ..operators.forecast import metrics as met  # noqa: E402
 from ..functions.numeric import round_to  # noqa: E402
 
 
-def daily(spark, d, series_cols=()):
+def daily(spark, d, series_cols=(), exact=False):
     cols = ["date", "revenue", *series_cols]
-    return ser.rollup(S(spark, d, cols), "date", "revenue", "D", series_cols)
+    return ser.rollup(S(spark, d, cols), "date", "revenue", "D", series_cols, keep_decimal=exact)
 
 
 def _r(df, cols, digits):
@@ -141,12 +141,12 @@ def calendar_features(spark, d):
 
 @register
 def lag_features(spark, d):
-    return _r(ser.with_lags(daily(spark, d)), _ROLL, 2)
+    return _r(ser.with_lags(daily(spark, d, exact=True)), _ROLL, 2)
 
 
 @register
 def feature_table(spark, d):
-    return _r(_r(ser.feature_table(daily(spark, d)), _TRIG, 6), _ROLL, 2)
+    return _r(_r(ser.feature_table(daily(spark, d, exact=True)), _TRIG, 6), _ROLL, 2)
 
 
 @register
@@ -197,9 +197,14 @@ def _naive_points(spark, d):
     return met.seasonal_naive_points(daily(spark, d), (), 7, 0.8)
 
 
+def _sig(df, cols, digits=10):
+    """Round to significant digits (exploding MAPE values are ~1e13)."""
+    return df.select(*[F.format_string(f"%.{digits - 1}e", F.col(c)).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 @register
 def forecast_metrics(spark, d):
-    return met.evaluate(_naive_points(spark, d))
+    return _sig(met.evaluate(_naive_points(spark, d)), ["mae", "rmse", "r2", "mape"])
 
 
 @register
@@ -259,3 +264,91 @@ def inventory_all_products(spark, d):
 @register
 def inventory_alert_counts(spark, d):
     return inv.alert_counts(inv.top_recommendations(_recs(spark, d), 20))
+
+# ---- dates, cleaning, profile ------------------------------------------------------------------------
+
+from ..operators import clean as cln  # noqa: E402
+from ..operators import profile as prof  # noqa: E402
+from ..sources.tables import dirty_sales, table  # noqa: E402
+
+
+def _order_dates(spark, d, raw: "F.Column"):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", raw.alias("raw"))
+
+
+@register
+def parse_dates(spark, d):
+    df = _order_dates(spark, d, F.date_format("o_orderdate", "MM/dd/yyyy"))
+    return cln.parse_dates(df, "raw", "parsed")
+
+
+@register
+def parse_dates_mixed(spark, d):
+    od = F.col("o_orderdate")
+    raw = F.when(F.col("o_orderkey") % 5 == 0, F.date_format(od, "MMMM d, yyyy")).otherwise(F.date_format(od, "yyyy-MM-dd"))
+    return cln.parse_dates(_order_dates(spark, d, raw), "raw", "parsed")
+
+
+@register
+def coerce_dates(spark, d):
+    raw = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("n/a")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return cln.coerce_dates(_order_dates(spark, d, raw), "raw", "yyyy-M-d", "parsed")
+
+
+_DIRTY_DOUBLES = ["product_id", "customer_id", "quantity", "unit_price", "revenue"]
+
+
+@register
+def dedupe(spark, d):
+    return cln.dedupe(dirty_sales(spark, d))
+
+
+@register
+def impute_median(spark, d):
+    return _r(cln.clean(dirty_sales(spark, d)).imputed, _DIRTY_DOUBLES, 6)
+
+
+@register
+def fill_unknown(spark, d):
+    return _r(cln.clean(dirty_sales(spark, d)).filled, _DIRTY_DOUBLES, 6)
+
+
+@register
+def cap_outliers(spark, d):
+    return _r(cln.clean(dirty_sales(spark, d)).cleaned, _DIRTY_DOUBLES, 6)
+
+
+@register
+def cleaning_report(spark, d):
+    return cln.clean(dirty_sales(spark, d)).report
+
+
+@register
+def numeric_profile(spark, d):
+    return _r(prof.numeric_profile(dirty_sales(spark, d)), ["mean", "median", "std", "min", "max"], 4)
+
+
+@register
+def categorical_profile(spark, d):
+    return prof.categorical_profile(dirty_sales(spark, d))
+
+
+@register
+def missing_counts(spark, d):
+    return prof.missing_counts(dirty_sales(spark, d))
+
+
+@register
+def dataset_shape(spark, d):
+    return prof.shape(dirty_sales(spark, d))
+
+
+@register
+def date_range(spark, d):
+    return prof.date_range(S(spark, d, ["date"]), "date")
+
+
+@register
+def target_stats(spark, d):
+    return _r(prof.target_stats(S(spark, d, ["revenue"]), "revenue"), ["total", "mean", "max", "min"], 2)

@@ -108,3 +108,62 @@ def sales_oracle_cte() -> str:
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+
+
+def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sales extract with the defects cleaning must handle, derived from the star tables.
+
+    Returned items (``l_returnflag = 'R'``) appear twice, as in a doubled export; quantity is
+    missing on undiscounted lines and region on untaxed lines. Columns:
+    date, product_id, category, region, customer_id, quantity, unit_price, revenue (double).
+    """
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"
+    )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    cust = (
+        table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("c_custkey", "r_name")
+    )
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    df = (
+        li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(cust, F.col("o_custkey") == F.col("c_custkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+    )
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    revenue = F.round(price * (F.lit(1) - F.col("l_discount").cast("decimal(18,2)")), 2).cast("decimal(18,2)")
+    base = df.select(
+        F.col("o_orderdate").cast("date").alias("date"),
+        F.col("l_partkey").alias("product_id"),
+        F.col("p_type").alias("category"),
+        F.when(F.col("l_tax") != 0, F.col("r_name")).alias("region"),
+        F.col("o_custkey").alias("customer_id"),
+        F.when(F.col("l_discount") != 0, F.col("l_quantity")).alias("quantity"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+        revenue.cast("double").alias("revenue"),
+        F.col("l_returnflag"),
+    )
+    return base.drop("l_returnflag").unionByName(base.where(F.col("l_returnflag") == "R").drop("l_returnflag"))
+
+
+def dirty_sales_oracle_cte() -> str:
+    return """dirty0 AS (
+  SELECT CAST(o.o_orderdate AS DATE) AS date, l.l_partkey AS product_id, p.p_type AS category,
+         CASE WHEN l.l_tax <> 0 THEN r.r_name END AS region, o.o_custkey AS customer_id,
+         CASE WHEN l.l_discount <> 0 THEN l.l_quantity END AS quantity,
+         l.l_extendedprice / l.l_quantity AS unit_price,
+         CAST(CAST(ROUND(CAST(l.l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l.l_discount AS DECIMAL(18,2))), 2) AS DECIMAL(18,2)) AS DOUBLE) AS revenue,
+         l.l_returnflag
+  FROM lineitem l
+  JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey
+  JOIN part p ON l.l_partkey = p.p_partkey),
+dirty AS (SELECT * EXCLUDE (l_returnflag) FROM dirty0
+          UNION ALL SELECT * EXCLUDE (l_returnflag) FROM dirty0 WHERE l_returnflag = 'R')"""
