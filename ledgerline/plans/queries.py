@@ -352,3 +352,42 @@ def date_range(spark, d):
 @register
 def target_stats(spark, d):
     return _r(prof.target_stats(S(spark, d, ["revenue"]), "revenue"), ["total", "mean", "max", "min"], 2)
+
+# ---- forecasting (rows-only checks: model fits have no SQL twin) ----------------------------------------
+
+from ..operators.forecast import models as fc  # noqa: E402
+
+
+@register
+def ridge_forecast(spark, d):
+    return fc.ridge_forecast(daily(spark, d), (), 30).points
+
+
+@register
+def ridge_forecast_by_region(spark, d):
+    return fc.ridge_forecast(daily(spark, d, ["region"]), ["region"], 30).points
+
+
+@register
+def ridge_metrics(spark, d):
+    return fc.ridge_forecast(daily(spark, d), (), 30).metrics
+
+
+@register
+def ridge_importances(spark, d):
+    return fc.ridge_forecast(daily(spark, d), (), 30).importances
+
+
+@register
+def trend_forecast(spark, d):
+    return fc.trend_forecast(daily(spark, d), (), 30).points
+
+
+@register
+def sequence_forecast(spark, d):
+    return fc.sequence_forecast(daily(spark, d), (), 30).points
+
+
+@register
+def arima_forecast(spark, d):
+    return fc.arima_forecast(daily(spark, d), (), 30).points
