@@ -391,3 +391,26 @@ def sequence_forecast(spark, d):
 @register
 def arima_forecast(spark, d):
     return fc.arima_forecast(daily(spark, d), (), 30).points
+
+from ..operators import anomalies as anom  # noqa: E402
+from ..operators.forecast import gbt as gbtm  # noqa: E402
+
+
+@register
+def gbt_forecast(spark, d):
+    return gbtm.gbt_forecast(daily(spark, d), (), 30, max_iter=20).points
+
+
+@register
+def detect_anomalies(spark, d):
+    return anom.detect_anomalies(daily(spark, d))
+
+
+@register
+def anomalies_only(spark, d):
+    return anom.anomalies_only(anom.detect_anomalies(daily(spark, d)))
+
+
+@register
+def anomalies_by_region(spark, d):
+    return anom.anomaly_counts(anom.detect_anomalies(daily(spark, d, ["region"]), ["region"]), ["region"])
