@@ -378,3 +378,12 @@ ORACLES["date_range"] = with_sales("SELECT min(date) AS start, max(date) AS \"en
 ORACLES["target_stats"] = with_sales(f"""
 SELECT {R('COALESCE(sum(CAST(revenue AS DOUBLE)), 0)')} AS total, {R('avg(CAST(revenue AS DOUBLE))')} AS mean,
        {R('max(CAST(revenue AS DOUBLE))')} AS max, {R('min(CAST(revenue AS DOUBLE))')} AS min FROM sales""")
+
+# ---- sources and sinks -------------------------------------------------------------------------------------
+
+ORACLES["dataset_registry"] = with_sales("""
+SELECT 'sales' AS name, CAST(count(*) AS BIGINT) AS row_count, CAST(12 AS BIGINT) AS column_count,
+       min(date) AS date_start, max(date) AS date_end FROM sales""")
+
+ORACLES["csv_roundtrip"] = "WITH " + dirty_sales_oracle_cte() + """
+SELECT CAST(date AS VARCHAR) AS date, product_id, category, region, customer_id, quantity, unit_price, revenue FROM dirty"""

@@ -414,3 +414,41 @@ def anomalies_only(spark, d):
 @register
 def anomalies_by_region(spark, d):
     return anom.anomaly_counts(anom.detect_anomalies(daily(spark, d, ["region"]), ["region"]), ["region"])
+
+from ..operators.forecast import compare as cmp  # noqa: E402
+
+
+@register
+def compare_models(spark, d):
+    return cmp.compare_models(daily(spark, d), ["linear", "arima", "prophet", "lstm"], (), 30)
+
+# ---- sources and sinks -------------------------------------------------------------------------------------
+
+import uuid as _uuid  # noqa: E402
+
+from ..sources import registry as reg  # noqa: E402
+from ..sources.csv import read_csv  # noqa: E402
+from ..sources.tables import SALES_COLUMNS  # noqa: E402
+
+
+@register
+def dataset_registry(spark, d):
+    row = reg.ingest(spark, S(spark, d, SALES_COLUMNS), "sales", "sales.parquet")
+    return reg.list_datasets(spark).where(F.col("id") == row["id"]).select(
+        "name", "row_count", "column_count", "date_start", "date_end")
+
+
+@register
+def csv_roundtrip(spark, d):
+    path = f"{reg.store_root(spark)}/csv/{_uuid.uuid4().hex[:12]}"
+    dirty_sales(spark, d).write.option("header", True).csv(path)
+    return read_csv(spark, path)
+
+
+@register
+def forecast_store_roundtrip(spark, d):
+    job = _uuid.uuid4().hex[:12]
+    res = fc.ridge_forecast(daily(spark, d), (), 30)
+    reg.write_forecast(res.points, job)
+    reg.record_run(spark, {"job_id": job, "model_type": "linear", "status": "completed", "horizon": 30})
+    return reg.read_forecast(spark, job).drop("job_id")
