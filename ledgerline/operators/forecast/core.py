@@ -46,8 +46,8 @@ def calendar_matrix(dates: pd.Series | pd.DatetimeIndex) -> np.ndarray:
 class Ridge:
     """Ridge regression on standardised features (population std), intercept unpenalised."""
 
-    def __init__(self, alpha: float = 1.0):
-        self.alpha = alpha
+    def __init__(self, alpha: float | np.ndarray = 1.0):
+        self.alpha = alpha  # a scalar, or one penalty per column
 
     def fit(self, X: np.ndarray, y: np.ndarray) -> "Ridge":
         self.mu = X.mean(axis=0)
@@ -56,7 +56,7 @@ class Ridge:
         self.sd = sd
         Xs = (X - self.mu) / sd
         self.y0 = float(y.mean())
-        A = Xs.T @ Xs + self.alpha * np.eye(X.shape[1])
+        A = Xs.T @ Xs + np.diag(np.broadcast_to(np.asarray(self.alpha, dtype=float), (X.shape[1],)))
         self.coef = np.linalg.solve(A, Xs.T @ (y - self.y0))
         return self
 
