@@ -1,57 +1,89 @@
 """Distributed global ranks and exact quantiles.
 
-``global_index`` numbers rows 1..n in a total order without pulling rows into one task:
-range-partition and sort, checkpoint (fixes the partition assignment reliably), count rows
-per partition (one row per partition), prefix-sum those counts, and add the offset to the
-row's position inside its partition. ``exact_quantiles`` then reads the two neighbouring
-order statistics per probability from that index, so no single task ever holds all values.
+``weighted_prefix`` computes running totals over a global order without pulling rows into
+one task: range-partition, a reliable checkpoint (fixes the partition assignment), running
+sums inside each partition, one total per partition, offsets added per row.
+``global_index`` is its unit-weight case. ``value_prefix`` / ``exact_quantiles`` apply it to
+the per-value histogram, so quantiles read two order statistics instead of sorting all rows
+in one task.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 
-def global_index(df: DataFrame, order_cols: Sequence[Column | str], name: str = "rn", num_partitions: int | None = None) -> DataFrame:
-    """Append a 1-based row number over ``order_cols`` (which should form a total order)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = df.columns
-    tagged = (
-        df.repartitionByRange(n, *order_cols)
-        .sortWithinPartitions(*order_cols)
-        .select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
-    )
-    tagged = cut_lineage(tagged)
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # over partitions only
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # offsets hold one row per partition: bounded by ``num_partitions``, safe to broadcast
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return tagged.join(F.broadcast(offsets), "_pid").select(*cols, (F.col("_off") + pos + 1).alias(name))
+def weighted_prefix(df: DataFrame, order_cols: Sequence[Column | str], weight: str, name: str = "_before") -> DataFrame:
+    """Exclusive running total of ``weight`` over a global order, without gathering rows.
 
-
-def weighted_prefix(df: DataFrame, order_cols: Sequence[str], weight: str, name: str = "_before") -> DataFrame:
-    """Exclusive running total of ``weight`` over a global order, computed per range partition.
-
-    Range partitions are checkpointed, summed per partition (one row each, broadcast as
-    offsets) and prefixed locally with a window keyed by the partition id.
+    Plan: range-partition (sampled bounds) -> reliable checkpoint, which fixes each row's
+    partition -> running sums inside each partition (a window keyed by the partition id) ->
+    one total per partition (collected: bounded by the partition count) -> offsets added as a
+    literal map. No task ever sees more than one range partition.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = df.columns
-    tagged = cut_lineage(df.repartitionByRange(n, *order_cols).select("*", F.spark_partition_id().alias("_pid")))
+    tagged = cut_lineage(df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id()))
     w_in = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     within = tagged.select("*", F.coalesce(F.sum(weight).over(w_in), F.lit(0)).alias("_in"))
-    totals = tagged.groupBy("_pid").agg(F.sum(weight).alias("_t"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # over partitions only
-    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_off"))
-    return within.join(F.broadcast(offsets), "_pid").select(*cols, (F.col("_off") + F.col("_in")).alias(name))
+    totals = sorted((r["_pid"], int(r["t"])) for r in tagged.groupBy("_pid").agg(F.sum(weight).alias("t")).collect())
+    offsets, acc = [], 0
+    for pid, t in totals:
+        offsets += [F.lit(pid), F.lit(acc)]
+        acc += t
+    off = F.element_at(F.create_map(*offsets), F.col("_pid")) if offsets else F.lit(0)
+    return within.select(*cols, (off + F.col("_in")).alias(name))
+
+
+def global_index(df: DataFrame, order_cols: Sequence[Column | str], name: str = "rn") -> DataFrame:
+    """Append a 1-based row number over ``order_cols`` (which should form a total order)."""
+    cols = df.columns
+    pref = weighted_prefix(df.withColumn("_one", F.lit(1).cast("long")), order_cols, "_one", "_b")
+    return pref.select(*cols, (F.col("_b") + 1).alias(name))
+
+
+def value_prefix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Checkpointed table (column, v, cnt, b, n) over the non-null values of ``cols``:
+    ``cnt`` rows hold value ``v``; ``b`` rows of the same column sort before it; ``n`` is the
+    column's non-null count. Rank r (0-based) of a column holds v where b <= r < b + cnt.
+
+    Plan: unpivot -> count per distinct value (partial aggregation, so a value held by a third
+    of all rows is one row per task) -> global weighted prefix over (column, v).
+    """
+    cols = list(cols)
+    # unpivot keyed by the column's position (an int sorts and hashes cheaper than its name)
+    stack = ", ".join(f"{i}, cast(`{c}` as double)" for i, c in enumerate(cols))
+    long = df.selectExpr(f"stack({len(cols)}, {stack}) as (col_id, v)").where(F.col("v").isNotNull())
+    hist = long.groupBy("col_id", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    # read by several small lookups: keep it (recomputable from the reliable checkpoint inside)
+    pref = weighted_prefix(hist, ["col_id", "v"], "cnt", "_before").persist(StorageLevel.MEMORY_AND_DISK)
+    totals = sorted((r["col_id"], int(r["n"])) for r in pref.groupBy("col_id").agg(F.sum("cnt").alias("n")).collect())
+    name, coff, nmap, acc = [], [], [], 0  # one entry per column
+    for i, c in enumerate(cols):
+        name += [F.lit(i), F.lit(c)]
+    for i, n in totals:
+        coff += [F.lit(i), F.lit(acc)]
+        nmap += [F.lit(i), F.lit(n)]
+        acc += n
+    if not totals:
+        return pref.select(F.lit(None).cast("string").alias("column"), "v", "cnt", F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("n")).where("false")
+    return pref.select(
+        F.element_at(F.create_map(*name), F.col("col_id")).alias("column"), "v", "cnt",
+        (F.col("_before") - F.element_at(F.create_map(*coff), F.col("col_id"))).alias("b"),
+        F.element_at(F.create_map(*nmap), F.col("col_id")).alias("n"),
+    )
+
+
+def _covers(r: Column) -> Column:
+    return (F.col("b") <= r) & (r < F.col("b") + F.col("cnt"))
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], prefix: str = "q") -> DataFrame:
@@ -59,41 +91,94 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
     Output: one row per column: ``column``, ``n`` (non-null count), ``{prefix}_{i}`` per
     probability. Same definition as Spark ``percentile`` / numpy ``linear``.
-
-    Plan: unpivot to (column, value) -> count per distinct value (partial aggregation, so a
-    value held by a third of all rows is one row per task) -> global weighted prefix over
-    (column, value) -> keep only the distinct values covering the needed ranks.
     """
-    cols = list(cols)
-    stack = ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols)
-    long = df.selectExpr(f"stack({len(cols)}, {stack}) as (column, v)").where(F.col("v").isNotNull())
-    hist = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    pref = weighted_prefix(hist, ["column", "v"], "cnt", "_before")
-    # per-column counts and the number of values in earlier columns (one row per column)
-    totals = hist.groupBy("column").agg(F.sum("cnt").alias("n"))
-    col_off = totals.select(
-        "column", "n",
-        F.coalesce(F.sum("n").over(Window.orderBy("column").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_coff"),
-    )  # one row per column
-    p = pref.join(F.broadcast(col_off), "column").select(
-        "column", "v", "cnt", "n", (F.col("_before") - F.col("_coff")).alias("b")
-    )
+    p = value_prefix(df, cols)
     need = F.lit(False)
     aggs = []
     for i, q in enumerate(probs):
         pos = (F.col("n") - 1) * F.lit(float(q))
         lo = F.floor(pos)
         hi = F.least(lo + 1, F.col("n") - 1)
-        covers_lo = (F.col("b") <= lo) & (lo < F.col("b") + F.col("cnt"))
-        covers_hi = (F.col("b") <= hi) & (hi < F.col("b") + F.col("cnt"))
-        need = need | covers_lo | covers_hi
+        need = need | _covers(lo) | _covers(hi)
         frac = F.max(pos - lo)
-        v_lo = F.max(F.when(covers_lo, F.col("v")))
-        v_hi = F.max(F.when(covers_hi, F.col("v")))
+        v_lo = F.max(F.when(_covers(lo), F.col("v")))
+        v_hi = F.max(F.when(_covers(hi), F.col("v")))
         aggs.append((v_lo + (v_hi - v_lo) * frac).alias(f"{prefix}_{i}"))
     return p.where(need).groupBy("column").agg(F.max("n").alias("n"), *aggs)
 
 
+def quantiles_from_prefix(
+    pref: DataFrame, cols: Sequence[str], probs: Sequence[float], fill: dict[str, tuple[float, int]] | None = None
+) -> dict[str, list[float | None]]:
+    """Quantiles per column from a ``value_prefix`` table, optionally after adding ``k`` copies
+    of a value ``m`` per column (``fill[c] = (m, k)``, e.g. a median imputation of k NULLs).
+
+    With the fill, the sorted column is: values < m, then every value == m plus the k copies,
+    then values > m shifted by k ranks, so every needed rank maps back to an original rank or
+    to m. Two small aggregations over the prefix table; results are tiny (per column/prob).
+    """
+    fill = fill or {}
+    stats_aggs = [F.max("n").alias("n")]
+    for c, (m, _) in fill.items():
+        stats_aggs += [
+            F.sum(F.when((F.col("column") == c) & (F.col("v") < F.lit(m)), F.col("cnt")).otherwise(0)).alias(f"{c}__below"),
+            F.sum(F.when((F.col("column") == c) & (F.col("v") == F.lit(m)), F.col("cnt")).otherwise(0)).alias(f"{c}__eq"),
+        ]
+    per_col = {r["column"]: r for r in pref.groupBy("column").agg(F.max("n").alias("n")).collect()}  # one row per column
+    fill_stats = pref.agg(*stats_aggs[1:]).collect()[0].asDict() if fill else {}
+    plan: dict[str, list[tuple]] = {}
+    wanted: dict[str, set[int]] = {}
+    for c in cols:
+        n = int(per_col[c]["n"]) if c in per_col else 0
+        m, k = fill.get(c, (None, 0))
+        k = int(k) if m is not None else 0
+        below = int(fill_stats.get(f"{c}__below") or 0)
+        eq = int(fill_stats.get(f"{c}__eq") or 0)
+        total = n + k
+        entries = []
+        for q in probs:
+            if total == 0:
+                entries.append(None)
+                continue
+            pos = (total - 1) * float(q)
+            lo = int(math.floor(pos))
+            hi = min(lo + 1, total - 1)
+
+            def where(r: int):
+                if k and below <= r < below + eq + k:
+                    return ("fill", m)
+                return ("rank", r - k if (k and r >= below + eq + k) else r)
+
+            entries.append((where(lo), where(hi), pos - lo))
+            for w in (where(lo), where(hi)):
+                if w[0] == "rank":
+                    wanted.setdefault(c, set()).add(w[1])
+        plan[c] = entries
+    values: dict[tuple[str, int], float] = {}
+    if wanted:
+        cond = F.lit(False)
+        for c, ranks in wanted.items():
+            for r in ranks:
+                cond = cond | ((F.col("column") == c) & _covers(F.lit(r)))
+        for row in pref.where(cond).select("column", "v", "b", "cnt").collect():  # <= 2 rows per (column, prob)
+            for r in wanted.get(row["column"], ()):
+                if row["b"] <= r < row["b"] + row["cnt"]:
+                    values[(row["column"], r)] = row["v"]
+    out: dict[str, list[float | None]] = {}
+    for c in cols:
+        res = []
+        for e in plan[c]:
+            if e is None:
+                res.append(None)
+                continue
+            (k1, a), (k2, b), frac = e
+            v_lo = a if k1 == "fill" else values[(c, a)]
+            v_hi = b if k2 == "fill" else values[(c, b)]
+            res.append(v_lo + (v_hi - v_lo) * frac)
+        out[c] = res
+    return out
+
+
 def map_quantiles(df: DataFrame, col: str, probs: Sequence[float], prefix: str = "q") -> DataFrame:
     """Exact quantiles with Spark's ``percentile`` (value->count map per group).
 

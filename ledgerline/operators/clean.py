@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DecimalType, NumericType, StringType
 
 from ..functions.dates import DATE_PATTERNS, parse_with
-from ..functions.ranking import exact_quantiles
+from ..functions.ranking import quantiles_from_prefix, value_prefix
 from ..session import cut_lineage
 
 # fixed values of the original cleaning rules
@@ -106,14 +106,6 @@ class Cleaned:
     report: DataFrame
 
 
-def _quantile_map(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[Optional[float]]]:
-    if not cols:
-        return {}
-    rows = exact_quantiles(df, cols, probs).collect()  # one row per column
-    got = {r["column"]: [r[f"q_{i}"] for i in range(len(probs))] for r in rows}
-    return {c: got.get(c, [None] * len(probs)) for c in cols}
-
-
 def clean(df: DataFrame) -> Cleaned:
     """Dedupe, median-fill numbers, 'Unknown'-fill strings, cap at Q1-3·IQR / Q3+3·IQR.
 
@@ -122,7 +114,11 @@ def clean(df: DataFrame) -> Cleaned:
     num = numeric_columns(df)
     txt = string_columns(df)
     deduped = cut_lineage(dedupe(df))
-    med = _quantile_map(deduped, num, [0.5])
+    # one distributed value histogram + prefix serves both the medians and the quartiles of
+    # the imputed columns (imputation only adds the NULL count as copies of the median)
+    pref = value_prefix(deduped, num) if num else None
+    nulls = deduped.agg(*[(F.count(F.lit(1)) - F.count(F.col(c))).alias(c) for c in num]).collect()[0].asDict() if num else {}
+    med = quantiles_from_prefix(pref, num, [0.5]) if num else {}
 
     def fill_num(c: str) -> Column:
         m = med[c][0]
@@ -134,7 +130,8 @@ def clean(df: DataFrame) -> Cleaned:
 
     imputed = deduped.select(*[fill_num(c) if c in num else F.col(c) for c in deduped.columns])
     filled = imputed.select(*[fill_txt(c) if c in txt else F.col(c) for c in imputed.columns])
-    quart = _quantile_map(imputed, num, [0.25, 0.75])
+    fill = {c: (med[c][0], nulls[c]) for c in num if med[c][0] is not None and nulls[c]}
+    quart = quantiles_from_prefix(pref, num, [0.25, 0.75], fill) if num else {}
     bounds = {}
     for c in num:
         q1, q3 = quart[c]

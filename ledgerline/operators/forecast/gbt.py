@@ -139,7 +139,9 @@ def gbt_forecast(
     irec = imp_df.select(*[F.lit(None).cast(ts.schema[c].dataType).alias(c) for c in s],
                          F.lit("xgboost").alias("model"), F.lit("importance").alias("record"), "feature", "importance")
     irec = irec.select(*s, *[F.col(c) if c in irec.columns else F.lit(None).cast(_type(c)).alias(c) for c in RECORD_COLS])
-    return ForecastResult(recs.unionByName(irec), s)
+    out = ForecastResult(recs.unionByName(irec), s)
+    out.model = model  # the fitted Spark ML model, for saving (A12)
+    return out
 
 
 def _type(c: str) -> str:

@@ -57,6 +57,7 @@ class ForecastResult:
 
     records: DataFrame
     series_cols: list[str]
+    model: object = None
 
     @property
     def points(self) -> DataFrame:

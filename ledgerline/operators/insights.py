@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .seasonal import arg_best, weekday_name_means
+from ..functions.dates import day_name
+from .seasonal import arg_best
 from .series import rollup
 
 # ---- fixed values: insight rule texts and thresholds of the original application ----------
@@ -33,9 +34,12 @@ def _fmt(x: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", F.round(x.try_cast("decimal(38,10)"), digits).cast("double"))
 
 
-def monthly_facts(df: DataFrame, date_col: str, target_col: str) -> DataFrame:
-    """One row: month-over-month growth (zero-filled months) and the Q4/Q3 position means."""
-    m = rollup(df, date_col, target_col, "M")
+def monthly_facts(daily: DataFrame) -> DataFrame:
+    """One row: month-over-month growth (zero-filled months) and the Q4/Q3 position means.
+
+    Month totals are re-aggregated from the gap-filled daily series, so the source table is
+    rolled up once for all rules."""
+    m = rollup(daily, "ds", "y", "M")
     w = Window.orderBy("ds")  # one row per month
     m = m.select("y", F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
     return m.agg(
@@ -47,22 +51,27 @@ def monthly_facts(df: DataFrame, date_col: str, target_col: str) -> DataFrame:
     )
 
 
-def day_facts(df: DataFrame, date_col: str, target_col: str) -> DataFrame:
+def day_facts(daily: DataFrame) -> DataFrame:
     """One row: best and worst weekday by daily mean (ties alphabetical, F7)."""
-    prof = weekday_name_means(df, date_col, target_col)
+    prof = daily.groupBy(day_name("ds").alias("day_name")).agg(F.avg("y").alias("avg_value"))
     best = arg_best(prof, "day_name", "avg_value").select(F.col("day_name").alias("best_day"), F.lit(None).cast("string").alias("worst_day"))
     worst = arg_best(prof, "day_name", "avg_value", lowest=True).select(F.lit(None).cast("string").alias("best_day"), F.col("day_name").alias("worst_day"))
     return best.unionByName(worst).agg(F.max("best_day").alias("best_day"), F.max("worst_day").alias("worst_day"))
 
 
 def insights(df: DataFrame, date_col: str, target_col: str, metrics: DataFrame) -> DataFrame:
-    """Ordered insight texts (ordinal, insight).
+    """Ordered insight texts (ordinal, insight) from a sales table."""
+    return insights_from_daily(rollup(df, date_col, target_col, "D"), metrics)
+
+
+def insights_from_daily(daily: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Ordered insight texts (ordinal, insight) from a gap-filled daily series (ds, y).
 
     ``metrics`` is a one-row DataFrame with ``r2`` and ``mape`` (e.g. from ``metrics.evaluate``).
     """
     parts = [
-        monthly_facts(df, date_col, target_col),
-        day_facts(df, date_col, target_col),
+        monthly_facts(daily),
+        day_facts(daily),
         metrics.select("r2", "mape"),
     ]  # each holds exactly one row; fold them into one row without a join
     u = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)

@@ -102,3 +102,16 @@ def test_isolation_forest_finds_spikes(spark):
     assert abs(out.is_anomaly.mean() - 0.05) < 0.01
     assert out.loc[spikes[0], "description"].startswith("Unusually high sales: 5000")
     assert avg_path(256) == pytest.approx(2 * (np.log(255) + 0.5772156649) - 2 * 255 / 256)
+
+
+def test_report_views(spark):
+    from ledgerline.operators.forecast import views
+
+    res = ridge_forecast(Q.daily(spark, SF_SMALL), (), 10)
+    sd = views.split_dates(res.points).first()
+    assert sd.split_date == res.points.where("is_future").agg(F.min("date")).first()[0]
+    ch = views.chart_points(res.points).where("is_future").first()
+    assert ch.confidence == [ch.lower, ch.upper]
+    rel = views.relative_importance(res.importances).collect()
+    assert len(rel) == 8 and max(r.pct_of_max for r in rel) == 100.0
+    assert views.r2_band(res.metrics).first().r2_band in {"good", "fair", "poor"}
