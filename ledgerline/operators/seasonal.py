@@ -64,3 +64,10 @@ def peak_periods(df: DataFrame, date_col: str, target_col: str, source: str = "d
 
 def rounded(profile: DataFrame, value: str = "avg_value", digits: int = 2) -> DataFrame:
     return profile.withColumn(value, round_to(value, digits))
+
+
+def as_map(profile: DataFrame, key: str, value: str, series_cols: Sequence[str] = ()) -> DataFrame:
+    """Name -> value map per series (H19); profiles hold at most 12 or 7 keys per series."""
+    return profile.groupBy(*series_cols).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key).cast("string"), F.col(value))))).alias("values")
+    )

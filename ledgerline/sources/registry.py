@@ -161,9 +161,20 @@ def runs_with_dataset(spark: SparkSession, root: Optional[str] = None) -> DataFr
     return _table(spark, "runs", root).join(ds, "dataset_id", "left")
 
 
-def record_comparison(spark: SparkSession, metrics_rows: list[dict], root: Optional[str] = None) -> None:
-    """Per-model comparison rows with the best model (A10)."""
-    _append(spark, "comparisons", metrics_rows, root)
+def record_comparison(comparison: DataFrame, dataset_id: str, root: Optional[str] = None) -> str:
+    """Append the per-model rows of ``compare_models`` with their best model (A10).
+
+    Written straight from the DataFrame (series x models rows), never through the driver."""
+    spark = comparison.sparkSession
+    cid = uuid.uuid4().hex[:12]
+    cols = [f.split()[0] for f in _COMPARISON_SCHEMA.split(", ")]
+    out = comparison.select(
+        F.lit(cid).alias("comparison_id"), F.lit(dataset_id).alias("dataset_id"),
+        *[F.col(c) for c in ("model", "status", "mae", "rmse", "r2", "mape", "error", "best_model")],
+        F.lit(_now()).cast("timestamp_ntz").alias("created_at"),
+    ).select(*cols)
+    out.write.mode("append").parquet(f"{store_root(spark, root)}/comparisons")
+    return cid
 
 
 def comparisons(spark: SparkSession, root: Optional[str] = None) -> DataFrame:
