@@ -32,15 +32,16 @@ def weighted_prefix(df: DataFrame, order_cols: Sequence[Column | str], weight: s
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = df.columns
     tagged = cut_lineage(df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id()))
-    w_in = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    within = tagged.select("*", F.coalesce(F.sum(weight).over(w_in), F.lit(0)).alias("_in"))
+    w_in = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = tagged.select("*", (F.sum(weight).over(w_in) - F.col(weight)).alias("_in"))
     totals = sorted((r["_pid"], int(r["t"])) for r in tagged.groupBy("_pid").agg(F.sum(weight).alias("t")).collect())
-    offsets, acc = [], 0
+    rows, acc = [], 0
     for pid, t in totals:
-        offsets += [F.lit(pid), F.lit(acc)]
+        rows.append((pid, acc))
         acc += t
-    off = F.element_at(F.create_map(*offsets), F.col("_pid")) if offsets else F.lit(0)
-    return within.select(*cols, (off + F.col("_in")).alias(name))
+    # one row per partition: bounded by the partition count, safe to broadcast
+    offsets = spark.createDataFrame(rows or [(0, 0)], "_pid int, _off long")
+    return within.join(F.broadcast(offsets), "_pid").select(*cols, (F.col("_off") + F.col("_in")).alias(name))
 
 
 def global_index(df: DataFrame, order_cols: Sequence[Column | str], name: str = "rn") -> DataFrame:
@@ -63,23 +64,22 @@ def value_prefix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     stack = ", ".join(f"{i}, cast(`{c}` as double)" for i, c in enumerate(cols))
     long = df.selectExpr(f"stack({len(cols)}, {stack}) as (col_id, v)").where(F.col("v").isNotNull())
     hist = long.groupBy("col_id", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    # read by several small lookups: keep it (recomputable from the reliable checkpoint inside)
-    pref = weighted_prefix(hist, ["col_id", "v"], "cnt", "_before").persist(StorageLevel.MEMORY_AND_DISK)
-    totals = sorted((r["col_id"], int(r["n"])) for r in pref.groupBy("col_id").agg(F.sum("cnt").alias("n")).collect())
-    name, coff, nmap, acc = [], [], [], 0  # one entry per column
+    pref = weighted_prefix(hist, ["col_id", "v"], "cnt", "_before")
+    spark = df.sparkSession
+    # non-null count per column from a plain scan (no second pass over the histogram)
+    counts = df.agg(*[F.count(F.col(c)).alias(f"_{i}") for i, c in enumerate(cols)]).collect()[0] if cols else []
+    rows, acc = [], 0
     for i, c in enumerate(cols):
-        name += [F.lit(i), F.lit(c)]
-    for i, n in totals:
-        coff += [F.lit(i), F.lit(acc)]
-        nmap += [F.lit(i), F.lit(n)]
+        n = int(counts[f"_{i}"])
+        rows.append((i, c, acc, n))
         acc += n
-    if not totals:
-        return pref.select(F.lit(None).cast("string").alias("column"), "v", "cnt", F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("n")).where("false")
-    return pref.select(
-        F.element_at(F.create_map(*name), F.col("col_id")).alias("column"), "v", "cnt",
-        (F.col("_before") - F.element_at(F.create_map(*coff), F.col("col_id"))).alias("b"),
-        F.element_at(F.create_map(*nmap), F.col("col_id")).alias("n"),
+    # one row per column, broadcast
+    meta = spark.createDataFrame(rows or [(0, cols[0] if cols else "", 0, 0)], "col_id int, column string, _coff long, n long")
+    out = pref.join(F.broadcast(meta), "col_id").select(
+        "column", "v", "cnt", (F.col("_before") - F.col("_coff")).alias("b"), "n"
     )
+    # read by a few small lookups: materialise once (recomputable from the reliable checkpoint)
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _covers(r: Column) -> Column:
