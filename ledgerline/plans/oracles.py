@@ -387,3 +387,7 @@ SELECT 'sales' AS name, CAST(count(*) AS BIGINT) AS row_count, CAST(12 AS BIGINT
 
 ORACLES["csv_roundtrip"] = "WITH " + dirty_sales_oracle_cte() + """
 SELECT CAST(date AS VARCHAR) AS date, product_id, category, region, customer_id, quantity, unit_price, revenue FROM dirty"""
+
+ORACLES["recent_sales"] = with_sales("""
+SELECT date, product_id, customer_id, quantity, CAST(revenue AS DOUBLE) AS revenue FROM sales
+WHERE date >= (SELECT max(date) FROM sales) - INTERVAL 90 DAY""")

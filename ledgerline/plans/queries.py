@@ -452,3 +452,10 @@ def forecast_store_roundtrip(spark, d):
     reg.write_forecast(res.points, job)
     reg.record_run(spark, {"job_id": job, "model_type": "linear", "status": "completed", "horizon": 30})
     return reg.read_forecast(spark, job).drop("job_id")
+
+
+@register
+def recent_sales(spark, d):
+    cols = ["date", "product_id", "customer_id", "quantity", "revenue"]
+    r = inv.recent_window(S(spark, d, cols), "date", 90)
+    return r.select(*[F.col(c).cast("double").alias(c) if c == "revenue" else F.col(c) for c in cols])
