@@ -186,3 +186,62 @@ def map_quantiles(df: DataFrame, col: str, probs: Sequence[float], prefix: str =
     arr = F.percentile(F.col(col).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
     one = df.agg(arr.alias("_q"))
     return one.select(*[F.col("_q")[i].alias(f"{prefix}_{i}") for i in range(len(probs))])
+
+
+# Columns with at most this many distinct values get their exact quantiles from Spark's
+# ``percentile`` aggregate, whose final merge holds one (value, count) entry per distinct value
+# in one task: the size check bounds that task's memory. Larger columns take the distributed
+# histogram + prefix path above.
+MAP_QUANTILE_MAX_DISTINCT = 1_000_000
+_RSD = 0.05
+
+
+def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, int]]:
+    """Rows, non-null count, NULL count and approximate distinct count per column, one pass."""
+    if not cols:
+        return {}
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for i, c in enumerate(cols):
+        aggs += [F.count(F.col(c)).alias(f"n{i}"), F.approx_count_distinct(F.col(c), _RSD).alias(f"d{i}")]
+    r = df.agg(*aggs).collect()[0]
+    rows = int(r["__rows"])
+    return {c: {"n": int(r[f"n{i}"]), "nulls": rows - int(r[f"n{i}"]), "distinct": int(r[f"d{i}"])} for i, c in enumerate(cols)}
+
+
+def small_domain(stats: dict[str, dict[str, int]]) -> set[str]:
+    """Columns whose distinct count is safely under the map-quantile bound."""
+    bound = MAP_QUANTILE_MAX_DISTINCT / (1 + 3 * _RSD)
+    return {c for c, s in stats.items() if s["distinct"] <= bound}
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], stats: dict | None = None,
+              fill: dict[str, tuple[float, int]] | None = None, _pref: dict | None = None) -> dict[str, list[float | None]]:
+    """Exact quantiles per column (dict), choosing the path per column by its distinct count.
+
+    ``fill`` adds k copies of a value per column (median imputation) before taking quantiles.
+    ``_pref`` caches the prefix table between calls on the same input.
+    """
+    cols = list(cols)
+    stats = stats if stats is not None else column_stats(df, cols)
+    small = [c for c in cols if c in small_domain(stats)]
+    large = [c for c in cols if c not in small]
+    fill = fill or {}
+    out: dict[str, list[float | None]] = {}
+    if small:
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        exprs = []
+        for i, c in enumerate(small):
+            v = F.col(c).cast("double")
+            if c in fill:
+                v = F.coalesce(v, F.lit(float(fill[c][0])))
+            exprs.append(F.percentile(v, arr).alias(f"q{i}"))
+        r = df.agg(*exprs).collect()[0]
+        for i, c in enumerate(small):
+            out[c] = list(r[f"q{i}"]) if r[f"q{i}"] is not None else [None] * len(probs)
+    if large:
+        cache = _pref if _pref is not None else {}
+        key = tuple(large)
+        if key not in cache:
+            cache[key] = value_prefix(df, large)
+        out.update(quantiles_from_prefix(cache[key], large, probs, {c: f for c, f in fill.items() if c in large}))
+    return out

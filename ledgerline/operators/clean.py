@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DecimalType, NumericType, StringType
 
 from ..functions.dates import DATE_PATTERNS, parse_with
-from ..functions.ranking import quantiles_from_prefix, value_prefix
+from ..functions.ranking import column_stats, quantiles
 from ..session import cut_lineage
 
 # fixed values of the original cleaning rules
@@ -114,11 +114,13 @@ def clean(df: DataFrame) -> Cleaned:
     num = numeric_columns(df)
     txt = string_columns(df)
     deduped = cut_lineage(dedupe(df))
-    # one distributed value histogram + prefix serves both the medians and the quartiles of
-    # the imputed columns (imputation only adds the NULL count as copies of the median)
-    pref = value_prefix(deduped, num) if num else None
-    nulls = deduped.agg(*[(F.count(F.lit(1)) - F.count(F.col(c))).alias(c) for c in num]).collect()[0].asDict() if num else {}
-    med = quantiles_from_prefix(pref, num, [0.5]) if num else {}
+    # one pass: counts and approximate distinct counts pick each column's exact-quantile path;
+    # for large columns one distributed histogram + prefix serves both the medians and the
+    # quartiles of the imputed column (imputation only adds the NULL count as median copies)
+    stats = column_stats(deduped, num)
+    nulls = {c: stats[c]["nulls"] for c in num}
+    cache: dict = {}
+    med = quantiles(deduped, num, [0.5], stats, _pref=cache)
 
     def fill_num(c: str) -> Column:
         m = med[c][0]
@@ -131,7 +133,7 @@ def clean(df: DataFrame) -> Cleaned:
     imputed = deduped.select(*[fill_num(c) if c in num else F.col(c) for c in deduped.columns])
     filled = imputed.select(*[fill_txt(c) if c in txt else F.col(c) for c in imputed.columns])
     fill = {c: (med[c][0], nulls[c]) for c in num if med[c][0] is not None and nulls[c]}
-    quart = quantiles_from_prefix(pref, num, [0.25, 0.75], fill) if num else {}
+    quart = quantiles(deduped, num, [0.25, 0.75], stats, fill, _pref=cache)
     bounds = {}
     for c in num:
         q1, q3 = quart[c]

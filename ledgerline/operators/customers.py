@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_to
-from ..functions.ranking import exact_quantiles, global_index, map_quantiles
+from ..functions.ranking import global_index, quantiles
 from ..session import cut_lineage
 from .series import as_date
 
@@ -59,10 +59,10 @@ def _score(v: Column, edges: list[Column], ascending: bool) -> Column:
 def rfm_scores(base: DataFrame) -> DataFrame:
     """R, F, M quartile scores, total and segment per customer."""
     base = cut_lineage(base)  # read once; every later step reads the checkpoint
-    rq = map_quantiles(base, "recency", QUARTILES, "r")  # recency: bounded domain (days)
-    mq = exact_quantiles(base, ["monetary"], QUARTILES, "m")  # monetary: any cardinality
-    redges = [rq.select(f"r_{i}").scalar() for i in range(3)]
-    medges = [mq.select(f"m_{i}").scalar() for i in range(3)]
+    # exact quartile edges; the path per column follows its distinct count (see ranking.quantiles)
+    q = quantiles(base, ["recency", "monetary"], QUARTILES)
+    redges = [F.lit(v) for v in q["recency"]]
+    medges = [F.lit(v) for v in q["monetary"]]
     # F: quartiles of rank(method="first") = row number by (frequency, customer)
     ranked = global_index(base, ["frequency", "customer"], "f_rank")
     n = base.select(F.count(F.lit(1))).scalar()

@@ -7,7 +7,7 @@ from typing import Optional, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import exact_quantiles
+from ..functions.ranking import quantiles
 from .clean import numeric_columns, string_columns
 from .series import as_date
 
@@ -23,9 +23,10 @@ def numeric_profile(df: DataFrame, cols: Optional[Sequence[str]] = None) -> Data
     stats = _long(df, cols, "double").groupBy("column").agg(
         F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
     )  # partial aggregation: one row per (task, column) crosses the shuffle
-    med = exact_quantiles(df, cols, [0.5]).select("column", F.col("q_0").alias("median"))
-    # both sides hold one row per column
-    return stats.join(med, "column", "left").select("column", "mean", "median", "std", "min", "max")
+    got = quantiles(df, cols, [0.5])
+    med = df.sparkSession.createDataFrame([(c, got[c][0]) for c in cols], "column string, median double")
+    # one row per column on each side
+    return stats.join(F.broadcast(med), "column", "left").select("column", "mean", "median", "std", "min", "max")
 
 
 def categorical_profile(df: DataFrame, cols: Optional[Sequence[str]] = None, k: int = 5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF_ORACLE, SF_SMALL
@@ -76,3 +78,27 @@ def test_rfm_segments_add_up(spark):
     base = cust.rfm_base(sales(spark, SF_SMALL, ["date", "customer_id", "revenue"]), "date", "customer_id", "revenue")
     seg = cust.segment_counts(cust.rfm_scores(base)).first()
     assert seg.champions + seg.loyal_customers + seg.at_risk + seg.churned == seg.total_customers == base.count()
+
+
+def test_quantile_paths_agree(spark, monkeypatch):
+    """The map path (small domains) and the distributed prefix path give the same quantiles."""
+    from ledgerline.functions import ranking
+
+    df = dirty_sales(spark, SF_SMALL)
+    cols = ["quantity", "unit_price", "revenue", "customer_id"]
+    stats = ranking.column_stats(df, cols)
+    med = ranking.quantiles(df, cols, [0.5], stats)
+    fill = {c: (med[c][0], stats[c]["nulls"]) for c in cols if stats[c]["nulls"]}
+    a = ranking.quantiles(df, cols, [0.1, 0.25, 0.75, 0.9], stats, fill)
+    monkeypatch.setattr(ranking, "MAP_QUANTILE_MAX_DISTINCT", 0)
+    assert ranking.small_domain(stats) == set()
+    b = ranking.quantiles(df, cols, [0.1, 0.25, 0.75, 0.9], stats, fill)
+    for c in cols:
+        assert a[c] == pytest.approx(b[c], rel=1e-12, abs=1e-9), c
+    cleaned_large = sorted(map(tuple, cln.clean(df).cleaned.collect()), key=str)
+    monkeypatch.setattr(ranking, "MAP_QUANTILE_MAX_DISTINCT", 1_000_000)
+    cleaned_small = sorted(map(tuple, cln.clean(df).cleaned.collect()), key=str)
+    assert len(cleaned_large) == len(cleaned_small)
+    for x, y in zip(cleaned_large, cleaned_small):
+        assert x[0] == y[0] and x[2:4] == y[2:4]
+        assert [float(v) for v in (x[1], *x[4:])] == pytest.approx([float(v) for v in (y[1], *y[4:])], rel=1e-12)
