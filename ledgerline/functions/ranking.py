@@ -3,9 +3,10 @@
 ``weighted_prefix`` computes running totals over a global order without pulling rows into
 one task: range-partition, a reliable checkpoint (fixes the partition assignment), running
 sums inside each partition, one total per partition, offsets added per row.
-``global_index`` is its unit-weight case. ``value_prefix`` / ``exact_quantiles`` apply it to
-the per-value histogram, so quantiles read two order statistics instead of sorting all rows
-in one task.
+``global_index`` is its unit-weight case (exact ranks with ties broken by a key).
+``quantiles`` gives exact quantiles: Spark's ``percentile`` for columns whose distinct count is
+under a checked bound, otherwise ``order_statistics`` (sketch, verify, collect a bounded
+bracket) — no single task ever holds all values.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,143 +51,6 @@ def global_index(df: DataFrame, order_cols: Sequence[Column | str], name: str =
     return pref.select(*cols, (F.col("_b") + 1).alias(name))
 
 
-def value_prefix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Checkpointed table (column, v, cnt, b, n) over the non-null values of ``cols``:
-    ``cnt`` rows hold value ``v``; ``b`` rows of the same column sort before it; ``n`` is the
-    column's non-null count. Rank r (0-based) of a column holds v where b <= r < b + cnt.
-
-    Plan: unpivot -> count per distinct value (partial aggregation, so a value held by a third
-    of all rows is one row per task) -> global weighted prefix over (column, v).
-    """
-    cols = list(cols)
-    # unpivot keyed by the column's position (an int sorts and hashes cheaper than its name)
-    stack = ", ".join(f"{i}, cast(`{c}` as double)" for i, c in enumerate(cols))
-    long = df.selectExpr(f"stack({len(cols)}, {stack}) as (col_id, v)").where(F.col("v").isNotNull())
-    hist = long.groupBy("col_id", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    pref = weighted_prefix(hist, ["col_id", "v"], "cnt", "_before")
-    spark = df.sparkSession
-    # non-null count per column from a plain scan (no second pass over the histogram)
-    counts = df.agg(*[F.count(F.col(c)).alias(f"_{i}") for i, c in enumerate(cols)]).collect()[0] if cols else []
-    rows, acc = [], 0
-    for i, c in enumerate(cols):
-        n = int(counts[f"_{i}"])
-        rows.append((i, c, acc, n))
-        acc += n
-    # one row per column, broadcast
-    meta = spark.createDataFrame(rows or [(0, cols[0] if cols else "", 0, 0)], "col_id int, column string, _coff long, n long")
-    out = pref.join(F.broadcast(meta), "col_id").select(
-        "column", "v", "cnt", (F.col("_before") - F.col("_coff")).alias("b"), "n"
-    )
-    # read by a few small lookups: materialise once (recomputable from the reliable checkpoint)
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def _covers(r: Column) -> Column:
-    return (F.col("b") <= r) & (r < F.col("b") + F.col("cnt"))
-
-
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], prefix: str = "q") -> DataFrame:
-    """Exact linear-interpolated quantiles of several columns in one distributed pass.
-
-    Output: one row per column: ``column``, ``n`` (non-null count), ``{prefix}_{i}`` per
-    probability. Same definition as Spark ``percentile`` / numpy ``linear``.
-    """
-    p = value_prefix(df, cols)
-    need = F.lit(False)
-    aggs = []
-    for i, q in enumerate(probs):
-        pos = (F.col("n") - 1) * F.lit(float(q))
-        lo = F.floor(pos)
-        hi = F.least(lo + 1, F.col("n") - 1)
-        need = need | _covers(lo) | _covers(hi)
-        frac = F.max(pos - lo)
-        v_lo = F.max(F.when(_covers(lo), F.col("v")))
-        v_hi = F.max(F.when(_covers(hi), F.col("v")))
-        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(f"{prefix}_{i}"))
-    return p.where(need).groupBy("column").agg(F.max("n").alias("n"), *aggs)
-
-
-def quantiles_from_prefix(
-    pref: DataFrame, cols: Sequence[str], probs: Sequence[float], fill: dict[str, tuple[float, int]] | None = None
-) -> dict[str, list[float | None]]:
-    """Quantiles per column from a ``value_prefix`` table, optionally after adding ``k`` copies
-    of a value ``m`` per column (``fill[c] = (m, k)``, e.g. a median imputation of k NULLs).
-
-    With the fill, the sorted column is: values < m, then every value == m plus the k copies,
-    then values > m shifted by k ranks, so every needed rank maps back to an original rank or
-    to m. Two small aggregations over the prefix table; results are tiny (per column/prob).
-    """
-    fill = fill or {}
-    stats_aggs = [F.max("n").alias("n")]
-    for c, (m, _) in fill.items():
-        stats_aggs += [
-            F.sum(F.when((F.col("column") == c) & (F.col("v") < F.lit(m)), F.col("cnt")).otherwise(0)).alias(f"{c}__below"),
-            F.sum(F.when((F.col("column") == c) & (F.col("v") == F.lit(m)), F.col("cnt")).otherwise(0)).alias(f"{c}__eq"),
-        ]
-    per_col = {r["column"]: r for r in pref.groupBy("column").agg(F.max("n").alias("n")).collect()}  # one row per column
-    fill_stats = pref.agg(*stats_aggs[1:]).collect()[0].asDict() if fill else {}
-    plan: dict[str, list[tuple]] = {}
-    wanted: dict[str, set[int]] = {}
-    for c in cols:
-        n = int(per_col[c]["n"]) if c in per_col else 0
-        m, k = fill.get(c, (None, 0))
-        k = int(k) if m is not None else 0
-        below = int(fill_stats.get(f"{c}__below") or 0)
-        eq = int(fill_stats.get(f"{c}__eq") or 0)
-        total = n + k
-        entries = []
-        for q in probs:
-            if total == 0:
-                entries.append(None)
-                continue
-            pos = (total - 1) * float(q)
-            lo = int(math.floor(pos))
-            hi = min(lo + 1, total - 1)
-
-            def where(r: int):
-                if k and below <= r < below + eq + k:
-                    return ("fill", m)
-                return ("rank", r - k if (k and r >= below + eq + k) else r)
-
-            entries.append((where(lo), where(hi), pos - lo))
-            for w in (where(lo), where(hi)):
-                if w[0] == "rank":
-                    wanted.setdefault(c, set()).add(w[1])
-        plan[c] = entries
-    values: dict[tuple[str, int], float] = {}
-    if wanted:
-        cond = F.lit(False)
-        for c, ranks in wanted.items():
-            for r in ranks:
-                cond = cond | ((F.col("column") == c) & _covers(F.lit(r)))
-        for row in pref.where(cond).select("column", "v", "b", "cnt").collect():  # <= 2 rows per (column, prob)
-            for r in wanted.get(row["column"], ()):
-                if row["b"] <= r < row["b"] + row["cnt"]:
-                    values[(row["column"], r)] = row["v"]
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        res = []
-        for e in plan[c]:
-            if e is None:
-                res.append(None)
-                continue
-            (k1, a), (k2, b), frac = e
-            v_lo = a if k1 == "fill" else values[(c, a)]
-            v_hi = b if k2 == "fill" else values[(c, b)]
-            res.append(v_lo + (v_hi - v_lo) * frac)
-        out[c] = res
-    return out
-
-
-def map_quantiles(df: DataFrame, col: str, probs: Sequence[float], prefix: str = "q") -> DataFrame:
-    """Exact quantiles with Spark's ``percentile`` (value->count map per group).
-
-    Right for columns with a bounded number of distinct values (days, counts)."""
-    arr = F.percentile(F.col(col).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
-    one = df.agg(arr.alias("_q"))
-    return one.select(*[F.col("_q")[i].alias(f"{prefix}_{i}") for i in range(len(probs))])
-
-
 # Columns with at most this many distinct values get their exact quantiles from Spark's
 # ``percentile`` aggregate, whose final merge holds one (value, count) entry per distinct value
 # in one task: the size check bounds that task's memory. Larger columns take the distributed
@@ -214,12 +77,104 @@ def small_domain(stats: dict[str, dict[str, int]]) -> set[str]:
     return {c for c, s in stats.items() if s["distinct"] <= bound}
 
 
+SKETCH_ACCURACY = 10_000  # rank error of the sketch <= n / accuracy
+BRACKET_MAX_DISTINCT = 200_000  # distinct values collected per bracket (bounded driver data)
+MAX_ROUNDS = 8
+
+
+def order_statistics(df: DataFrame, targets: dict[str, list[int]], ns: dict[str, int]) -> dict[tuple[str, int], float]:
+    """Exact values at 0-based ranks among the non-null values of each column, without a sort.
+
+    Approximate-then-exact: a ``percentile_approx`` sketch brackets every wanted rank; one
+    counting pass checks each bracket exactly (rows below it, rows and distinct values inside);
+    brackets that still hold too many distinct values are narrowed by another sketch over the
+    bracket only; finally the (value, count) pairs inside every bracket — at most
+    ``BRACKET_MAX_DISTINCT`` each — are collected and the exact rank is read off. Each round is
+    a single aggregation pass; nothing is shuffled beyond tiny aggregates.
+    """
+    ts = [(c, r) for c, rs in targets.items() for r in sorted(set(rs))]
+    lo: dict = {t: None for t in ts}  # None = unbounded
+    hi: dict = {t: None for t in ts}
+    below = {t: 0 for t in ts}
+    inside = {t: ns[t[0]] for t in ts}
+    ready: set = set()
+
+    def in_bracket(t):
+        c = F.col(t[0]).cast("double")
+        cond = c.isNotNull()
+        if lo[t] is not None:
+            cond = cond & (c >= F.lit(lo[t]))
+        if hi[t] is not None:
+            cond = cond & (c <= F.lit(hi[t]))
+        return cond
+
+    for _ in range(MAX_ROUNDS):
+        todo = [t for t in ts if t not in ready]
+        if not todo:
+            break
+        # sketch pass: narrow each open bracket around its rank
+        margin = 3.0 / SKETCH_ACCURACY
+        sk = []
+        for i, t in enumerate(todo):
+            m = max(inside[t], 1)
+            q = (t[1] - below[t] + 0.5) / m
+            probs = F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin)))
+            v = F.when(in_bracket(t), F.col(t[0]).cast("double"))
+            sk.append(F.percentile_approx(v, probs, SKETCH_ACCURACY).alias(f"s{i}"))
+        row = df.agg(*sk).collect()[0]
+        for i, t in enumerate(todo):
+            got = row[f"s{i}"]
+            if got is not None:
+                lo[t], hi[t] = float(got[0]), float(got[1])
+        # counting pass: exact position of each bracket
+        cnt = []
+        for i, t in enumerate(todo):
+            c = F.col(t[0]).cast("double")
+            cnt += [
+                F.count_if(c < F.lit(lo[t])).alias(f"b{i}"),
+                F.count_if(in_bracket(t)).alias(f"n{i}"),
+                F.approx_count_distinct(F.when(in_bracket(t), c), 0.05).alias(f"d{i}"),
+            ]
+        row = df.agg(*cnt).collect()[0]
+        for i, t in enumerate(todo):
+            b, n, dcount = int(row[f"b{i}"]), int(row[f"n{i}"]), int(row[f"d{i}"])
+            if not (b <= t[1] < b + n):  # the sketch missed: reopen the bracket
+                lo[t], hi[t], below[t], inside[t] = None, None, 0, ns[t[0]]
+                continue
+            below[t], inside[t] = b, n
+            if dcount <= BRACKET_MAX_DISTINCT / 1.15 or lo[t] == hi[t]:
+                ready.add(t)
+    else:
+        raise RuntimeError("order statistics did not converge")
+    # collection pass: (target, value, count) inside every bracket, bounded per bracket
+    parts = []
+    for i, t in enumerate(ts):
+        parts.append(df.where(in_bracket(t)).select(F.lit(i).alias("t"), F.col(t[0]).cast("double").alias("v")))
+    u = parts[0]
+    for p_ in parts[1:]:
+        u = u.unionByName(p_)
+    hist: dict[int, list] = {}
+    for r in u.groupBy("t", "v").agg(F.count(F.lit(1)).alias("k")).collect():
+        hist.setdefault(r["t"], []).append((r["v"], int(r["k"])))
+    out = {}
+    for i, t in enumerate(ts):
+        pos = below[t]
+        for v, k in sorted(hist.get(i, [])):
+            if pos <= t[1] < pos + k:
+                out[t] = v
+                break
+            pos += k
+    return out
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], stats: dict | None = None,
-              fill: dict[str, tuple[float, int]] | None = None, _pref: dict | None = None) -> dict[str, list[float | None]]:
-    """Exact quantiles per column (dict), choosing the path per column by its distinct count.
+              fill: dict[str, tuple[float, int]] | None = None) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles per column (dict), numpy ``linear`` definition.
 
-    ``fill`` adds k copies of a value per column (median imputation) before taking quantiles.
-    ``_pref`` caches the prefix table between calls on the same input.
+    Small-domain columns use Spark's ``percentile``; the others use ``order_statistics``.
+    ``fill`` adds k copies of a value m per column (median imputation of k NULLs) first: the
+    sorted column is then values < m, every value == m plus the k copies, values > m shifted by
+    k, so each needed rank maps back to an original rank or to m.
     """
     cols = list(cols)
     stats = stats if stats is not None else column_stats(df, cols)
@@ -238,10 +193,54 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], stats:
         r = df.agg(*exprs).collect()[0]
         for i, c in enumerate(small):
             out[c] = list(r[f"q{i}"]) if r[f"q{i}"] is not None else [None] * len(probs)
-    if large:
-        cache = _pref if _pref is not None else {}
-        key = tuple(large)
-        if key not in cache:
-            cache[key] = value_prefix(df, large)
-        out.update(quantiles_from_prefix(cache[key], large, probs, {c: f for c, f in fill.items() if c in large}))
+    if not large:
+        return out
+    fills = {c: fill[c] for c in large if c in fill and fill[c][1]}
+    pos_m: dict[str, tuple[int, int]] = {}
+    if fills:
+        aggs = []
+        for i, (c, (m, _)) in enumerate(fills.items()):
+            x = F.col(c).cast("double")
+            aggs += [F.count_if(x < F.lit(float(m))).alias(f"b{i}"), F.count_if(x == F.lit(float(m))).alias(f"e{i}")]
+        row = df.agg(*aggs).collect()[0]
+        pos_m = {c: (int(row[f"b{i}"]), int(row[f"e{i}"])) for i, c in enumerate(fills)}
+    plans: dict[str, list] = {}
+    targets: dict[str, list[int]] = {}
+    for c in large:
+        n = stats[c]["n"]
+        m, k = fills.get(c, (None, 0))
+        b, e = pos_m.get(c, (0, 0))
+        total = n + k
+
+        def where(r, c=c, m=m, k=k, b=b, e=e):
+            if k and b <= r < b + e + k:
+                return ("fill", m)
+            return ("rank", r - k if (k and r >= b + e + k) else r)
+
+        entries = []
+        for q in probs:
+            if total == 0:
+                entries.append(None)
+                continue
+            pos = (total - 1) * float(q)
+            r_lo = int(math.floor(pos))
+            r_hi = min(r_lo + 1, total - 1)
+            w_lo, w_hi = where(r_lo), where(r_hi)
+            entries.append((w_lo, w_hi, pos - r_lo))
+            for w in (w_lo, w_hi):
+                if w[0] == "rank":
+                    targets.setdefault(c, []).append(w[1])
+        plans[c] = entries
+    vals = order_statistics(df, targets, {c: stats[c]["n"] for c in large}) if targets else {}
+    for c in large:
+        res = []
+        for e in plans[c]:
+            if e is None:
+                res.append(None)
+                continue
+            (k1, a), (k2, b_), frac = e
+            v_lo = a if k1 == "fill" else vals[(c, a)]
+            v_hi = b_ if k2 == "fill" else vals[(c, b_)]
+            res.append(v_lo + (v_hi - v_lo) * frac)
+        out[c] = res
     return out

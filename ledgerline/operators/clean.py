@@ -115,12 +115,10 @@ def clean(df: DataFrame) -> Cleaned:
     txt = string_columns(df)
     deduped = cut_lineage(dedupe(df))
     # one pass: counts and approximate distinct counts pick each column's exact-quantile path;
-    # for large columns one distributed histogram + prefix serves both the medians and the
-    # quartiles of the imputed column (imputation only adds the NULL count as median copies)
+    # quartiles of an imputed column are read from the original values plus the median copies
     stats = column_stats(deduped, num)
     nulls = {c: stats[c]["nulls"] for c in num}
-    cache: dict = {}
-    med = quantiles(deduped, num, [0.5], stats, _pref=cache)
+    med = quantiles(deduped, num, [0.5], stats)
 
     def fill_num(c: str) -> Column:
         m = med[c][0]
@@ -133,7 +131,7 @@ def clean(df: DataFrame) -> Cleaned:
     imputed = deduped.select(*[fill_num(c) if c in num else F.col(c) for c in deduped.columns])
     filled = imputed.select(*[fill_txt(c) if c in txt else F.col(c) for c in imputed.columns])
     fill = {c: (med[c][0], nulls[c]) for c in num if med[c][0] is not None and nulls[c]}
-    quart = quantiles(deduped, num, [0.25, 0.75], stats, fill, _pref=cache)
+    quart = quantiles(deduped, num, [0.25, 0.75], stats, fill)
     bounds = {}
     for c in num:
         q1, q3 = quart[c]

@@ -43,18 +43,21 @@ def test_global_index_is_dense_and_ordered(spark):
     assert [x.v for x in r] == sorted(x.v for x in r)
 
 
-def test_exact_quantiles_match_numpy(spark):
+def test_exact_quantiles_match_numpy(spark, monkeypatch):
     import numpy as np
 
-    from ledgerline.functions.ranking import exact_quantiles
+    from ledgerline.functions import ranking
 
     vals = [float(x) for x in np.random.default_rng(1).integers(0, 40, 997)]  # many ties
-    df = spark.createDataFrame([(v, v * 2.5 if i % 3 else None) for i, v in enumerate(vals)], "a double, b double")
-    got = {r["column"]: r for r in exact_quantiles(df, ["a", "b"], [0.25, 0.5, 0.75]).collect()}
-    b = [v * 2.5 for i, v in enumerate(vals) if i % 3]
-    for c, data in (("a", vals), ("b", b)):
-        for i, p in enumerate([0.25, 0.5, 0.75]):
-            assert abs(got[c][f"q_{i}"] - float(np.quantile(data, p))) < 1e-9
+    df = spark.createDataFrame([(v, v * 2.5 + i * 1e-3 if i % 3 else None) for i, v in enumerate(vals)], "a double, b double")
+    b = [v * 2.5 + i * 1e-3 for i, v in enumerate(vals) if i % 3]
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    for bound in (1_000_000, 0):  # map path, then the sketch/verify/collect path
+        monkeypatch.setattr(ranking, "MAP_QUANTILE_MAX_DISTINCT", bound)
+        monkeypatch.setattr(ranking, "BRACKET_MAX_DISTINCT", 1_000_000 if bound else 20)
+        got = ranking.quantiles(df, ["a", "b"], probs)
+        for c, data in (("a", vals), ("b", b)):
+            assert got[c] == pytest.approx([float(np.quantile(data, p)) for p in probs], abs=1e-9), (c, bound)
 
 
 def test_cleaning_invariants(spark):
