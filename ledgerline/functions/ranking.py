@@ -51,10 +51,9 @@ def global_index(df: DataFrame, order_cols: Sequence[Column | str], name: str =
     return pref.select(*cols, (F.col("_b") + 1).alias(name))
 
 
-# Columns with at most this many distinct values get their exact quantiles from Spark's
-# ``percentile`` aggregate, whose final merge holds one (value, count) entry per distinct value
-# in one task: the size check bounds that task's memory. Larger columns take the distributed
-# histogram + prefix path above.
+# Columns with at most this many distinct values get their order statistics from a per-value
+# running count sorted in one task per column: the size check bounds that task. Larger columns
+# take the sketch / verify / bounded-collection path.
 MAP_QUANTILE_MAX_DISTINCT = 1_000_000
 _RSD = 0.05
 
@@ -167,52 +166,63 @@ def order_statistics(df: DataFrame, targets: dict[str, list[int]], ns: dict[str,
     return out
 
 
+def small_order_statistics(df: DataFrame, targets: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+    """Exact values at 0-based ranks for columns with a checked, bounded distinct count.
+
+    Count rows per (column, value) with partial aggregation, take running counts in a window
+    partitioned by column (one sort per column, at most the checked number of distinct values,
+    spillable), and keep only the values whose rank range covers a wanted rank.
+    """
+    cols = list(targets)
+    stack = ", ".join(f"{i}, cast(`{c}` as double)" for i, c in enumerate(cols))
+    long = df.selectExpr(f"stack({len(cols)}, {stack}) as (col_id, v)").where(F.col("v").isNotNull())
+    hist = long.groupBy("col_id", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    w = Window.partitionBy("col_id").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pref = hist.select("col_id", "v", "cnt", (F.sum("cnt").over(w) - F.col("cnt")).alias("b"))
+    cond = F.lit(False)
+    for i, c in enumerate(cols):
+        for r in set(targets[c]):
+            cond = cond | ((F.col("col_id") == i) & (F.col("b") <= r) & (F.lit(r) < F.col("b") + F.col("cnt")))
+    out = {}
+    for row in pref.where(cond).collect():  # at most two rows per wanted rank
+        c = cols[row["col_id"]]
+        for r in targets[c]:
+            if row["b"] <= r < row["b"] + row["cnt"]:
+                out[(c, r)] = row["v"]
+    return out
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], stats: dict | None = None,
               fill: dict[str, tuple[float, int]] | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles per column (dict), numpy ``linear`` definition.
 
-    Small-domain columns use Spark's ``percentile``; the others use ``order_statistics``.
-    ``fill`` adds k copies of a value m per column (median imputation of k NULLs) first: the
-    sorted column is then values < m, every value == m plus the k copies, values > m shifted by
-    k, so each needed rank maps back to an original rank or to m.
+    Every quantile is two order statistics. Columns whose distinct count is under a checked
+    bound read them from a per-value running count (``small_order_statistics``); larger columns
+    use ``order_statistics`` (sketch, verify, bounded collection). ``fill`` adds k copies of a
+    value m per column (median imputation of k NULLs) first: the sorted column is then values
+    < m, every value == m plus the k copies, values > m shifted by k, so each needed rank maps
+    back to an original rank or to m.
     """
     cols = list(cols)
     stats = stats if stats is not None else column_stats(df, cols)
-    small = [c for c in cols if c in small_domain(stats)]
-    large = [c for c in cols if c not in small]
-    fill = fill or {}
-    out: dict[str, list[float | None]] = {}
-    if small:
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        exprs = []
-        for i, c in enumerate(small):
-            v = F.col(c).cast("double")
-            if c in fill:
-                v = F.coalesce(v, F.lit(float(fill[c][0])))
-            exprs.append(F.percentile(v, arr).alias(f"q{i}"))
-        r = df.agg(*exprs).collect()[0]
-        for i, c in enumerate(small):
-            out[c] = list(r[f"q{i}"]) if r[f"q{i}"] is not None else [None] * len(probs)
-    if not large:
-        return out
-    fills = {c: fill[c] for c in large if c in fill and fill[c][1]}
+    fill = {c: f for c, f in (fill or {}).items() if c in cols and f[0] is not None and f[1]}
     pos_m: dict[str, tuple[int, int]] = {}
-    if fills:
+    if fill:
         aggs = []
-        for i, (c, (m, _)) in enumerate(fills.items()):
+        for i, (c, (m, _)) in enumerate(fill.items()):
             x = F.col(c).cast("double")
             aggs += [F.count_if(x < F.lit(float(m))).alias(f"b{i}"), F.count_if(x == F.lit(float(m))).alias(f"e{i}")]
         row = df.agg(*aggs).collect()[0]
-        pos_m = {c: (int(row[f"b{i}"]), int(row[f"e{i}"])) for i, c in enumerate(fills)}
+        pos_m = {c: (int(row[f"b{i}"]), int(row[f"e{i}"])) for i, c in enumerate(fill)}
     plans: dict[str, list] = {}
     targets: dict[str, list[int]] = {}
-    for c in large:
+    for c in cols:
         n = stats[c]["n"]
-        m, k = fills.get(c, (None, 0))
+        m, k = fill.get(c, (None, 0))
         b, e = pos_m.get(c, (0, 0))
         total = n + k
 
-        def where(r, c=c, m=m, k=k, b=b, e=e):
+        def where(r, m=m, k=k, b=b, e=e):
             if k and b <= r < b + e + k:
                 return ("fill", m)
             return ("rank", r - k if (k and r >= b + e + k) else r)
@@ -227,12 +237,20 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], stats:
             r_hi = min(r_lo + 1, total - 1)
             w_lo, w_hi = where(r_lo), where(r_hi)
             entries.append((w_lo, w_hi, pos - r_lo))
-            for w in (w_lo, w_hi):
-                if w[0] == "rank":
-                    targets.setdefault(c, []).append(w[1])
+            for w_ in (w_lo, w_hi):
+                if w_[0] == "rank":
+                    targets.setdefault(c, []).append(w_[1])
         plans[c] = entries
-    vals = order_statistics(df, targets, {c: stats[c]["n"] for c in large}) if targets else {}
-    for c in large:
+    small = small_domain(stats)
+    t_small = {c: r for c, r in targets.items() if c in small}
+    t_large = {c: r for c, r in targets.items() if c not in small}
+    vals: dict[tuple[str, int], float] = {}
+    if t_small:
+        vals.update(small_order_statistics(df, t_small))
+    if t_large:
+        vals.update(order_statistics(df, t_large, {c: stats[c]["n"] for c in t_large}))
+    out: dict[str, list[float | None]] = {}
+    for c in cols:
         res = []
         for e in plans[c]:
             if e is None:
