@@ -18,15 +18,26 @@ def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, cols: Optional[Sequence[str]] = None) -> DataFrame:
-    """column, mean, median, std (sample), min, max per numeric column."""
+    """column, mean, median, std (sample), min, max per numeric column.
+
+    One wide aggregate gives the moments, counts and distinct counts of every column (no
+    unpivot, no shuffle); the medians are exact order statistics (``functions.ranking``).
+    The result holds one row per column.
+    """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    stats = _long(df, cols, "double").groupBy("column").agg(
-        F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
-    )  # partial aggregation: one row per (task, column) crosses the shuffle
-    got = quantiles(df, cols, [0.5])
-    med = df.sparkSession.createDataFrame([(c, got[c][0]) for c in cols], "column string, median double")
-    # one row per column on each side
-    return stats.join(F.broadcast(med), "column", "left").select("column", "mean", "median", "std", "min", "max")
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "column string, mean double, median double, std double, min double, max double")
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for i, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        aggs += [F.count(v).alias(f"n{i}"), F.approx_count_distinct(v, 0.05).alias(f"d{i}"), F.avg(v).alias(f"a{i}"),
+                 F.stddev_samp(v).alias(f"s{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    r = df.agg(*aggs).collect()[0]
+    stats = {c: {"n": int(r[f"n{i}"]), "nulls": int(r["__rows"]) - int(r[f"n{i}"]), "distinct": int(r[f"d{i}"])} for i, c in enumerate(cols)}
+    med = quantiles(df, cols, [0.5], stats)
+    rows = [(c, r[f"a{i}"], med[c][0], r[f"s{i}"], r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)]
+    return spark.createDataFrame(rows, "column string, mean double, median double, std double, min double, max double")
 
 
 def categorical_profile(df: DataFrame, cols: Optional[Sequence[str]] = None, k: int = 5) -> DataFrame:
