@@ -115,3 +115,31 @@ def test_report_views(spark):
     rel = views.relative_importance(res.importances).collect()
     assert len(rel) == 8 and max(r.pct_of_max for r in rel) == 100.0
     assert views.r2_band(res.metrics).first().r2_band in {"good", "fair", "poor"}
+
+
+def test_sequence_model_learns_a_weekly_pattern(spark):
+    from ledgerline.operators.forecast.models import sequence_forecast
+
+    days = pd.date_range("2021-01-01", periods=400, freq="D")
+    t = np.arange(400)
+    y = 500 + 100 * np.sin(2 * np.pi * t / 7)
+    res = sequence_forecast(spark.createDataFrame(pd.DataFrame({"ds": days.date, "y": y})), (), 14)
+    fut = res.points.where("is_future").orderBy("date").toPandas()
+    truth = 500 + 100 * np.sin(2 * np.pi * (400 + np.arange(14)) / 7)
+    assert np.max(np.abs(fut["predicted"].to_numpy() - truth)) < 10
+    assert res.metrics.first().r2 > 0.99
+
+
+def test_gbt_pipeline_small(spark):
+    from ledgerline.operators.forecast.gbt import gbt_forecast
+
+    days = pd.date_range("2021-01-01", periods=160, freq="D")
+    t = np.arange(160)
+    pdf = pd.DataFrame({"ds": list(days.date) * 2, "y": np.concatenate([300 + 50 * np.sin(2 * np.pi * t / 7), 80 + t * 0.5]),
+                        "store": ["a"] * 160 + ["b"] * 160})
+    res = gbt_forecast(spark.createDataFrame(pdf), ["store"], 3, max_iter=4)
+    pts = res.points.toPandas()
+    assert set(pts.store) == {"a", "b"}
+    fut = pts[pts.is_future]
+    assert len(fut) == 6 and (fut.predicted >= 0).all() and (fut.lower_bound <= fut.predicted).all()
+    assert res.metrics.count() == 2 and res.importances.count() > 0 and res.model is not None
