@@ -29,9 +29,10 @@ def weighted_prefix(df: DataFrame, order_cols: Sequence[Column | str], weight: s
     literal map. No task ever sees more than one range partition.
     """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = df.columns
-    tagged = cut_lineage(df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id()))
+    # no fixed partition count: AQE may merge adjacent range partitions (ranges stay
+    # contiguous), and the partition id is taken in the same stage, before the checkpoint
+    tagged = cut_lineage(df.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id()))
     w_in = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = tagged.select("*", (F.sum(weight).over(w_in) - F.col(weight)).alias("_in"))
     totals = sorted((r["_pid"], int(r["t"])) for r in tagged.groupBy("_pid").agg(F.sum(weight).alias("t")).collect())

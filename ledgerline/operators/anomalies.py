@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
+from ..session import ship_package
 from .series import rollup
 
 # ---- fixed values: isolation-forest settings of the original detector and its texts ------------
@@ -86,6 +87,7 @@ def detect_anomalies(
         out["psi"] = len(sample)
         return out
 
+    ship_package(ts.sparkSession)
     paths = rep.groupBy(*s, "tree").applyInPandas(one_tree, schema)
     agg = paths.groupBy(*s, "ds").agg(F.first("y").alias("y"), F.avg("path").alias("_eh"), F.max("psi").alias("_psi"))
     n = F.col("_psi").cast("double")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DoubleType, StringType, StructField, StructType
 
+from ...session import ship_package
 from .metrics import evaluate
 
 RECORD_FIELDS = [
@@ -106,5 +107,6 @@ def run_per_series(
         out["is_future"] = out["is_future"].astype("object").where(out["is_future"].notna(), None)
         return out[[*s, *RECORD_COLS]]
 
+    ship_package(data.sparkSession)
     records = keyed.groupBy(*group).applyInPandas(wrapper, schema)
     return ForecastResult(records, s)
