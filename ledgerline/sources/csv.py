@@ -35,7 +35,10 @@ def read_csv(spark: SparkSession, path: str, infer_types: bool = True) -> DataFr
         .schema(schema).csv(path)
     )
     n_fields = F.size(F.split(F.regexp_replace(F.col(_CORRUPT), _QUOTED, ""), ",", -1))
-    kept = raw.where(F.col(_CORRUPT).isNull() | (n_fields <= len(header))).drop(_CORRUPT)
+    # the condition also reads the first data column: Spark refuses scans whose only
+    # referenced column is the corrupt-record column (e.g. a bare row count)
+    anchor = F.length(F.coalesce(F.col(header[0]), F.lit(""))) >= 0
+    kept = raw.where((F.col(_CORRUPT).isNull() | (n_fields <= len(header))) & anchor).drop(_CORRUPT)
     na = F.array(*[F.lit(v) for v in NA_VALUES])
     clean = kept.select(*[F.when(F.array_contains(na, F.col(c)) | F.col(c).isNull(), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c) for c in header])
     return infer_column_types(clean) if infer_types else clean
