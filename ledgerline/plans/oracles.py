@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..sources.tables import dirty_sales_oracle_cte
 from .common import R, with_sales
 
 ORACLES: dict[str, str] = {}
@@ -290,7 +291,6 @@ SELECT CAST(count(*) AS BIGINT) AS total_products, CAST(count(*) FILTER (WHERE a
 
 # ---- dates, cleaning, profile ------------------------------------------------------------------------
 
-from ..sources.tables import dirty_sales_oracle_cte  # noqa: E402
 
 _PY_FORMATS = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%Y/%m/%d", "%d-%m-%Y", "%B %d, %Y", "%b %d, %Y"]
 

@@ -6,12 +6,29 @@ returns flat columns whose names and types equal the oracle SQL in ``oracles.py`
 
 from __future__ import annotations
 
+import uuid as _uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_to
+from ..operators import anomalies as anom
+from ..operators import clean as cln
+from ..operators import customers as cust
 from ..operators import dashboard as dash
+from ..operators import insights as ins
+from ..operators import inventory as inv
+from ..operators import profile as prof
+from ..operators import seasonal as sea
+from ..operators import series as ser
+from ..operators.forecast import compare as cmp
+from ..operators.forecast import gbt as gbtm
+from ..operators.forecast import metrics as met
+from ..operators.forecast import models as fc
+from ..sources import registry as reg
+from ..sources.csv import read_csv
+from ..sources.tables import SALES_COLUMNS, dirty_sales, table
 from .common import ROLES, S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,11 +111,6 @@ def report_rows(spark, d):
 
 # ---- series ---------------------------------------------------------------------------------
 
-from ..operators import insights as ins  # noqa: E402
-from ..operators import seasonal as sea  # noqa: E402
-from ..operators import series as ser  # noqa: E402
-from ..operators.forecast import metrics as met  # noqa: E402
-from ..functions.numeric import round_to  # noqa: E402
 
 
 def daily(spark, d, series_cols=(), exact=False):
@@ -214,8 +226,6 @@ def insights(spark, d):
 
 # ---- customers and inventory ---------------------------------------------------------------------
 
-from ..operators import customers as cust  # noqa: E402
-from ..operators import inventory as inv  # noqa: E402
 
 
 def _rfm_base(spark, d):
@@ -267,9 +277,6 @@ def inventory_alert_counts(spark, d):
 
 # ---- dates, cleaning, profile ------------------------------------------------------------------------
 
-from ..operators import clean as cln  # noqa: E402
-from ..operators import profile as prof  # noqa: E402
-from ..sources.tables import dirty_sales, table  # noqa: E402
 
 
 def _order_dates(spark, d, raw: "F.Column"):
@@ -355,7 +362,6 @@ def target_stats(spark, d):
 
 # ---- forecasting (rows-only checks: model fits have no SQL twin) ----------------------------------------
 
-from ..operators.forecast import models as fc  # noqa: E402
 
 
 @register
@@ -392,8 +398,6 @@ def sequence_forecast(spark, d):
 def arima_forecast(spark, d):
     return fc.arima_forecast(daily(spark, d), (), 30).points
 
-from ..operators import anomalies as anom  # noqa: E402
-from ..operators.forecast import gbt as gbtm  # noqa: E402
 
 
 @register
@@ -415,7 +419,6 @@ def anomalies_only(spark, d):
 def anomalies_by_region(spark, d):
     return anom.anomaly_counts(anom.detect_anomalies(daily(spark, d, ["region"]), ["region"]), ["region"])
 
-from ..operators.forecast import compare as cmp  # noqa: E402
 
 
 @register
@@ -424,11 +427,7 @@ def compare_models(spark, d):
 
 # ---- sources and sinks -------------------------------------------------------------------------------------
 
-import uuid as _uuid  # noqa: E402
 
-from ..sources import registry as reg  # noqa: E402
-from ..sources.csv import read_csv  # noqa: E402
-from ..sources.tables import SALES_COLUMNS  # noqa: E402
 
 
 @register
