@@ -105,3 +105,19 @@ def test_quantile_paths_agree(spark, monkeypatch):
     for x, y in zip(cleaned_large, cleaned_small):
         assert x[0] == y[0] and x[2:4] == y[2:4]
         assert [float(v) for v in (x[1], *x[4:])] == pytest.approx([float(v) for v in (y[1], *y[4:])], rel=1e-12)
+
+
+def test_capping_respects_iqr_bounds(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vals = list(rng.normal(100, 5, 400)) + [10_000.0, -9_000.0, None]
+    df = spark.createDataFrame([(float(v) if v is not None else None,) for v in vals], "v double")
+    c = cln.clean(df)
+    imputed = np.array([r.v for r in c.imputed.collect()])
+    q1, q3 = np.quantile(imputed, [0.25, 0.75])
+    lo, hi = q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1)
+    out = np.array([r.v for r in c.cleaned.collect()])
+    assert out.min() == pytest.approx(lo) and out.max() == pytest.approx(hi)
+    rep = {(r.issue, r.column): r.n for r in c.report.collect()}
+    assert rep[("outliers_capped", "v")] == 2 and rep[("missing_filled_median", "v")] == 1
