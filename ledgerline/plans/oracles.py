@@ -391,3 +391,10 @@ SELECT CAST(date AS VARCHAR) AS date, product_id, category, region, customer_id,
 ORACLES["recent_sales"] = with_sales("""
 SELECT date, product_id, customer_id, quantity, CAST(revenue AS DOUBLE) AS revenue FROM sales
 WHERE date >= (SELECT max(date) FROM sales) - INTERVAL 90 DAY""")
+
+ORACLES["weekly_series_by_region"] = with_sales("""
+SELECT cal.region, cal.k AS ds, COALESCE(w.y, 0) AS y FROM cal LEFT JOIN w ON cal.region = w.region AND cal.k = w.k""",
+    """w AS (SELECT region, date + (7 - isodow(date))::INTEGER AS k, CAST(SUM(revenue) AS DOUBLE) AS y
+        FROM sales WHERE date IS NOT NULL AND region IS NOT NULL GROUP BY 1, 2),
+cal AS (SELECT region, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS k
+        FROM (SELECT region, MIN(k) AS lo, MAX(k) AS hi FROM w GROUP BY region) b)""")

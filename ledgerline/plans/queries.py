@@ -458,3 +458,8 @@ def recent_sales(spark, d):
     cols = ["date", "product_id", "customer_id", "quantity", "revenue"]
     r = inv.recent_window(S(spark, d, cols), "date", 90)
     return r.select(*[F.col(c).cast("double").alias(c) if c == "revenue" else F.col(c) for c in cols])
+
+
+@register
+def weekly_series_by_region(spark, d):
+    return ser.rollup(S(spark, d, ["date", "region", "revenue"]), "date", "revenue", "W", ["region"])
