@@ -84,3 +84,28 @@ def test_constant_series_and_cleaning(spark):
     assert ft.count() == 30 and ft.agg(F.max("rolling_std_7")).first()[0] == 0.0
     c = clean(spark.createDataFrame([(1.0, "a"), (1.0, "a"), (None, None), (3.0, "b")], "v double, s string"))
     assert sorted((r.v, r.s) for r in c.cleaned.collect()) == [(1.0, "a"), (2.0, "Unknown"), (3.0, "b")]
+
+
+def test_rfm_recency_on_timestamps_floors_days(spark):
+    rows = [(dt.datetime(2024, 1, 10, 12, 0), "a", 5.0), (dt.datetime(2024, 1, 9, 18, 0), "b", 3.0),
+            (dt.datetime(2024, 1, 1, 13, 0), "b", 2.0), (dt.datetime(2024, 1, 10, 11, 59), "c", 1.0)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, customer string, revenue double")
+    base = {r.customer: r for r in cust.rfm_base(df, "ts", "customer", "revenue").collect()}
+    # (max - own max) in whole days, floored: 18h -> 0, 1 minute -> 0
+    assert base["a"].recency == 0 and base["b"].recency == 0 and base["c"].recency == 0
+    assert base["b"].frequency == 2 and base["b"].monetary == 5.0
+    rows.append((dt.datetime(2024, 1, 12, 11, 0), "d", 1.0))
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, customer string, revenue double")
+    base = {r.customer: r.recency for r in cust.rfm_base(df, "ts", "customer", "revenue").collect()}
+    assert base == {"a": 1, "b": 2, "c": 1, "d": 0}
+
+
+def test_recent_window_on_timestamps_is_exact_90_days(spark):
+    from ledgerline.operators.inventory import recent_window
+
+    end = dt.datetime(2024, 6, 30, 15, 0)
+    rows = [(end,), (end - dt.timedelta(days=90),), (end - dt.timedelta(days=90, seconds=1),)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz")
+    assert recent_window(df, "ts").count() == 2
+    d = spark.createDataFrame([(end.date(),), ((end - dt.timedelta(days=90)).date(),), ((end - dt.timedelta(days=91)).date(),)], "d date")
+    assert recent_window(d, "d").count() == 2  # inclusive: 91 calendar days
