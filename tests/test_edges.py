@@ -109,3 +109,12 @@ def test_recent_window_on_timestamps_is_exact_90_days(spark):
     assert recent_window(df, "ts").count() == 2
     d = spark.createDataFrame([(end.date(),), ((end - dt.timedelta(days=90)).date(),), ((end - dt.timedelta(days=91)).date(),)], "d date")
     assert recent_window(d, "d").count() == 2  # inclusive: 91 calendar days
+
+
+def test_parse_dates_first_value_rule(spark):
+    rows = [(1, "25/12/2023"), (2, "2024-01-05"), (3, "2024-01-06"), (4, "2024-01-07")]
+    df = spark.createDataFrame(rows, "i int, d string")
+    by_order = {r.i: r.d for r in parse_dates(df, "d", order_col="i").collect()}
+    assert by_order == {1: dt.date(2023, 12, 25)}  # layout of the first value; others fail
+    by_count = {r.i for r in parse_dates(df, "d").collect()}
+    assert by_count == {2, 3, 4}  # without an order: the layout parsing most values
