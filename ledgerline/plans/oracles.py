@@ -398,3 +398,10 @@ SELECT cal.region, cal.k AS ds, COALESCE(w.y, 0) AS y FROM cal LEFT JOIN w ON ca
         FROM sales WHERE date IS NOT NULL AND region IS NOT NULL GROUP BY 1, 2),
 cal AS (SELECT region, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS k
         FROM (SELECT region, MIN(k) AS lo, MAX(k) AS hi FROM w GROUP BY region) b)""")
+
+ORACLES["monthly_series_by_region"] = with_sales("""
+SELECT cal.region, last_day(cal.k) AS ds, COALESCE(m.y, 0) AS y FROM cal LEFT JOIN m ON cal.region = m.region AND cal.k = m.k""",
+    """m AS (SELECT region, CAST(date_trunc('month', date) AS DATE) AS k, CAST(SUM(revenue) AS DOUBLE) AS y
+        FROM sales WHERE date IS NOT NULL AND region IS NOT NULL GROUP BY 1, 2),
+cal AS (SELECT region, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS k
+        FROM (SELECT region, MIN(k) AS lo, MAX(k) AS hi FROM m GROUP BY region) b)""")

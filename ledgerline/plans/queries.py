@@ -463,3 +463,8 @@ def recent_sales(spark, d):
 @register
 def weekly_series_by_region(spark, d):
     return ser.rollup(S(spark, d, ["date", "region", "revenue"]), "date", "revenue", "W", ["region"])
+
+
+@register
+def monthly_series_by_region(spark, d):
+    return ser.rollup(S(spark, d, ["date", "region", "revenue"]), "date", "revenue", "M", ["region"])
