@@ -30,7 +30,7 @@ def shared_table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,3 +60,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, more: Iterable[str] = ())
 def words(text: Column) -> Column:
     """The words of a text, in order (empty array for null)."""
     return F.coalesce(F.array_remove(F.split(text, SPACE_CLASS), ""), F.array().cast("array<string>"))
+
+
+def line_text(line: Column) -> Column:
+    """A line as it is compared: lower case, runs of blanks as one space, none at the ends."""
+    spaced = F.translate(line, "\t\x0b\x0c\r\n", "     ")
+    return F.lower(F.trim(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)))

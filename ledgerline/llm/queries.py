@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, packing, simhash, token_counts, toxicity, url_filter
+from . import ann, line_dedup, packing, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 #: Host and path rules of the URL query.
@@ -16,6 +16,10 @@ URL_RULES = [
 ]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("rk")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,11 +40,23 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("rk")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), k=35).drop("rk")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cap=2048, end_id=0)
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_toxicity, op3_simhash, op4_nearest, op5_url_filter, op6_token_counts, op9_packing)
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_toxicity, op3_simhash, op4_nearest, op5_url_filter, op6_token_counts, op7_line_dedup,
+        op8_substring_dedup, op9_packing,
+    )
 }
 ORACLES: dict[str, str] = {}
