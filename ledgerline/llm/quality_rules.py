@@ -103,3 +103,9 @@ def quality_rules(
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     depleted = F.col("n_removed_chars") * 100 > F.col("n_line_chars") * max_removed_pct
     return out.select("*", base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"))
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The documents that the rules keep, with all their columns and rows."""
+    kept = quality_rules(docs, id_col, text_col, host_col).filter("kept").select(F.col("rk").alias("__rk"))
+    return docs.withColumn("__rk", row_key(id_col, text_col)).join(kept, "__rk", "left_semi").select(*docs.columns)

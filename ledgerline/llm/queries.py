@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, packing, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_filter
+from . import (
+    ann, line_dedup, packing, quality_rules, sentencepiece_scan, simhash, substring_dedup, token_counts, toxicity, url_filter,
+)
 from .common import table
 
 #: Host and path rules of the URL query.
@@ -25,7 +27,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3).drop("rk", "root")
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +54,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cap=2048, end_id=0)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    tokens = sentencepiece_scan.decode(sentencepiece_scan.encode(table(spark, sf_dir, "documents"), model), model)
+    return tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32",
+        (F.col("decoded") == F.replace("text", F.lit(sentencepiece_scan.SPACE), F.lit(" "))).alias("round_trip"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_toxicity, op3_simhash, op4_nearest, op5_url_filter, op6_token_counts, op7_line_dedup,
-        op8_substring_dedup, op9_packing,
+        op8_substring_dedup, op9_packing, op10_sentencepiece,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, python_ready, shared_table
+from .common import python_ready, row_key, shared_table
 from .components import connected_components
 
 PIVOTS = 16
@@ -155,7 +155,8 @@ def links(distinct: DataFrame, max_bits: int, block: int = BLOCK) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per document: doc_id, rk (row key), fingerprint (16 hex digits), component_id, root (the
+    component's smallest fingerprint as a number).
 
     component_id is the smallest doc_id reachable over fingerprints that differ in at most
     ``max_bits`` bits. A text without words has fingerprint zero and links like any other. Rows with a
@@ -169,7 +170,8 @@ def near_duplicates(
             yield pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
     rows = shared_table(docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), hashed(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")
+        F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("rk"),
+        hashed(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")
     ))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     edges = links(distinct.select("fp"), max_bits)
@@ -178,7 +180,15 @@ def near_duplicates(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(ids, "root").select("fp", "component_id")
+    classes = named.join(ids, "root").select("fp", "component_id", "root")
     return rows.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", "rk", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"
     )
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest id, with all its columns."""
+    found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("rk").alias("__rk"))
+    rows = docs.withColumn("__rk", row_key(id_col, text_col)).join(kept.select("__rk"), "__rk", "left_semi")
+    return rows.dropDuplicates(["__rk"]).select(*docs.columns)
