@@ -26,6 +26,7 @@ from .operators.forecast.grouped import ForecastResult
 from .operators.forecast.metrics import evaluate
 from .operators.insights import insights_from_daily
 from .operators.series import rollup
+from .session import stored
 
 
 def columns(df: DataFrame) -> dict:
@@ -39,14 +40,17 @@ def _date(df: DataFrame, date_col: Optional[str]) -> str:
 
 
 def _dated(df: DataFrame, date_col: str, drop_invalid: bool) -> DataFrame:
-    """String dates parsed with the detected layout (B5); non-strings cast to date."""
-    return cln.parse_dates(df, date_col, drop_invalid=drop_invalid)
+    """String dates parsed with the layout found for the column (B5); times are kept."""
+    return cln.parse_dates(df, date_col, drop_invalid=drop_invalid, keep_time=True)
 
 
-def summary(df: DataFrame, date_col: Optional[str] = None, target_col: Optional[str] = None) -> dict[str, DataFrame]:
-    """Shape, missing counts, numeric and categorical profiles, date range, target stats."""
+def summary(df: DataFrame, date_col: Optional[str] = None, target_col: Optional[str] = None) -> dict:
+    """Columns and types, shape, missing counts, numeric and categorical profiles, date range, target
+    stats (D17-D21)."""
     roles = detect_column_types(df.schema)
     out = {
+        "columns": df.columns,
+        "dtypes": dict(prof.dtypes(df)),
         "shape": prof.shape(df),
         "missing_values": prof.missing_counts(df),
         "numeric_stats": prof.numeric_profile(df),
@@ -71,11 +75,12 @@ def dashboard(df: DataFrame, date_col: Optional[str] = None, clean_first: bool =
     base = cln.clean(df).cleaned if clean_first else df
     base = _dated(base, date_col, drop_invalid=False)
     roles = Roles.resolve(base.schema, date=date_col)
-    if not roles.revenue:
-        raise ValueError("no revenue column found")
-    bundle = dash.dashboard_bundle(base, roles).persist()  # a few hundred rows, sliced below
+    if not roles.revenue:  # as in the original: every figure 0, every list empty
+        return _empty_dashboard(base)
+    bundle = stored(dash.dashboard_bundle(base, roles))  # one aggregation, sliced below
     part = {d: bundle.where(F.col("dim") == d) for d in ("month", "year", "product", "region", "category")}
     total = bundle.where(F.col("dim") == "total")
+    months = part["month"].select(F.col("key").alias("month"), "revenue")
     rev, pro, n = F.col("revenue"), F.col("profit"), F.col("n_rows")
     out = {
         "kpis": total.select(
@@ -83,13 +88,13 @@ def dashboard(df: DataFrame, date_col: Optional[str] = None, clean_first: bool =
             n.alias("total_orders"), round_to(safe_ratio(rev, n), 2).alias("average_order_value"),
             round_to(safe_ratio(pro * 100, rev), 2).alias("profit_margin"),
         ),
-        "revenue_growth": dash.revenue_growth(base, roles),
-        "monthly_trends": part["month"].select(F.col("key").alias("month"), "revenue").orderBy("month"),
+        "revenue_growth": dash.growth_of_months(months),
+        "monthly_trends": months.orderBy("month"),
         "yearly_trends": part["year"].select(F.col("key").cast("bigint").alias("year"), "revenue").orderBy("year"),
     }
     if roles.product:
-        out["top_products"] = dash.top_products(base, roles, 10)
-        out["low_performers"] = dash.low_performers(base, roles, 5)
+        out["top_products"] = dash.ranked_products(part["product"], 10, best=True)
+        out["low_performers"] = dash.ranked_products(part["product"], 5, best=False)
     if roles.region:
         out["regional_breakdown"] = part["region"].select(F.col("key").alias("region"), "revenue").orderBy(F.col("revenue").desc(), "region")
     if roles.category:
@@ -97,6 +102,16 @@ def dashboard(df: DataFrame, date_col: Optional[str] = None, clean_first: bool =
     return out
 
 
+def _empty_dashboard(df: DataFrame) -> dict[str, DataFrame]:
+    spark = df.sparkSession
+    money = ("total_revenue", "total_profit", "average_order_value", "profit_margin")
+    kpis = df.agg(F.count(F.lit(1)).alias("total_orders")).select("total_orders", *[F.lit(0.0).alias(c) for c in money])
+    out = {"kpis": kpis, "revenue_growth": spark.range(1).select(F.lit(0.0).alias("revenue_growth"))}
+    lists = {"monthly_trends": "month string", "yearly_trends": "year bigint", "top_products": "rank bigint, product string",
+             "low_performers": "rank bigint, product string", "regional_breakdown": "region string", "category_breakdown": "category string"}
+    return {**out, **{k: spark.createDataFrame([], f"{v}, revenue double") for k, v in lists.items()}}
+
+
 def inventory(df: DataFrame, date_col: Optional[str] = None) -> dict[str, DataFrame]:
     """Top-20 reorder recommendations and alert counts."""
     date_col = _date(df, date_col)

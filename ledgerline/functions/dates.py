@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from typing import Optional, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values: the seven accepted date layouts, in the order they are tried ----------
 # (Python strptime spellings: %Y-%m-%d, %d/%m/%Y, %m/%d/%Y, %Y/%m/%d, %d-%m-%Y, %B %d, %Y, %b %d, %Y)
 DATE_PATTERNS = ["yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "yyyy/M/d", "d-M-yyyy", "MMMM d, yyyy", "MMM d, yyyy"]
+# time parts that may follow a layout, and two-digit-year layouts, tried when no layout fits alone
+TIME_SUFFIXES = [" H:m:s[.SSSSSS]", "'T'H:m:s[.SSSSSS]", " H:m", " h:m:s a", " h:m a"]
+SHORT_YEARS = ["d/M/yy", "M/d/yy", "d-M-yy", "yy-M-d", "yy/M/d"]
 # weekday names, Monday first
 DAY_ABBR = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 # ------------------------------------------------------------------------------------------
@@ -26,6 +30,48 @@ def parse_with(x, pattern: str) -> Column:
     return F.try_to_timestamp(_c(x), F.lit(pattern))
 
 
+def _layouts(patterns: Sequence[str]) -> list[str]:
+    """The layouts in the order of preference: alone, with a time part, with two-digit years.
+
+    The empty layout is Spark's own timestamp format (ISO, also with a zone)."""
+    return [*patterns, "", *[p + t for p in patterns for t in TIME_SUFFIXES], *SHORT_YEARS]
+
+
+def _parsed(c: Column, layout: str) -> Column:
+    return parse_with(c, layout) if layout else F.try_to_timestamp(c)
+
+
+def date_layout(df: DataFrame, col: str, patterns: Sequence[str] = DATE_PATTERNS, order_col: Optional[str] = None) -> Column:
+    """The layout of a string date column as a scalar-subquery Column.
+
+    The first layout that parses every value; else the layout of the first value by
+    ``order_col`` when given, else the one that parses the most values. A column with values none
+    of which any layout parses is an error, never an empty result. One aggregation.
+    """
+    c = F.col(col)
+    layouts = _layouts(patterns)
+    counts = [F.count(_parsed(c, p)).alias(f"s{i}") for i, p in enumerate(layouts)]
+    first = [F.min_by(c, F.col(order_col)).alias("_first")] if order_col is not None else []
+    stats = df.where(c.isNotNull()).agg(F.count(F.lit(1)).alias("_n"), *counts, *first)
+
+    def choose(fits) -> Column:
+        return F.coalesce(*[F.when(fits(i, p), F.lit(p)) for i, p in enumerate(layouts)])
+
+    best = F.greatest(*[F.col(f"s{i}") for i in range(len(layouts))])
+    strict = choose(lambda i, p: F.col(f"s{i}") == F.col("_n"))
+    most = choose(lambda i, p: F.col(f"s{i}") == best)
+    loose = choose(lambda i, p: _parsed(F.col("_first"), p).isNotNull()) if order_col is not None else most
+    unknown = F.raise_error(F.lit(f"no date layout parses any value of column {col}")).cast("string")
+    found = F.when((best == 0) & (F.col("_n") > 0), unknown).otherwise(F.coalesce(strict, loose, most))
+    return stats.select(found.alias("layout")).scalar()
+
+
+def resolved_timestamp(df: DataFrame, col: str, patterns: Sequence[str] = DATE_PATTERNS, order_col: Optional[str] = None) -> Column:
+    """A string date column as TIMESTAMP by its layout; values that the layout does not parse are NULL."""
+    layout = date_layout(df, col, patterns, order_col)
+    return F.coalesce(*[F.when(layout == p, _parsed(F.col(col), p)) for p in _layouts(patterns)])
+
+
 def weekday(d) -> Column:
     """Monday = 0 (H1)."""
     return F.weekday(_c(d))

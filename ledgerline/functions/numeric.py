@@ -7,7 +7,7 @@ value directly differs between engines on ties (e.g. 1033.3278125 to 6 places).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,11 @@ def safe_ratio(num, den, default: float = 0.0) -> Column:
 
 def clamp_min(x, lo: float = 0.0) -> Column:
     return F.greatest(F.lit(lo).cast("double"), _c(x).cast("double"))
+
+
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN as NULL in every float and double column: both mean a missing number."""
+    floats = {c for c, kind in df.dtypes if kind in ("float", "double")}
+    if not floats:
+        return df
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns])

@@ -4,9 +4,8 @@
 one task: range-partition, a reliable checkpoint (fixes the partition assignment), running
 sums inside each partition, one total per partition, offsets added per row.
 ``global_index`` is its unit-weight case (exact ranks with ties broken by a key).
-``quantiles`` gives exact quantiles: Spark's ``percentile`` for columns whose distinct count is
-under a checked bound, otherwise ``order_statistics`` (sketch, verify, collect a bounded
-bracket) — no single task ever holds all values.
+``quantiles`` gives exact quantiles of several columns from one scan (``order_statistics``); no
+single task ever holds all values.
 """
 
 from __future__ import annotations
@@ -52,154 +51,41 @@ def global_index(df: DataFrame, order_cols: Sequence[Column | str], name: str =
     return pref.select(*cols, (F.col("_b") + 1).alias(name))
 
 
-# Columns with at most this many distinct values get their order statistics from a per-value
-# running count sorted in one task per column: the size check bounds that task. Larger columns
-# take the sketch / verify / bounded-collection path.
-MAP_QUANTILE_MAX_DISTINCT = 1_000_000
-_RSD = 0.05
-
-
 def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, int]]:
-    """Rows, non-null count, NULL count and approximate distinct count per column, one pass."""
+    """Non-null count and NULL count per column, one pass."""
     if not cols:
         return {}
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(cols):
-        aggs += [F.count(F.col(c)).alias(f"n{i}"), F.approx_count_distinct(F.col(c), _RSD).alias(f"d{i}")]
-    r = df.agg(*aggs).collect()[0]
-    rows = int(r["__rows"])
-    return {c: {"n": int(r[f"n{i}"]), "nulls": rows - int(r[f"n{i}"]), "distinct": int(r[f"d{i}"])} for i, c in enumerate(cols)}
-
-
-def small_domain(stats: dict[str, dict[str, int]]) -> set[str]:
-    """Columns whose distinct count is safely under the map-quantile bound."""
-    bound = MAP_QUANTILE_MAX_DISTINCT / (1 + 3 * _RSD)
-    return {c for c, s in stats.items() if s["distinct"] <= bound}
-
-
-SKETCH_ACCURACY = 10_000  # rank error of the sketch <= n / accuracy
-BRACKET_MAX_DISTINCT = 200_000  # distinct values collected per bracket (bounded driver data)
-MAX_ROUNDS = 8
+    r = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).collect()[0]
+    return {c: {"n": int(r[f"n{i}"]), "nulls": int(r["__rows"]) - int(r[f"n{i}"])} for i, c in enumerate(cols)}
 
 
 def order_statistics(df: DataFrame, targets: dict[str, list[int]], ns: dict[str, int]) -> dict[tuple[str, int], float]:
-    """Exact values at 0-based ranks among the non-null values of each column, without a sort.
+    """Exact values at 0-based ranks among the non-null values of each column.
 
-    Approximate-then-exact: a ``percentile_approx`` sketch brackets every wanted rank; one
-    counting pass checks each bracket exactly (rows below it, rows and distinct values inside);
-    brackets that still hold too many distinct values are narrowed by another sketch over the
-    bracket only; finally the (value, count) pairs inside every bracket — at most
-    ``BRACKET_MAX_DISTINCT`` each — are collected and the exact rank is read off. Each round is
-    a single aggregation pass; nothing is shuffled beyond tiny aggregates.
-    """
-    ts = [(c, r) for c, rs in targets.items() for r in sorted(set(rs))]
-    lo: dict = {t: None for t in ts}  # None = unbounded
-    hi: dict = {t: None for t in ts}
-    below = {t: 0 for t in ts}
-    inside = {t: ns[t[0]] for t in ts}
-    ready: set = set()
-
-    def in_bracket(t):
-        c = F.col(t[0]).cast("double")
-        cond = c.isNotNull()
-        if lo[t] is not None:
-            cond = cond & (c >= F.lit(lo[t]))
-        if hi[t] is not None:
-            cond = cond & (c <= F.lit(hi[t]))
-        return cond
-
-    for _ in range(MAX_ROUNDS):
-        todo = [t for t in ts if t not in ready]
-        if not todo:
-            break
-        # sketch pass: narrow each open bracket around its rank
-        margin = 3.0 / SKETCH_ACCURACY
-        sk = []
-        for i, t in enumerate(todo):
-            m = max(inside[t], 1)
-            q = (t[1] - below[t] + 0.5) / m
-            probs = F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin)))
-            v = F.when(in_bracket(t), F.col(t[0]).cast("double"))
-            sk.append(F.percentile_approx(v, probs, SKETCH_ACCURACY).alias(f"s{i}"))
-        row = df.agg(*sk).collect()[0]
-        for i, t in enumerate(todo):
-            got = row[f"s{i}"]
-            if got is not None:
-                lo[t], hi[t] = float(got[0]), float(got[1])
-        # counting pass: exact position of each bracket
-        cnt = []
-        for i, t in enumerate(todo):
-            c = F.col(t[0]).cast("double")
-            cnt += [
-                F.count_if(c < F.lit(lo[t])).alias(f"b{i}"),
-                F.count_if(in_bracket(t)).alias(f"n{i}"),
-                F.approx_count_distinct(F.when(in_bracket(t), c), 0.05).alias(f"d{i}"),
-            ]
-        row = df.agg(*cnt).collect()[0]
-        for i, t in enumerate(todo):
-            b, n, dcount = int(row[f"b{i}"]), int(row[f"n{i}"]), int(row[f"d{i}"])
-            if not (b <= t[1] < b + n):  # the sketch missed: reopen the bracket
-                lo[t], hi[t], below[t], inside[t] = None, None, 0, ns[t[0]]
-                continue
-            below[t], inside[t] = b, n
-            if dcount <= BRACKET_MAX_DISTINCT / 1.15 or lo[t] == hi[t]:
-                ready.add(t)
-    else:
-        raise RuntimeError("order statistics did not converge")
-    # collection pass: (target, value, count) inside every bracket, bounded per bracket
-    parts = []
-    for i, t in enumerate(ts):
-        parts.append(df.where(in_bracket(t)).select(F.lit(i).alias("t"), F.col(t[0]).cast("double").alias("v")))
-    u = parts[0]
-    for p_ in parts[1:]:
-        u = u.unionByName(p_)
-    hist: dict[int, list] = {}
-    for r in u.groupBy("t", "v").agg(F.count(F.lit(1)).alias("k")).collect():
-        hist.setdefault(r["t"], []).append((r["v"], int(r["k"])))
-    out = {}
-    for i, t in enumerate(ts):
-        pos = below[t]
-        for v, k in sorted(hist.get(i, [])):
-            if pos <= t[1] < pos + k:
-                out[t] = v
-                break
-            pos += k
-    return out
-
-
-def small_order_statistics(df: DataFrame, targets: dict[str, list[int]]) -> dict[tuple[str, int], float]:
-    """Exact values at 0-based ranks for columns with a checked, bounded distinct count.
-
-    Count rows per (column, value) with partial aggregation, take running counts in a window
-    partitioned by column (one sort per column, at most the checked number of distinct values,
-    spillable), and keep only the values whose rank range covers a wanted rank.
+    One scan counts rows per (column, value), combined map-side; the counts get running totals
+    over (column, value), range-partitioned; the values whose rank range covers a wanted rank are
+    filtered on the executors. The same steps at every size.
     """
     cols = list(targets)
     stack = ", ".join(f"{i}, cast(`{c}` as double)" for i, c in enumerate(cols))
     long = df.selectExpr(f"stack({len(cols)}, {stack}) as (col_id, v)").where(F.col("v").isNotNull())
-    hist = long.groupBy("col_id", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("col_id").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pref = hist.select("col_id", "v", "cnt", (F.sum("cnt").over(w) - F.col("cnt")).alias("b"))
-    cond = F.lit(False)
-    for i, c in enumerate(cols):
-        for r in set(targets[c]):
-            cond = cond | ((F.col("col_id") == i) & (F.col("b") <= r) & (F.lit(r) < F.col("b") + F.col("cnt")))
-    out = {}
-    for row in pref.where(cond).collect():  # at most two rows per wanted rank
-        c = cols[row["col_id"]]
-        for r in targets[c]:
-            if row["b"] <= r < row["b"] + row["cnt"]:
-                out[(c, r)] = row["v"]
-    return out
+    counted = weighted_prefix(long.groupBy("col_id", "v").agg(F.count(F.lit(1)).alias("cnt")), ["col_id", "v"], "cnt", "b")
+    wanted, start = {}, 0
+    for c in cols:  # a column's ranks start behind the values of the columns before it
+        wanted |= {start + r: (c, r) for r in targets[c]}
+        start += ns[c]
+    hit = F.lit(False)
+    for rank in wanted:
+        hit = hit | ((F.col("b") <= rank) & (F.lit(rank) < F.col("b") + F.col("cnt")))
+    found = counted.where(hit).select("v", "b", "cnt").collect()  # at most one row per wanted rank
+    return {key: row["v"] for rank, key in wanted.items() for row in found if row["b"] <= rank < row["b"] + row["cnt"]}
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], stats: dict | None = None,
               fill: dict[str, tuple[float, int]] | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles per column (dict), numpy ``linear`` definition.
 
-    Every quantile is two order statistics. Columns whose distinct count is under a checked
-    bound read them from a per-value running count (``small_order_statistics``); larger columns
-    use ``order_statistics`` (sketch, verify, bounded collection). ``fill`` adds k copies of a
+    Every quantile is two order statistics (``order_statistics``). ``fill`` adds k copies of a
     value m per column (median imputation of k NULLs) first: the sorted column is then values
     < m, every value == m plus the k copies, values > m shifted by k, so each needed rank maps
     back to an original rank or to m.
@@ -242,14 +128,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], stats:
                 if w_[0] == "rank":
                     targets.setdefault(c, []).append(w_[1])
         plans[c] = entries
-    small = small_domain(stats)
-    t_small = {c: r for c, r in targets.items() if c in small}
-    t_large = {c: r for c, r in targets.items() if c not in small}
-    vals: dict[tuple[str, int], float] = {}
-    if t_small:
-        vals.update(small_order_statistics(df, t_small))
-    if t_large:
-        vals.update(order_statistics(df, t_large, {c: stats[c]["n"] for c in t_large}))
+    vals = order_statistics(df, targets, {c: stats[c]["n"] for c in targets}) if targets else {}
     out: dict[str, list[float | None]] = {}
     for c in cols:
         res = []

@@ -2,7 +2,8 @@
 
 Cleaning is two quantile passes whatever the number of columns: medians of every numeric
 column in one distributed pass, then both quartiles of every imputed column in a second.
-The de-duplicated table is checkpointed once and every later step reads it.
+NaN counts as missing. The de-duplicated table is written once, its input rows are counted
+on the way, and later steps read the columns they need from it.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Optional, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DecimalType, NumericType, StringType
+from pyspark.sql.types import DecimalType, NumericType, StringType
 
-from ..functions.dates import DATE_PATTERNS, parse_with
+from ..functions.dates import DATE_PATTERNS, resolved_timestamp
+from ..functions.numeric import without_nan
 from ..functions.ranking import column_stats, quantiles
-from ..session import cut_lineage
+from ..session import stored
 
 # fixed values of the original cleaning rules
 UNKNOWN = "Unknown"
@@ -24,7 +26,7 @@ IQR_FACTOR = 3.0
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, (NumericType, DecimalType, BooleanType))]
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, (NumericType, DecimalType))]
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -34,58 +36,29 @@ def string_columns(df: DataFrame) -> list[str]:
 # ---- dates --------------------------------------------------------------------------------------
 
 
-def detect_date_pattern(df: DataFrame, col: str, patterns: Sequence[str] = DATE_PATTERNS, order_col: Optional[str] = None) -> Column:
-    """The layout to use for a string date column, as a scalar-subquery Column.
-
-    First layout (in list order) that parses every non-null value; otherwise the layout of
-    the first value by ``order_col`` when given, else the layout that parses the most values.
-    One aggregation computes the failure counts of all layouts.
-    """
-    c = F.col(col)
-    aggs = []
-    for i, p in enumerate(patterns):
-        aggs.append(F.count_if(c.isNotNull() & parse_with(c, p).isNull()).alias(f"f{i}"))
-        aggs.append(F.count_if(parse_with(c, p).isNotNull()).alias(f"s{i}"))
-    if order_col is not None:
-        aggs.append(F.min_by(c, F.col(order_col)).alias("_first"))
-    stats = df.where(c.isNotNull()).agg(*aggs)
-    strict = F.lit(None).cast("string")
-    for i in reversed(range(len(patterns))):
-        strict = F.when(F.col(f"f{i}") == 0, F.lit(patterns[i])).otherwise(strict)
-    if order_col is not None:
-        fallback = F.lit(None).cast("string")
-        for i in reversed(range(len(patterns))):
-            fallback = F.when(parse_with(F.col("_first"), patterns[i]).isNotNull(), F.lit(patterns[i])).otherwise(fallback)
-    else:
-        best = F.greatest(*[F.col(f"s{i}") for i in range(len(patterns))])
-        fallback = F.lit(None).cast("string")
-        for i in reversed(range(len(patterns))):
-            fallback = F.when(F.col(f"s{i}") == best, F.lit(patterns[i])).otherwise(fallback)
-    return stats.select(F.coalesce(strict, fallback).alias("pattern")).scalar()
-
-
 def parse_dates(df: DataFrame, col: str, out: Optional[str] = None, patterns: Sequence[str] = DATE_PATTERNS,
-                order_col: Optional[str] = None, drop_invalid: bool = True) -> DataFrame:
-    """Parse a date column with the detected layout; unparseable values become NULL and,
-    with ``drop_invalid``, their rows are dropped (B5, B7). Non-string columns are cast."""
+                order_col: Optional[str] = None, drop_invalid: bool = True, keep_time: bool = False) -> DataFrame:
+    """Parse a date column with the layout found for it; unparseable values become NULL and,
+    with ``drop_invalid``, their rows are dropped (B5, B7). Dates and timestamps are taken as they
+    are. The result is a DATE, or with ``keep_time`` a TIMESTAMP unless the column holds dates."""
     out = out or col
-    dt = df.schema[col].dataType
-    if isinstance(dt, StringType):
-        pat = detect_date_pattern(df, col, patterns, order_col)
-        expr = F.lit(None).cast("timestamp")
-        for p in reversed(list(patterns)):
-            expr = F.when(pat == p, parse_with(F.col(col), p)).otherwise(expr)
-        parsed = F.to_date(expr)
+    kind = df.schema[col].dataType
+    if isinstance(kind, StringType):
+        parsed = resolved_timestamp(df, col, patterns, order_col)
     else:
-        parsed = F.col(col).cast("date")
-    res = df.withColumn(out, parsed)
+        parsed = F.col(col).cast("timestamp" if kind.simpleString().startswith("timestamp") else "date")
+    res = df.withColumn(out, parsed if keep_time else F.to_date(parsed))
     return res.where(F.col(out).isNotNull()) if drop_invalid else res
 
 
 def coerce_dates(df: DataFrame, col: str, pattern: Optional[str] = None, out: Optional[str] = None) -> DataFrame:
-    """Parse with one layout (or Spark's default one); failures become NULL, never an error."""
-    c = F.col(col).cast("string")
-    parsed = F.try_to_timestamp(c, F.lit(pattern)) if pattern else F.try_to_timestamp(c)
+    """Parse with one layout, or the one found for the column; values that fail become NULL."""
+    if pattern:
+        parsed = F.try_to_timestamp(F.col(col).cast("string"), F.lit(pattern))
+    elif isinstance(df.schema[col].dataType, StringType):
+        parsed = resolved_timestamp(df, col)
+    else:
+        parsed = F.col(col)
     return df.withColumn(out or col, F.to_date(parsed))
 
 
@@ -109,11 +82,14 @@ class Cleaned:
 def clean(df: DataFrame) -> Cleaned:
     """Dedupe, median-fill numbers, 'Unknown'-fill strings, cap at Q1-3·IQR / Q3+3·IQR.
 
-    Numeric columns come out as double. The report has rows (issue, column, n).
+    Numeric columns come out as double; booleans are neither numbers nor strings and stay as they
+    are. The report has rows (issue, column, n).
     """
     num = numeric_columns(df)
     txt = string_columns(df)
-    deduped = cut_lineage(dedupe(df))
+    counted = Observation()
+    deduped = stored(dedupe(without_nan(df).observe(counted, F.count(F.lit(1)).alias("rows"))))
+    raw_rows = int(counted.get["rows"])
     # one pass: counts and approximate distinct counts pick each column's exact-quantile path;
     # quartiles of an imputed column are read from the original values plus the median copies
     stats = column_stats(deduped, num)
@@ -147,7 +123,7 @@ def clean(df: DataFrame) -> Cleaned:
         return F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)).alias(c)
 
     cleaned = filled.select(*[cap(c) if c in num else F.col(c) for c in filled.columns])
-    report = _report(df, deduped, imputed, num, txt, bounds)
+    report = _report(raw_rows, deduped, imputed, num, txt, bounds)
     return Cleaned(deduped, imputed, filled, cleaned, report)
 
 
@@ -160,21 +136,16 @@ def _stack(df: DataFrame, issue: str, cols: list[str]) -> DataFrame:
     return df.selectExpr(f"stack({len(cols)}, {body}) as (column, n)").select(F.lit(issue).alias("issue"), "column", "n")
 
 
-def _report(raw: DataFrame, deduped: DataFrame, imputed: DataFrame, num: list[str], txt: list[str], bounds: dict) -> DataFrame:
-    n_raw = raw.agg(F.count(F.lit(1)).cast("bigint").alias("original_rows"))
+def _report(raw_rows: int, deduped: DataFrame, imputed: DataFrame, num: list[str], txt: list[str], bounds: dict) -> DataFrame:
     miss = deduped.agg(
         F.count(F.lit(1)).cast("bigint").alias("__rows"),
         *[(F.count(F.lit(1)) - F.count(F.col(c))).cast("bigint").alias(c) for c in num + txt],
     )
     capped = [c for c in num if c in bounds]
     outl = imputed.agg(*[F.count_if((F.col(c) < bounds[c][0]) | (F.col(c) > bounds[c][1])).alias(c) for c in capped]) if capped else None
-    rows = n_raw.selectExpr("'original_rows' as issue", "'*' as column", "original_rows as n")
+    rows = miss.selectExpr("'original_rows' as issue", "'*' as column", f"{raw_rows}L as n")
     rows = rows.unionByName(miss.selectExpr("'final_rows' as issue", "'*' as column", "__rows as n"))
-    rows = rows.unionByName(
-        n_raw.select(F.col("original_rows").alias("n")).unionByName(miss.select((-F.col("__rows")).alias("n")))
-        .agg(F.sum("n").cast("bigint").alias("n"))
-        .selectExpr("'duplicates_removed' as issue", "'*' as column", "n")
-    )
+    rows = rows.unionByName(miss.selectExpr("'duplicates_removed' as issue", "'*' as column", f"{raw_rows}L - __rows as n"))
     rows = rows.unionByName(_stack(miss, "missing_filled_median", num)).unionByName(_stack(miss, "missing_filled_unknown", txt))
     if outl is not None:
         rows = rows.unionByName(_stack(outl, "outliers_capped", capped))

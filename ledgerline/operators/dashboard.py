@@ -8,6 +8,7 @@ partial row per task, not a skewed shuffle.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Iterable, Optional
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,20 +17,16 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_label
 from ..functions.numeric import round_to, safe_ratio
 from ..functions.roles import Roles
+from ..session import stored
+from .series import as_date
 
 # fixed value: profit share assumed when neither profit nor cost is present
 FALLBACK_PROFIT_SHARE = 0.2
 
 
 def _date(df: DataFrame, roles: Roles) -> Column:
-    """The date role as DATE (strings are coerced; failures are NULL)."""
-    dt = df.schema[roles.date].dataType.simpleString()
-    c = F.col(roles.date)
-    if dt == "date":
-        return c
-    if dt.startswith("timestamp"):
-        return c.cast("date")
-    return F.to_date(F.try_to_timestamp(c.cast("string")))
+    """The date role as DATE (strings by the layout found for the column; failures are NULL)."""
+    return as_date(df, roles.date)
 
 
 def _sum(c: Column) -> Column:
@@ -52,6 +49,11 @@ def kpi_totals(df: DataFrame, roles: Roles) -> DataFrame:
         F.coalesce(_sum(profit_expr(roles)), F.lit(0.0)).alias("prof"),
         F.count(F.lit(1)).alias("total_orders"),
     )
+    return kpi_figures(agg)
+
+
+def kpi_figures(agg: DataFrame) -> DataFrame:
+    """The five key figures of a (rev, prof, total_orders) row."""
     return agg.select(
         round_to("rev", 2).alias("total_revenue"),
         round_to("prof", 2).alias("total_profit"),
@@ -103,6 +105,11 @@ def _ranked(df: DataFrame, key: str, ascending: bool, n: int) -> DataFrame:
     )
 
 
+def ranked_products(bundle: DataFrame, n: int, best: bool) -> DataFrame:
+    """n best or weakest products from the bundle's product rows (key, revenue)."""
+    return _ranked(bundle.select(F.col("key").alias("_k"), "revenue"), "product", not best, n)
+
+
 def top_products(df: DataFrame, roles: Roles, n: int = 10) -> DataFrame:
     """n best products by revenue, ties by product key (F1)."""
     return _ranked(revenue_by(df, roles.product, roles.revenue, "_k"), "product", False, n)
@@ -133,7 +140,11 @@ def revenue_growth(df: DataFrame, roles: Roles) -> DataFrame:
     The monthly table is bounded by the calendar, so its global window is cheap; the final
     global aggregate always returns exactly one row, also for an empty input.
     """
-    m = monthly_revenue(df, roles)
+    return growth_of_months(monthly_revenue(df, roles))
+
+
+def growth_of_months(m: DataFrame) -> DataFrame:
+    """Growth in % from (month, revenue) rows."""
     w = Window.orderBy("month")
     wd = Window.orderBy(F.col("month").desc())
     m2 = m.select(
@@ -238,12 +249,17 @@ def report_rows(df: DataFrame, roles: Roles, top_n: int = 10) -> DataFrame:
         ("Profit Margin %", "profit_margin"),
     ]
     stack = ", ".join(f"{i + 1}L, '{lab}', cast({col} as double)" for i, (lab, col) in enumerate(labels))
-    kpis = kpi_totals(df, roles).selectExpr(f"stack({len(labels)}, {stack}) as (line, label, value)")
-    growth = revenue_growth(df, roles).select(
+    # one aggregation for every line
+    bundle = stored(dashboard_bundle(df, replace(roles, region=None, category=None)))
+    total = bundle.where("dim = 'total'").select(
+        F.coalesce("revenue", F.lit(0.0)).alias("rev"), F.coalesce("profit", F.lit(0.0)).alias("prof"), F.col("n_rows").alias("total_orders")
+    )
+    kpis = kpi_figures(total).selectExpr(f"stack({len(labels)}, {stack}) as (line, label, value)")
+    growth = growth_of_months(bundle.where("dim = 'month'").select(F.col("key").alias("month"), "revenue")).select(
         F.lit(6).cast("bigint").alias("line"), F.lit("Revenue Growth %").alias("label"), F.col("revenue_growth").alias("value")
     )
     kpis = kpis.unionByName(growth).withColumn("section", F.lit("kpi"))
-    prods = top_products(df, roles, top_n).select(
+    prods = ranked_products(bundle.where("dim = 'product'"), top_n, best=True).select(
         F.lit("top_products").alias("section"),
         F.col("product").alias("label"),
         F.col("revenue").alias("value"),

@@ -7,7 +7,7 @@ from typing import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...session import cut_lineage
+from ...session import stored
 from .gbt import gbt_forecast
 from .grouped import ForecastResult
 from .models import arima_forecast, ridge_forecast, sequence_forecast, trend_forecast
@@ -26,29 +26,30 @@ DEFAULT_COMPARE = ["linear", "xgboost", "arima", "prophet"]
 def train_model(ts: DataFrame, model_type: str, series_cols: Sequence[str] = (), horizon: int = 30, **kw) -> ForecastResult:
     """Name -> trainer; unknown names (also 'ensemble', which has no trainer) are rejected."""
     if model_type not in TRAINERS:
-        raise ValueError(f"Unknown model type: {model_type}. Available: {list(TRAINERS)}")
+        raise ValueError(f"no trainer named {model_type!r}; there are {', '.join(TRAINERS)}")
     return TRAINERS[model_type](ts, series_cols, horizon, **kw)
 
 
 def compare_models(ts: DataFrame, models: Sequence[str] = DEFAULT_COMPARE, series_cols: Sequence[str] = (), horizon: int = 30) -> DataFrame:
     """Metrics of every requested model per series; failures stay as rows (status 'failed').
 
-    The series is materialised once (checkpoint) and every model reads it. Output:
+    The series is written once and every model reads it; each model is fitted once. Output:
     series..., model, request_pos, status, mae, rmse, r2, mape, error, best_model.
     """
     s = list(series_cols)
     spark = ts.sparkSession
-    base = cut_lineage(ts)
+    base = stored(ts)
     keys = base.select(*s).distinct() if s else None
     parts = []
     for pos, name in enumerate(models):
         try:
             res = train_model(base, name, s, horizon)
+            res.records = stored(res.records)  # small; metrics and errors both read it, the model is fitted once
             ok = res.metrics.select(*s, "model", F.lit("success").alias("status"), "mae", "rmse", "r2", "mape", F.lit(None).cast("string").alias("error"))
             bad = res.errors.select(*s, "model", F.lit("failed").alias("status"), *[F.lit(None).cast("double").alias(c) for c in ("mae", "rmse", "r2", "mape")], "error")
             part = ok.unionByName(bad)
         except Exception as e:  # a model that cannot run at all fails for every series
-            msg = f"{type(e).__name__}: {e}"[:1000]
+            msg = f"{type(e).__name__}: {e}"
             src = keys if keys is not None else spark.range(1)
             part = src.select(
                 *s, F.lit(name).alias("model"), F.lit("failed").alias("status"),

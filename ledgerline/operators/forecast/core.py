@@ -1,46 +1,37 @@
-"""Per-series numerical kernels used inside grouped pandas maps.
+"""Ridge and the recursive rollout, on one series at a time.
 
-A rolled-up series has one row per day, so it is bounded by the calendar, not by the data
-volume; Spark runs one task per series and spreads series over the cluster. Everything here
-is plain numpy on one series.
+A rolled-up series has one row per day, so it is bounded by the calendar, not by the data volume;
+Spark spreads series over the cluster. Calendar features of past and future days come from
+``functions.dates`` on the executors' JVM; here only the lag and rolling features of a day not seen
+yet are made, from a state of the last 30 values.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from typing import Callable, Iterable, Sequence
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from ...functions.dates import CALENDAR_FEATURES, FEATURES, LAGS, ROLLING_WINDOWS
+from ...functions.dates import CALENDAR_FEATURES, LAGS, ROLLING_WINDOWS
 
 # fixed values of the original forecasters
 Z95 = 1.96
 INTERVAL_WINDOW = 30
 SHORT_HISTORY_SHARE = 0.1
+TRAIN_SHARE = 0.8
 
 
-def calendar_matrix(dates: pd.Series | pd.DatetimeIndex) -> np.ndarray:
-    """The 15 calendar features for each date, in ``CALENDAR_FEATURES`` order."""
-    d = pd.DatetimeIndex(pd.to_datetime(dates))
-    dow = d.dayofweek.to_numpy()
-    month = d.month.to_numpy()
-    cols = {
-        "day_of_week": dow,
-        "day_of_month": d.day.to_numpy(),
-        "week_of_year": d.isocalendar().week.to_numpy().astype(int),
-        "month": month,
-        "quarter": d.quarter.to_numpy(),
-        "year": d.year.to_numpy(),
-        "is_weekend": (dow >= 5).astype(int),
-        "is_month_start": d.is_month_start.astype(int),
-        "is_month_end": d.is_month_end.astype(int),
-        "is_quarter_start": d.is_quarter_start.astype(int),
-        "day_of_year": d.dayofyear.to_numpy(),
-        "month_sin": np.sin(2 * np.pi * month / 12),
-        "month_cos": np.cos(2 * np.pi * month / 12),
-        "dow_sin": np.sin(2 * np.pi * dow / 7),
-        "dow_cos": np.cos(2 * np.pi * dow / 7),
-    }
-    return np.column_stack([np.asarray(cols[c], dtype=float) for c in CALENDAR_FEATURES])
+def with_future(ts: DataFrame, series_cols: Sequence[str], horizon: int) -> DataFrame:
+    """The series and ``horizon`` more days after each one's last, with NULL ``y`` and ``is_future``."""
+    last = F.lead("ds").over(Window.partitionBy(*series_cols).orderBy("ds")).isNull()
+    days = F.when(F.col("_last"), F.sequence(F.col("ds"), F.date_add("ds", int(horizon)))).otherwise(F.array("ds"))
+    rows = ts.withColumn("_last", last).select(*series_cols, "y", F.posexplode(days).alias("_pos", "ds"))
+    is_future = F.col("_pos") > 0
+    return rows.select(*series_cols, "ds", F.when(~is_future, F.col("y")).alias("y"), is_future.alias("is_future"))
 
 
 class Ridge:
@@ -64,45 +55,72 @@ class Ridge:
         return ((X - self.mu) / self.sd) @ self.coef + self.y0
 
 
-def lag_row(history: list[float]) -> list[float]:
-    """Lag and rolling features of the next step from the history (rollout rules:
-    a missing lag is the mean of the last 30 values; rolling std is the population std,
-    0 while the history is shorter than the window)."""
-    h = np.asarray(history, dtype=float)
-    row = []
-    for k in LAGS:
-        row.append(h[-k] if k <= len(h) else float(np.mean(h[-30:])))
-    for w in ROLLING_WINDOWS:
-        row.append(float(np.mean(h[-w:])))
-        row.append(float(np.std(h[-w:])) if len(h) >= w else 0.0)
-    return row
-
-
-def interval(history: list[float], pred: float) -> tuple[float, float]:
-    """pred ± 1.96·std(last 30 incl. pred), lower bound clamped at 0."""
-    if len(history) >= INTERVAL_WINDOW:
-        s = float(np.std(history[-INTERVAL_WINDOW:]))
-    else:
-        s = pred * SHORT_HISTORY_SHARE
-    return max(0.0, pred - Z95 * s), pred + Z95 * s
-
-
-def rollout(predict_one, history: list[float], last_date: pd.Timestamp, horizon: int) -> pd.DataFrame:
-    """Recursive daily forecast (M7): each step feeds its prediction back as history."""
-    hist = list(history)
-    rows = []
-    for i in range(horizon):
-        day = last_date + pd.Timedelta(days=i + 1)
-        x = np.concatenate([calendar_matrix([day])[0], np.asarray(lag_row(hist))])
-        pred = max(0.0, float(predict_one(x)))
-        hist.append(pred)
-        lo, hi = interval(hist, pred)
-        rows.append((day.date(), pred, lo, hi))
-    return pd.DataFrame(rows, columns=["date", "predicted", "lower_bound", "upper_bound"])
-
-
-def split_point(n: int, frac: float = 0.8) -> int:
-    return int(n * frac)
+class Recent:
+    """The newest values of a series, with the sum and sum of squares of every rolling window.
+
+    A push adds the new value to each window's sums and takes out the one that leaves it, so the
+    state is 30 numbers and a step costs the same whatever the history.
+    """
+
+    WIDTHS = sorted({*ROLLING_WINDOWS, INTERVAL_WINDOW})
+
+    def __init__(self, values: Iterable[float]):
+        self.values: deque[float] = deque(maxlen=max(*LAGS, *self.WIDTHS))
+        self.seen = 0
+        self.total = dict.fromkeys(self.WIDTHS, 0.0)
+        self.squares = dict.fromkeys(self.WIDTHS, 0.0)
+        for v in values:
+            self.push(float(v))
+
+    def push(self, v: float) -> None:
+        for w in self.WIDTHS:
+            gone = self.values[-w] if len(self.values) >= w else 0.0
+            self.total[w] += v - gone
+            self.squares[w] += v * v - gone * gone
+        self.values.append(v)
+        self.seen += 1
+
+    def mean(self, w: int) -> float:
+        return self.total[w] / min(w, self.seen) if self.seen else 0.0
+
+    def std(self, w: int) -> float:
+        """Population std of a full window, 0 before it is full."""
+        return float(np.sqrt(max(0.0, self.squares[w] / w - self.mean(w) ** 2))) if self.seen >= w else 0.0
+
+    def features(self) -> list[float]:
+        """Lags (one that is missing is the 30-value mean), then mean and std per rolling window."""
+        lags = [self.values[-k] if self.seen >= k else self.mean(INTERVAL_WINDOW) for k in LAGS]
+        return lags + [f(w) for w in ROLLING_WINDOWS for f in (self.mean, self.std)]
+
+    def band(self) -> tuple[float, float]:
+        """95 % interval around the newest value from the spread of the last 30; the lower end is
+        at least 0 (M8, E10). Before 30 values the spread is a fixed share of the value."""
+        centre = self.values[-1]
+        spread = self.std(INTERVAL_WINDOW) if self.seen >= INTERVAL_WINDOW else SHORT_HISTORY_SHARE * centre
+        return max(0.0, centre - Z95 * spread), centre + Z95 * spread
 
 
-assert len(FEATURES) == 25
+def rollout(days: pd.DataFrame, recent: Recent, next_value: Callable[[pd.Series, Recent], float]) -> pd.DataFrame:
+    """Future points of ``days`` (M7): every value, not under 0, becomes history for the next."""
+
+    def step(day) -> tuple:
+        recent.push(max(0.0, float(next_value(day, recent))))
+        return (day["ds"], recent.values[-1], *recent.band())
+
+    found = [step(day) for _, day in days.iterrows()]
+    out = pd.DataFrame(found, columns=["date", "predicted", "lower_bound", "upper_bound"])
+    return out.assign(date=pd.to_datetime(out["date"]).dt.date)
+
+
+def by_features(predict: Callable[[np.ndarray], np.ndarray], extra: Sequence[float] = ()) -> Callable[[pd.Series, Recent], float]:
+    """Next value from a model over calendar, lag and rolling features (and ``extra`` ones behind)."""
+
+    def next_value(day: pd.Series, recent: Recent) -> float:
+        row = [*day[CALENDAR_FEATURES].astype(float), *recent.features(), *extra]
+        return predict(np.array([row]))[0]
+
+    return next_value
+
+
+def split_point(n: int, frac: float = TRAIN_SHARE) -> int:
+    return int(n * frac)

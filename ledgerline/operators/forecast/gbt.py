@@ -1,32 +1,39 @@
-"""Boosted-tree forecast (M3) with Spark ML, early stopping by prefix choice, and a
-step-synchronous recursive rollout for all series at once (M7, M8).
-
-Training is Spark's distributed ``GBTRegressor`` over the feature table (series key as an
-indexed feature when there are many series). Spark has no patience-based early stopping, so
-the model is fitted once with ``max_iter`` trees, ``evaluateEachIteration`` scores every prefix
-on a validation tail held out from training, the patience rule picks the prefix, and a refit
-with that many trees (same seed: the refit equals the prefix) gives the final model.
+"""Boosted-tree forecast (M3) with Spark ML, early stopping by prefix choice, and a rollout of
+all series in one grouped map (M7, M8).
+
+Training is Spark's distributed ``GBTRegressor`` over the feature table; with several series, each
+one's mean over its training rows is a numeric feature, so any number of series fits. Spark has
+no patience-based early stopping: the model is fitted once with ``max_iter`` trees,
+``evaluateEachIteration`` scores every prefix on a validation tail, the patience rule picks the
+number of trees, and a fit with that many trees on all training rows gives the final model.
+
+The rollout reads the trees as a table of nodes (at most trees x 2 ** (depth + 1), whatever the
+input) and feeds every series' own predictions back on the executors, 30 values of state each.
 """
 
 from __future__ import annotations
 
 import math
 from typing import Sequence
+from uuid import uuid4
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ...functions.dates import FEATURES, LAGS, ROLLING_WINDOWS, calendar_columns
-from ...session import cut_lineage
-from ..series import chrono_split, feature_table
-from .core import INTERVAL_WINDOW, SHORT_HISTORY_SHARE, Z95
-from .grouped import POINT_COLS, RECORD_COLS, ForecastResult
+from ...functions.dates import CALENDAR_FEATURES, FEATURES
+from ...session import ensure_checkpoint_dir, ship_package, stored
+from ..series import chrono_split, feature_table, with_calendar
+from .core import Recent, by_features, rollout, with_future
+from .grouped import RECORD_COLS, RECORD_FIELDS, ForecastResult, run_per_series
 
-# fixed values: tree settings of the original forecaster (it used 300 trees at rate 0.05)
+# fixed values: tree settings of the original forecaster
 DEPTH, SUBSAMPLE, COLSAMPLE, SEED, PATIENCE = 6, 0.8, 0.8, 42, 20
-HIST = max(max(LAGS), max(ROLLING_WINDOWS), INTERVAL_WINDOW)
+TREES, RATE = 300, 0.05
+LEVEL = "series_level"
 
 
 def early_stop_prefix(losses: list[float], patience: int = PATIENCE) -> int:
@@ -40,112 +47,104 @@ def early_stop_prefix(losses: list[float], patience: int = PATIENCE) -> int:
     return best_i + 1
 
 
-def _mean(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / F.size(arr)
-
-
-def _pop_std(arr: Column) -> Column:
-    m = _mean(arr)
-    return F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(arr))
-
-
-def _step_features(hist: Column) -> list[Column]:
-    """Lag / rolling features of the next step from the kept history (rollout rules)."""
-    cols = []
-    for k in LAGS:
-        cols.append(F.when(F.size(hist) >= k, F.element_at(hist, -k)).otherwise(_mean(F.slice(hist, -30, 30))).alias(f"lag_{k}"))
-    for w in ROLLING_WINDOWS:
-        win = F.slice(hist, -w, w)
-        cols.append(_mean(win).alias(f"rolling_mean_{w}"))
-        cols.append(F.when(F.size(hist) >= w, _pop_std(win)).otherwise(F.lit(0.0)).alias(f"rolling_std_{w}"))
-    return cols
+class Trees:
+    """The nodes of a fitted model as arrays; predicts many rows without Spark."""
+
+    def __init__(self, model: GBTRegressionModel):
+        session = SparkSession.active()
+        path = f"{ensure_checkpoint_dir(session)}/trees-{uuid4().hex}"
+        model.save(path)
+        nodes = session.read.parquet(f"{path}/data")
+        flat = nodes.select(
+            "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
+            F.col("nodeData.split.featureIndex").alias("feature"),
+            F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+        ).orderBy("treeID", "id").toPandas()
+        start = flat.groupby("treeID").cumcount().eq(0).to_numpy().nonzero()[0]
+        base = np.repeat(start, np.diff(np.append(start, len(flat))))
+        own = np.arange(len(flat))
+        leaf = flat["leftChild"].to_numpy() < 0
+        self.root, self.weight = start, np.array(model.treeWeights)
+        self.left = np.where(leaf, own, base + flat["leftChild"].to_numpy())
+        self.right = np.where(leaf, own, base + flat["rightChild"].to_numpy())
+        self.feature = np.where(leaf, 0, flat["feature"].to_numpy())
+        self.threshold = flat["threshold"].fillna(0.0).to_numpy(dtype=float)
+        self.value = flat["prediction"].to_numpy(dtype=float)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        at = np.broadcast_to(self.root, (len(x), len(self.root)))
+        rows = np.arange(len(x))[:, None]
+        for _ in range(DEPTH):
+            at = np.where(x[rows, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+        return self.value[at] @ self.weight
+
+
+def _records(df: DataFrame, s: list[str], kinds: dict[str, str]) -> DataFrame:
+    return df.select(*s, *[F.col(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in RECORD_COLS])
 
 
 def gbt_forecast(
-    ts: DataFrame, series_cols: Sequence[str] = (), horizon: int = 30, max_iter: int = 60,
-    step_size: float = 0.1, validation_frac: float = 0.1, patience: int = PATIENCE,
+    ts: DataFrame, series_cols: Sequence[str] = (), horizon: int = 30, max_iter: int = TREES,
+    step_size: float = RATE, validation_frac: float = 0.1, patience: int = PATIENCE,
 ) -> ForecastResult:
+    """Points, importances, metrics and errors; series too short for the features get an error row."""
     s = list(series_cols)
     spark = ts.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in RECORD_FIELDS}
+    ts = stored(ts)
     ft = chrono_split(feature_table(ts, s), s)
     inputs = list(FEATURES)
     if s:
-        ft = ft.withColumn("_series_key", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in s]))
-        ft = StringIndexer(inputCol="_series_key", outputCol="series_idx").fit(ft).transform(ft)
-        inputs.append("series_idx")
+        level = F.avg(F.when(F.col("is_train"), F.col("y"))).over(Window.partitionBy(*s))
+        ft = ft.withColumn(LEVEL, F.coalesce(level, F.lit(0.0)))
+        inputs.append(LEVEL)
     w = Window.partitionBy(*s).orderBy("ds")
     n_train = F.count_if(F.col("is_train")).over(Window.partitionBy(*s))
-    ft = ft.withColumn("_is_val", F.col("is_train") & (F.row_number().over(w) > F.floor(n_train * (1 - validation_frac))))
-    ft = cut_lineage(VectorAssembler(inputCols=inputs, outputCol="features").transform(ft))
+    ft = stored(ft.withColumn("_is_val", F.col("is_train") & (F.row_number().over(w) > F.floor(n_train * (1 - validation_frac)))))
+    rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(ft)
 
-    def est(n: int) -> GBTRegressor:
+    def fit(n: int, data: DataFrame) -> GBTRegressionModel:
         return GBTRegressor(
             labelCol="y", featuresCol="features", maxIter=n, stepSize=step_size, maxDepth=DEPTH,
             subsamplingRate=SUBSAMPLE, featureSubsetStrategy=str(COLSAMPLE), seed=SEED,
-        )
-
-    fit_rows = ft.where(F.col("is_train") & ~F.col("_is_val"))
-    probe = est(max_iter).fit(fit_rows)
-    losses = probe.evaluateEachIteration(ft.where("_is_val"), "squared")  # max_iter numbers
-    n_trees = early_stop_prefix(list(losses), patience)
-    model = est(n_trees).fit(ft.where("is_train"))
-
-    test = model.transform(ft.where(~F.col("is_train")))
-    hist_pts = test.select(
-        *s, F.col("ds").alias("date"), F.col("prediction").alias("predicted"),
-        F.lit(None).cast("double").alias("lower_bound"), F.lit(None).cast("double").alias("upper_bound"),
-        F.col("y").alias("actual"), F.lit(False).alias("is_future"),
-    )
+        ).fit(data)
 
-    # rollout state: last date, total history length, last HIST values per series
-    hw = Window.partitionBy(*s).orderBy(F.col("ds").desc())
-    state = (
-        ft.select(*s, "ds", "y", *(["series_idx"] if s else []), F.row_number().over(hw).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy(*s)).alias("_n"))
-        .where(F.col("_r") <= HIST)
-        .groupBy(*s, *(["series_idx"] if s else []))
-        .agg(F.max("ds").alias("ds"), F.max("_n").alias("n_hist"), F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("_h"))
-        .select(*s, *(["series_idx"] if s else []), "ds", "n_hist", F.col("_h.y").alias("hist"))
-    )  # at most HIST values per series
-    state = cut_lineage(state)
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
-    steps = []
-    for _ in range(horizon):
-        nxt = state.select(*s, *(["series_idx"] if s else []), F.date_add("ds", 1).alias("ds"), "n_hist", "hist")
-        feats = nxt.select("*", *calendar_columns("ds"), *_step_features(F.col("hist")))
-        pred = model.transform(assembler.transform(feats)).select(
-            *s, *(["series_idx"] if s else []), "ds", "n_hist", "hist", F.greatest(F.lit(0.0), F.col("prediction")).alias("p")
-        )
-        newh = F.concat(F.col("hist"), F.array(F.col("p")))
-        sd = F.when(F.col("n_hist") + 1 >= INTERVAL_WINDOW, _pop_std(F.slice(newh, -INTERVAL_WINDOW, INTERVAL_WINDOW))).otherwise(F.col("p") * SHORT_HISTORY_SHARE)
-        out = cut_lineage(pred.select(
-            *s, *(["series_idx"] if s else []), "ds", (F.col("n_hist") + 1).alias("n_hist"),
-            F.slice(newh, -HIST, HIST).alias("hist"), "p", sd.alias("_sd"),
-        ))
-        steps.append(out.select(
-            *s, F.col("ds").alias("date"), F.col("p").alias("predicted"),
-            F.greatest(F.lit(0.0), F.col("p") - Z95 * F.col("_sd")).alias("lower_bound"),
-            (F.col("p") + Z95 * F.col("_sd")).alias("upper_bound"),
-            F.lit(None).cast("double").alias("actual"), F.lit(True).alias("is_future"),
-        ))
-        state = out.drop("p", "_sd")
-    points = hist_pts
-    for st in steps:
-        points = points.unionByName(st)
-    recs = points.select(*s, F.lit("xgboost").alias("model"), F.lit("point").alias("record"), *POINT_COLS)
-    recs = recs.select(*s, *[F.col(c) if c in recs.columns else F.lit(None).cast(_type(c)).alias(c) for c in RECORD_COLS])
-    imp = sorted(zip(inputs, model.featureImportances.toArray().tolist()), key=lambda t: -t[1])[:10]
-    # model metadata (10 rows): one model serves all series, so its importances carry no key
-    imp_df = spark.createDataFrame([(f, float(v)) for f, v in imp], "feature string, importance double")
-    irec = imp_df.select(*[F.lit(None).cast(ts.schema[c].dataType).alias(c) for c in s],
-                         F.lit("xgboost").alias("model"), F.lit("importance").alias("record"), "feature", "importance")
-    irec = irec.select(*s, *[F.col(c) if c in irec.columns else F.lit(None).cast(_type(c)).alias(c) for c in RECORD_COLS])
-    out = ForecastResult(recs.unionByName(irec), s)
+    probe = fit(max_iter, rows.where(F.col("is_train") & ~F.col("_is_val")))
+    losses = probe.evaluateEachIteration(rows.where("_is_val"), "squared")  # max_iter numbers
+    model = fit(early_stop_prefix(list(losses), patience), rows.where("is_train"))
+
+    held_out = model.transform(rows.where(~F.col("is_train"))).select(
+        *s, F.lit("xgboost").alias("model"), F.lit("point").alias("record"), F.col("ds").alias("date"),
+        F.col("prediction").alias("predicted"), F.col("prediction").alias("raw"), F.col("y").alias("actual"),
+        F.lit(False).alias("is_future"),
+    )
+    trees = Trees(model)
+    day_cols = ["ds", "y", "is_future", *CALENDAR_FEATURES]
+    days = with_calendar(with_future(ts, s, horizon)).select(*s, *day_cols)
+    if s:
+        days = days.join(ft.select(*s, LEVEL).distinct(), s, "left")
+
+    def future(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf.loc[~pdf["is_future"], "y"]
+        level = list(pdf[LEVEL].iloc[:1]) if LEVEL in pdf else []
+        if len(known) <= 30 or any(pd.isna(v) for v in level):
+            raise ValueError(f"series too short for the features: {len(known)} rows")
+        rolled = rollout(pdf[pdf["is_future"]], Recent(known), by_features(trees.predict, level))
+        return rolled.assign(record="point", raw=rolled["predicted"], is_future=True)
+
+    ship_package(spark)
+    ahead = run_per_series(days, s, "xgboost", future).records
+    # ten rows of model metadata: one model serves all series, so its importances carry no key
+    best = sorted(zip(inputs, model.featureImportances.toArray().tolist()), key=lambda t: -t[1])[:10]
+    weights = spark.createDataFrame([(f, float(v)) for f, v in best], "feature string, importance double").select(
+        *[F.lit(None).cast(ts.schema[c].dataType).alias(c) for c in s],
+        F.lit("xgboost").alias("model"), F.lit("importance").alias("record"), "feature", "importance",
+    )
+    out = ForecastResult(
+        _records(held_out, s, kinds).unionByName(ahead).unionByName(_records(weights, s, kinds)), s
+    )
     out.model = model  # the fitted Spark ML model, for saving (A12)
     return out
 
 
-def _type(c: str) -> str:
-    return {"date": "date", "is_future": "boolean", "model": "string", "record": "string", "feature": "string", "error": "string"}.get(c, "double")
-
-
-__all__ = ["gbt_forecast", "early_stop_prefix"]
+__all__ = ["gbt_forecast", "early_stop_prefix", "Trees"]

@@ -1,8 +1,8 @@
 """Run a per-series forecaster as one grouped pandas map and split its output.
 
 Output records of every forecaster share one schema:
-series..., model, record ('point' | 'importance' | 'error'), date, predicted, lower_bound,
-upper_bound, actual, is_future, feature, importance, error.
+series..., model, record ('point' | 'importance' | 'coefficient' | 'error'), date, predicted, lower_bound,
+upper_bound, actual, raw (the prediction before it is cut at 0), is_future, feature, importance, error.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ RECORD_FIELDS = [
     StructField("lower_bound", DoubleType()),
     StructField("upper_bound", DoubleType()),
     StructField("actual", DoubleType()),
+    StructField("raw", DoubleType()),
     StructField("is_future", BooleanType()),
     StructField("feature", StringType()),
     StructField("importance", DoubleType()),
@@ -35,7 +36,7 @@ RECORD_COLS = [f.name for f in RECORD_FIELDS]
 POINT_COLS = ["date", "predicted", "lower_bound", "upper_bound", "actual", "is_future"]
 
 
-def points_frame(dates, predicted, actual=None, lower=None, upper=None, future=False) -> pd.DataFrame:
+def points_frame(dates, predicted, actual=None, lower=None, upper=None, future=False, raw=None) -> pd.DataFrame:
     n = len(dates)
     return pd.DataFrame({
         "record": "point",
@@ -44,14 +45,28 @@ def points_frame(dates, predicted, actual=None, lower=None, upper=None, future=F
         "lower_bound": pd.Series([None] * n if lower is None else lower, dtype="float64").to_numpy(),
         "upper_bound": pd.Series([None] * n if upper is None else upper, dtype="float64").to_numpy(),
         "actual": pd.Series([None] * n if actual is None else actual, dtype="float64").to_numpy(),
+        "raw": pd.Series(predicted if raw is None else raw, dtype="float64").to_numpy(),
         "is_future": future,
     })
 
 
+def future_points(rolled: pd.DataFrame) -> pd.DataFrame:
+    return points_frame(
+        rolled["date"], rolled["predicted"], lower=rolled["lower_bound"], upper=rolled["upper_bound"], future=True
+    )
+
+
 def importance_frame(items: dict[str, float]) -> pd.DataFrame:
     return pd.DataFrame({"record": "importance", "feature": list(items), "importance": [float(v) for v in items.values()]})
 
 
+def coefficient_frame(features: Sequence[str], coef, intercept: float) -> pd.DataFrame:
+    """Coefficients on unscaled features, the intercept last; the value is in ``importance``."""
+    return pd.DataFrame({
+        "record": "coefficient", "feature": [*features, "intercept"], "importance": [*map(float, coef), intercept],
+    })
+
+
 @dataclass
 class ForecastResult:
     """points (historical test points + future points), importances, metrics, errors."""
@@ -68,14 +83,21 @@ class ForecastResult:
     def importances(self) -> DataFrame:
         return self.records.where(F.col("record") == "importance").select(*self.series_cols, "model", "feature", "importance")
 
+    @property
+    def coefficients(self) -> DataFrame:
+        """series..., feature, coefficient of linear models (the one named intercept is added)."""
+        rows = self.records.where(F.col("record") == "coefficient")
+        return rows.select(*self.series_cols, "feature", F.col("importance").alias("coefficient"))
+
     @property
     def errors(self) -> DataFrame:
         return self.records.where(F.col("record") == "error").select(*self.series_cols, "model", "error")
 
     @property
     def metrics(self) -> DataFrame:
-        hist = self.points.where(~F.col("is_future"))
-        return evaluate(hist, [*self.series_cols, "model"])
+        """Hold-out metrics of the raw predictions; only stored points are cut at 0."""
+        hist = self.records.where((F.col("record") == "point") & ~F.col("is_future"))
+        return evaluate(hist, [*self.series_cols, "model"], predicted="raw")
 
 
 def run_per_series(

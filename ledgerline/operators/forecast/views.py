@@ -7,6 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...functions.dates import FEATURES
 from ...functions.numeric import round_to
 
 # fixed values: R² bands of the run report
@@ -55,6 +56,27 @@ def first_anomalies(anomalies: DataFrame, n: int = 20) -> DataFrame:
     return anomalies.where(F.col("is_anomaly")).orderBy("date").limit(n)
 
 
+def save_linear_model(result, path: str) -> None:
+    """Persist the fitted coefficients of a linear model (A12), one row per series and feature."""
+    result.coefficients.write.mode("overwrite").parquet(path)
+
+
+def predict_linear(features: DataFrame, path: str, series_cols: Sequence[str] = ()) -> DataFrame:
+    """``features`` with the ``predicted`` values of a saved linear model."""
+    s = list(series_cols)
+    model = features.sparkSession.read.parquet(path).groupBy(*s).pivot("feature", [*FEATURES, "intercept"]).agg(F.first("coefficient"))
+    model = model.select(*s, *[F.col(f).alias(f"__w_{f}") for f in (*FEATURES, "intercept")])
+    if s:
+        joined, weight = features.join(model, s), {f: F.col(f"__w_{f}") for f in (*FEATURES, "intercept")}
+    else:  # one row of coefficients
+        row = model.first()
+        joined, weight = features, {f: F.lit(row[f"__w_{f}"]) for f in (*FEATURES, "intercept")}
+    value = weight["intercept"]
+    for f in FEATURES:
+        value = value + F.col(f) * weight[f]
+    return joined.select(*features.columns, value.alias("predicted"))
+
+
 def save_spark_model(model, path: str) -> None:
     """Persist a fitted Spark ML model (A12), e.g. the boosted-tree model."""
     model.write().overwrite().save(path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_to
+from ..session import stored
 from .series import as_date
 
 # ---- fixed values: inventory policy of the original application ---------------------------------
@@ -32,15 +33,19 @@ def recent_window(df: DataFrame, date_col: str, days: int = WINDOW_DAYS) -> Data
 
 def recommendations(df: DataFrame, date_col: str, product_col: str, quantity_col: str) -> DataFrame:
     """Per product in the recent window: demand, safety stock, reorder point, order qty, alert."""
-    recent = recent_window(df, date_col)
-    g = (
-        recent.where(F.col(product_col).isNotNull())
-        .groupBy(F.col(product_col).alias("_p"))
-        .agg(
-            F.coalesce(F.sum(quantity_col), F.lit(0.0)).cast("double").alias("_qty"),
-            F.stddev_samp(F.col(quantity_col).cast("double")).alias("_sd"),
-            F.count(F.lit(1)).alias("_rows"),
-        )
+    day = F.col(date_col) if df.schema[date_col].dataType.simpleString().startswith("timestamp") else as_date(df, date_col)
+    q = F.nanvl(F.col(quantity_col).cast("double"), F.lit(None).cast("double"))
+    moments = stored(
+        df.groupBy(F.col(product_col).alias("_p"), day.alias("_d"))
+        .agg(F.sum(q).alias("_s"), F.sum(q * q).alias("_ss"), F.count(q).alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    )  # one pass over the rows; the window is applied to this small table
+    recent = recent_window(moments, "_d").where(F.col("_p").isNotNull())
+    g = recent.groupBy("_p").agg(
+        F.coalesce(F.sum("_s"), F.lit(0.0)).alias("_qty"),
+        F.sum("_rows").alias("_rows"),
+        F.sqrt(F.greatest(F.lit(0.0), F.try_divide(
+            F.sum("_ss") - F.sum("_s") * F.sum("_s") / F.sum("_n"), F.sum("_n") - 1
+        ))).alias("_sd"),
     )
     daily = F.col("_qty") / WINDOW_DAYS
     std = F.when(F.col("_rows") > 1, F.col("_sd")).otherwise(daily * SINGLE_ROW_STD_SHARE)

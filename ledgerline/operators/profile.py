@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import quantiles
+from ..functions.numeric import without_nan
+from ..session import stored
 from .clean import numeric_columns, string_columns
 from .series import as_date
 
@@ -20,21 +22,22 @@ def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
 def numeric_profile(df: DataFrame, cols: Optional[Sequence[str]] = None) -> DataFrame:
     """column, mean, median, std (sample), min, max per numeric column.
 
-    One wide aggregate gives the moments, counts and distinct counts of every column (no
-    unpivot, no shuffle); the medians are exact order statistics (``functions.ranking``).
-    The result holds one row per column.
+    The columns are written once, NaN as NULL; one wide aggregate over them gives the moments and
+    counts (no unpivot, no shuffle), and the medians are exact order statistics
+    (``functions.ranking``). The result holds one row per column.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string, mean double, median double, std double, min double, max double")
+    df = stored(without_nan(df.select(*[F.col(c).cast("double").alias(c) for c in cols])))
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
         v = F.col(c).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.approx_count_distinct(v, 0.05).alias(f"d{i}"), F.avg(v).alias(f"a{i}"),
+        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"),
                  F.stddev_samp(v).alias(f"s{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     r = df.agg(*aggs).collect()[0]
-    stats = {c: {"n": int(r[f"n{i}"]), "nulls": int(r["__rows"]) - int(r[f"n{i}"]), "distinct": int(r[f"d{i}"])} for i, c in enumerate(cols)}
+    stats = {c: {"n": int(r[f"n{i}"]), "nulls": int(r["__rows"]) - int(r[f"n{i}"])} for i, c in enumerate(cols)}
     med = quantiles(df, cols, [0.5], stats)
     rows = [(c, r[f"a{i}"], med[c][0], r[f"s{i}"], r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)]
     return spark.createDataFrame(rows, "column string, mean double, median double, std double, min double, max double")
@@ -60,7 +63,8 @@ def categorical_profile(df: DataFrame, cols: Optional[Sequence[str]] = None, k:
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
-    """column, missing: NULL count of every column."""
+    """column, missing: count of NULL and NaN in every column."""
+    df = without_nan(df)
     cols = df.columns
     agg = df.agg(*[(F.count(F.lit(1)) - F.count(F.col(c))).cast("bigint").alias(c) for c in cols])
     body = ", ".join(f"'{c}', `{c}`" for c in cols)
@@ -85,5 +89,5 @@ def date_range(df: DataFrame, date_col: str) -> DataFrame:
 
 def target_stats(df: DataFrame, target_col: str) -> DataFrame:
     """total, mean, max, min of the target."""
-    t = F.col(target_col).cast("double")
+    t = F.nanvl(F.col(target_col).cast("double"), F.lit(None).cast("double"))
     return df.agg(F.coalesce(F.sum(t), F.lit(0.0)).alias("total"), F.avg(t).alias("mean"), F.max(t).alias("max"), F.min(t).alias("min"))

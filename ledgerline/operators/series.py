@@ -15,21 +15,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import (
-    CALENDAR_FEATURES, FEATURES, LAGS, ROLLING_WINDOWS, calendar_columns, week_ending_sunday,
+    CALENDAR_FEATURES, FEATURES, LAGS, ROLLING_WINDOWS, calendar_columns, resolved_timestamp, week_ending_sunday,
 )
 
 _STEP = {"D": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month"}
+_DAYS = {"D": 1, "W": 7}
 
 
 def as_date(df: DataFrame, col: str) -> Column:
-    """A date/timestamp/string column as DATE; unparseable strings become NULL."""
+    """A date/timestamp/string column as DATE; strings by the layout found for the column."""
     dt = df.schema[col].dataType.simpleString()
     c = F.col(col)
     if dt == "date":
         return c
     if dt.startswith("timestamp"):
         return c.cast("date")
-    return F.to_date(F.try_to_timestamp(c.cast("string")))
+    return F.to_date(resolved_timestamp(df, col))
 
 
 def _bucket(d: Column, freq: str) -> Column:
@@ -48,10 +49,9 @@ def rollup(
 ) -> DataFrame:
     """Sum of ``value_col`` per period with missing periods filled with 0 (D8-D10 + C1).
 
-    Plan: partial+final aggregate to one row per (series, period) -> per-series [min, max]
-    -> calendar by ``explode(sequence(...))`` (bounded by the date span, not by the data) ->
-    left join on (series, period). The rollup side is already hash-partitioned on the join
-    key, so only the small calendar is shuffled for the join.
+    Plan: partial+final aggregate to one row per (series, period), then each row emits itself and
+    the empty periods up to the next one (``lead``), in the same partitioning: one scan of the
+    input, no join. A row emits as many periods as its gap has, bounded by the calendar.
 
     ``keep_decimal`` keeps an exact decimal ``y`` for decimal money columns, so later window
     sums are exact; otherwise ``y`` is double.
@@ -66,12 +66,15 @@ def rollup(
         .groupBy(*[F.col(c) for c in s], _bucket(d, freq).alias("_k"))
         .agg(F.sum(F.col(value_col)).alias("y"))
     )
-    bounds = agg.groupBy(*s).agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
-    cal = bounds.select(*s, F.explode(F.sequence("_lo", "_hi", F.expr(_STEP[freq]))).alias("_k"))
-    out = cal.join(agg, on=s + ["_k"], how="left")
-    ds = F.last_day("_k") if freq == "M" else F.col("_k")
-    y = F.coalesce(F.col("y"), F.lit(0).cast(agg.schema["y"].dataType))
-    is_dec = agg.schema["y"].dataType.simpleString().startswith("decimal")
+    following = F.lead("_k").over(Window.partitionBy(*s).orderBy("_k"))
+    until = F.add_months(following, -1) if freq == "M" else F.date_sub(following, _DAYS[freq])
+    periods = F.sequence(F.col("_k"), F.coalesce(F.col("_until"), F.col("_k")), F.expr(_STEP[freq]))
+    out = agg.withColumn("_until", until).select(*s, "y", F.posexplode(periods).alias("_pos", "_p"))
+    ds = F.last_day("_p") if freq == "M" else F.col("_p")
+    kind = agg.schema["y"].dataType
+    zero = F.lit(0).cast(kind)
+    y = F.when(F.col("_pos") == 0, F.coalesce(F.col("y"), zero)).otherwise(zero)
+    is_dec = kind.simpleString().startswith("decimal")
     return out.select(*s, ds.alias("ds"), (y if (keep_decimal and is_dec) else y.cast("double")).alias("y"))
 
 

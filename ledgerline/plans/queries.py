@@ -28,6 +28,7 @@ from ..operators.forecast import metrics as met
 from ..operators.forecast import models as fc
 from ..sources import registry as reg
 from ..sources.csv import read_csv
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import SALES_COLUMNS, dirty_sales, table
 from .common import ROLES, S
 
@@ -402,7 +403,7 @@ def arima_forecast(spark, d):
 
 @register
 def gbt_forecast(spark, d):
-    return gbtm.gbt_forecast(daily(spark, d), (), 30, max_iter=20).points
+    return gbtm.gbt_forecast(daily(spark, d), (), 30).points
 
 
 @register
@@ -423,23 +424,30 @@ def anomalies_by_region(spark, d):
 
 @register
 def compare_models(spark, d):
-    return cmp.compare_models(daily(spark, d), ["linear", "arima", "prophet", "lstm"], (), 30)
+    return cmp.compare_models(daily(spark, d), horizon=30)
+
 
 # ---- sources and sinks -------------------------------------------------------------------------------------
 
 
 
 
+def scratch_store(spark) -> str:
+    """A fresh store for one query, in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/store-{_uuid.uuid4().hex[:12]}"
+
+
 @register
 def dataset_registry(spark, d):
-    row = reg.ingest(spark, S(spark, d, SALES_COLUMNS), "sales", "sales.parquet")
-    return reg.list_datasets(spark).where(F.col("id") == row["id"]).select(
+    root = scratch_store(spark)
+    row = reg.ingest(spark, S(spark, d, SALES_COLUMNS), "sales", "sales.parquet", root)
+    return reg.list_datasets(spark, root).where(F.col("id") == row["id"]).select(
         "name", "row_count", "column_count", "date_start", "date_end")
 
 
 @register
 def csv_roundtrip(spark, d):
-    path = f"{reg.store_root(spark)}/csv/{_uuid.uuid4().hex[:12]}"
+    path = f"{scratch_store(spark)}/csv"
     dirty_sales(spark, d).write.option("header", True).csv(path)
     return read_csv(spark, path)
 
@@ -448,9 +456,10 @@ def csv_roundtrip(spark, d):
 def forecast_store_roundtrip(spark, d):
     job = _uuid.uuid4().hex[:12]
     res = fc.ridge_forecast(daily(spark, d), (), 30)
-    reg.write_forecast(res.points, job)
-    reg.record_run(spark, {"job_id": job, "model_type": "linear", "status": "completed", "horizon": 30})
-    return reg.read_forecast(spark, job).drop("job_id")
+    root = scratch_store(spark)
+    reg.write_forecast(res.points, job, root)
+    reg.record_run(spark, {"job_id": job, "model_type": "linear", "status": "completed", "horizon": 30}, root)
+    return reg.read_forecast(spark, job, root).drop("job_id")
 
 
 @register

@@ -26,11 +26,15 @@ _CORRUPT = "_corrupt_record"
 _QUOTED = '"([^"]|"")*"'
 
 
-def read_csv(spark: SparkSession, path: str, infer_types: bool = True) -> DataFrame:
-    header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+
+def read_csv(spark: SparkSession, path: str, infer_types: bool = True, multi_line: bool = True) -> DataFrame:
+    """The files of ``path``. All must have the same header: columns go by position, and a file with
+    another one is an error. Quoted fields may hold line breaks; without any in the data,
+    ``multi_line=False`` lets Spark split large files."""
+    header = spark.read.option("header", True).option("multiLine", multi_line).option("inferSchema", False).csv(path).columns
     schema = StructType([StructField(c, StringType()) for c in header] + [StructField(_CORRUPT, StringType())])
     raw = (
-        spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
+        spark.read.option("header", True).option("multiLine", multi_line).option("enforceSchema", False).option("mode", "PERMISSIVE").option("escape", '"')
         .option("columnNameOfCorruptRecord", _CORRUPT).option("nullValue", None)
         .schema(schema).csv(path)
     )

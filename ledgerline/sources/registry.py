@@ -1,8 +1,8 @@
 """Dataset registry and result stores (A3-A12) as Parquet tables in a shared folder.
 
 Tables are append-only: a dataset drop appends a tombstone, readers take the latest state per
-id, so no reader ever sees a half-rewritten table. The store lives under the session's
-``spark.checkpoint.dir`` unless a root is given (never a machine-local temp folder on a cluster).
+id, so no reader ever sees a half-rewritten table. The store's folder is given by the caller or by
+``spark.ledgerline.store.root``, so that it outlives the session.
 """
 
 from __future__ import annotations
@@ -13,15 +13,21 @@ from typing import Optional
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
-from ..functions.roles import default_date_col, detect_column_types
-from ..session import ensure_checkpoint_dir
+from ..functions.roles import detect_column_types
+from ..operators.series import as_date
 
 RECENT_RUNS = 50  # fixed value: the run list shows the newest 50
 
 
 def store_root(spark: SparkSession, root: Optional[str] = None) -> str:
-    return root or ensure_checkpoint_dir(spark).rstrip("/") + "/ledgerline-store"
+    """The stores' folder: ``root``, else the session's ``spark.ledgerline.store.root``. It outlives
+    sessions, so it is never made up."""
+    root = root or spark.conf.get("spark.ledgerline.store.root", None)
+    if not root:
+        raise ValueError("give the stores' folder as root or in spark.ledgerline.store.root")
+    return root.rstrip("/")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -44,18 +50,21 @@ def ingest(spark: SparkSession, df: DataFrame, name: str, filename: str = "", ro
     """Store a table as Parquet and register it (A3): counts and date range are observed while
     writing, so the table is read once."""
     roles = detect_column_types(df.schema)
-    date_col = default_date_col(roles)
+    date_col = next((c for c, r in roles.items() if r == "date"), None)
     ds_id = uuid.uuid4().hex[:12]
     path = f"{store_root(spark, root)}/datasets/{ds_id}"
-    dt = df.schema[date_col].dataType.simpleString()
-    d = F.col(date_col).cast("date") if dt in ("date",) or dt.startswith("timestamp") else F.to_date(F.try_to_timestamp(F.col(date_col).cast("string")))
+    if date_col is not None and isinstance(df.schema[date_col].dataType, (StringType, DateType, TimestampType, TimestampNTZType)):
+        df = df.withColumn("__day", as_date(df, date_col))
+    else:  # a table without dates, or a date-like name on another kind of column: no date range
+        df = df.withColumn("__day", F.lit(None).cast("date"))
+    d = F.col("__day")
     obs = Observation(f"ingest_{ds_id}")
-    df.observe(obs, F.count(F.lit(1)).alias("rows"), F.min(d).alias("start"), F.max(d).alias("end")).write.mode("error").parquet(path)
+    df.observe(obs, F.count(F.lit(1)).alias("rows"), F.min(d).alias("start"), F.max(d).alias("end")).drop("__day").write.mode("error").parquet(path)
     m = obs.get
     row = {
         "id": ds_id, "name": name, "filename": filename, "path": path, "row_count": int(m["rows"]),
-        "column_count": len(df.columns), "date_start": m["start"], "date_end": m["end"],
-        "columns_info": roles, "column_order": list(df.columns), "created_at": _now(), "deleted": False,
+        "column_count": len(df.columns) - 1, "date_start": m["start"], "date_end": m["end"],
+        "columns_info": roles, "column_order": df.columns[:-1], "created_at": _now(), "deleted": False,
     }
     _append(spark, "datasets", [row], root)
     return row

@@ -7,11 +7,10 @@ quantity, unit_price, revenue, cost, profit.
 Money stays ``decimal(18,2)`` so sums are exact; operators cast to double at the end.
 Dimension joins are plain equi joins: Spark sizes each side (file statistics, then AQE
 runtime statistics) and broadcasts a side only below the broadcast threshold. The
-fact-to-fact join lineitem ⋈ orders is pinned to a shuffled hash join on ``orderkey`` with the
-orders side as build side: without table statistics Spark multiplies size estimates across
-joins and would otherwise broadcast lineitem itself at small scale factors, and at any scale
-both sides grow with the data, so neither may be broadcast. ``orderkey`` has at most a few
-lines per order, so this join has no hot keys.
+fact-to-fact join lineitem ⋈ orders is pinned to a sort-merge join on ``orderkey``, whose two
+sides spill: without table statistics Spark multiplies size estimates across joins and would
+otherwise broadcast lineitem itself at small scale factors, and at any scale both sides grow with
+the data. ``orderkey`` has at most a few lines per order, so this join has no hot keys.
 """
 
 from __future__ import annotations
@@ -39,13 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def sales(spark: SparkSession, sf_dir: str, columns: Optional[Iterable[str]] = None) -> DataFrame:
+def sales(
+    spark: SparkSession, sf_dir: str, columns: Optional[Iterable[str]] = None, assume_keys: bool = False
+) -> DataFrame:
     """lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ region ⋈ part as the ``sales`` view.
 
-    ``columns`` names the output columns a query needs. Dimension joins whose columns are not
-    needed are left out: the star schema has enforced foreign keys (every lineitem has its
-    order, customer, nation, region and part), so such a join neither adds nor drops rows and
-    skipping it saves a full shuffle of the fact stream at scale.
+    ``columns`` names the output columns a query needs. Every query sees the same rows: lines
+    whose order, customer, nation, region or part is missing are in none. ``assume_keys`` leaves
+    out joins whose columns are not needed; it is right only for data whose foreign keys are
+    known to hold, which Parquet does not enforce.
     """
     want = list(columns) if columns is not None else list(SALES_COLUMNS)
     unknown = set(want) - set(SALES_COLUMNS)
@@ -57,7 +58,7 @@ def sales(spark: SparkSession, sf_dir: str, columns: Optional[Iterable[str]] = N
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    if need & _REGION_COLS:
+    if need & _REGION_COLS or not assume_keys:
         # orders ⋈ customer first, then the fixed-size nation and region: joining the
         # dimension chain first would inflate its size estimate (Spark multiplies estimates
         # across joins without statistics) and make Spark broadcast orders instead.
@@ -70,8 +71,10 @@ def sales(spark: SparkSession, sf_dir: str, columns: Optional[Iterable[str]] = N
             .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
             .select("o_orderkey", "o_custkey", "o_orderdate", "r_name")
         )
-    df = li.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")) if need & _ORDER_COLS else li
-    if need & _PART_COLS:
+    df = li
+    if need & _ORDER_COLS or not assume_keys:
+        df = df.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if need & _PART_COLS or not assume_keys:
         part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
         df = df.join(part, F.col("l_partkey") == F.col("p_partkey"))
 
@@ -139,7 +142,7 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     )
     df = (
-        li.join(oc.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+        li.join(oc.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
     )
     price = F.col("l_extendedprice").cast("decimal(18,2)")

@@ -32,11 +32,11 @@ def csv_drop_stream(spark: SparkSession, src_dir: str, schema: StructType, max_f
 
 
 def ingest_available(spark: SparkSession, src_dir: str, schema: StructType, store_path: str, checkpoint: str,
-                     partition_cols: tuple[str, ...] = ()) -> int:
+                     partition_cols: tuple[str, ...] = ()) -> None:
     """Process every file present now (``availableNow``), append to ``store_path``, stop.
 
     The checkpoint (in a shared folder) records which files were committed, so a rerun after a
-    failure neither loses nor duplicates rows. Returns the number of micro-batches run."""
+    failure neither loses nor duplicates rows."""
     stream = csv_drop_stream(spark, src_dir, schema)
     writer = (
         stream.writeStream.format("parquet").option("path", store_path).option("checkpointLocation", checkpoint)
@@ -46,4 +46,3 @@ def ingest_available(spark: SparkSession, src_dir: str, schema: StructType, stor
         writer = writer.partitionBy(*partition_cols)
     q = writer.start()
     q.awaitTermination()
-    return len(q.recentProgress)

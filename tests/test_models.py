@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from ledgerline.operators.anomalies import avg_path, detect_anomalies
-from ledgerline.operators.forecast.core import Ridge, lag_row
+from ledgerline.operators.forecast.core import Recent, Ridge
 from ledgerline.operators.forecast.gbt import early_stop_prefix
 from ledgerline.operators.forecast.models import arima_path, arma_fit, ridge_forecast, trend_forecast
 from ledgerline.plans import queries as Q
@@ -30,11 +30,63 @@ def test_ridge_matches_closed_form():
 
 
 def test_rollout_features_use_population_std_and_fallback():
-    row = lag_row([1.0, 2.0, 3.0])
+    row = Recent([1.0, 2.0, 3.0]).features()
     assert row[0] == 3.0 and row[1] == pytest.approx(2.0)  # lag_1, lag_7 falls back to mean
     assert row[4] == pytest.approx(2.0) and row[5] == 0.0  # rolling_mean_7 / std_7 (short history)
-    full = lag_row(list(range(40)))
-    assert full[5] == pytest.approx(np.std(np.arange(33, 40)))
+    values = np.random.default_rng(4).normal(50, 9, 80)
+    recent = Recent(values)
+    want = [values[-k] for k in (1, 7, 14, 30)] + [f(values[-w:]) for w in (7, 14, 30) for f in (np.mean, np.std)]
+    assert recent.features() == pytest.approx(want)
+    low, high = recent.band()
+    assert high == pytest.approx(values[-1] + 1.96 * np.std(values[-30:])) and low == pytest.approx(max(0, 2 * values[-1] - high))
+
+
+def test_gbt_takes_many_series_and_reports_short_ones(spark):
+    from ledgerline.operators.forecast.gbt import gbt_forecast
+
+    days = list(pd.date_range("2021-01-01", periods=45, freq="D").date)
+    rows = [(f"s{n:03d}", d, float(n + i % 7)) for n in range(200) for i, d in enumerate(days)]
+    rows += [("short", d, 1.0) for d in days[:10]]
+    res = gbt_forecast(spark.createDataFrame(rows, "store string, ds date, y double"), ["store"], 2, max_iter=5)
+    fut = res.points.where("is_future")
+    assert fut.count() == 400 and fut.select("store").distinct().count() == 200
+    assert [r.store for r in res.errors.collect()] == ["short"]
+
+
+def test_trees_predict_like_the_model(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    from ledgerline.operators.forecast.gbt import Trees
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3))
+    df = spark.createDataFrame([(*map(float, r), float(r[0] * 3 + np.sin(r[1]))) for r in x], "a double, b double, c double, y double")
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    model = GBTRegressor(labelCol="y", maxIter=12, maxDepth=6, seed=1).fit(rows)
+    want = [r.prediction for r in model.transform(rows).select("prediction").collect()]
+    assert Trees(model).predict(x) == pytest.approx(want)
+
+
+def test_metrics_use_raw_predictions(spark):
+    days = list(pd.date_range("2021-01-01", periods=200, freq="D").date)
+    df = spark.createDataFrame([(d, float(max(0, 150 - i))) for i, d in enumerate(days)], "ds date, y double")
+    res = trend_forecast(df, (), 5)
+    hist = res.records.where("record = 'point' AND NOT is_future").toPandas()
+    assert (hist.predicted >= 0).all() and (hist.raw < 0).any()
+    assert res.metrics.first().mae == pytest.approx(np.abs(hist.actual - hist.raw).mean(), abs=1e-3)
+
+
+def test_linear_model_is_saved_and_reloaded(spark, tmp_path):
+    from ledgerline.operators import series as ser
+    from ledgerline.operators.forecast import views
+
+    ts = Q.daily(spark, SF_SMALL)
+    res = ridge_forecast(ts, (), 2)
+    views.save_linear_model(res, str(tmp_path / "m"))
+    got = views.predict_linear(ser.feature_table(ts), str(tmp_path / "m")).select(F.col("ds").alias("date"), F.col("predicted").alias("p"))
+    both = res.records.where("record = 'point' AND NOT is_future").join(got, "date").toPandas()
+    assert len(both) and both.p.to_numpy() == pytest.approx(both.raw.to_numpy(), rel=1e-6)
 
 
 def test_early_stop_prefix():

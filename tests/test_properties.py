@@ -43,7 +43,7 @@ def test_global_index_is_dense_and_ordered(spark):
     assert [x.v for x in r] == sorted(x.v for x in r)
 
 
-def test_exact_quantiles_match_numpy(spark, monkeypatch):
+def test_exact_quantiles_match_numpy(spark):
     import numpy as np
 
     from ledgerline.functions import ranking
@@ -52,12 +52,9 @@ def test_exact_quantiles_match_numpy(spark, monkeypatch):
     df = spark.createDataFrame([(v, v * 2.5 + i * 1e-3 if i % 3 else None) for i, v in enumerate(vals)], "a double, b double")
     b = [v * 2.5 + i * 1e-3 for i, v in enumerate(vals) if i % 3]
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    for bound in (1_000_000, 0):  # map path, then the sketch/verify/collect path
-        monkeypatch.setattr(ranking, "MAP_QUANTILE_MAX_DISTINCT", bound)
-        monkeypatch.setattr(ranking, "BRACKET_MAX_DISTINCT", 1_000_000 if bound else 20)
-        got = ranking.quantiles(df, ["a", "b"], probs)
-        for c, data in (("a", vals), ("b", b)):
-            assert got[c] == pytest.approx([float(np.quantile(data, p)) for p in probs], abs=1e-9), (c, bound)
+    got = ranking.quantiles(df, ["a", "b"], probs)
+    for c, data in (("a", vals), ("b", b)):
+        assert got[c] == pytest.approx([float(np.quantile(data, p)) for p in probs], abs=1e-9), c
 
 
 def test_cleaning_invariants(spark):
@@ -83,8 +80,10 @@ def test_rfm_segments_add_up(spark):
     assert seg.champions + seg.loyal_customers + seg.at_risk + seg.churned == seg.total_customers == base.count()
 
 
-def test_quantile_paths_agree(spark, monkeypatch):
-    """The map path (small domains) and the distributed prefix path give the same quantiles."""
+def test_quantiles_of_filled_columns_match_numpy(spark):
+    """Quartiles of a median-filled column are read from the original values and the copies."""
+    import numpy as np
+
     from ledgerline.functions import ranking
 
     df = dirty_sales(spark, SF_SMALL)
@@ -92,19 +91,27 @@ def test_quantile_paths_agree(spark, monkeypatch):
     stats = ranking.column_stats(df, cols)
     med = ranking.quantiles(df, cols, [0.5], stats)
     fill = {c: (med[c][0], stats[c]["nulls"]) for c in cols if stats[c]["nulls"]}
-    a = ranking.quantiles(df, cols, [0.1, 0.25, 0.75, 0.9], stats, fill)
-    monkeypatch.setattr(ranking, "MAP_QUANTILE_MAX_DISTINCT", 0)
-    assert ranking.small_domain(stats) == set()
-    b = ranking.quantiles(df, cols, [0.1, 0.25, 0.75, 0.9], stats, fill)
+    probs = [0.1, 0.25, 0.75, 0.9]
+    got = ranking.quantiles(df, cols, probs, stats, fill)
+    pdf = df.select(*cols).toPandas().astype(float)
     for c in cols:
-        assert a[c] == pytest.approx(b[c], rel=1e-12, abs=1e-9), c
-    cleaned_large = sorted(map(tuple, cln.clean(df).cleaned.collect()), key=str)
-    monkeypatch.setattr(ranking, "MAP_QUANTILE_MAX_DISTINCT", 1_000_000)
-    cleaned_small = sorted(map(tuple, cln.clean(df).cleaned.collect()), key=str)
-    assert len(cleaned_large) == len(cleaned_small)
-    for x, y in zip(cleaned_large, cleaned_small):
-        assert x[0] == y[0] and x[2:4] == y[2:4]
-        assert [float(v) for v in (x[1], *x[4:])] == pytest.approx([float(v) for v in (y[1], *y[4:])], rel=1e-12)
+        assert med[c][0] == pytest.approx(pdf[c].median(), rel=1e-12)
+        assert got[c] == pytest.approx([float(np.quantile(pdf[c].fillna(pdf[c].median()), p)) for p in probs], rel=1e-12), c
+
+
+def test_nan_is_missing_everywhere(spark):
+    from ledgerline.operators import profile as prof
+
+    nan = float("nan")
+    df = spark.createDataFrame([(float(i), nan if i % 5 == 0 else float(i), i % 2 == 0) for i in range(1, 101)], "a double, b double, c boolean")
+    c = cln.clean(df)
+    assert dict(c.cleaned.dtypes)["c"] == "boolean"
+    assert c.cleaned.where(F.isnan("b") | F.col("b").isNull()).count() == 0
+    assert {(r.issue, r.column): r.n for r in c.report.collect()}[("missing_filled_median", "b")] == 20
+    b = [float(i) for i in range(1, 101) if i % 5]
+    row = prof.numeric_profile(df, ["b"]).first()
+    assert row["mean"] == pytest.approx(sum(b) / len(b)) and row["max"] == 99.0 and row["median"] == 50.0
+    assert {r.column: r.missing for r in prof.missing_counts(df).collect()} == {"a": 0, "b": 20, "c": 0}
 
 
 def test_capping_respects_iqr_bounds(spark):
