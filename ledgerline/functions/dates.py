@@ -41,35 +41,48 @@ def _parsed(c: Column, layout: str) -> Column:
     return parse_with(c, layout) if layout else F.try_to_timestamp(c)
 
 
-def date_layout(df: DataFrame, col: str, patterns: Sequence[str] = DATE_PATTERNS, order_col: Optional[str] = None) -> Column:
-    """The layout of a string date column as a scalar-subquery Column.
+def date_layout(df: DataFrame, col: str, patterns: Sequence[str] = DATE_PATTERNS, order_col: Optional[str] = None) -> Optional[str]:
+    """The layout of a string date column (B5); None for a column without values.
 
     The first layout that parses every value; else the layout of the first value by
     ``order_col`` when given, else the one that parses the most values. A column with values none
-    of which any layout parses is an error, never an empty result. One aggregation.
+    of which any layout parses is an error, never an empty result. Counts come from the distinct
+    values, one aggregation for the plain layouts and, only if none fits all, one for the others.
     """
     c = F.col(col)
-    layouts = _layouts(patterns)
-    counts = [F.count(_parsed(c, p)).alias(f"s{i}") for i, p in enumerate(layouts)]
-    first = [F.min_by(c, F.col(order_col)).alias("_first")] if order_col is not None else []
-    stats = df.where(c.isNotNull()).agg(F.count(F.lit(1)).alias("_n"), *counts, *first)
+    given = df.where(c.isNotNull())
+    values = given.groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
-    def choose(fits) -> Column:
-        return F.coalesce(*[F.when(fits(i, p), F.lit(p)) for i, p in enumerate(layouts)])
+    def parsed_rows(layouts: list[str]) -> tuple[int, dict[str, int]]:
+        fits = [F.sum(F.when(_parsed(F.col("v"), p).isNotNull(), F.col("n"))).alias(f"s{i}") for i, p in enumerate(layouts)]
+        row = values.agg(F.sum("n").alias("all"), *fits).first()
+        return row["all"] or 0, {p: row[f"s{i}"] or 0 for i, p in enumerate(layouts)}
 
-    best = F.greatest(*[F.col(f"s{i}") for i in range(len(layouts))])
-    strict = choose(lambda i, p: F.col(f"s{i}") == F.col("_n"))
-    most = choose(lambda i, p: F.col(f"s{i}") == best)
-    loose = choose(lambda i, p: _parsed(F.col("_first"), p).isNotNull()) if order_col is not None else most
-    unknown = F.raise_error(F.lit(f"no date layout parses any value of column {col}")).cast("string")
-    found = F.when((best == 0) & (F.col("_n") > 0), unknown).otherwise(F.coalesce(strict, loose, most))
-    return stats.select(found.alias("layout")).scalar()
+    layouts = _layouts(patterns)
+    plain = layouts[: len(patterns) + 1]
+    total, parsed = parsed_rows(plain)
+    if not total:
+        return None
+    if total not in parsed.values():
+        parsed |= parsed_rows(layouts[len(plain) :])[1]
+    whole = next((p for p in layouts if parsed.get(p) == total), None)
+    if whole is not None:
+        return whole
+    if not max(parsed.values()):
+        raise ValueError(f"no date layout parses any value of column {col!r}")
+    if order_col is not None:
+        first = given.agg(F.min_by(c, F.col(order_col)).alias("v"))
+        row = first.select(*[_parsed(F.col("v"), p).isNotNull().alias(f"f{i}") for i, p in enumerate(layouts)]).first()
+        own = next((p for i, p in enumerate(layouts) if row[f"f{i}"]), None)
+        if own is not None:
+            return own
+    return max(layouts, key=lambda p: parsed[p])
 
 
 def resolved_timestamp(df: DataFrame, col: str, patterns: Sequence[str] = DATE_PATTERNS, order_col: Optional[str] = None) -> Column:
     """A string date column as TIMESTAMP by its layout; values that the layout does not parse are NULL."""
     layout = date_layout(df, col, patterns, order_col)
-    return F.coalesce(*[F.when(layout == p, _parsed(F.col(col), p)) for p in _layouts(patterns)])
+    return F.lit(None).cast("timestamp") if layout is None else _parsed(F.col(col), layout)
 
 
 def weekday(d) -> Column:

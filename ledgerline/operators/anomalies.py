@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..session import ship_package
 from .series import rollup
@@ -63,33 +63,26 @@ def detect_anomalies(
 ) -> DataFrame:
     """series..., date, value, is_anomaly, anomaly_score, description for every day."""
     s = list(series_cols)
-    # replicate per tree; the tree's sample = the ``sample_size`` rows of smallest hash
-    rep = ts.select(*s, "ds", "y", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    h = F.xxhash64(F.col("ds").cast("string"), F.col("tree"), F.lit(seed))
-    rk = F.row_number().over(Window.partitionBy(*s, "tree").orderBy(h, "ds"))
-    rep = rep.withColumn("in_sample", rk <= sample_size)
-
     key_fields = [ts.schema[c] for c in s]
     schema = StructType(key_fields + [
-        StructField("tree", IntegerType()), StructField("ds", ts.schema["ds"].dataType),
-        StructField("y", DoubleType()), StructField("path", DoubleType()), StructField("psi", LongType()),
+        StructField("ds", ts.schema["ds"].dataType), StructField("y", DoubleType()),
+        StructField("_eh", DoubleType()), StructField("_psi", LongType()),
     ])
 
-    def one_tree(pdf: pd.DataFrame) -> pd.DataFrame:
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All trees of one series: every tree samples at most ``sample_size`` days and scores all."""
         pdf = pdf.sort_values("ds").reset_index(drop=True)
-        tree = int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
         vals = pdf["y"].to_numpy(dtype=float)
-        sample = vals[pdf["in_sample"].to_numpy()]
-        paths = _tree_paths(sample, vals, rng)
-        out = pdf[[*s, "tree", "ds", "y"]].copy()
-        out["path"] = paths
-        out["psi"] = len(sample)
-        return out
+        total = np.zeros(len(vals))
+        for tree in range(n_trees):
+            rng = np.random.default_rng([seed, tree])
+            total += _tree_paths(vals[rng.choice(len(vals), min(sample_size, len(vals)), replace=False)], vals, rng)
+        return pdf[[*s, "ds", "y"]].assign(_eh=total / n_trees, _psi=min(sample_size, len(vals)))
 
     ship_package(ts.sparkSession)
-    paths = rep.groupBy(*s, "tree").applyInPandas(one_tree, schema)
-    agg = paths.groupBy(*s, "ds").agg(F.first("y").alias("y"), F.avg("path").alias("_eh"), F.max("psi").alias("_psi"))
+    rows = ts.select(*s, "ds", F.col("y").cast("double").alias("y"))
+    keyed = rows if s else rows.withColumn("_series", F.lit(0))
+    agg = keyed.groupBy(*(s or ["_series"])).applyInPandas(forest, schema)  # one shuffle, no copies of rows
     n = F.col("_psi").cast("double")
     c_psi = F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(2.0 * (F.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n)
     score = F.pow(F.lit(2.0), -F.col("_eh") / c_psi)

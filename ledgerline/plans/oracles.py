@@ -405,3 +405,33 @@ SELECT cal.region, last_day(cal.k) AS ds, COALESCE(m.y, 0) AS y FROM cal LEFT JO
         FROM sales WHERE date IS NOT NULL AND region IS NOT NULL GROUP BY 1, 2),
 cal AS (SELECT region, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS k
         FROM (SELECT region, MIN(k) AS lo, MAX(k) AS hi FROM m GROUP BY region) b)""")
+
+
+ORACLES["parse_datetimes"] = """
+SELECT o_orderkey, CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) + o_orderkey % 86400 AS seconds FROM orders"""
+
+ORACLES["coerce_dates_inferred"] = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders"""
+
+ORACLES["summary_us_dates"] = ORACLES["date_range"]
+
+ORACLES["clean_nan"] = ORACLES["cleaning_report"]
+
+ORACLES["rfm_timestamps"] = with_sales("""
+SELECT customer_id AS customer, CAST(floor((epoch(snap) - epoch(last_at)) / 86400) AS BIGINT) AS recency, frequency, monetary
+FROM (SELECT *, max(last_at) OVER () AS snap FROM base) b""",
+    """base AS (SELECT customer_id, max(CAST(date AS TIMESTAMP) + (customer_id % 24) * INTERVAL 1 HOUR) AS last_at,
+        CAST(count(*) AS BIGINT) AS frequency, CAST(sum(revenue) AS DOUBLE) AS monetary FROM sales GROUP BY 1)""")
+
+ORACLES["forecast_frame"] = with_sales("""
+SELECT region, ds, y, false AS is_future,
+       row_number() OVER (PARTITION BY region ORDER BY ds) <= floor(0.8 * count(*) OVER (PARTITION BY region)) AS is_train
+FROM days
+UNION ALL
+SELECT region, CAST(hi + CAST(k AS INTEGER) AS DATE), NULL, true, NULL
+FROM (SELECT region, max(ds) AS hi FROM days GROUP BY region) m, range(1, 31) r(k)""",
+    """t AS (SELECT region, date AS k, CAST(SUM(revenue) AS DOUBLE) AS y FROM sales
+        WHERE date IS NOT NULL AND region IS NOT NULL GROUP BY 1, 2),
+cal AS (SELECT region, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS k
+        FROM (SELECT region, MIN(k) AS lo, MAX(k) AS hi FROM t GROUP BY region) b),
+days AS (SELECT cal.region, cal.k AS ds, COALESCE(t.y, 0) AS y FROM cal LEFT JOIN t ON cal.region = t.region AND cal.k = t.k)""")

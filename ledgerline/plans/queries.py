@@ -26,6 +26,7 @@ from ..operators.forecast import compare as cmp
 from ..operators.forecast import gbt as gbtm
 from ..operators.forecast import metrics as met
 from ..operators.forecast import models as fc
+from ..operators.forecast.core import with_future
 from ..sources import registry as reg
 from ..sources.csv import read_csv
 from ..session import ensure_checkpoint_dir
@@ -469,6 +470,49 @@ def recent_sales(spark, d):
     return r.select(*[F.col(c).cast("double").alias(c) if c == "revenue" else F.col(c) for c in cols])
 
 
+# ---- dates with times, other layouts, missing numbers ------------------------------------------------------
+
+
+@register
+def parse_datetimes(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("t"))
+    text = F.date_format(F.timestamp_seconds(F.unix_timestamp("t") + F.col("o_orderkey") % 86400), "yyyy-MM-dd HH:mm:ss")
+    parsed = cln.parse_dates(o.select("o_orderkey", text.alias("at")), "at", keep_time=True)
+    return parsed.select("o_orderkey", F.unix_timestamp("at").alias("seconds"))
+
+
+@register
+def coerce_dates_inferred(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "MMMM d, yyyy").alias("day"))
+    return cln.coerce_dates(o.withColumn("day", F.when(F.col("o_orderkey") % 7 != 0, F.col("day")).otherwise("none")), "day")
+
+
+@register
+def summary_us_dates(spark, d):
+    s = S(spark, d, ["date", "revenue"])
+    return prof.date_range(s.withColumn("date", F.date_format("date", "MM/dd/yyyy")), "date")
+
+
+@register
+def clean_nan(spark, d):
+    s = dirty_sales(spark, d)
+    return cln.clean(s.withColumn("quantity", F.coalesce(F.col("quantity").cast("double"), F.lit(float("nan"))))).report
+
+
+@register
+def rfm_timestamps(spark, d):
+    s = S(spark, d, ["date", "customer_id", "revenue"])
+    at = F.timestamp_seconds(F.unix_timestamp(F.col("date").cast("timestamp")) + F.pmod("customer_id", F.lit(24)) * 3600)
+    return cust.rfm_base(s.withColumn("date", at), "date", "customer_id", "revenue")
+
+
+@register
+def forecast_frame(spark, d):
+    ts = with_future(daily(spark, d, ["region"]), ["region"], 30)
+    days = ser.chrono_split(ts.where(~F.col("is_future")), ["region"]).select("region", "ds", "is_train")
+    return ts.join(days, ["region", "ds"], "left").select("region", "ds", "y", "is_future", "is_train")
+
+
 @register
 def weekly_series_by_region(spark, d):
     return ser.rollup(S(spark, d, ["date", "region", "revenue"]), "date", "revenue", "W", ["region"])
