@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keyed, python_ready, shared_table
-from .units import Memo, leading_space_parts
+from .units import Memo, is_plain, spaced_parts, word_parts
 
 #: Rounded sizes of large pieces, and pieces that share one (length, bucket) rank window.
 GROUPS = 256
@@ -35,7 +35,7 @@ BUCKET_ROWS = 20_000
 
 
 def document_ids(tokenizer_path: str):
-    """text -> its ids as little-endian unsigned 32-bit bytes, for a byte-level BPE file."""
+    """texts -> their ids as little-endian unsigned 32-bit bytes, for a byte-level BPE file."""
     import numpy as np
     from tokenizers import Tokenizer
 
@@ -45,27 +45,43 @@ def document_ids(tokenizer_path: str):
     for token, i in tokenizer.get_vocab().items():
         n_bytes[i] = len(token)
 
-    def encode(parts: list[str]) -> list[bytes]:
-        """One text of all parts, where one from a blank to a non-blank stands on its own."""
-        joins = [p[0] in " \n" and not p[1:2].isspace() and not p[-1].isspace() for p in parts]
-        own = [p for p, j in zip(parts, joins) if not j]
-        rest = [p for p, j in zip(parts, joins) if j]
-        found = {p: np.asarray(tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes() for p in own}
-        got = np.asarray(tokenizer.encode("x" + "".join(rest), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.cumsum(n_bytes[got])
-        stops = np.searchsorted(ends, 1 + np.cumsum([len(p.encode()) for p in rest], dtype=np.int64), side="right")
-        start, data = 1, got.tobytes()
-        for p, stop in zip(rest, stops.tolist()):
-            found[p] = data[4 * start : 4 * stop]
+    def alone(part: str) -> bytes:
+        return np.asarray(tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(parts: list[str]) -> list[bytes | None]:
+        """Plain parts as one text, in which each stands on its own; None for the others."""
+        found: dict[str, bytes | None] = {}
+        joined = []
+        for p in parts:
+            if not is_plain(p):
+                found[p] = None
+            elif p[0] == " ":
+                found[p] = alone(p[1:])
+            else:
+                joined.append(p)
+        text = [p if p[0] == "\n" else " " + p for p in joined]
+        got = np.asarray(tokenizer.encode("x" + "".join(text), add_special_tokens=False).ids, dtype="<u4")
+        stops = np.searchsorted(
+            np.cumsum(n_bytes[got]), 1 + np.cumsum([len(p.encode()) for p in text], dtype=np.int64), side="right"
+        )
+        start, data = 4, got.tobytes()
+        for p, stop in zip(joined, (4 * stops).tolist()):
+            found[p] = data[start:stop]
             start = stop
         return [found[p] for p in parts]
 
     memo = Memo(encode)
 
-    def ids(text: str) -> bytes:
-        parts = leading_space_parts(text)
+    def ids(texts: list[str]) -> list[bytes]:
+        parts = [word_parts(t) for t in texts]
         memo.learn(parts)
-        return b"".join([memo[p] for p in parts])
+        out = []
+        for text, own in zip(texts, parts):
+            try:
+                out.append(b"".join([memo[p] for p in own]))
+            except TypeError:  # a part that is not plain: cut the text with care
+                out.append(b"".join([alone(p) for p in spaced_parts(text)]))
+        return out
 
     return ids
 
@@ -80,8 +96,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, cap: int, end_id: int, id_col:
         ids = document_ids(tokenizer_path)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                data = ids(text) + end
+            for doc_id, data in zip(batch["doc_id"], ids(batch["text"].tolist())):
+                data += end
                 total, start, number = len(data) // 4, 0, 0
                 stop = total % cap or min(total, cap)
                 while start < total:

@@ -110,14 +110,14 @@ class Pieces:
         i = self.ids.get(piece)
         return [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
 
-    def words(self, normal: str) -> list[str]:
-        return _WORD_START.split(normal) if normal else []
-
-    def encode(self, normal: str) -> bytes:
-        """Ids (little-endian 32-bit) of a normalised text that starts at a word start."""
-        words = self.words(normal)
+    def encode(self, normals: list[str]) -> list[bytes]:
+        """Ids (little-endian 32-bit) of normalised texts that start at a word start."""
+        words = [
+            _WORD_START.split(t) if SPACE * 2 in t else [SPACE + w for w in t[1:].split(SPACE)] if t else []
+            for t in normals
+        ]
         self.memo.learn(words)
-        return b"".join([self.memo[w] for w in words])
+        return [b"".join([self.memo[w] for w in own]) for own in words]
 
     def decode(self, ids) -> str:
         text = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
@@ -223,7 +223,7 @@ def chunk_ids(pieces: Pieces, part: str, base: int, start: int, stop: int, entry
         seen = sweep(pieces, part, base, [entry], start, first)
         ends = {s: w[entry][0] for s, w in seen.items() if s[1] == first and entry in w}
         ids += back(seen, entry, max(ends, key=ends.get))
-    ids += np.frombuffer(pieces.encode(part[first - base : last - base]), dtype="<i4").tolist()
+    ids += np.frombuffer(pieces.encode([part[first - base : last - base]])[0], dtype="<i4").tolist()
     return ids + back(sweep(pieces, part, base, [None], last, stop), None, exit_)
 
 
@@ -344,7 +344,7 @@ def encode(
     def ordinary(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = Pieces(model_path)
         for texts in batches:
-            yield pd.Series([np.frombuffer(pieces.encode(normalised(t)), dtype="<i4") for t in texts])
+            yield pd.Series([np.frombuffer(ids, dtype="<i4") for ids in pieces.encode([normalised(t) for t in texts])])
 
     short = rows.filter(~is_giant).select("doc_id", "text", ordinary("text").alias("ids"))
     giant = rows.filter(is_giant)

@@ -1,56 +1,54 @@
 """Memoised tokenising of the parts of a text that a tokenizer provably treats on their own.
 
 Texts repeat most of their space-separated words, so a tokenizer is asked only for parts that a
-worker has not met; the memo is emptied when full, which never changes a result.
+worker has not met, all new parts of a batch in one call. The memo is emptied when full, which
+never changes a result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
-#: Entries of one worker's memo (about 100 MB at most).
-MEMO_ENTRIES = 400_000
+#: Entries of one worker's memo (about 200 MB at most).
+MEMO_ENTRIES = 1_000_000
 
 _SPACED = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_ODD = re.compile(r"\s\s|^\s|\s\Z")
 
 
 class Memo(dict):
-    """part -> value; ``learn`` gets the missing parts in one call."""
+    """part -> value; ``learn`` gets the missing parts of many texts in one call."""
 
     def __init__(self, encode: Callable[[list[str]], Sequence[Any]]):
         super().__init__()
         self.encode = encode
 
-    def learn(self, parts: Sequence[str]) -> None:
+    def learn(self, texts: Iterable[Sequence[str]]) -> None:
         if len(self) > MEMO_ENTRIES:
             self.clear()
-        missing = [p for p in set(parts) if p not in self]
+        missing = list(set().union(*texts).difference(self))
         if missing:
             self.update(zip(missing, self.encode(missing)))
 
 
-def leading_space_parts(text: str) -> list[str]:
-    """Parts that start before a single space or line feed between two non-blank characters.
-
-    The byte-level pattern ends every match at such a place: its word classes exclude blanks, and
-    a blank run takes part in a match only with what follows it.
-    """
-    if not text:
-        return []
-    if _ODD.search(text):
-        return _SPACED.split(text)
-    lines = text.split("\n")
-    parts = []
-    for n, line in enumerate(lines):
-        head, *rest = line.split(" ")
-        parts.append("\n" + head if n else head)
-        parts += [" " + x for x in rest]
+def word_parts(text: str) -> list[str]:
+    """The first word as " word", those after a space as "word", those after a line feed as "\\nword"."""
+    parts = text.replace("\n", " \n").split(" ")
+    parts[0] = " " + parts[0]
     return parts
 
 
-def spaceless_parts(text: str) -> list[str]:
-    """Parts between spaces and line feeds, for tokenizers that drop blanks."""
-    return [x for x in text.replace("\n", " ").split(" ") if x]
+def is_plain(part: str) -> bool:
+    """Whether a part of ``word_parts`` starts and ends with a non-blank character after its mark."""
+    word = part[1:] if part[:1] in (" ", "\n") else part
+    return word != "" and not word[0].isspace() and not word[-1].isspace()
+
+
+def spaced_parts(text: str) -> list[str]:
+    """The text cut before every single space or line feed between two non-blank characters.
+
+    A byte-level pattern ends every match at such a place: its word classes exclude blanks, and a
+    blank takes part in a match only with what follows it.
+    """
+    return _SPACED.split(text) if text else []
