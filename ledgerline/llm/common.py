@@ -62,7 +62,8 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(text, SPACE_CLASS), ""), F.array().cast("array<string>"))
 
 
-def line_text(line: Column) -> Column:
-    """A line as it is compared: lower case, runs of blanks as one space, none at the ends."""
-    spaced = F.translate(line, "\t\x0b\x0c\r\n", "     ")
-    return F.lower(F.trim(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)))
+def normal_text(text: Column) -> Column:
+    """A text as its lines are compared: lower case, blanks as spaces, runs of spaces as one."""
+    for blank in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.regexp_replace(F.lower(text), "  +", " ")

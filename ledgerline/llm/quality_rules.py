@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import line_text, row_key, shared_table, words
+from .common import normal_text, row_key, shared_table, words
 
 MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
@@ -72,7 +72,8 @@ def quality_rules(
     rows = rows.select(
         "*", F.filter("raw", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"), F.expr(window_hashes("w")).alias("h")
     )
-    rows = rows.select("*", F.transform("lines", line_text).alias("normal"))
+    normal = F.transform(F.split(normal_text(F.col("text")), "\n"), F.trim)
+    rows = rows.select("*", F.array_remove(normal, "").alias("normal"))
     stats = shared_table(rows.select(
         "doc_id", "rk", "host", F.xxhash64("normal").alias("content"),
         F.size("w").cast("long").alias("n_words"),
