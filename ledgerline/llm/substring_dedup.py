@@ -181,7 +181,8 @@ def _bucketed(strings: DataFrame, k: int, hot: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
     """(rid, rk, first, last): per keyed document, runs of windows that also start anywhere else."""
     minimisers = shared_table(_text_minimisers(docs, k, m))
-    again = minimisers.groupBy("mini").agg(F.count("*").alias("times")).filter("times > 1").select("mini")
+    # written, so that both sides of the join are shuffled for it and a hot minimiser can be split
+    again = shared_table(minimisers.groupBy("mini").agg(F.count("*").alias("times")).filter("times > 1").select("mini"))
     travel = minimisers.join(again, "mini").groupBy("rid", "rk").agg(F.collect_set(F.struct("start", "n", "mini")).alias("s"))
     travel = travel.select("rid", "rk", F.col("s.start").alias("starts"), F.col("s.n").alias("ns"), F.col("s.mini").alias("minis"))
     packed = shared_table(_packed(docs.join(travel, ["rid", "rk"]), k))
