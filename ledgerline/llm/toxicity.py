@@ -26,6 +26,8 @@ BUCKETS = 1 << 18
 TERMS = 512
 RANK = 8
 SAMPLE_PER_CLASS = 6000
+#: Labels that are broadcast at most (12 bytes each); beyond, labelled texts are joined by shuffling.
+BROADCAST_LABELS = 1_000_000
 #: Least standard errors by which a term's rates in the two labels differ.
 LEAST_Z = 4.0
 STEPS, RATE, L2 = 300, 0.05, 1e-5
@@ -107,7 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy(F.col(id_col).cast("long").alias("mark_id")).agg((F.max(label_col) >= 1).cast("int").alias("y"))
     )
     texts = docs.select(F.col(id_col).cast("long").alias("own_id"), F.col(text_col).alias("text"))
-    marked = texts.join(marks, texts["own_id"] == marks["mark_id"]).select("y", "own_id", "text")
+    joined = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
+    marked = texts.join(joined, F.col("own_id") == F.col("mark_id")).select("y", "own_id", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buckets, counts, rows = Buckets(), np.zeros((2, BUCKETS), dtype=np.int64), np.zeros(2, dtype=np.int64)
