@@ -331,6 +331,20 @@ def test_toxicity_learns_a_pair_that_no_single_term_tells():
     assert ((z > 0) == (y == 1)).mean() > 0.95
 
 
+def test_toxicity_learns_a_balanced_pair_from_texts(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(1500):
+        a, b = divmod(i % 4, 2)
+        w = [f"w{k}" for k in rng.integers(0, 300, 12)] + ["qa"] * a + ["qb"] * b
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), int(a == b)))
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.toxicity(both.drop("toxic"), both.drop("text")).join(both, "doc_id").filter("held_out")
+    r = got.agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("right")).first()
+    assert r.n > 200 and r.right >= 0.95
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, none)
