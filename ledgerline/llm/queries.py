@@ -43,7 +43,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("rk")
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"), short_lines=True).drop("rk")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

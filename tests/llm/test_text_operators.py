@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerline.llm import (
     line_dedup, packing, quality_rules, sentencepiece_scan, simhash, substring_dedup, token_counts, toxicity,
 )
@@ -190,6 +191,13 @@ def test_line_dedup_keeps_the_first(spark, docs):
     assert line_dedup.line_classes(empty(docs)).count() == 0
 
 
+def test_short_lines_are_deduplicated_exactly(spark):
+    rows = [(1, "les.\n\n \nles.\nLES.\nlea."), (2, "the  end\nles."), (3, "the end\nx\n\nx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, df, "").collect()}
+    assert got == {1: "les.\n\n \nlea.", 2: "the  end", 3: "x\n"}
+
+
 @pytest.mark.parametrize("hot", [256, 2])
 def test_repeated_windows(docs, hot):
     k, times, rows = 35, collections.Counter(), ids_of(docs)
