@@ -177,6 +177,38 @@ def test_line_links_are_all_pairs_within_the_edits(spark, edits):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_word_links_are_all_pairs_within_the_bands(spark):
+    rng = random.Random(5)
+    lines = set()
+    for size in (6, 8, 9, 31, 33, 127, 129, 200):
+        base = [rng.choice(["alpha", "be", "gammas", "delta", "epsilons", "z"]) + str(rng.randrange(4)) for _ in range(size)]
+        for _ in range(14):
+            x = list(base)
+            for _ in range(rng.randint(0, 4)):
+                i, what = rng.randrange(len(x) + 1), rng.random()
+                x[i : i + (what > 0.3)] = [rng.choice(["other", "words", "altogether"])] if what < 0.7 else []
+            lines.add(" ".join(x))
+    lines = sorted(lines)
+
+    def tau(x):
+        return max([edits for least, edits in line_dedup.WORD_BANDS if len(x.split()) >= least], default=-1)
+
+    df = spark.createDataFrame([(x,) for x in lines], "n string")
+    name = {r.h: r.n for r in df.select("n", F.xxhash64("n").alias("h")).collect()}
+    got = [tuple(sorted((name[r.a1], name[r.b1]))) for r in line_dedup.linked_classes(df, None).collect()]
+    want = {
+        (a, b) for n, a in enumerate(lines) for b in lines[n + 1 :]
+        if edit_distance(a.split(), b.split()) <= min(tau(a), tau(b))
+    }
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_a_long_line_with_one_word_replaced_goes(spark):
+    line = " ".join(f"word{n}" for n in range(60))
+    df = spark.createDataFrame([(1, line), (2, line.replace("word30", "something"))], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.remove_lines(df).collect()} == {1: line, 2: ""}
+
+
 def test_line_dedup_keeps_the_first(spark, docs):
     rows = [
         (1, "this is the first long line of it\nshort\nAnother  long line with some words"),
