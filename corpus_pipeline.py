@@ -21,8 +21,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.keep_good(docs)
+    """Documents that the quality rules reject go, and boilerplate lines of the others."""
+    return _counted(quality_rules.keep_good(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

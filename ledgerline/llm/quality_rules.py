@@ -3,8 +3,9 @@
 Lines are normalised (lower case, blanks collapsed) and hashed. A line is boilerplate on its host
 when more than ``MAX_DOCS_PCT`` per cent of the host's distinct documents, and more than ``MIN_DOCS`` of
 them, hold it; documents with the same lines count once, so copies of a good document do not make its
-lines boilerplate. Boilerplate lines are removed, and a document is depleted, and rejected, when they
-hold more than ``MAX_REMOVED_PCT`` per cent of the characters of its lines.
+lines boilerplate. A document is depleted, and rejected, when boilerplate lines hold more than
+``MAX_REMOVED_PCT`` per cent of the characters of its lines. ``quality_rules`` numbers the boilerplate
+lines, ``keep_good`` returns the texts of the kept documents without them.
 """
 
 from __future__ import annotations
@@ -58,7 +59,8 @@ def quality_rules(
     max_docs_pct: int = MAX_DOCS_PCT, max_removed_pct: int = MAX_REMOVED_PCT,
 ) -> DataFrame:
     """One row per document: doc_id, rk (row key), n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, n_line_chars, n_removed_chars, base_failed, kept.
+    n_repeat_words, n_line_chars, n_removed_chars, removed_lines (numbers, from 0, of the boilerplate lines
+    among those that line feeds separate), base_failed, kept.
 
     A null or empty text has no words and fails the base rules. A null host is a host of its own. Rows
     that repeat an id and its text get the same verdict; an empty table gives no rows.
@@ -73,7 +75,7 @@ def quality_rules(
         "*", F.filter("raw", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"), F.expr(window_hashes("w")).alias("h")
     )
     normal = F.transform(F.split(normal_text(F.col("text")), "\n"), F.trim)
-    rows = rows.select("*", F.array_remove(normal, "").alias("normal"))
+    rows = rows.select("*", normal.alias("placed"), F.array_remove(normal, "").alias("normal"))
     stats = shared_table(rows.select(
         "doc_id", "rk", "host", F.xxhash64("normal").alias("content"),
         F.size("w").cast("long").alias("n_words"),
@@ -81,12 +83,15 @@ def quality_rules(
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(covered_words("h")).cast("long").alias("n_repeat_words"),
-        F.transform("normal", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))).alias("lines"),
+        F.filter(
+            F.transform("placed", lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"), i.alias("place"))),
+            lambda x: x["n"] > 0,
+        ).alias("lines"),
         F.aggregate("normal", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_line_chars"),
     ))
-    line_rows = stats.select("doc_id", "rk", "host", "content", F.posexplode("lines").alias("place", "line"))
+    line_rows = stats.select("doc_id", "rk", "host", "content", F.explode("lines").alias("line"))
     line_rows = line_rows.select(
-        "doc_id", "rk", "host", "content", "place", F.xxhash64("host", "line.h").alias("line"), F.col("line.n").alias("n")
+        "doc_id", "rk", "host", "content", "line.place", F.xxhash64("host", "line.h").alias("line"), F.col("line.n").alias("n")
     )
     documents = stats.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("of_host"))
     frequent = (
@@ -96,17 +101,22 @@ def quality_rules(
     )
     removed = (
         line_rows.select("rk", "place", "line", "n").join(frequent, "line", "left_semi")
-        .select("rk", "place", "n").distinct().groupBy("rk").agg(F.sum("n").alias("n_removed_chars"))
-    )
-    out = stats.drop("lines", "host", "content").join(removed, "rk", "left").withColumn(
-        "n_removed_chars", F.coalesce("n_removed_chars", F.lit(0).cast("long"))
+        .select("rk", "place", "n").distinct().groupBy("rk")
+        .agg(F.sum("n").alias("n_removed_chars"), F.array_sort(F.collect_list("place")).alias("removed_lines"))
     )
+    out = stats.drop("lines", "host", "content").join(removed, "rk", "left").withColumns({
+        "n_removed_chars": F.coalesce("n_removed_chars", F.lit(0).cast("long")),
+        "removed_lines": F.coalesce("removed_lines", F.array().cast("array<int>")),
+    })
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     depleted = F.col("n_removed_chars") * 100 > F.col("n_line_chars") * max_removed_pct
     return out.select("*", base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that the rules keep, with all their columns and rows."""
-    kept = quality_rules(docs, id_col, text_col, host_col).filter("kept").select(F.col("rk").alias("__rk"))
-    return docs.withColumn("__rk", row_key(id_col, text_col)).join(kept, "__rk", "left_semi").select(*docs.columns)
+    """The documents that the rules keep, with all their columns and rows, without boilerplate lines."""
+    kept = quality_rules(docs, id_col, text_col, host_col).filter("kept")
+    kept = kept.groupBy(F.col("rk").alias("__rk")).agg(F.flatten(F.collect_set("removed_lines")).alias("__gone"))
+    rows = docs.withColumn("__rk", row_key(id_col, text_col)).join(kept, "__rk")
+    rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    return rows.withColumn(text_col, F.when(F.size("__gone") == 0, F.col(text_col)).otherwise(rest)).select(*docs.columns)

@@ -78,6 +78,18 @@ def test_line_frequency_rejects_depleted_documents_only(spark):
     assert [i for i, kept in got.items() if not kept] and {i for i, kept in got.items() if not kept} == {100, 101, 102}
 
 
+def test_boilerplate_lines_leave_the_kept_texts(spark):
+    own = lambda n: " ".join(f"word{n}x{i}" for i in range(30))
+    rows = [(n, f"\n Home |  About\n{own(n)}\n\nhome | about\n{own(n + 1000)}", "h", 0) for n in range(30)]
+    rows += [(100, f"{own(5000)}\nHome | About", "other", 0), (100, f"{own(5000)}\nHome | About", "other", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = collections.Counter((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.quality(spark, df, "").collect())
+    want = [(n, f"\n{own(n)}\n\n{own(n + 1000)}") for n in range(30)] + [(100, rows[-1][1])] * 2
+    assert got == collections.Counter((n, t, len(t)) for n, t in want)
+    removed = {tuple(r.removed_lines) for r in quality_rules.quality_rules(df).filter("doc_id < 100").collect()}
+    assert removed == {(1, 4)}
+
+
 def test_simhash_components(docs):
     def bits(text):
         import xxhash
