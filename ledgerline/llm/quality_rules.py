@@ -1,8 +1,8 @@
 """Quality rules: text statistics and cross-document line frequency, in SQL functions only.
 
 Lines are normalised (lower case, blanks collapsed) and hashed. A line is boilerplate on its host
-when more than ``MAX_DOCS_PCT`` per cent of the host's distinct documents, and more than ``MIN_DOCS`` of
-them, hold it; documents with the same lines count once, so copies of a good document do not make its
+when more than ``MAX_DOCS`` of the host's distinct documents hold it, whatever the host's size, or more than
+``MAX_DOCS_PCT`` per cent of them and more than ``MIN_DOCS``; documents with the same lines count once, so copies of a good document do not make its
 lines boilerplate. A document is depleted, and rejected, when boilerplate lines hold more than
 ``MAX_REMOVED_PCT`` per cent of the characters of its lines. ``quality_rules`` numbers the boilerplate
 lines, ``keep_good`` returns the texts of the kept documents without them.
@@ -20,6 +20,7 @@ MAX_REPEAT_PCT = 30
 WINDOW = 8
 MIN_DOCS = 10
 MAX_DOCS_PCT = 10
+MAX_DOCS = 100
 MAX_REMOVED_PCT = 50
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -56,7 +57,7 @@ def covered_words(h: str, size: int = WINDOW) -> str:
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT, min_docs: int = MIN_DOCS,
-    max_docs_pct: int = MAX_DOCS_PCT, max_removed_pct: int = MAX_REMOVED_PCT,
+    max_docs_pct: int = MAX_DOCS_PCT, max_removed_pct: int = MAX_REMOVED_PCT, max_docs: int = MAX_DOCS,
 ) -> DataFrame:
     """One row per document: doc_id, rk (row key), n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_line_chars, n_removed_chars, removed_lines (numbers, from 0, of the boilerplate lines
@@ -96,8 +97,11 @@ def quality_rules(
     documents = stats.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("of_host"))
     frequent = (
         line_rows.select("line", "host", "content").distinct().groupBy("line", "host").agg(F.count("*").alias("n_docs"))
-        .filter(F.col("n_docs") > min_docs).join(documents, "host")
-        .filter(F.col("n_docs") * 100 > F.col("of_host") * max_docs_pct).select("line")
+        .filter(F.col("n_docs") > min(min_docs, max_docs)).join(documents, "host")
+        .filter(
+            (F.col("n_docs") > max_docs)
+            | (F.col("n_docs") > min_docs) & (F.col("n_docs") * 100 > F.col("of_host") * max_docs_pct)
+        ).select("line")
     )
     removed = (
         line_rows.select("rk", "place", "line", "n").join(frequent, "line", "left_semi")

@@ -90,6 +90,13 @@ def test_boilerplate_lines_leave_the_kept_texts(spark):
     assert removed == {(1, 4)}
 
 
+def test_a_line_in_many_documents_of_a_large_host_is_boilerplate(spark):
+    own = lambda n: " ".join(f"word{n}x{i}" for i in range(30))
+    rows = [(n, own(n) + "\nHome | About" * (n < 101) + "\nonce in a while" * (1000 <= n < 1100), "h") for n in range(1200)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in got if r.removed_lines} == set(range(101)) and all(r.kept for r in got)
+
+
 def test_simhash_components(docs):
     def bits(text):
         import xxhash
