@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    ann, line_dedup, packing, quality_rules, sentencepiece_scan, simhash, substring_dedup, suffix_dedup, token_counts,
-    toxicity, url_filter,
+    ann, conversation_trie, line_dedup, packing, quality_rules, sentencepiece_scan, simhash, substring_dedup,
+    suffix_dedup, token_counts, toxicity, url_filter,
 )
 from .common import table
 
@@ -68,11 +68,17 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=400).drop("spans", "kept")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = conversation_trie.rebuilt_trie(table(spark, sf_dir, "conversations"), group=100, heads=6)
+    return trie.drop("node", "parent")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_toxicity, op3_simhash, op4_nearest, op5_url_filter, op6_token_counts, op7_line_dedup,
         op8_substring_dedup, op9_packing, op10_sentencepiece, op11_suffix_dedup,
+        op12_conversation_trie,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_conversation_trie": conversation_trie.ORACLE}
