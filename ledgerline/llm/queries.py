@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    ann, conversation_trie, line_dedup, packing, quality_rules, sentencepiece_scan, simhash, substring_dedup,
+    ann, collocations, conversation_trie, line_dedup, packing, quality_rules, sentencepiece_scan, simhash, substring_dedup,
     suffix_dedup, token_counts, toxicity, url_filter,
 )
 from .common import table
@@ -73,12 +73,18 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.drop("node", "parent")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=10, absorb=50, top=2000)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_toxicity, op3_simhash, op4_nearest, op5_url_filter, op6_token_counts, op7_line_dedup,
         op8_substring_dedup, op9_packing, op10_sentencepiece, op11_suffix_dedup,
-        op12_conversation_trie,
+        op12_conversation_trie, op13_collocations,
     )
 }
-ORACLES: dict[str, str] = {"op12_conversation_trie": conversation_trie.ORACLE}
+ORACLES: dict[str, str] = {
+    "op12_conversation_trie": conversation_trie.ORACLE, "op13_collocations": collocations.ORACLE,
+}
