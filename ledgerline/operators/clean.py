@@ -1,8 +1,7 @@
 """Typing, date parsing and cleaning.
 
-Cleaning is two quantile passes whatever the number of columns: medians of every numeric
-column in one distributed pass, then both quartiles of every imputed column in a second.
-NaN counts as missing. The de-duplicated table is written once, its input rows are counted
+Cleaning is one selection of order statistics whatever the number of columns: medians, and
+the quartiles of the imputed columns, come from the same passes. NaN counts as missing. The de-duplicated table is written once, its input rows are counted
 on the way, and later steps read the columns they need from it.
 """
 
@@ -90,14 +89,13 @@ def clean(df: DataFrame) -> Cleaned:
     counted = Observation()
     deduped = stored(dedupe(without_nan(df).observe(counted, F.count(F.lit(1)).alias("rows"))))
     raw_rows = int(counted.get["rows"])
-    # one pass: counts and approximate distinct counts pick each column's exact-quantile path;
-    # quartiles of an imputed column are read from the original values plus the median copies
     stats = column_stats(deduped, num)
-    nulls = {c: stats[c]["nulls"] for c in num}
-    med = quantiles(deduped, num, [0.5], stats)
+    # the median of the values, and the quartiles of the imputed column, from one selection
+    found = {c: q for c, q in quantiles(deduped, num, [0.25, 0.5, 0.75], stats, impute=True).items()}
+    med = {c: q[1] for c, q in found.items()}
 
     def fill_num(c: str) -> Column:
-        m = med[c][0]
+        m = med[c]
         v = F.col(c).cast("double")
         return (F.coalesce(v, F.lit(float(m))) if m is not None else v).alias(c)
 
@@ -106,11 +104,9 @@ def clean(df: DataFrame) -> Cleaned:
 
     imputed = deduped.select(*[fill_num(c) if c in num else F.col(c) for c in deduped.columns])
     filled = imputed.select(*[fill_txt(c) if c in txt else F.col(c) for c in imputed.columns])
-    fill = {c: (med[c][0], nulls[c]) for c in num if med[c][0] is not None and nulls[c]}
-    quart = quantiles(deduped, num, [0.25, 0.75], stats, fill)
     bounds = {}
     for c in num:
-        q1, q3 = quart[c]
+        q1, _, q3 = found[c]
         if q1 is None:
             continue
         iqr = q3 - q1

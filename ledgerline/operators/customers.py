@@ -1,18 +1,20 @@
 """RFM customer segmentation.
 
 Per-customer aggregation is a partial+final hash aggregate; the snapshot date is a scalar
-subquery; quartile edges and the frequency rank are computed without gathering customers
-into one task (``functions.ranking``).
+subquery; quartile edges and the places that cut the frequency ranks are selected by sketches and
+counts (``functions.ranking``): customers are scanned, never sorted or numbered.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_to
-from ..functions.ranking import global_index, quantiles
-from ..session import cut_lineage
+from ..functions.ranking import column_stats, first_of_ties, quantiles_and_ranks
+from ..session import stored
 from .series import as_date
 
 # ---- fixed values: segment thresholds and names -----------------------------------------------
@@ -58,19 +60,19 @@ def _score(v: Column, edges: list[Column], ascending: bool) -> Column:
 
 def rfm_scores(base: DataFrame) -> DataFrame:
     """R, F, M quartile scores, total and segment per customer."""
-    base = cut_lineage(base)  # read once; every later step reads the checkpoint
-    # exact quartile edges; the path per column follows its distinct count (see ranking.quantiles)
-    q = quantiles(base, ["recency", "monetary"], QUARTILES)
-    redges = [F.lit(v) for v in q["recency"]]
-    medges = [F.lit(v) for v in q["monetary"]]
-    # F: quartiles of rank(method="first") = row number by (frequency, customer)
-    ranked = global_index(base, ["frequency", "customer"], "f_rank")
-    n = base.select(F.count(F.lit(1))).scalar()
-    fedges = [F.lit(1.0) + (n - 1) * F.lit(k / 4) for k in (1, 2, 3)]
-    r = _score(F.col("recency"), redges, ascending=False)
-    f = _score(F.col("f_rank"), fedges, ascending=True)
-    m = _score(F.col("monetary"), medges, ascending=True)
-    scored = ranked.select("customer", "recency", "frequency", "monetary", r.alias("r_score"), f.alias("f_score"), m.alias("m_score"))
+    base = stored(base)  # read once; every later step reads the columns it needs
+    stats = column_stats(base, ["recency", "monetary", "frequency"])
+    n = stats["frequency"]["n"]  # never NULL
+    # F: quartiles of rank(method="first"), the place by (frequency, customer); a place is at most the k-th
+    # edge 1 + (n - 1) * k / 4 if it is at most that of the last row there (0-based: floor of the edge, less 1)
+    last = [math.floor((n - 1) * k / 4) for k in (1, 2, 3)] if n else []
+    # quartile edges and the frequencies at those places, all from one selection
+    q, at = quantiles_and_ranks(base, ["recency", "monetary"], QUARTILES, stats, {"frequency": last}, {"frequency": n})
+    cuts = first_of_ties(base, "frequency", "customer", last, {r: at["frequency", r] for r in last}) if n else [F.lit(False)] * 3
+    r = _score(F.col("recency"), [F.lit(v) for v in q["recency"]], ascending=False)
+    f = F.when(cuts[0], 1).when(cuts[1], 2).when(cuts[2], 3).otherwise(4).cast("int")
+    m = _score(F.col("monetary"), [F.lit(v) for v in q["monetary"]], ascending=True)
+    scored = base.select("customer", "recency", "frequency", "monetary", r.alias("r_score"), f.alias("f_score"), m.alias("m_score"))
     total = F.coalesce("r_score", F.lit(0)) + F.coalesce("f_score", F.lit(0)) + F.coalesce("m_score", F.lit(0))
     seg = (
         F.when(total >= CHAMPION_MIN, SEGMENTS[0])
