@@ -129,13 +129,6 @@ def _strings(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
     return one.select("bytes", "places").mapInPandas(take, schema)
 
 
-def places_as_runs(places: list[int]) -> tuple[list[int], list[int]]:
-    """Sorted places as runs: their first and last places."""
-    at = np.asarray(places)
-    jump = np.flatnonzero(np.diff(at) != 1)
-    return at[np.append(0, jump + 1)].tolist(), at[np.append(jump, len(at) - 1)].tolist()
-
-
 def in_shard(shard: pd.DataFrame, window: int) -> pd.DataFrame:
     """Of one shard: runs (name, first, last) of windows that repeat in it, and, if its gram has other shards,
     the different windows: name and place of those that occur once here, only the window of the others."""
@@ -143,21 +136,23 @@ def in_shard(shard: pd.DataFrame, window: int) -> pd.DataFrame:
 
     strings, names, times = [bytes(s) for s in shard["string"]], shard["name"].tolist(), shard["times"].to_numpy()
     own, place, number = window_classes(strings, window)
-    _, first, number = np.unique(number, return_index=True, return_inverse=True)
-    total = np.bincount(number, weights=times[own]) if len(own) else np.zeros(0)
-    again = total[number] > 1
-    rows = []
+    first = np.flatnonzero(np.diff(number, prepend=-1))  # classes lie together, in suffix order
+    number = np.repeat(np.arange(len(first)), np.diff(first, append=len(number)))
+    again = (np.bincount(number, weights=times[own]) > 1)[number] if len(own) else np.zeros(0, dtype=bool)
     by = np.lexsort((place[again], own[again]))
-    for some in np.split(by, np.flatnonzero(np.diff(own[again][by])) + 1) if len(by) else []:
-        rows.append((names[own[again][some[0]]], *places_as_runs(place[again][some]), None, None, None, None, None))
+    held, at = own[again][by], place[again][by]
+    begin = np.flatnonzero((np.diff(held, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
+    stop = at[np.append(begin[1:], len(at)) - 1] if len(at) else at
+    rows = []
+    holders = np.append(np.flatnonzero(np.diff(held[begin], prepend=-1)), len(begin)).tolist()
+    for a, b in zip(holders, holders[1:]):
+        rows.append((names[held[begin[a]]], at[begin[a:b]].tolist(), stop[a:b].tolist(), None, None, None, None, None))
     parts = int(shard["parts"].iloc[0])
     if parts > 1:
         gram, part = int(shard["gram"].iloc[0]), int(shard["part"].iloc[0])
-        for at in first.tolist():
-            known = again[at]
-            begin = place[at]
-            digest = xxh128_digest(strings[own[at]][begin : begin + window])
-            rows.append((None if known else names[own[at]], None, None, int(begin), digest, gram, part, digest[0] * 256 + digest[1]))
+        for string, start, known in zip(own[first].tolist(), place[first].tolist(), again[first].tolist()):
+            digest = xxh128_digest(strings[string][start : start + window])
+            rows.append((None if known else names[string], None, None, start, digest, gram, part, digest[0] * 256 + digest[1]))
     # as objects: numbers beside nulls would become floating point, and lose digits
     return pd.DataFrame(rows, columns=["name", "first", "last", "place", "digest", "gram", "part", "range"], dtype=object)
 
