@@ -6,7 +6,9 @@ whose least hashed ``gram``-byte string is the same. A run is known by the name
 1. Runs whose gram occurs once only have no repeated window and stay at home: two equal windows have the same
    least gram.
 2. Equal runs are combined, with how often they occur; one of each travels, as its bytes, to the shard of
-   its gram, so that equal windows meet. A gram with more bytes than a shard holds gets several shards.
+   its gram, so that equal windows meet. Runs of a gram with more bytes than half a shard are cut by more
+   context, up to ``LEVELS`` times: parts whose context occurs once go, the others are keyed by it. What is still
+   too large gets several shards.
 3. A shard puts its strings in a row and sorts their suffixes (Larsson-Sadakane refinement in numpy). By
    Kasai's common prefixes, neighbours that share a window's length are occurrences of the same window.
 4. Shards of one gram are merged: each gives the sorted names of its different windows, these are dealt by
@@ -31,6 +33,8 @@ from .suffix_arrays import window_classes
 WINDOW, GRAM = 400, 64
 #: Bytes of a shard, about; a suffix array takes some 60 times as much memory for a moment.
 SHARD_BYTES = 1 << 20
+#: Times that runs of a frequent gram are keyed by more context (half of what is missing to a window each time).
+LEVELS = 3
 #: Bytes whose grams are hashed at a time, and windows of a run at most (longer runs are cut, no window is lost).
 STRIDE, RUN = 1 << 20, 4096
 
@@ -110,23 +114,66 @@ def _runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _strings(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
-    """The bytes of one run of each name, with the shard they go to."""
+    """The bytes of one run of each name."""
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (x["shard"], x["part"], x["parts"], x["gram"], x["name"], x["times"], text[x["start"] : x["start"] + x["n"] + window - 1])
+                (x["gram"], x["name"], x["times"], text[x["start"] : x["start"] + x["n"] + window - 1], None, None)
                 for text, places in zip(batch["bytes"], batch["places"]) for x in places
             ]
-            yield pd.DataFrame(rows, columns=["shard", "part", "parts", "gram", "name", "times", "string"])
+            yield pd.DataFrame(rows, columns=["gram", "name", "times", "string", "a", "b"], dtype=object)
 
-    wanted = chosen.groupBy("rid", "rk").agg(
-        F.collect_list(F.struct("start", "n", "shard", "part", "parts", "gram", "name", "times")).alias("places")
-    )
+    wanted = chosen.groupBy("rid", "rk").agg(F.collect_list(F.struct("start", "n", "gram", "name", "times")).alias("places"))
     # repeated rows hold the same bytes: one of them gives the strings
     one = docs.join(wanted, ["rid", "rk"]).dropDuplicates(["rid", "rk"])
-    schema = "shard long, part int, parts int, gram long, name binary, times long, string binary"
-    return one.select("bytes", "places").mapInPandas(take, schema)
+    return one.select("bytes", "places").mapInPandas(take, "gram long, name binary, times long, string binary, a int, b int")
+
+
+def narrowed(string: bytes, key: int, a, b, window: int, gram: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """The parts (first window, windows, a, b, hash of the bytes from a to b) of a run, by more context.
+
+    All windows of a run hold the bytes from a to b, at first the gram (of a window that holds it again, its first
+    place). Those that begin close before them also hold as many bytes after them as fill half of the window's
+    rest, the others as many before them. Equal windows get equal contexts.
+    """
+    from xxhash import xxh64_intdigest
+
+    last = len(string) - window
+    if a is None or a != a:
+        found = np.flatnonzero(least_grams(np.frombuffer(string, dtype=np.uint8), window, gram)[0].view(np.int64) == key).tolist()
+        contexts = [(max(0, before + 1), p, p + gram) for before, p in zip([-1, *found], found)]
+    else:
+        contexts = [(0, int(a), int(b))]
+    for low, p, q in contexts:
+        half = (window - (q - p)) // 2
+        low, high, middle = max(low, q - window), min(p, last), p - half
+        if max(low, middle) <= high:
+            end = q + (window - (q - p)) - half
+            yield max(low, middle), high - max(low, middle) + 1, p, end, xxh64_intdigest(string[p:end], 1)
+        if low < middle and low <= high:
+            begin = middle - 1
+            yield low, min(high, middle - 1) - low + 1, begin, q, xxh64_intdigest(string[begin:q], 2)
+
+
+def _narrowed(strings: DataFrame, window: int, gram: int) -> DataFrame:
+    """The parts of all these runs: gram (hash of the larger context), name, string, a, b, and the run they are of
+    (owner, place in it, how often it occurs)."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh128_digest
+
+        for batch in batches:
+            rows = []
+            for key, name, times, string, a, b in zip(*(batch[c] for c in ("gram", "name", "times", "string", "a", "b"))):
+                for first, n, p, q, context in narrowed(string, key, a, b, window, gram):
+                    part = string[first : first + n + window - 1]
+                    context -= (context >= 1 << 63) << 64
+                    rows.append((context, xxh128_digest(part), part, p - first, q - first, name, first, times))
+            yield pd.DataFrame(rows, columns=["gram", "name", "string", "a", "b", "owner", "at", "times"])
+
+    schema = "gram long, name binary, string binary, a int, b int, owner binary, at int, times long"
+    return strings.mapInPandas(cut, schema)
 
 
 def in_shard(shard: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -183,33 +230,53 @@ def across_shards(dealt: pd.DataFrame) -> pd.DataFrame:
     return dealt.loc[again & dealt["name"].notna().to_numpy(), ["name", "place"]]
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_in(strings: DataFrame, window: int, gram: int, shard_bytes: int, levels: int = LEVELS) -> DataFrame:
+    """(name, first, last): the windows that repeat in different runs (gram, name, times, string, a, b)."""
+    strings = shared_table(strings)
+    weight = shared_table(strings.groupBy("gram").agg(F.sum(F.length("string")).alias("size")))
+    total, hot = weight.agg(F.sum("size"), F.count_if(F.col("size") > shard_bytes // 2)).first()
+    shards = max(1, math.ceil((total or 0) / shard_bytes))
+    parts = F.when(F.col("size") > shard_bytes // 2, F.ceil(F.col("size") / (shard_bytes // 2)).cast("int")).otherwise(1)
+    strings = strings.join(weight.select("gram", parts.alias("parts")), "gram")
+    many, few = strings.filter("parts > 1"), strings.filter("parts = 1")
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("name"), "parts")).otherwise(0).cast("int").alias("part")
+    shard = F.when(F.col("parts") > 1, F.col("gram")).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards))).alias("shard")
+    alone = (F.col("parts") == 1).alias("alone")
+    schema = "name binary, first array<int>, last array<int>, place int, digest binary, gram long, part int, range int"
+    dealt = (strings if hot and not levels else few).select(shard, part, alone, "parts", "gram", "name", "times", "string")
+    found = dealt.groupBy("shard", "part", "alone").applyInPandas(lambda rows: in_shard(rows, window), schema)
+    if not hot:
+        return found.select("name", "first", "last")
+    if levels:
+        cut = shared_table(_narrowed(many.drop("parts"), window, gram))
+        again = shared_table(cut.groupBy("gram").agg(F.sum("times").alias("n")).filter("n > 1").select("gram"))
+        met = shared_table(cut.join(again, "gram", "left_semi"))
+        runs = met.groupBy("gram", "name").agg(F.sum("times").alias("times"), F.max(F.struct("string", "a", "b")).alias("x"))
+        inner = shared_table(repeated_in(runs.select("gram", "name", "times", "x.*"), window, gram, shard_bytes, levels - 1))
+        back = met.select("owner", "at", "name").join(inner, "name")
+        moved = [F.transform(c, lambda x: x + F.col("at")).alias(c) for c in ("first", "last")]
+        return found.select("name", "first", "last").unionByName(back.select(F.col("owner").alias("name"), *moved))
+    found = shared_table(found)
+    split = found.filter("digest IS NOT NULL").join(many.select("gram", "parts").distinct(), "gram")
+    split = split.withColumn("range", F.col("range") % F.col("parts")).select("gram", "range", "part", "name", "place", "digest")
+    far = split.groupBy("gram", "range").applyInPandas(across_shards, "name binary, place int")
+    far = far.groupBy("name").agg(F.sort_array(F.collect_set("place")).alias("first"))
+    ends = found.filter("digest IS NULL").select("name", "first", "last")
+    return ends.unionByName(far.select("name", "first", F.col("first").alias("last")))
+
+
+def repeated_windows(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, levels: int = LEVELS
+) -> DataFrame:
     """(rid, rk, first, last): per document (rid, rk, bytes), runs of windows that also start anywhere else."""
     runs = shared_table(_runs(docs, window, gram))
     # written, so that both sides of the join are shuffled for it and a frequent gram can be split
     met = shared_table(runs.groupBy("gram").agg(F.sum("occurs").alias("times")).filter("times > 1").select("gram"))
     met = shared_table(runs.join(met, "gram", "left_semi"))
     chosen = met.groupBy("gram", "name").agg(F.count("*").alias("times"), F.min(F.struct("rid", "rk", "start", "n")).alias("at"))
-    chosen = shared_table(chosen.select("gram", "name", "times", "at.*"))
-    weight = shared_table(chosen.groupBy("gram").agg(F.sum(F.col("n") + window - 1).alias("size")))
-    total = weight.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_bytes))
-    parts = F.when(F.col("size") > shard_bytes // 2, F.ceil(F.col("size") / (shard_bytes // 2)).cast("int")).otherwise(1)
-    dealt = chosen.join(weight.select("gram", parts.alias("parts")), "gram").select(
-        "*", F.expr("if(parts > 1, pmod(xxhash64(name), parts), 0)").cast("int").alias("part")
-    ).withColumn("shard", F.expr(f"if(parts > 1, gram, pmod(xxhash64(gram), {shards}L))"))
-    strings = shared_table(_strings(docs, dealt, window))
-    schema = "name binary, first array<int>, last array<int>, place int, digest binary, gram long, part int, range int"
-    alone = F.col("parts") == 1
-    found = shared_table(
-        strings.groupBy("shard", "part", alone).applyInPandas(lambda shard: in_shard(shard, window), schema)
-    )
-    split = found.filter("digest IS NOT NULL").join(strings.filter(~alone).select("gram", "parts").distinct(), "gram")
-    split = split.withColumn("range", F.col("range") % F.col("parts")).select("gram", "range", "part", "name", "place", "digest")
-    far = split.groupBy("gram", "range").applyInPandas(across_shards, "name binary, place int")
-    far = far.groupBy("name").agg(F.sort_array(F.collect_set("place")).alias("first"))
-    ends = found.filter("digest IS NULL").select("name", "first", "last").unionByName(far.select("name", "first", F.col("first").alias("last")))
-    at = met.select("rid", "rk", "start", "name").join(shared_table(ends), "name")
+    strings = _strings(docs, chosen.select("gram", "name", "times", "at.*"), window)
+    ends = shared_table(repeated_in(strings, window, gram, shard_bytes, levels))
+    at = met.select("rid", "rk", "start", "name").join(ends, "name")
 
     def moved(c: str):
         return F.transform(c, lambda x: x + F.col("start"))
@@ -231,8 +298,8 @@ def removed_spans(first, last, window: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id",
-    text_col: str = "text",
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, levels: int = LEVELS,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end of each maximal
     removed run of bytes) and kept (the remaining bytes; a cut may fall inside a character).
@@ -244,7 +311,7 @@ def remove_repeats(
     python_ready(docs.sparkSession)
     rows = keyed(docs, id_col, text_col, [id_col]).toDF("rid", "rk", "text", "own_id")
     rows = rows.select("rid", "rk", F.col("text").cast("binary").alias("bytes"), F.col("own_id").cast("long").alias("doc_id"))
-    spans = repeated_windows(rows.select("rid", "rk", "bytes"), window, gram, shard_bytes)
+    spans = repeated_windows(rows.select("rid", "rk", "bytes"), window, gram, shard_bytes, levels)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

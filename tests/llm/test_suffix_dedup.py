@@ -43,11 +43,11 @@ def some_rows():
     return rows + [(304, "x" * 39), (305, "\x00" * 90 + "é" * 50)]
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 20, 600])
-def test_repeated_bytes_equal_brute_force(spark, shard_bytes):
+@pytest.mark.parametrize("shard_bytes,levels", [(1 << 20, 3), (600, 0), (600, 2), (300, 3)])
+def test_repeated_bytes_equal_brute_force(spark, shard_bytes, levels):
     rows = some_rows()
     docs = spark.createDataFrame([(i, t, "x", 1, None) for i, t in rows], SCHEMA)
-    got = suffix_dedup.remove_repeats(docs, window=40, gram=8, shard_bytes=shard_bytes).cache()
+    got = suffix_dedup.remove_repeats(docs, window=40, gram=8, shard_bytes=shard_bytes, levels=levels).cache()
     assert rows_of(got) == brute(rows, 40)
     for r in got.collect():
         assert sum(s.end - s.start for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans
@@ -97,3 +97,26 @@ def test_merging_sorted_runs_finds_what_two_hold():
         runs = [np.unique(np.array([rng.randint(0, 30) for _ in range(rng.randint(0, 12))], dtype=int)) for _ in range(rng.randint(1, 7))]
         times = collections.Counter(v for r in runs for v in r.tolist())
         assert suffix_dedup.merged_runs(runs).tolist() == sorted(v for v, n in times.items() if n > 1)
+
+
+def test_narrowed_parts_hold_every_window_once_and_equal_windows_meet():
+    rng = random.Random(8)
+    for trial in range(60):
+        text = bytes(rng.choice(b"ab" if trial % 2 else bytes(range(97, 123))) for _ in range(rng.randint(40, 90)))
+        text += text[: rng.randint(0, 30)]
+        grams, least = suffix_dedup.least_grams(np.frombuffer(text, dtype=np.uint8), 40, 8)
+        keys = collections.defaultdict(set)
+        for start, n in zip(*(x.tolist() for x in suffix_dedup.runs_of(least, np.ones(len(least), dtype=bool)))):
+            todo = [(start, text[start : start + n + 39], int(least.view(np.int64)[start]), None, None)]
+            for level in range(4):
+                down, seen = [], []
+                for at, string, key, a, b in todo:
+                    for first, m, p, q, context in suffix_dedup.narrowed(string, key, a, b, 40, 8):
+                        seen += range(at + first, at + first + m)
+                        part = string[first : first + m + 39]
+                        down.append((at + first, part, context, p - first, q - first))
+                        for w in range(m):
+                            keys[part[w : w + 40], level].add(context)
+                assert sorted(seen) == list(range(start, start + n))
+                todo = down
+        assert all(len(x) == 1 for x in keys.values())
