@@ -7,6 +7,7 @@ from typing import Iterable, Optional
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.roles import Roles
+from ..sources import star
 from ..sources.tables import SALES_COLUMNS, sales, sales_oracle_cte
 
 
@@ -29,7 +30,8 @@ ROLES = sales_roles()
 
 
 def S(spark: SparkSession, sf_dir: str, cols: Optional[Iterable[str]] = None) -> DataFrame:
-    return sales(spark, sf_dir, cols)
+    """The sales view, without the joins that verified keys make needless (query ``star_keys`` verifies them)."""
+    return sales(spark, sf_dir, cols, verified=star.verified(spark, sf_dir))
 
 
 def R(expr: str, digits: int = 2) -> str:

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from ..sources.tables import dirty_sales_oracle_cte
+from ..sources.tables import FOREIGN_KEYS, dirty_sales_oracle_cte
 from .common import R, with_sales
 
 ORACLES: dict[str, str] = {}
 
+# ---- star ---------------------------------------------------------------------------------
+
+ORACLES["star_keys"] = "\nUNION ALL\n".join(
+    f"""SELECT '{child}.{key}' AS foreign_key, count(*) AS n_rows,
+  count(*) FILTER (WHERE {key} IS NULL OR {key} NOT IN (SELECT {target} FROM {parent} WHERE {target} IS NOT NULL)) AS missing,
+  (SELECT count({target}) - count(DISTINCT {target}) FROM {parent}) AS repeated FROM {child}"""
+    for (child, key), (parent, target) in FOREIGN_KEYS.items()
+)
+
+ORACLES["bucketed_monthly_regions"] = with_sales("""
+SELECT strftime(date, '%Y-%m') AS month, region, CAST(SUM(revenue) AS DOUBLE) AS revenue FROM sales GROUP BY ALL""")
+
 # ---- dashboard ----------------------------------------------------------------------------
 
 _KPI = """SELECT COALESCE(CAST(SUM(revenue) AS DOUBLE), 0) AS rev,

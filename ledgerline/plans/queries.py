@@ -28,6 +28,7 @@ from ..operators.forecast import metrics as met
 from ..operators.forecast import models as fc
 from ..operators.forecast.core import with_future
 from ..sources import registry as reg
+from ..sources import star
 from ..sources.csv import read_csv
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import SALES_COLUMNS, dirty_sales, table
@@ -44,6 +45,23 @@ def register(fn: Query) -> Query:
 
 _DASH_COLS = ["date", "product_id", "region", "category", "revenue", "profit"]
 
+# ---- star ---------------------------------------------------------------------------------
+
+
+@register
+def star_keys(spark, d):
+    """Foreign keys of the star tables; those that hold are registered for these files."""
+    return star.verify(spark, d)
+
+
+@register
+def bucketed_monthly_regions(spark, d):
+    """Monthly revenue per region from an ingested, bucketed star."""
+    s = star.ingest(spark, d, scratch_store(spark), 16).sales(["date", "region", "revenue"])
+    month = F.date_format("date", "yyyy-MM")
+    return s.groupBy(month.alias("month"), "region").agg(F.sum("revenue").cast("double").alias("revenue"))
+
+
 # ---- dashboard ----------------------------------------------------------------------------
 
 

@@ -84,7 +84,10 @@ _COMPARISON_SCHEMA = (
     "comparison_id string, dataset_id string, model string, status string, mae double, rmse double, "
     "r2 double, mape double, error string, best_model string, created_at timestamp_ntz"
 )
-_SCHEMAS = {"datasets": _DATASET_SCHEMA, "runs": _RUN_SCHEMA, "comparisons": _COMPARISON_SCHEMA}
+_STAR_SCHEMA = (
+    "id string, fingerprint string, path string, keys array<string>, buckets int, created_at timestamp_ntz, deleted boolean"
+)
+_SCHEMAS = {"datasets": _DATASET_SCHEMA, "runs": _RUN_SCHEMA, "comparisons": _COMPARISON_SCHEMA, "stars": _STAR_SCHEMA}
 
 
 def _append(spark: SparkSession, table: str, rows: list[dict], root: Optional[str]) -> None:

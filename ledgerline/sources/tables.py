@@ -30,6 +30,17 @@ _PART_COLS = {"product_name", "category"}
 _REGION_COLS = {"region"}
 _ORDER_COLS = {"date", "customer_id"} | _REGION_COLS
 
+#: Foreign keys of the star: (table, column) -> (table, column) of its partner.
+FOREIGN_KEYS = {
+    ("lineitem", "l_orderkey"): ("orders", "o_orderkey"),
+    ("lineitem", "l_partkey"): ("part", "p_partkey"),
+    ("orders", "o_custkey"): ("customer", "c_custkey"),
+    ("customer", "c_nationkey"): ("nation", "n_nationkey"),
+    ("nation", "n_regionkey"): ("region", "r_regionkey"),
+}
+ALL_KEYS = frozenset(f"{t}.{c}" for t, c in FOREIGN_KEYS)
+_CHAIN_KEYS = frozenset({"orders.o_custkey", "customer.c_nationkey", "nation.n_regionkey"})
+
 # fixed value: invented cost ratio of the fixture mapping (cost = 60 % of list price)
 COST_RATIO = "0.6"
 
@@ -39,43 +50,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sales(
-    spark: SparkSession, sf_dir: str, columns: Optional[Iterable[str]] = None, assume_keys: bool = False
+    spark: SparkSession, sf_dir: str, columns: Optional[Iterable[str]] = None, assume_keys: bool = False,
+    verified: frozenset[str] = frozenset(),
 ) -> DataFrame:
     """lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ region ⋈ part as the ``sales`` view.
 
     ``columns`` names the output columns a query needs. Every query sees the same rows: lines
-    whose order, customer, nation, region or part is missing are in none. ``assume_keys`` leaves
-    out joins whose columns are not needed; it is right only for data whose foreign keys are
-    known to hold, which Parquet does not enforce.
+    whose order, customer, nation, region or part is missing are in none. ``verified`` names the
+    foreign keys that are known to hold for these files (``star.verified``); joins that only they
+    need and no column does are left out. ``assume_keys`` takes all keys for granted.
+    """
+    names = ("lineitem", "orders", "customer", "nation", "region", "part")
+    keys = ALL_KEYS if assume_keys else verified
+    return sales_of({t: table(spark, sf_dir, t) for t in names}, columns, keys)
+
+
+def sales_of(
+    tables: dict[str, DataFrame], columns: Optional[Iterable[str]] = None, keys: frozenset[str] = frozenset(),
+    facts_first: bool = False,
+) -> DataFrame:
+    """The ``sales`` view of some star tables, whose foreign keys ``keys`` hold.
+
+    A dimension chain is joined if a column needs it or one of its keys is not known to hold.
+    ``facts_first`` joins lineitem and orders before the dimensions, for tables that are bucketed by order key.
     """
     want = list(columns) if columns is not None else list(SALES_COLUMNS)
     unknown = set(want) - set(SALES_COLUMNS)
     if unknown:
         raise ValueError(f"unknown sales columns: {sorted(unknown)}")
     need = set(want)
+    with_region = bool(need & _REGION_COLS) or not _CHAIN_KEYS <= keys
+    with_orders = with_region or bool(need & _ORDER_COLS) or "lineitem.l_orderkey" not in keys
+    with_part = bool(need & _PART_COLS) or "lineitem.l_partkey" not in keys
 
-    li = table(spark, sf_dir, "lineitem").select(
+    df = tables["lineitem"].select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"
     )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    if need & _REGION_COLS or not assume_keys:
-        # orders ⋈ customer first, then the fixed-size nation and region: joining the
-        # dimension chain first would inflate its size estimate (Spark multiplies estimates
-        # across joins without statistics) and make Spark broadcast orders instead.
-        nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-        region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-        customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-        orders = (
-            orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    orders = tables["orders"].select("o_orderkey", "o_custkey", "o_orderdate")
+
+    def located(rows: DataFrame) -> DataFrame:
+        # customer first, then the fixed-size nation and region: joining the dimension chain first
+        # would inflate its size estimate (Spark multiplies estimates across joins without
+        # statistics) and make Spark broadcast orders instead.
+        nation = tables["nation"].select("n_nationkey", "n_regionkey")
+        region = tables["region"].select("r_regionkey", "r_name")
+        customer = tables["customer"].select("c_custkey", "c_nationkey")
+        return (
+            rows.join(customer, F.col("o_custkey") == F.col("c_custkey"))
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("o_orderkey", "o_custkey", "o_orderdate", "r_name")
+            .drop("c_custkey", "c_nationkey", "n_nationkey", "n_regionkey", "r_regionkey")
         )
-    df = li
-    if need & _ORDER_COLS or not assume_keys:
+
+    if with_orders:
+        if with_region and not facts_first:
+            orders = located(orders)
         df = df.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if need & _PART_COLS or not assume_keys:
-        part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+        if with_region and facts_first:
+            df = located(df)
+    if with_part:
+        part = tables["part"].select("p_partkey", "p_name", "p_type")
         df = df.join(part, F.col("l_partkey") == F.col("p_partkey"))
 
     price = F.col("l_extendedprice").cast("decimal(18,2)")
