@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...session import stored
+from .arima import arima_forecast
 from .gbt import gbt_forecast
 from .grouped import ForecastResult
-from .models import arima_forecast, ridge_forecast, sequence_forecast, trend_forecast
+from .models import ridge_forecast, sequence_forecast
+from .trend import trend_forecast
 
 # fixed values: model names accepted by the original application and its default comparison list
 TRAINERS: dict[str, Callable[..., ForecastResult]] = {

@@ -22,6 +22,7 @@ from ..operators import inventory as inv
 from ..operators import profile as prof
 from ..operators import seasonal as sea
 from ..operators import series as ser
+from ..operators.forecast import arima, trend
 from ..operators.forecast import compare as cmp
 from ..operators.forecast import gbt as gbtm
 from ..operators.forecast import metrics as met
@@ -406,7 +407,7 @@ def ridge_importances(spark, d):
 
 @register
 def trend_forecast(spark, d):
-    return fc.trend_forecast(daily(spark, d), (), 30).points
+    return trend.trend_forecast(daily(spark, d), (), 30).points
 
 
 @register
@@ -416,7 +417,7 @@ def sequence_forecast(spark, d):
 
 @register
 def arima_forecast(spark, d):
-    return fc.arima_forecast(daily(spark, d), (), 30).points
+    return arima.arima_forecast(daily(spark, d), (), 30).points
 
 
 

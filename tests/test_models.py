@@ -11,7 +11,9 @@ from conftest import SF_SMALL
 from ledgerline.operators.anomalies import avg_path, detect_anomalies
 from ledgerline.operators.forecast.core import Recent, Ridge
 from ledgerline.operators.forecast.gbt import early_stop_prefix
-from ledgerline.operators.forecast.models import arima_path, arma_fit, ridge_forecast, trend_forecast
+from ledgerline.operators.forecast import arima, trend
+from ledgerline.operators.forecast.models import ridge_forecast
+from ledgerline.operators.forecast.trend import trend_forecast
 from ledgerline.plans import queries as Q
 
 
@@ -95,17 +97,113 @@ def test_early_stop_prefix():
     assert early_stop_prefix([3, 2, 1], 20) == 3
 
 
-def test_arima_recovers_ar_coefficients():
-    rng = np.random.default_rng(3)
-    e = rng.normal(size=4000)
-    z = np.zeros(4000)
-    for t in range(2, 4000):
-        z[t] = 0.5 * z[t - 1] - 0.3 * z[t - 2] + e[t] + 0.4 * e[t - 1]
-    phi, theta, s2, _ = arma_fit(z, 2, 1)
-    assert phi == pytest.approx([0.5, -0.3], abs=0.08)
-    assert theta == pytest.approx([0.4], abs=0.1)
-    level, se = arima_path(np.cumsum(z) + 100, (2, 1, 2), 10)
-    assert len(level) == 10 and np.all(np.diff(se) > 0)
+def simulated(rng, n, phi, theta, burn=300):
+    e, z = rng.normal(size=n + burn), np.zeros(n + burn)
+    for t in range(2, n + burn):
+        z[t] = phi[0] * z[t - 1] + phi[1] * z[t - 2] + e[t] + theta[0] * e[t - 1] + theta[1] * e[t - 2]
+    return z[burn:]
+
+
+def test_arima_likelihood_is_that_of_the_dense_covariance():
+    rng = np.random.default_rng(1)
+    for phi, theta in (((0.5, -0.3), (0.4, 0.3)), ((1.2, -0.5), (-0.3,)), ((0.9,), (0.2, 0.6))):
+        phi, theta = np.array(phi), np.array(theta)
+        z = rng.normal(size=60)
+        T, R = arima._system(phi, theta)
+        r = len(R)
+        P = np.linalg.solve(np.eye(r * r) - np.kron(T, T), np.outer(R, R).ravel()).reshape(r, r)
+        cov = [(np.linalg.matrix_power(T, k) @ P)[0, 0] for k in range(60)]
+        S = np.array([[cov[abs(i - j)] for j in range(60)] for i in range(60)])
+        s2 = z @ np.linalg.solve(S, z) / 60
+        want = -0.5 * (60 * (np.log(2 * np.pi * s2) + 1) + np.linalg.slogdet(S)[1])
+        assert arima.log_likelihood(z, phi, theta) == pytest.approx((want, s2), rel=1e-9)
+
+
+def test_arima_recovers_coefficients_and_beats_its_start():
+    rng = np.random.default_rng(1)
+    for phi, theta in (((0.5, -0.3), (0.4, 0.3)), ((1.2, -0.5), (-0.3, 0.2))):
+        m = arima.arma_fit(simulated(rng, 8000, phi, theta), 2, 2)
+        assert m.phi == pytest.approx(phi, abs=0.05) and m.theta == pytest.approx(theta, abs=0.05)
+        assert m.s2 == pytest.approx(1.0, abs=0.05)
+        for _ in range(12):
+            z = simulated(rng, 250, phi, theta)
+            m = arima.arma_fit(z, 2, 2)
+            start = arima.hannan_rissanen(z, 2, 2)
+            outside = max(np.abs(np.roots([1, *-start[0]])).max(), np.abs(np.roots([1, *start[1]])).max()) >= 1
+            assert outside or m.likelihood >= arima.log_likelihood(z, *start)[0] - 1e-6
+            assert m.likelihood >= arima.log_likelihood(z, np.array(phi), np.array(theta))[0] - 1e-6
+
+
+def test_arima_partial_autocorrelations_round_trip():
+    partial = np.array([0.4, -0.7, 0.2])
+    coef = arima.from_partial(partial)
+    assert arima.to_partial(coef) == pytest.approx(partial)
+    assert np.abs(np.roots([1, *-coef])).max() < 1
+
+
+def test_arima_intervals_cover():
+    rng, hit, n = np.random.default_rng(5), 0, 0
+    for _ in range(150):
+        y = 100 + np.cumsum(simulated(rng, 520, (0.5, -0.3), (0.4, 0.3)))
+        m = arima.arima_fit(y[:500])
+        level, se = y[499] + np.cumsum(m.ahead(np.diff(y[:500]), 20)), m.spread(20)
+        assert np.all(np.diff(se) > 0)
+        hit += int((np.abs(y[500:] - level) <= 1.96 * se).sum())
+        n += 20
+    assert 0.93 <= hit / n <= 0.97
+
+
+def test_arima_of_a_constant_series_is_an_error_row(spark):
+    days = list(pd.date_range("2021-01-01", periods=120, freq="D").date)
+    res = arima.arima_forecast(spark.createDataFrame([(d, 5.0) for d in days], "ds date, y double"), (), 3)
+    assert res.points.count() == 0 and "does not change" in res.errors.first().error
+
+
+def planted(n=1200):
+    rng, t = np.random.default_rng(0), np.arange(n)
+    places = np.linspace(0, int(np.floor(n * 0.8)) - 1, 26).round().astype(int)[1:]
+    y = 500 + 0.5 * t + 1.5 * np.maximum(0, t - places[7]) - 2.5 * np.maximum(0, t - places[17])
+    return t + 18000.0, y + 60 * np.sin(2 * np.pi * t / 7) + rng.normal(0, 20, n)
+
+
+def test_trend_finds_planted_changes_and_leaves_the_others_at_zero():
+    days, y = planted()
+    m = trend.fit_trend(days, y)
+    change = m.delta * m.size / m.length
+    assert change[6:9].sum() == pytest.approx(1.5, abs=0.15) and change[16:19].sum() == pytest.approx(-2.5, abs=0.15)
+    others = [c for i, c in enumerate(change) if i not in (6, 7, 8, 16, 17, 18)]
+    assert np.abs(others).max() < 0.05 and sum(c == 0 for c in change) >= 15
+    assert m.slope * m.size / m.length == pytest.approx(0.5, abs=0.05) and m.noise * m.size == pytest.approx(20, abs=2)
+
+
+def test_trend_is_the_most_probable():
+    """No small move of any parameter has a higher posterior density."""
+    days, y = planted(400)
+    m = trend.fit_trend(days, y)
+
+    def density(offset, slope, delta, season):
+        t = m.scaled(days)
+        z = y / m.size - offset - slope * t - np.maximum(0.0, t[:, None] - m.changepoints) @ delta - trend.seasonal_columns(days) @ season
+        prior = (offset**2 + slope**2) / (2 * 25) + np.abs(delta).sum() / 0.05 + (season**2).sum() / 200
+        return -(z @ z) / (2 * m.noise**2) - prior
+
+    best = density(m.offset, m.slope, m.delta, m.season)
+    for step in (1e-3, -1e-3):
+        assert density(m.offset + step, m.slope, m.delta, m.season) <= best + 1e-3
+        assert density(m.offset, m.slope + step, m.delta, m.season) <= best + 1e-3
+        for j in range(len(m.delta)):
+            assert density(m.offset, m.slope, m.delta + step * (np.arange(len(m.delta)) == j), m.season) <= best + 1e-3
+
+
+def test_trend_interval_widens_with_the_horizon():
+    days, y = planted()
+    m = trend.fit_trend(days, y)
+    ahead = days[-1] + np.arange(1, 301)
+    low, high = m.interval(ahead)
+    width = high - low
+    assert width[0] == pytest.approx(2 * 1.96 * m.noise * m.size, rel=0.1)
+    assert width[29] <= width[99] < width[199] < width[299] and width[299] > 1.5 * width[0]
+    assert np.array_equal(low, m.interval(ahead)[0])  # the seed is fixed
 
 
 def test_trend_recovers_sine_and_trend(spark):
