@@ -1,5 +1,5 @@
-"""Boosted-tree forecast (M3) with Spark ML, early stopping by prefix choice, and a rollout of
-all series in one grouped map (M7, M8).
+"""One boosted-tree model over the pooled rows of all series, with Spark ML (M3; ``boosting`` has a model per
+series): early stopping by prefix choice, and a rollout of all series in one grouped map (M7, M8).
 
 Training is Spark's distributed ``GBTRegressor`` over the feature table; with several series, each
 one's mean over its training rows is a numeric feature, so any number of series fits. Spark has

@@ -1,7 +1,7 @@
 """Run a per-series forecaster as one grouped pandas map and split its output.
 
 Output records of every forecaster share one schema:
-series..., model, record ('point' | 'importance' | 'coefficient' | 'error'), date, predicted, lower_bound,
+series..., model, record ('point' | 'importance' | 'coefficient' | 'tree' | 'error'), date, predicted, lower_bound,
 upper_bound, actual, raw (the prediction before it is cut at 0), is_future, feature, importance, error.
 """
 
@@ -89,6 +89,13 @@ class ForecastResult:
         rows = self.records.where(F.col("record") == "coefficient")
         return rows.select(*self.series_cols, "feature", F.col("importance").alias("coefficient"))
 
+    @property
+    def trees(self) -> DataFrame:
+        """series..., tree, base: the trees of boosted models (any order), as JSON, and the value their sum is
+        added to."""
+        rows = self.records.where(F.col("record") == "tree")
+        return rows.select(*self.series_cols, F.col("feature").alias("tree"), F.col("importance").alias("base"))
+
     @property
     def errors(self) -> DataFrame:
         return self.records.where(F.col("record") == "error").select(*self.series_cols, "model", "error")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ...functions.dates import FEATURES
 from ...functions.numeric import round_to
+from ...session import ship_package
+from .boosting import Boosted
 
 # fixed values: R² bands of the run report
 R2_GOOD, R2_FAIR = 0.8, 0.5
@@ -77,6 +81,34 @@ def predict_linear(features: DataFrame, path: str, series_cols: Sequence[str] =
     return joined.select(*features.columns, value.alias("predicted"))
 
 
+def save_trees(result, path: str) -> None:
+    """Persist the trees of a boosted model (A12), one row per series and tree."""
+    result.trees.write.mode("overwrite").parquet(path)
+
+
+def predict_trees(features: DataFrame, path: str, series_cols: Sequence[str] = ()) -> DataFrame:
+    """``features`` with the ``predicted`` values of saved boosted models, series by series.
+
+    Rows of a series without a model go; a series has at most a few hundred trees and a row per day.
+    """
+    s = list(series_cols)
+    trees = features.sparkSession.read.parquet(path)
+    if not s:
+        features, trees = features.withColumn("__all", F.lit(0)), trees.withColumn("__all", F.lit(0))
+    keys = s or ["__all"]
+    columns = [c for c in features.columns if c != "__all"]
+    schema = StructType([*features.select(*columns).schema.fields, StructField("predicted", DoubleType())])
+
+    def score(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(model) or not len(rows):
+            return pd.DataFrame(columns=[*columns, "predicted"])
+        known = Boosted.from_rows(model.rename(columns={"tree": "feature", "base": "importance"}))
+        return rows[columns].assign(predicted=known.predict(rows[FEATURES].to_numpy(dtype=float)))
+
+    ship_package(features.sparkSession)
+    return features.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInPandas(score, schema)
+
+
 def save_spark_model(model, path: str) -> None:
-    """Persist a fitted Spark ML model (A12), e.g. the boosted-tree model."""
+    """Persist a fitted Spark ML model (A12), e.g. the pooled boosted-tree model."""
     model.write().overwrite().save(path)

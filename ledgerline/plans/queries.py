@@ -22,9 +22,8 @@ from ..operators import inventory as inv
 from ..operators import profile as prof
 from ..operators import seasonal as sea
 from ..operators import series as ser
-from ..operators.forecast import arima, trend
+from ..operators.forecast import arima, boosting, trend
 from ..operators.forecast import compare as cmp
-from ..operators.forecast import gbt as gbtm
 from ..operators.forecast import metrics as met
 from ..operators.forecast import models as fc
 from ..operators.forecast.core import with_future
@@ -423,7 +422,7 @@ def arima_forecast(spark, d):
 
 @register
 def gbt_forecast(spark, d):
-    return gbtm.gbt_forecast(daily(spark, d), (), 30).points
+    return boosting.boosted_forecast(daily(spark, d), (), 30).points
 
 
 @register
@@ -442,6 +441,11 @@ def anomalies_by_region(spark, d):
 
 
 
+@register
+def gbt_forecast_by_region(spark, d):
+    return boosting.boosted_forecast(daily(spark, d, ["region"]), ["region"], 30).points
+
+
 @register
 def compare_models(spark, d):
     return cmp.compare_models(daily(spark, d), horizon=30)

@@ -11,7 +11,7 @@ from conftest import SF_SMALL
 from ledgerline.operators.anomalies import avg_path, detect_anomalies
 from ledgerline.operators.forecast.core import Recent, Ridge
 from ledgerline.operators.forecast.gbt import early_stop_prefix
-from ledgerline.operators.forecast import arima, trend
+from ledgerline.operators.forecast import arima, boosting, trend
 from ledgerline.operators.forecast.models import ridge_forecast
 from ledgerline.operators.forecast.trend import trend_forecast
 from ledgerline.plans import queries as Q
@@ -293,3 +293,84 @@ def test_gbt_pipeline_small(spark):
     fut = pts[pts.is_future]
     assert len(fut) == 6 and (fut.predicted >= 0).all() and (fut.lower_bound <= fut.predicted).all()
     assert res.metrics.count() == 2 and res.importances.count() > 0 and res.model is not None
+
+
+def test_boosting_grows_the_best_splits():
+    """The first split of a tree on all rows and features is the best by direct search; leaves are shrunk means."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 3)), rng.normal(size=60)
+    g = -(y - y.mean())
+    gain, splits = np.zeros(3), np.zeros(3)
+    tree = boosting.grow(boosting.Binned(x), g, np.arange(60), np.arange(3), 1.0, gain, splits)
+    score = lambda part: part.sum() ** 2 / (len(part) + 1.0)
+    best = max((score(g[x[:, f] <= c]) + score(g[x[:, f] > c]), f) for f in range(3) for c in np.sort(x[:, f])[:-1])
+    left = x[:, tree.feature[0]] <= tree.threshold[0]
+    assert tree.feature[0] == best[1] and score(g[left]) + score(g[~left]) == pytest.approx(best[0])
+    at = np.zeros(60, dtype=int)
+    for _ in range(boosting.DEPTH):
+        f = tree.feature[at]
+        at = np.where(f < 0, at, 2 * at + 1 + (x[np.arange(60), np.maximum(f, 0)] > tree.threshold[at]))
+    for slot in set(at):
+        assert tree.value[slot] == pytest.approx(-g[at == slot].sum() / ((at == slot).sum() + 1.0))
+    assert boosting.Boosted(0.0, [tree]).predict(x) == pytest.approx(tree.value[at])
+
+
+def test_boosting_stops_by_patience_and_is_reproducible():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(200, 4)), rng.normal(size=200)  # nothing to learn
+    model, kept = boosting.boost(x[:150], y[:150], 300, 0.3, watch=(x[150:], y[150:]))
+    assert len(model.trees) == kept + boosting.PATIENCE < 100
+    again, _ = boosting.boost(x[:150], y[:150], 300, 0.3, watch=(x[150:], y[150:]))
+    assert np.array_equal(model.predict(x), again.predict(x))
+
+
+def test_boosting_is_as_good_as_the_pooled_model(spark):
+    from ledgerline.operators.forecast.gbt import gbt_forecast
+
+    rng, t = np.random.default_rng(2), np.arange(500)
+    y = 400 + 80 * np.sin(2 * np.pi * t / 7) + 30 * np.sin(2 * np.pi * t / 30.4) + rng.normal(0, 15, 500)
+    days = pd.date_range("2021-01-01", periods=500, freq="D").date
+    df = spark.createDataFrame(pd.DataFrame({"ds": days, "y": y}))
+    pooled = gbt_forecast(df, (), 2, max_iter=30, step_size=0.2).metrics.first().rmse
+    assert boosting.boosted_forecast(df, (), 2, rounds=30, rate=0.2).metrics.first().rmse <= 1.05 * pooled
+
+
+def test_boosted_models_are_saved_and_scored(spark, tmp_path):
+    from ledgerline.operators import series as ser
+    from ledgerline.operators.forecast import views
+
+    days, t = list(pd.date_range("2021-01-01", periods=160, freq="D").date), np.arange(160)
+    rows = [(s, d, float(v)) for s, y in (("a", 300 + 50 * np.sin(2 * np.pi * t / 7)), ("b", 80 + t * 0.5)) for d, v in zip(days, y)]
+    rows += [("short", d, 1.0) for d in days[:20]]
+    ts = spark.createDataFrame(rows, "store string, ds date, y double")
+    res = boosting.boosted_forecast(ts, ["store"], 3, rounds=20)
+    assert [r.store for r in res.errors.collect()] == ["short"]
+    pts = res.points.toPandas()
+    assert set(pts.store) == {"a", "b"} and pts.is_future.sum() == 6 and (pts[pts.is_future].lower_bound >= 0).all()
+    assert res.metrics.count() == 2 and 0 < res.importances.count() <= 20
+    views.save_trees(res, str(tmp_path / "trees"))
+    scored = views.predict_trees(ser.feature_table(ts, ["store"]), str(tmp_path / "trees"), ["store"])
+    scored = scored.select("store", F.col("ds").alias("date"), F.col("predicted").alias("p"))
+    both = res.points.where("NOT is_future").join(scored, ["store", "date"]).toPandas()
+    assert len(both) > 20 and both.p.to_numpy() == pytest.approx(both.predicted.to_numpy())
+    one = ts.where("store = 'a'").drop("store")
+    views.save_trees(boosting.boosted_forecast(one, (), 1, rounds=5), str(tmp_path / "one"))
+    assert views.predict_trees(ser.feature_table(one), str(tmp_path / "one")).where("predicted IS NULL").count() == 0
+
+
+def test_comparison_keeps_failed_models_and_runs_them_together(spark, monkeypatch):
+    from ledgerline.operators.forecast import compare
+
+    def broken(ts, series_cols, horizon):
+        raise RuntimeError("no such luck")
+
+    monkeypatch.setitem(compare.TRAINERS, "lstm", broken)
+    days = list(pd.date_range("2021-01-01", periods=220, freq="D").date)
+    rows = [("long", d, float(100 + i % 7 * 10)) for i, d in enumerate(days)] + [("short", d, 5.0) for d in days[:12]]
+    ts = spark.createDataFrame(rows, "store string, ds date, y double")
+    got = {(r.store, r.model): r for r in compare.compare_models(ts, ["linear", "lstm", "xgboost", "arima"], ["store"], 3).collect()}
+    assert len(got) == 8 and [got["long", m].request_pos for m in ("linear", "lstm", "xgboost", "arima")] == [0, 1, 2, 3]
+    assert got["long", "lstm"].status == "failed" and "no such luck" in got["long", "lstm"].error
+    assert got["long", "linear"].status == "success" and got["short", "xgboost"].status == "failed"
+    best = min((r.rmse, r.request_pos, m) for (s, m), r in got.items() if s == "long" and r.status == "success")[2]
+    assert {r.best_model for (s, _), r in got.items() if s == "long"} == {best}
