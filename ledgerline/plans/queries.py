@@ -435,6 +435,13 @@ def anomalies_only(spark, d):
     return anom.anomalies_only(anom.detect_anomalies(daily(spark, d)))
 
 
+@register
+def anomalous_lines_by_region(spark, d):
+    """Order lines of unusual revenue per region: a forest over single lines, not daily totals."""
+    found = anom.transaction_anomalies(S(spark, d, ["date", "region", "revenue"]), "date", "revenue", ["region"])
+    return anom.anomaly_counts(found, ["region"])
+
+
 @register
 def anomalies_by_region(spark, d):
     return anom.anomaly_counts(anom.detect_anomalies(daily(spark, d, ["region"]), ["region"]), ["region"])

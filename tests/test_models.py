@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from ledgerline.operators import anomalies
 from ledgerline.operators.anomalies import avg_path, detect_anomalies
 from ledgerline.operators.forecast.core import Recent, Ridge
 from ledgerline.operators.forecast.gbt import early_stop_prefix
@@ -374,3 +375,55 @@ def test_comparison_keeps_failed_models_and_runs_them_together(spark, monkeypatc
     assert got["long", "linear"].status == "success" and got["short", "xgboost"].status == "failed"
     best = min((r.rmse, r.request_pos, m) for (s, m), r in got.items() if s == "long" and r.status == "success")[2]
     assert {r.best_model for (s, _), r in got.items() if s == "long"} == {best}
+
+
+def old_paths(sample, values, rng):
+    """Path lengths by walking the values down the tree as it grows."""
+    limit, out = int(np.ceil(np.log2(max(len(sample), 2)))), np.zeros(len(values))
+
+    def grow(s, idx, depth):
+        if depth >= limit or len(s) <= 1 or s.min() == s.max():
+            out[idx] = depth + avg_path(len(s))
+            return
+        cut = rng.uniform(s.min(), s.max())
+        grow(s[s < cut], idx[values[idx] < cut], depth + 1)
+        grow(s[s >= cut], idx[values[idx] >= cut], depth + 1)
+
+    grow(sample, np.arange(len(values)), 0)
+    return out
+
+
+def test_forest_steps_equal_walking_the_trees():
+    rng = np.random.default_rng(3)
+    for pool in (rng.normal(size=400), rng.integers(0, 5, 300).astype(float), np.full(20, 3.0), np.array([1.0])):
+        values = np.concatenate([pool, rng.normal(size=50) * 3, [-1e9, 1e9]])
+        cuts, lengths = anomalies.forest_steps(pool, 20, 64, 42)
+        want = np.zeros(len(values))
+        for tree in range(20):
+            own = np.random.default_rng([42, tree])
+            want += old_paths(pool[own.choice(len(pool), min(64, len(pool)), replace=False)], values, own)
+        assert lengths[np.searchsorted(cuts, values, side="right")] == pytest.approx(want / 20)
+
+
+def test_streamed_scores_equal_broadcast_ones(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, dt.date(2022, 1, 1) + dt.timedelta(days=int(i)), float(v)) for k in ("a", "b", None) for i, v in enumerate(rng.normal(size=300))]
+    ts = spark.createDataFrame(rows, "store string, ds date, y double").repartition(5)
+    forest = anomalies.fit_forest(ts, ["store"], 10, 32, 42).cache()
+    near, far = (
+        sorted(map(repr, anomalies.score_rows(ts, forest, ["store"], limit).collect())) for limit in (10**9, 0)
+    )
+    assert len(near) == 900 and near == far
+
+
+def test_forest_on_single_rows(spark):
+    """More rows than the pool holds: spikes are found, 5 % are flagged."""
+    rows = spark.range(60_000).select(
+        F.date_add(F.lit("2022-01-01").cast("date"), (F.col("id") % 365).cast("int")).alias("day"),
+        F.when(F.col("id") % 10_000 == 7, 9000.0).otherwise(100 + F.pmod(F.xxhash64("id"), F.lit(1000)) / 100).alias("amount"),
+    )
+    found = anomalies.transaction_anomalies(rows, "day", "amount").cache()
+    assert found.count() == 60_000 and found.where("value = 9000 AND NOT is_anomaly").count() == 0
+    assert 0.02 < found.agg(F.avg(F.col("is_anomaly").cast("int"))).first()[0] <= 0.0501
+    found.unpersist()
+    assert anomalies.detect_anomalies(rows.limit(0).select(F.col("day").alias("ds"), F.col("amount").alias("y"))).count() == 0
