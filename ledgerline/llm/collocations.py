@@ -19,12 +19,12 @@ counted, joined and ranked where it lies.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import compress
-from operator import or_
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +32,13 @@ from .common import python_ready, shared_table
 
 #: Prefixes that a round takes at most, over all languages; a task holds them as word pairs (about 60 MB).
 ROUND_PAIRS = 200_000
-#: Different phrases that a task counts before it hands its counts on.
-HELD = 400_000
+#: A task numbers the words it meets in so many bits, counts so many tokens at a time, and holds so many
+#: different phrases (16 bytes each) before it hands its counts on.
+BITS, SLICE, HELD = 21, 1 << 20, 1 << 22
+#: Hash buckets in which phrases are ranked before they are ranked together.
+BUCKETS = 64
+#: Rows handed on at a time.
+ROWS = 1 << 16
 
 _BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 _TAB = bytes.maketrans(b"\t", b" ")
@@ -46,50 +51,99 @@ def tokens(texts: list[bytes]) -> list[bytes]:
     return list(filter(None, row.translate(_TAB).split(b" ")))
 
 
-def _by_lang(batch: pd.DataFrame) -> Iterator[tuple[str, list[bytes]]]:
-    for lang, rows in batch.groupby("lang", sort=False):
-        yield lang, tokens(rows["text"].tolist())
-
-
-def _counted(texts: DataFrame, count, words: int) -> DataFrame:
-    """(lang, w1, .., n): occurrences of the phrases that ``count`` adds to a counter, up to ``words`` words."""
-    names = [f"w{k + 1}" for k in range(words)]
-
-    def handed_on(held: dict[str, Counter]) -> pd.DataFrame:
-        rows = [
-            (lang, *(w.decode() for w in phrase), *[None] * (words - len(phrase)), n)
-            for lang, counts in held.items() for phrase, n in counts.items() if _STOP not in phrase
-        ]
-        return pd.DataFrame(rows, columns=["lang", *names, "n"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Counter] = defaultdict(Counter)
+class Words(dict):
+    """word -> its number in this task, from 1; 0 is the end of a piece."""
+
+    def __init__(self):
+        super().__init__({_STOP: 0})
+        self.names = [None]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.names)
+        self.names.append(word)
+        return n
+
+
+class Counts:
+    """Phrases of up to three numbered words, packed into one number each, and how often they occur, per language."""
+
+    def __init__(self, words: int, chosen: dict[str, list[tuple[bytes, bytes]]] | None):
+        self.words, self.chosen = words, chosen
+        self.clear()
+
+    def clear(self) -> None:
+        self.vocabulary, self.held, self.size = Words(), {}, 0
+        number = self.vocabulary.__getitem__
+        self.pairs = {
+            lang: np.sort(np.array([number(a) << BITS | number(b) for a, b in pairs], dtype=np.int64)) for lang, pairs in (self.chosen or {}).items()
+        }
+
+    def phrases(self, lang: str, ids: np.ndarray, starts: int) -> np.ndarray:
+        """The phrases that begin at the first ``starts`` places."""
+        two = (ids[:-1] << BITS | ids[1:])[: starts + 1]
+        inner = (ids[:-1] != 0) & (ids[1:] != 0)
+        if self.chosen is None:
+            return np.concatenate([ids[:starts][ids[:starts] != 0], two[:starts][inner[:starts]]])
+        pairs = self.pairs.get(lang, np.zeros(0, dtype=np.int64))
+        if not len(pairs) or len(ids) < 3:
+            return np.zeros(0, dtype=np.int64)
+        hit = pairs[np.minimum(np.searchsorted(pairs, two), len(pairs) - 1)] == two
+        n = min(starts, len(ids) - 2)
+        wanted = (hit[:n] | hit[1 : n + 1]) & inner[:n] & inner[1 : n + 1]
+        return (two[:n] << BITS | ids[2 : n + 2])[wanted]
+
+    def add(self, lang: str, found: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(found), SLICE):
+            part = found[at : at + SLICE + 2]  # phrases that begin in the slice may end behind it
+            ids = np.fromiter(map(self.vocabulary.__getitem__, part), dtype=np.int64, count=len(part))
+            keys, n = np.unique(self.phrases(lang, ids, min(SLICE, len(part))), return_counts=True)
+            self.held.setdefault(lang, []).append((keys, n))
+            self.size += len(keys)
+            if self.size > HELD:
+                self.held = {lang: [self.summed(parts)] for lang, parts in self.held.items()}
+                self.size = sum(len(parts[0][0]) for parts in self.held.values())
+            if self.size > HELD // 2 or len(self.vocabulary) > SLICE // 2:
+                yield from self.hand_on()
+
+    def summed(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+    def hand_on(self) -> Iterator[pa.RecordBatch]:
+        names = pa.array(self.vocabulary.names, type=pa.binary()).cast(pa.string())
+        mask = (1 << BITS) - 1
+        for lang, parts in self.held.items():
+            keys, n = self.summed(parts)
+            for at in range(0, len(keys), ROWS):
+                some = keys[at : at + ROWS]
+                ids = [some >> (BITS * k) & mask for k in reversed(range(self.words))]
+                if self.words == 2:  # a single word is packed behind a 0
+                    ids = [np.where(ids[0] == 0, ids[1], ids[0]), np.where(ids[0] == 0, 0, ids[1])]
+                columns = [pa.array([lang] * len(some), type=pa.string()), *(names.take(pa.array(x)) for x in ids), pa.array(n[at : at + ROWS])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", *(f"w{k + 1}" for k in range(self.words)), "n"])
+        self.clear()
+
+
+def _counted(texts: DataFrame, words: int, chosen: Broadcast | None = None) -> DataFrame:
+    """(lang, w1, .., n): occurrences of words and pairs (``words`` 2, a word's w2 is null) or of the triples that
+    begin or end with a chosen pair (3)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(words, chosen.value if chosen else None)
         for batch in batches:
-            for lang, found in _by_lang(batch):
-                count(held[lang], lang, found)
-            if sum(map(len, held.values())) > HELD:
-                yield handed_on(held)
-                held.clear()
-        yield handed_on(held)
+            by_lang = defaultdict(list)
+            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
+                by_lang[lang].append(text)
+            for lang, some in by_lang.items():
+                yield from counts.add(lang, tokens(some))
+        yield from counts.hand_on()
 
+    names = [f"w{k + 1}" for k in range(words)]
     schema = ", ".join(f"{c} string" for c in ("lang", *names)) + ", n long"
-    return texts.mapInPandas(run, schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
-
-
-def _words_and_pairs(counts: Counter, lang: str, found: list[bytes]) -> None:
-    counts.update(zip(found))
-    counts.update(zip(found, found[1:]))
-
-
-def triples(texts: DataFrame, chosen: dict[str, frozenset]) -> DataFrame:
-    """(lang, w1, w2, w3, n) of the triples that begin or end with a chosen pair of their language."""
-    sent = texts.sparkSession.sparkContext.broadcast(chosen)
-
-    def count(counts: Counter, lang: str, found: list[bytes]) -> None:
-        hit = list(map(sent.value.get(lang, frozenset()).__contains__, zip(found, found[1:])))
-        counts.update(compress(zip(found, found[1:], found[2:]), map(or_, hit, hit[1:])))
-
-    return _counted(texts, count, 3)
+    return texts.mapInArrow(run, schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
 def cut_score(a: Column, left: Column, right: Column) -> Column:
@@ -128,8 +182,12 @@ def _scored_triples(counted: DataFrame, pairs: DataFrame, least: int) -> DataFra
 
 
 def _best(rows: DataFrame, top: int) -> DataFrame:
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    # first in buckets, so that no task sorts all phrases of a language
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    near = rows.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)))
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "bucket").orderBy(*order))).filter(F.col("rank") <= top)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")
+    return near.drop("bucket").withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
 def collocations(
@@ -148,7 +206,7 @@ def collocations(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
     )
-    grams = shared_table(_counted(texts, _words_and_pairs, 2).filter(f"w2 IS NULL OR n >= {least}"))
+    grams = shared_table(_counted(texts, 2).filter(f"w2 IS NULL OR n >= {least}"))
     sizes = grams.filter("w2 IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     left = shared_table(_pairs(grams, least))
     pairs, settled = left, None
@@ -158,14 +216,17 @@ def collocations(
         if not langs:
             break
         share = max(1, min(share, round_pairs // len(langs)))
-        order = Window.partitionBy("lang").orderBy(F.desc("bound"), "w1", "w2")
-        now = left.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= share).drop("place")
-        now = shared_table(now)
-        chosen = defaultdict(set)
+        # the highest bounds of each hash bucket: any order settles the same phrases, and no task sorts a language
+        buckets = min(BUCKETS, share)
+        order = Window.partitionBy("lang", "bucket").orderBy(F.desc("bound"), "w1", "w2")
+        now = left.withColumn("bucket", F.pmod(F.xxhash64("w1", "w2"), F.lit(buckets))).withColumn("place", F.row_number().over(order))
+        now = shared_table(now.filter(F.col("place") <= share // buckets).drop("place", "bucket"))
+        chosen = defaultdict(list)
         for r in now.select("lang", "w1", "w2").toLocalIterator():
-            chosen[r["lang"]].add((r["w1"].encode(), r["w2"].encode()))
+            chosen[r["lang"]].append((r["w1"].encode(), r["w2"].encode()))
+        sent = docs.sparkSession.sparkContext.broadcast(dict(chosen))
         open_texts = texts.filter(F.col("lang").isin(langs)) if len(langs) < 100 else texts
-        found = shared_table(_scored_triples(triples(open_texts, {k: frozenset(v) for k, v in chosen.items()}), pairs, least))
+        found = shared_table(_scored_triples(_counted(open_texts, 3, sent), pairs, least))
         # pairs that a triple absorbs, as its beginning or its end
         held = found.select("lang", "w1", "w2", "a").unionByName(found.select("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2"), "a"))
         held = held.groupBy("lang", "w1", "w2").agg(F.max("a").alias("longest"))

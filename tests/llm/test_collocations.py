@@ -74,3 +74,28 @@ def test_query_equals_its_sql(spark):
     sql = sorted(con.sql(f"SELECT {', '.join(COLUMNS)} FROM ({collocations.ORACLE})").fetchall())
     rows = [(r.lang, r.text) for r in spark.read.parquet(path).collect()]
     assert rows_of(collocations.collocations(spark.read.parquet(path))) == sql == brute(rows, 10, 50, 2000)
+
+
+def test_slices_and_hand_overs_lose_no_phrase(monkeypatch):
+    monkeypatch.setattr(collocations, "SLICE", 8)
+    monkeypatch.setattr(collocations, "HELD", 12)
+    monkeypatch.setattr(collocations, "ROWS", 3)
+    rng = random.Random(3)
+    found = [rng.choice([b"\n", b"a", b"b", b"c", b"d", b"\xc3\xa9"]) for _ in range(200)]
+    pairs = [(b"a", b"b"), (b"c", b"a"), (b"zz", b"a")]
+    for words, chosen in ((2, None), (3, {"en": pairs})):
+        counts, got = collocations.Counts(words, chosen), collections.Counter()
+        for batch in [*counts.add("en", found), *counts.add("de", found[:9]), *counts.hand_on()]:
+            for row in batch.to_pylist():
+                got[(row["lang"], *(row[f"w{k + 1}"] for k in range(words)))] += row["n"]
+        want = collections.Counter()
+        for lang, some in (("en", found), ("de", found[:9])):
+            t = [x.decode() for x in some]
+            for i in range(len(t)):
+                if words == 2:
+                    want[lang, t[i], None] += t[i] != "\n"
+                    want[(lang, *t[i : i + 2])] += len(t[i : i + 2]) == 2 and "\n" not in t[i : i + 2]
+                elif lang == "en" and len(t[i : i + 3]) == 3 and "\n" not in t[i : i + 3]:
+                    spelt = [(a.decode(), b.decode()) for a, b in pairs]
+                    want[(lang, *t[i : i + 3])] += tuple(t[i : i + 2]) in spelt or tuple(t[i + 1 : i + 3]) in spelt
+        assert got == +want
