@@ -143,7 +143,8 @@ def _counted(texts: DataFrame, words: int, chosen: Broadcast | None = None) -> D
 
     names = [f"w{k + 1}" for k in range(words)]
     schema = ", ".join(f"{c} string" for c in ("lang", *names)) + ", n long"
-    return texts.mapInArrow(run, schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    # a task's phrases are summed already: they are dealt out at once, not hashed once more before
+    return texts.mapInArrow(run, schema).repartition("lang", *names).groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
 def cut_score(a: Column, left: Column, right: Column) -> Column:

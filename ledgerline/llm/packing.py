@@ -11,6 +11,9 @@ All packing decisions depend only on how many pieces there are of each length, a
 3. the places of a configuration are given to the actual lengths of its groups, in order;
 4. small lengths, longest first, go to the sequences with the least room that still fits them.
 
+More groups waste less by rounding, fewer leave configurations that repeat; several numbers are tried on the
+histogram, up to best fit alone, and the plan with the fewest sequences is taken.
+
 The plan says "the pieces of length L with ranks a to b go to sequences s to s + b - a at offset
 o". Its size depends on ``cap`` and the number of groups only, so it is broadcast. Pieces get their
 rank within their length in hash buckets, so that a very common length is no single task.
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -29,16 +32,22 @@ from pyspark.sql import functions as F
 from .common import keyed, python_ready, shared_table
 from .units import Memo, is_plain, spaced_parts, word_parts
 
-#: Rounded sizes of large pieces, and pieces that share one (length, bucket) rank window.
-GROUPS = 256
+#: Numbers of rounded sizes of large pieces that are tried, with the share of ``cap`` up to which a length is
+#: small (with all lengths small, the plan is best fit decreasing); and pieces that share one (length, bucket) rank window.
+GROUPS = ((256, 1 / 8), (1024, 1 / 8), (4096, 1 / 8), (4096, 1 / 4), (1, 1))
 BUCKET_ROWS = 20_000
+#: Parts that are tokenised as one text; the tokenizer takes longer for each in longer texts.
+JOINED = 128
 
 
 def document_ids(tokenizer_path: str):
     """texts -> their ids as little-endian unsigned 32-bit bytes, for a byte-level BPE file."""
+    import os
+
     import numpy as np
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core, no more
     tokenizer = Tokenizer.from_file(tokenizer_path)
     # a byte-level token has one character per byte, so token lengths add up to places in the bytes
     n_bytes = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
@@ -49,7 +58,7 @@ def document_ids(tokenizer_path: str):
         return np.asarray(tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(parts: list[str]) -> list[bytes | None]:
-        """Plain parts as one text, in which each stands on its own; None for the others."""
+        """Plain parts in texts of ``JOINED``, in which each stands on its own; None for the others."""
         found: dict[str, bytes | None] = {}
         joined = []
         for p in parts:
@@ -59,28 +68,29 @@ def document_ids(tokenizer_path: str):
                 found[p] = alone(p[1:])
             else:
                 joined.append(p)
-        text = [p if p[0] == "\n" else " " + p for p in joined]
-        got = np.asarray(tokenizer.encode("x" + "".join(text), add_special_tokens=False).ids, dtype="<u4")
-        stops = np.searchsorted(
-            np.cumsum(n_bytes[got]), 1 + np.cumsum([len(p.encode()) for p in text], dtype=np.int64), side="right"
-        )
-        start, data = 4, got.tobytes()
-        for p, stop in zip(joined, (4 * stops).tolist()):
-            found[p] = data[start:stop]
-            start = stop
+        groups = [joined[n : n + JOINED] for n in range(0, len(joined), JOINED)]
+        spelt = [[p if p[0] == "\n" else " " + p for p in group] for group in groups]
+        texts = ["x" + "".join(text) for text in spelt]
+        for group, text, got in zip(groups, spelt, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            own = np.asarray(got.ids, dtype="<u4")
+            stops = np.searchsorted(
+                np.cumsum(n_bytes[own]), 1 + np.cumsum([len(p.encode()) for p in text], dtype=np.int64), side="right"
+            )
+            start, data = 4, own.tobytes()
+            for p, stop in zip(group, (4 * stops).tolist()):
+                found[p] = data[start:stop]
+                start = stop
         return [found[p] for p in parts]
 
     memo = Memo(encode)
 
     def ids(texts: list[str]) -> list[bytes]:
-        parts = [word_parts(t) for t in texts]
-        memo.learn(parts)
         out = []
-        for text, own in zip(texts, parts):
-            try:
-                out.append(b"".join([memo[p] for p in own]))
-            except TypeError:  # a part that is not plain: cut the text with care
+        for text, found in zip(texts, memo.values([word_parts(t) for t in texts])):
+            if None in found:  # a part that is not plain: cut the text with care
                 out.append(b"".join([alone(p) for p in spaced_parts(text)]))
+            else:
+                out.append(b"".join(found))
         return out
 
     return ids
@@ -144,8 +154,24 @@ def fullest(sizes: list[int], left: list[int], first: int, cap: int) -> dict[int
     return used
 
 
-def packing_plan(counts: dict[int, int], cap: int, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, pieces, first sequence, offset) rows that place all of ``counts``."""
+def packing_plan(counts: dict[int, int], cap: int, groups: Sequence[tuple[int, float]] = GROUPS) -> list[tuple[int, int, int, int, int]]:
+    """(length, first rank, pieces, first sequence, offset) rows that place all of ``counts``: of the plans for
+    these (rounded sizes, share of ``cap`` that is small), one with the fewest sequences, the first of them."""
+    least = -(-sum(length * n for length, n in counts.items()) // cap)
+    best: list[tuple[int, int, int, int, int]] = []
+    fewest = None
+    for n_groups, share in groups:
+        rows = plan_by_groups(counts, cap, n_groups, int(share * cap))
+        used = max((first + n for _, _, n, first, _ in rows), default=0)
+        if fewest is None or used < fewest:
+            best, fewest = rows, used
+        if fewest <= least:
+            break
+    return best
+
+
+def plan_by_groups(counts: dict[int, int], cap: int, groups: int, small: int) -> list[tuple[int, int, int, int, int]]:
+    """The plan with so many groups of the lengths above ``small``."""
     rows: list[tuple[int, int, int, int, int]] = []
     next_rank: dict[int, int] = defaultdict(int)
     open_by_room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> (sequences, first sequence)
@@ -155,7 +181,7 @@ def packing_plan(counts: dict[int, int], cap: int, groups: int = GROUPS) -> list
         rows.append((length, next_rank[length], pieces_, sequence, offset))
         next_rank[length] += pieces_
 
-    large = sorted((x for x in counts if x > cap // 8 and counts[x]), reverse=True)
+    large = sorted((x for x in counts if x > small and counts[x]), reverse=True)
     # 1. groups of equal cardinality, each a list of [length, pieces], named by its longest length
     per_group = max(1, -(-sum(counts[x] for x in large) // groups))
     grouped: dict[int, list[list[int]]] = {}
@@ -206,7 +232,7 @@ def packing_plan(counts: dict[int, int], cap: int, groups: int = GROUPS) -> list
             n_sequences += same
             done += same
     # 4. small lengths, best fit
-    for length in sorted((x for x in counts if x <= cap // 8 and counts[x]), reverse=True):
+    for length in sorted((x for x in counts if x <= small and counts[x]), reverse=True):
         left, room = counts[length], length
         while left:
             while room <= cap and not open_by_room.get(room):
@@ -228,7 +254,7 @@ def packing_plan(counts: dict[int, int], cap: int, groups: int = GROUPS) -> list
 
 def pack(
     docs: DataFrame, tokenizer_path: str, cap: int = 2048, end_id: int = 0,
-    id_col: str = "doc_id", text_col: str = "text", groups: int = GROUPS,
+    id_col: str = "doc_id", text_col: str = "text", groups: Sequence[tuple[int, float]] = GROUPS,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 

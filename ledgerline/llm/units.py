@@ -31,6 +31,22 @@ class Memo(dict):
         if missing:
             self.update(zip(missing, self.encode(missing)))
 
+    def values(self, texts: Sequence[Sequence[str]]) -> list[list[Any]]:
+        """The values of every text's parts; only texts with an unknown part (or one whose value is None) are
+        looked at twice."""
+        if len(self) > MEMO_ENTRIES:
+            self.clear()
+        out = [list(map(self.get, parts)) for parts in texts]
+        gaps = [(parts, found, [n for n, v in enumerate(found) if v is None]) for parts, found in zip(texts, out) if None in found]
+        # (a set's difference with a dict would walk through the whole dict)
+        missing = [p for p in {parts[n] for parts, _, places in gaps for n in places} if p not in self]
+        if missing:
+            self.update(zip(missing, self.encode(missing)))
+            for parts, found, places in gaps:
+                for n in places:
+                    found[n] = self[parts[n]]
+        return out
+
 
 def word_parts(text: str) -> list[str]:
     """The first word as " word", those after a space as "word", those after a line feed as "\\nword"."""

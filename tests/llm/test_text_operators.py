@@ -307,7 +307,7 @@ def test_packing_plan_places_every_piece():
     for cap, n in ((64, 500), (2048, 5000)):
         counts = collections.Counter(min(cap, max(1, int(rng.gauss(cap / 3, cap / 4)))) for _ in range(n))
         load, ranks = collections.Counter(), collections.Counter()
-        for length, first, pieces, sequence, offset in packing.packing_plan(counts, cap, 16):
+        for length, first, pieces, sequence, offset in packing.packing_plan(counts, cap, [(16, 1 / 8)]):
             assert first == ranks[length]
             ranks[length] += pieces
             for s in range(sequence, sequence + pieces):
@@ -316,6 +316,39 @@ def test_packing_plan_places_every_piece():
         assert ranks == counts and max(load.values()) <= cap
 
 
+def best_fit_decreasing(counts, cap):
+    rooms, n = collections.Counter(), 0
+    for length in sorted(counts.elements(), reverse=True):
+        room = next((r for r in range(length, cap + 1) if rooms[r]), None)
+        if room is None:
+            n, room = n + 1, cap
+        else:
+            rooms[room] -= 1
+        rooms[room - length] += 1
+    return n
+
+
+def test_packing_takes_no_more_sequences_than_best_fit():
+    rng = random.Random(5)
+    for cap, n, draw in [
+        (64, 500, lambda: rng.gauss(21, 16)), (64, 500, lambda: rng.choice((33, 31, 22, 21, 20))), (256, 2000, lambda: rng.expovariate(1 / 60)),
+        (2048, 3000, lambda: rng.lognormvariate(6, 1)), (100, 300, lambda: rng.randint(34, 100)), (100, 7, lambda: 100),
+    ]:
+        counts = collections.Counter(min(cap, max(1, int(draw()))) for _ in range(n))
+        used = max(first + k for _, _, k, first, _ in packing.packing_plan(counts, cap))
+        assert used <= best_fit_decreasing(counts, cap)
+        for groups in packing.GROUPS:  # and every plan is a whole one
+            load, ranks = collections.Counter(), collections.Counter()
+            for length, first, k, sequence, offset in packing.packing_plan(counts, cap, [groups]):
+                assert first == ranks[length]
+                ranks[length] += k
+                for s in range(sequence, sequence + k):
+                    assert load[s] == offset
+                    load[s] += length
+            assert ranks == counts and max(load.values()) <= cap
+    assert packing.packing_plan({}, 64) == []
+
+
 def test_packing_parts_are_encoded_alike():
     from tokenizers import Tokenizer
 
