@@ -176,8 +176,25 @@ def edit_distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_line_links_are_all_pairs_within_the_edits(spark, edits):
+def earliest(lines, linked):
+    """line -> the earliest linked line before it, of (document, hash, line)."""
+    lines = sorted(lines)
+    return {x: next((y for _, _, y in lines[:n] if linked(x, y)), None) for n, (_, _, x) in enumerate(lines)}
+
+
+def links_of(spark, lines, edits, **kw):
+    """What ``earliest_links`` finds for (document, line) rows, and the lines with document and hash, in order."""
+    df = spark.createDataFrame(lines, "rid long, n string")
+    known = df.groupBy("n").agg(F.min("rid").alias("doc")).select("doc", F.xxhash64("n").alias("h"), "n").collect()
+    name = {r.h: r.n for r in known}
+    got = line_dedup.earliest_links(df.unionByName(df.limit(9)), edits, **kw).collect()
+    assert len(got) == len({r.h1 for r in got})
+    assert all(r.near_doc == next(k.doc for k in known if k.h == r.near) for r in got)
+    return {name[r.h1]: name[r.near] for r in got}, [(r.doc, r.h, r.n) for r in known]
+
+
+@pytest.mark.parametrize("edits,first,times", [(1, 4, 16), (2, 4, 16), (2, 1, 2)])
+def test_line_links_are_the_earliest_within_the_edits(spark, edits, first, times):
     rng = random.Random(3)
     lines = set()
     for _ in range(15):
@@ -188,15 +205,14 @@ def test_line_links_are_all_pairs_within_the_edits(spark, edits):
                 i, what = rng.randrange(len(x) + 1), rng.random()
                 x[i : i + (what > 0.3)] = [rng.choice("abcdé")] if what < 0.7 else []
             lines.add("".join(x))
-    lines = sorted(x for x in lines if len(x) > 3)
-    df = spark.createDataFrame([(x,) for x in lines], "n string")
-    name = {r.h: r.n for r in df.select("n", F.xxhash64("n").alias("h")).collect()}
-    got = [tuple(sorted((name[r.a1], name[r.b1]))) for r in line_dedup.linked_classes(df.unionByName(df.limit(9)), edits).collect()]
-    want = {(a, b) for n, a in enumerate(lines) for b in lines[n + 1 :] if edit_distance(a, b) <= edits}
-    assert len(got) == len(set(got)) and set(got) == want
+    rows = [(rng.randint(0, 40), x) for x in sorted(lines) if len(x) > 3]
+    got, known = links_of(spark, rows, edits, first=first, times=times)
+    want = earliest(known, lambda x, y: edit_distance(x, y) <= edits)
+    assert got == {x: y for x, y in want.items() if y is not None} and len(got) > 10
 
 
-def test_word_links_are_all_pairs_within_the_bands(spark):
+@pytest.mark.parametrize("first,times", [(4, 16), (1, 2)])
+def test_word_links_are_the_earliest_within_the_bands(spark, first, times):
     rng = random.Random(5)
     lines = set()
     for size in (6, 8, 9, 31, 33, 127, 129, 200):
@@ -207,19 +223,57 @@ def test_word_links_are_all_pairs_within_the_bands(spark):
                 i, what = rng.randrange(len(x) + 1), rng.random()
                 x[i : i + (what > 0.3)] = [rng.choice(["other", "words", "altogether"])] if what < 0.7 else []
             lines.add(" ".join(x))
-    lines = sorted(lines)
 
     def tau(x):
         return max([edits for least, edits in line_dedup.WORD_BANDS if len(x.split()) >= least], default=-1)
 
-    df = spark.createDataFrame([(x,) for x in lines], "n string")
-    name = {r.h: r.n for r in df.select("n", F.xxhash64("n").alias("h")).collect()}
-    got = [tuple(sorted((name[r.a1], name[r.b1]))) for r in line_dedup.linked_classes(df, None).collect()]
-    want = {
-        (a, b) for n, a in enumerate(lines) for b in lines[n + 1 :]
-        if edit_distance(a.split(), b.split()) <= min(tau(a), tau(b))
-    }
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    rows = [(rng.randint(0, 60), x) for x in sorted(lines)]
+    got, known = links_of(spark, rows, None, first=first, times=times)
+    want = earliest(known, lambda x, y: edit_distance(x.split(), y.split()) <= min(tau(x), tau(y)))
+    assert got == {x: y for x, y in want.items() if y is not None} and len(got) > 10
+
+
+def test_line_classes_equal_brute_force_on_odd_rows(spark, docs):
+    """All columns, over nulls, repeated rows, very long lines and clashing names."""
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(5000))
+    rows = [(n, f"{rng.choice(['one', 'two'])} line that is like the others of number {n % 4}\nshort\n\tTabs  and  blanks here, it is") for n in range(24)]
+    rows += [(90, long), (91, long.replace("w7 ", "x ", 1)), (None, "short\n" + rows[0][1]), (None, None), (5, rows[5][1]), (92, ""), (93, "\n \n")]
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, rk int, h string, n int")
+    parsed = {}
+    for i, t in dict.fromkeys(rows):  # repeated rows give one result
+        for k, x in enumerate((t or "").split("\n")):
+            x = re.sub("  +", " ", re.sub("[\t\x0b\x0c\r]", " ", x).lower()).strip(" ")
+            if x:
+                parsed.setdefault((i or 0, t), {}).setdefault(x, []).append(k)
+    hashes = {r.n: r.h for r in spark.createDataFrame([(x,) for x in {x for own in parsed.values() for x in own}], "n string").select("n", F.xxhash64("n").alias("h")).collect()}
+    doc = {x: min(i for (i, _), own in parsed.items() if x in own) for x in hashes}
+    known = sorted((doc[x], hashes[x], x) for x in hashes if len(x) >= 20)
+
+    def tau(x):
+        return max([edits for least, edits in line_dedup.WORD_BANDS if len(x.split()) >= least], default=-1)
+
+    small = lambda x: len(x) < 1000  # noqa: E731 (the long lines differ in one word, thus by more than two characters)
+    by_word = earliest(known, lambda x, y: abs(len(x) - len(y)) < 99 and (edit_distance(x.split(), y.split()) <= min(tau(x), tau(y)) if small(x) else x != y))
+    by_char = earliest(known, lambda x, y: small(x) and small(y) and edit_distance(x, y) <= 2)
+    want = collections.Counter()
+    for (i, t), own in parsed.items():
+        for x, at in own.items():
+            near = by_word.get(x) or by_char.get(x)
+            gone = at if near or i > doc[x] else at[1:]
+            want[i, tuple(at), hashes[x], doc[x], hashes.get(near), doc.get(near), tuple(gone)] += 1
+    got = collections.Counter(
+        (r.doc_id, tuple(r.lines), r.line, r.first_doc_id, r.near, r.near_doc_id, tuple(r.removed_lines))
+        for r in line_dedup.line_classes(df, short_lines=True).collect()
+    )
+    assert got == want
+    kept = line_dedup.remove_lines(df, short_lines=True)
+    assert kept.columns == df.columns and kept.count() == len(rows)
+    removed = {(i, t): {k for x, at in own.items() for k in (at if by_word.get(x) or by_char.get(x) or i > doc[x] else at[1:])} for (i, t), own in parsed.items()}
+    texts = collections.Counter(
+        (i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in removed.get((i or 0, t), ()))) for i, t in rows
+    )
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == texts
 
 
 def test_a_long_line_with_one_word_replaced_goes(spark):
