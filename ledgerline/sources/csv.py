@@ -12,6 +12,10 @@ recognised by counting their fields outside quoted strings.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import Optional
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -26,26 +30,60 @@ _CORRUPT = "_corrupt_record"
 _QUOTED = '"([^"]|"")*"'
 
 
+def files_with_broken_lines(spark: SparkSession, path: str | Sequence[str]) -> tuple[list[str], list[str]]:
+    """(files, those of them in which a quoted field may hold a line break): a line with an odd number of quotes
+    opens or closes a field that goes on in another line. One scan of the text; only file names are collected."""
+    odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1
+    found = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_or(odd).alias("broken"))
+    rows = sorted((unquote(r["file"]), r["broken"]) for r in found.collect())
+    return [f for f, _ in rows], [f for f, broken in rows if broken]
+
 
-def read_csv(spark: SparkSession, path: str, infer_types: bool = True, multi_line: bool = True) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str | Sequence[str], infer_types: bool = True, multi_line: Optional[bool] = None
+) -> DataFrame:
     """The files of ``path``. All must have the same header: columns go by position, and a file with
-    another one is an error. Quoted fields may hold line breaks; without any in the data,
-    ``multi_line=False`` lets Spark split large files."""
-    header = spark.read.option("header", True).option("multiLine", multi_line).option("inferSchema", False).csv(path).columns
+    another one is an error. Quoted fields may hold line breaks: files in which one may are found first
+    (``files_with_broken_lines``) and read by one task each, the others are split. ``multi_line`` says it for
+    all files instead, without looking."""
+    paths = [path] if isinstance(path, str) else list(path)
+    if multi_line is not None:
+        kept = _rows(spark, paths, multi_line)
+    else:
+        files, broken = files_with_broken_lines(spark, paths)
+        whole = set(broken)
+        split = [f for f in files if f not in whole]
+        if not broken:
+            kept = _rows(spark, paths, False)
+        elif not split:
+            kept = _rows(spark, paths, True)
+        else:
+            kept = _rows(spark, split, False)
+            other = _rows(spark, broken, True)
+            if other.columns != kept.columns:
+                raise ValueError(f"files with different headers: {kept.columns} and {other.columns}")
+            kept = kept.unionByName(other)
+    header = kept.columns
+    na = F.array(*[F.lit(v) for v in NA_VALUES])
+    clean = kept.select(*[F.when(F.array_contains(na, F.col(c)) | F.col(c).isNull(), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c) for c in header])
+    return infer_column_types(clean) if infer_types else clean
+
+
+def _rows(spark: SparkSession, paths: Sequence[str], multi_line: bool) -> DataFrame:
+    """Rows as strings, without those that have more fields than the header."""
+    read = spark.read.option("header", True).option("multiLine", multi_line)
+    header = read.option("inferSchema", False).csv(list(paths)).columns
     schema = StructType([StructField(c, StringType()) for c in header] + [StructField(_CORRUPT, StringType())])
     raw = (
         spark.read.option("header", True).option("multiLine", multi_line).option("enforceSchema", False).option("mode", "PERMISSIVE").option("escape", '"')
         .option("columnNameOfCorruptRecord", _CORRUPT).option("nullValue", None)
-        .schema(schema).csv(path)
+        .schema(schema).csv(list(paths))
     )
     n_fields = F.size(F.split(F.regexp_replace(F.col(_CORRUPT), _QUOTED, ""), ",", -1))
     # the condition also reads the first data column: Spark refuses scans whose only
     # referenced column is the corrupt-record column (e.g. a bare row count)
     anchor = F.length(F.coalesce(F.col(header[0]), F.lit(""))) >= 0
-    kept = raw.where((F.col(_CORRUPT).isNull() | (n_fields <= len(header))) & anchor).drop(_CORRUPT)
-    na = F.array(*[F.lit(v) for v in NA_VALUES])
-    clean = kept.select(*[F.when(F.array_contains(na, F.col(c)) | F.col(c).isNull(), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c) for c in header])
-    return infer_column_types(clean) if infer_types else clean
+    return raw.where((F.col(_CORRUPT).isNull() | (n_fields <= len(header))) & anchor).drop(_CORRUPT)
 
 
 def infer_column_types(df: DataFrame) -> DataFrame:
