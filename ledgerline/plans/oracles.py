@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.dates import FEATURES
 from ..sources.tables import FOREIGN_KEYS, dirty_sales_oracle_cte
 from .common import R, with_sales
 
@@ -175,9 +176,20 @@ _FEATS = ["day_of_week", "day_of_month", "week_of_year", "month", "quarter", "ye
           "dow_sin", "dow_cos", "lag_1", "lag_7", "lag_14", "lag_30", "rolling_mean_7", "rolling_std_7",
           "rolling_mean_14", "rolling_std_14", "rolling_mean_30", "rolling_std_30"]
 
-ORACLES["feature_table"] = with_sales(
+_FEATURE_TABLE = (
     f"SELECT * FROM (SELECT ds, CAST(y AS DOUBLE) AS y,\n  {_cal()},\n  {_lags()}\nFROM edaily) f WHERE "
-    + " AND ".join(f"{c} IS NOT NULL" for c in _FEATS), _EXACT_DAILY)
+    + " AND ".join(f"{c} IS NOT NULL" for c in _FEATS))
+ORACLES["feature_table"] = with_sales(_FEATURE_TABLE, _EXACT_DAILY)
+
+_PAIRED = [*FEATURES, "y"]
+ORACLES["feature_correlations"] = with_sales(
+    f"""SELECT l.name AS a, r.name AS b, {R('corr(l.v, r.v)', 6)} AS correlation
+FROM long l JOIN long r ON l.ds = r.ds AND l.at < r.at GROUP BY 1, 2""",
+    _EXACT_DAILY + f""",
+ft AS ({_FEATURE_TABLE}),
+long AS (
+  SELECT ds, unnest({_PAIRED}) AS name, unnest(range({len(_PAIRED)})) AS at,
+         unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in _PAIRED)}]) AS v FROM ft)""")
 
 ORACLES["chrono_split"] = with_daily(
     "SELECT ds, y, row_number() OVER (ORDER BY ds) <= floor(0.8 * count(*) OVER ()) AS is_train FROM daily")

@@ -22,7 +22,7 @@ from ..operators import inventory as inv
 from ..operators import profile as prof
 from ..operators import seasonal as sea
 from ..operators import series as ser
-from ..operators.forecast import arima, boosting, trend
+from ..operators.forecast import arima, boosting, gram, trend
 from ..operators.forecast import compare as cmp
 from ..operators.forecast import metrics as met
 from ..operators.forecast import models as fc
@@ -404,6 +404,20 @@ def ridge_importances(spark, d):
     return fc.ridge_forecast(daily(spark, d), (), 30).importances
 
 
+@register
+def feature_correlations(spark, d):
+    """Correlations of all features and the target, from sums of products."""
+    found = gram.correlations(gram.gram_sums(feature_table(spark, d)))
+    return found.select("a", "b", round_to("correlation", 6).alias("correlation"))
+
+
+@register
+def ridge_coefficients_by_region(spark, d):
+    """Ridge on the training days of each region, solved from sums of products."""
+    ft = ser.chrono_split(ser.feature_table(daily(spark, d, ["region"]), ["region"]), ["region"])
+    return gram.ridge_coefficients(ft.where("is_train"), ["region"])
+
+
 @register
 def trend_forecast(spark, d):
     return trend.trend_forecast(daily(spark, d), (), 30).points
