@@ -14,6 +14,10 @@ from .clean import numeric_columns, string_columns
 from .series import as_date
 
 
+#: Counters of a heavy-hitter sketch, and the relative standard deviation of a distinct count.
+TRACKED, DISTINCT_ERROR = 10_000, 0.02
+
+
 def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
     body = ", ".join(f"'{c}', cast(`{c}` as {cast})" for c in cols)
     return df.selectExpr(f"stack({len(cols)}, {body}) as (column, v)")
@@ -62,6 +66,35 @@ def categorical_profile(df: DataFrame, cols: Optional[Sequence[str]] = None, k:
     return top.join(uniq, "column").select("column", "unique_count", "rank", F.col("v").alias("value"), "n")
 
 
+def categorical_sketch(
+    df: DataFrame, cols: Optional[Sequence[str]] = None, k: int = 5, tracked: int = TRACKED, rsd: float = DISTINCT_ERROR,
+) -> DataFrame:
+    """``categorical_profile`` from sketches: column, unique_count, rank, value, n, for columns of very many values.
+
+    One pass merges a HyperLogLog++ sketch (``unique_count``: relative standard deviation ``rsd``) and a
+    heavy-hitter sketch of ``tracked`` counters per column; a second pass counts the values that the sketches
+    hold, at most 4 k or 20 per column, so every n is exact. A value is among them for sure if it makes up more
+    than 4 in ``tracked`` of its column's rows. Nothing grows with the number of different values.
+    """
+    cols = list(cols) if cols is not None else string_columns(df)
+    names = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+    held = max(20, 4 * k)
+    found = names.agg(*[
+        x for i in range(len(cols))
+        for x in (F.approx_count_distinct(f"c{i}", rsd).alias(f"u{i}"), F.expr(f"approx_top_k(c{i}, {held}, {max(tracked, held)})").alias(f"t{i}"))
+    ]).first()
+    spark = df.sparkSession
+    values = [(i, x["item"]) for i in range(len(cols)) for x in found[f"t{i}"] or [] if x["item"] is not None]
+    wanted = spark.createDataFrame(values, "at int, v string")  # a few values per column
+    each = F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"c{i}").alias("v")) for i in range(len(cols))])
+    rows = names.select(F.inline(each)).join(F.broadcast(wanted), ["at", "v"])
+    counts = rows.groupBy("at", "v").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    order = Window.partitionBy("at").orderBy(F.col("n").desc(), F.col("v").asc())
+    top = counts.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    known = spark.createDataFrame([(i, c, int(found[f"u{i}"])) for i, c in enumerate(cols)], "at int, column string, unique_count long")
+    return top.join(F.broadcast(known), "at").select("column", "unique_count", "rank", F.col("v").alias("value"), "n")
+
+
 def missing_counts(df: DataFrame) -> DataFrame:
     """column, missing: count of NULL and NaN in every column."""
     df = without_nan(df)

@@ -392,6 +392,8 @@ SELECT c."column", unique_count, rank, v AS value, n FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, v) AS BIGINT) AS rank FROM cnt) c
 JOIN uq ON c."column" = uq."column" WHERE rank <= 5"""
 
+ORACLES["categorical_top_values"] = f"SELECT * EXCLUDE (unique_count) FROM ({ORACLES['categorical_profile']})"
+
 ORACLES["missing_counts"] = "WITH " + dirty_sales_oracle_cte() + "\n" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST(count(*) - count({c}) AS BIGINT) AS missing FROM dirty" for c in _DIRTY_COLS)
 

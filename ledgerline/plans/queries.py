@@ -356,6 +356,12 @@ def numeric_profile(spark, d):
     return _r(prof.numeric_profile(dirty_sales(spark, d)), ["mean", "median", "std", "min", "max"], 4)
 
 
+@register
+def categorical_top_values(spark, d):
+    """Most frequent values of the text columns, found by sketches and counted exactly."""
+    return prof.categorical_sketch(dirty_sales(spark, d)).drop("unique_count")
+
+
 @register
 def categorical_profile(spark, d):
     return prof.categorical_profile(dirty_sales(spark, d))
