@@ -24,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,8 +41,10 @@ BUCKET_ROWS = 20_000
 JOINED = 128
 
 
+@lru_cache(maxsize=1)
 def document_ids(tokenizer_path: str):
-    """texts -> their ids as little-endian unsigned 32-bit bytes, for a byte-level BPE file."""
+    """texts -> their ids as little-endian unsigned 32-bit bytes, for a byte-level BPE file. A worker keeps the
+    tokenizer and the parts it has met from one task to the next."""
     import os
 
     import numpy as np
