@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +57,31 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, more: Iterable[str] = ())
     )
 
 
+def doc_key(id_col: str) -> Column:
+    """The id of ``keyed``: null as 0. Joined beside the row key, so that a key that two texts share is told apart."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(0))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like these that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_rest(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str) -> tuple[DataFrame, Callable[[str], str]]:
+    """``docs`` joined by (id, row key) to ``found`` (rid, rk, ...), whose other columns get names that ``docs`` does not
+    have; and the function from a column of ``found`` to its name there."""
+    names = dict(zip(found.columns, free_names(docs, *found.columns)))
+    rows = docs.withColumn(names["rid"], doc_key(id_col)).withColumn(names["rk"], row_key(id_col, text_col))
+    return rows.join(found.toDF(*names.values()), [names["rid"], names["rk"]], how), names.__getitem__
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order (empty array for null)."""
     return F.coalesce(F.array_remove(F.split(text, SPACE_CLASS), ""), F.array().cast("array<string>"))

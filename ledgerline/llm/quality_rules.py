@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import normal_text, row_key, shared_table, words
+from .common import normal_text, row_key, shared_table, with_rest, words
 
 MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
@@ -119,8 +119,9 @@ def quality_rules(
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that the rules keep, with all their columns and rows, without boilerplate lines."""
-    kept = quality_rules(docs, id_col, text_col, host_col).filter("kept")
-    kept = kept.groupBy(F.col("rk").alias("__rk")).agg(F.flatten(F.collect_set("removed_lines")).alias("__gone"))
-    rows = docs.withColumn("__rk", row_key(id_col, text_col)).join(kept, "__rk")
-    rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return rows.withColumn(text_col, F.when(F.size("__gone") == 0, F.col(text_col)).otherwise(rest)).select(*docs.columns)
+    kept = quality_rules(docs, id_col, text_col, host_col).filter("kept").select(F.coalesce("doc_id", F.lit(0)).alias("rid"), "rk", "removed_lines")
+    kept = kept.groupBy("rid", "rk").agg(F.flatten(F.collect_set("removed_lines")).alias("gone"))
+    rows, name = with_rest(docs, kept, id_col, text_col, "inner")
+    gone = F.col(name("gone"))
+    rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return rows.withColumn(text_col, F.when(F.size(gone) == 0, F.col(text_col)).otherwise(rest)).select(*docs.columns)

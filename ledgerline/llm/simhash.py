@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready, row_key, shared_table
+from .common import python_ready, row_key, shared_table, with_rest
 from .components import connected_components
 
 PIVOTS = 16
@@ -189,6 +189,8 @@ def near_duplicates(
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns."""
     found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("rk").alias("__rk"))
-    rows = docs.withColumn("__rk", row_key(id_col, text_col)).join(kept.select("__rk"), "__rk", "left_semi")
-    return rows.dropDuplicates(["__rk"]).select(*docs.columns)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
+        F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("rid"), "rk")).alias("x")
+    )
+    rows, name = with_rest(docs, kept.select("x.rid", "x.rk"), id_col, text_col, "left_semi")
+    return rows.dropDuplicates([name("rid"), name("rk")]).select(*docs.columns)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, python_ready, row_key, shared_table
+from .common import keyed, python_ready, shared_table, with_rest
 
 K, M = 35, 8
 HOT = 256
@@ -263,6 +263,6 @@ def remove_repeats(
 def without_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns and rows; their texts without repeated windows."""
     texts = remove_repeats(docs, k, id_col=id_col, text_col=text_col, with_text=True)
-    texts = texts.select(F.col("rk").alias("__rk"), F.col("text").alias("__text")).dropDuplicates(["__rk"])
-    rows = docs.withColumn("__rk", row_key(id_col, text_col)).drop(text_col).join(texts, "__rk")
-    return rows.withColumnRenamed("__text", text_col).select(*docs.columns)
+    texts = texts.select(F.coalesce("doc_id", F.lit(0)).alias("rid"), "rk", F.col("text").alias("rest")).dropDuplicates(["rid", "rk"])
+    rows, name = with_rest(docs, texts, id_col, text_col, "inner")
+    return rows.withColumn(text_col, F.col(name("rest"))).select(*docs.columns)
