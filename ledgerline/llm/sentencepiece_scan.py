@@ -10,7 +10,8 @@ infinity for incompatible neighbours, and encoding is a max-plus product along t
   at, the boundary;
 * each chunk yields the sparse matrix of best weights from the states at its start to those at its end
   (missing entries are minus infinity), all chunks independently;
-* matrices are combined associatively, in a tree, and the states at all boundaries are read off top-down;
+* matrices are combined associatively, ``FAN`` neighbours in a round until a document has one, and the states at all
+  boundaries are read off from the last round back to the first;
 * each chunk is traced back on its own between its two states.
 
 No piece holds the start of a word after its first character, so all states at a word start are one;
@@ -23,6 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,8 @@ from .units import Memo
 
 GIANT_CHARS = 32_768
 CHUNK_CHARS = 8_192
+#: Matrices that are combined into one in a round.
+FAN = 16
 SPACE = "▁"
 _WORD_START = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
@@ -241,14 +245,15 @@ def combined(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def boundary_states(matrices: list[Matrix]) -> list[State]:
-    """The states of the best path at all boundaries, start and end included."""
+def boundary_states(matrices: list[Matrix], entry: State = (0, 0), exit_: State | None = None) -> list[State]:
+    """The states of the best path at all boundaries, start and end included, from ``entry`` to ``exit_`` (the best
+    one, if none is given)."""
     levels = [matrices]
     while len(levels[-1]) > 1:
         low = levels[-1]
         levels.append([combined(*low[n : n + 2]) if n + 1 < len(low) else low[n] for n in range(0, len(low), 2)])
-    row = levels[-1][0][(0, 0)]
-    states = [(0, 0), max(row, key=lambda s: (row[s], s))]
+    row = levels[-1][0][entry]
+    states = [entry, max(row, key=lambda s: (row[s], s)) if exit_ is None else exit_]
     for low in reversed(levels[:-1]):
         finer = []
         for n in range(len(states) - 1):
@@ -261,6 +266,64 @@ def boundary_states(matrices: list[Matrix]) -> list[State]:
     return states
 
 
+def _unflat(states, weights) -> Matrix:
+    matrix: Matrix = {}
+    for (a, b, c, d), w in zip(states, weights):
+        matrix.setdefault((int(a), int(b)), {})[int(c), int(d)] = w
+    return matrix
+
+
+def _flat(matrix: Matrix) -> tuple[list[list[int]], list[float]]:
+    flat = [(*a, *b, w) for a, row in matrix.items() for b, w in row.items()]
+    return [list(x[:4]) for x in flat], [x[4] for x in flat]
+
+
+MATRIX = "rid long, rk long, k long, states array<array<long>>, weights array<double>"
+BOUNDS = "rid long, rk long, k long, entry_from long, entry_to long, exit_from long, exit_to long"
+
+
+def scanned(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """Entry and exit state of every chunk on the best path, from the chunks' matrices (rid, rk, k, states, weights).
+
+    Up: ``fan`` neighbours are combined into one matrix, in rounds, until a document has one. Down: the entry and
+    exit of a combined matrix give those of the matrices it was made of. No task holds more than ``fan`` of them.
+    """
+
+    def up(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("k")
+        product = reduce(combined, [_unflat(*x) for x in zip(rows["states"], rows["weights"])])
+        states, weights = _flat(product)
+        return pd.DataFrame({
+            "rid": rows["rid"].iloc[:1], "rk": rows["rk"].iloc[:1], "k": rows["k"].iloc[:1] // fan, "states": [states], "weights": [weights],
+        })
+
+    def down(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("k")
+        first = rows.iloc[0]
+        end = None if pd.isna(first["exit_from"]) else (int(first["exit_from"]), int(first["exit_to"]))
+        some = [_unflat(*x) for x in zip(rows["states"], rows["weights"])]
+        found = boundary_states(some, (int(first["entry_from"]), int(first["entry_to"])), end)
+        return pd.DataFrame({
+            **{c: rows[c].to_numpy() for c in ("rid", "rk", "k")},
+            "entry_from": [s[0] for s in found[:-1]], "entry_to": [s[1] for s in found[:-1]],
+            "exit_from": [s[0] for s in found[1:]], "exit_to": [s[1] for s in found[1:]],
+        })
+
+    above = F.expr(f"k div {fan}").alias("above")
+    levels = [shared_table(matrices)]
+    last = levels[0].agg(F.max("k")).first()[0] or 0
+    while last:
+        levels.append(shared_table(levels[-1].groupBy("rid", "rk", above).applyInPandas(up, MATRIX)))
+        last //= fan
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    ends = [zero.alias("entry_from"), zero.alias("entry_to"), none.alias("exit_from"), none.alias("exit_to")]
+    bounds = levels[-1].select("rid", "rk", zero.alias("above"), *ends)
+    for level in reversed(levels):
+        rows = level.withColumn("above", above).join(bounds, ["rid", "rk", "above"])
+        bounds = shared_table(rows.groupBy("rid", "rk", "above").applyInPandas(down, BOUNDS)).withColumnRenamed("k", "above")
+    return bounds.withColumnRenamed("above", "k")
+
+
 def giant_ids(texts: DataFrame, model_path: str, chunk: int = CHUNK_CHARS) -> DataFrame:
     """(rid, rk, ids) of giant documents (rid, rk, text), by the scan over chunks."""
 
@@ -285,25 +348,9 @@ def giant_ids(texts: DataFrame, model_path: str, chunk: int = CHUNK_CHARS) -> Da
             rows = []
             for r in batch.itertuples(index=False):
                 matrix = chunk_matrix(pieces, r.part, r.base, r.start, r.stop)
-                flat = [(*a, *b, w) for a, row in matrix.items() for b, w in row.items()]
-                rows.append((r.rid, r.rk, r.k, [list(x[:4]) for x in flat], [x[4] for x in flat]))
+                rows.append((r.rid, r.rk, r.k, *_flat(matrix)))
             yield pd.DataFrame(rows, columns=["rid", "rk", "k", "states", "weights"])
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        matrices = []
-        for states, weights in zip(rows["states"], rows["weights"]):
-            matrix: Matrix = {}
-            for (a, b, c, d), w in zip(states, weights):
-                matrix.setdefault((int(a), int(b)), {})[int(c), int(d)] = w
-            matrices.append(matrix)
-        found = boundary_states(matrices)
-        return pd.DataFrame({
-            "rid": rows["rid"].to_numpy(), "rk": rows["rk"].to_numpy(), "k": rows["k"].to_numpy(),
-            "entry_from": [s[0] for s in found[:-1]], "entry_to": [s[1] for s in found[:-1]],
-            "exit_from": [s[0] for s in found[1:]], "exit_to": [s[1] for s in found[1:]],
-        })
-
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces(model_path)
         for batch in batches:
@@ -316,10 +363,7 @@ def giant_ids(texts: DataFrame, model_path: str, chunk: int = CHUNK_CHARS) -> Da
 
     chunks = texts.mapInPandas(cut, "rid long, rk long, k long, base long, start long, stop long, part string")
     chunks = shared_table(chunks.repartition("rid", "rk", "k"))
-    matrices = chunks.mapInPandas(weigh, "rid long, rk long, k long, states array<array<long>>, weights array<double>")
-    states = matrices.groupBy("rid", "rk").applyInPandas(
-        scan, "rid long, rk long, k long, entry_from long, entry_to long, exit_from long, exit_to long"
-    )
+    states = scanned(chunks.mapInPandas(weigh, MATRIX))
     traced = chunks.join(states, ["rid", "rk", "k"]).mapInPandas(trace, "rid long, rk long, k long, ids array<int>")
     return traced.groupBy("rid", "rk").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids")
