@@ -88,6 +88,9 @@ def verify(spark: SparkSession, sf_dir: str, root: Optional[str] = None) -> Data
 
 def verified(spark: SparkSession, sf_dir: str, root: Optional[str] = None) -> frozenset[str]:
     """The constraints ("table.column") that were verified for the files that are in ``sf_dir`` now."""
+    conf = spark.conf
+    if not (root or conf.get("spark.ledgerline.store.root", None) or conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        return frozenset()  # no place where a result could be
     at = registry_root(spark, root)
     known = _known(spark)
     if not known and not _exists(spark, f"{at}/stars"):
