@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from typing import Optional
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -28,6 +28,15 @@ NA_VALUES = [
 BOOL_VALUES = ["True", "False", "true", "false", "TRUE", "FALSE"]
 _CORRUPT = "_corrupt_record"
 _QUOTED = '"([^"]|"")*"'
+# the form of every string that casts to a double (and of some that do not, like "1.2.3")
+_NUMBER = (
+    r"\A[\x00-\x20]*[+-]?(?:[0-9.]+(?:[eE][+-]?[0-9]+)?[fFdD]?|0[xX][0-9a-fA-F.]*[pP][+-]?[0-9]+[fFdD]?"
+    r"|[nN][aA][nN]|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?)[\x00-\x20]*\z"
+)
+# the form of every string that casts to a bigint (and of some that do not, like a number of thirty digits)
+_WHOLE = r"\A[\x00-\x20\x7f]*[+-]?[0-9]*[\x00-\x20\x7f]*\z"
+# what some value of a column does not allow, as bits
+_NO_LONG, _NO_DOUBLE, _NO_BOOL = 1, 2, 4
 
 
 def files_with_broken_lines(spark: SparkSession, path: str | Sequence[str]) -> tuple[list[str], list[str]]:
@@ -86,28 +95,41 @@ def _rows(spark: SparkSession, paths: Sequence[str], multi_line: bool) -> DataFr
     return raw.where((F.col(_CORRUPT).isNull() | (n_fields <= len(header))) & anchor).drop(_CORRUPT)
 
 
+def as_double(v: Column) -> Column:
+    """The string as a double, or null. The cast raises and catches an exception for each string that is no number,
+    which costs many times what reading one does; so the form of the string is looked at first."""
+    return F.when(v.rlike(_NUMBER), v.try_cast("double"))
+
+
+def as_long(v: Column) -> Column:
+    """The string as a bigint, or null; see ``as_double``."""
+    return F.when(v.rlike(_WHOLE), v.try_cast("bigint"))
+
+
+def refused_types(df: DataFrame) -> DataFrame:
+    """(pos, bits): per column that has values, the types that some value of it does not allow. The values are
+    unpivoted, so that the tests stand once in the plan, not once per column."""
+    each = df.select(F.posexplode(F.array(*[F.col(c) for c in df.columns])).alias("pos", "v")).where(F.col("v").isNotNull())
+    v = F.col("v")
+    tests = [(as_long(v).isNull(), _NO_LONG), (as_double(v).isNull(), _NO_DOUBLE), (~v.isin(BOOL_VALUES), _NO_BOOL)]
+    bits = [F.when(test, F.lit(bit)).otherwise(F.lit(0)) for test, bit in tests]
+    return each.groupBy("pos").agg(F.bit_or(bits[0] + bits[1] + bits[2]).alias("bits"))
+
+
 def infer_column_types(df: DataFrame) -> DataFrame:
     """Cast string columns to bigint / double / boolean when every non-null value allows it."""
     cols = df.columns
-    aggs = []
-    for c in cols:
-        v = F.col(c)
-        aggs += [
-            F.count_if(v.isNotNull() & v.try_cast("bigint").isNull()).alias(f"{c}__i"),
-            F.count_if(v.isNotNull() & v.try_cast("double").isNull()).alias(f"{c}__d"),
-            F.count_if(v.isNotNull() & ~v.isin(BOOL_VALUES)).alias(f"{c}__b"),
-            F.count(v).alias(f"{c}__n"),
-        ]
-    stats = df.agg(*aggs).collect()[0].asDict()  # 4 numbers per column
+    found = dict(refused_types(df).collect()) if cols else {}  # a number per column
+    stats = [found.get(i) for i in range(len(cols))]
     out = []
-    for c in cols:
-        if stats[f"{c}__n"] == 0:
+    for c, bits in zip(cols, stats):
+        if bits is None:
             out.append(F.col(c).cast("double").alias(c))  # an all-missing column is float
-        elif stats[f"{c}__b"] == 0:
+        elif not bits & _NO_BOOL:
             out.append(F.lower(F.col(c)).cast("boolean").alias(c))
-        elif stats[f"{c}__i"] == 0:
+        elif not bits & _NO_LONG:
             out.append(F.col(c).try_cast("bigint").alias(c))
-        elif stats[f"{c}__d"] == 0:
+        elif not bits & _NO_DOUBLE:
             out.append(F.col(c).try_cast("double").alias(c))
         else:
             out.append(F.col(c))
