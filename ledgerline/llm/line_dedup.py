@@ -37,6 +37,8 @@ WORD_BANDS = ((8, 1), (32, 2), (128, 3))
 FIRST, TIMES = 4, 16
 #: Keys or classes that are broadcast at most (8 bytes each); beyond, they are joined by shuffling.
 BROADCAST_CLASSES = 1_000_000
+#: Probes, and segments, under a key that are compared in one task at most; beyond, both are dealt to more.
+BLOCK = 512
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
@@ -190,11 +192,16 @@ def _keyed(classes: DataFrame, edits: int | None) -> DataFrame:
     return classes.withColumns({name: F.expr(sql) for name, sql in exprs.items()})
 
 
+def different_texts(lines: DataFrame) -> DataFrame:
+    """(n, doc): the different texts of lines (rid, n) with their smallest document, written once."""
+    return shared_table(lines.groupBy("n").agg(F.min("rid").alias("doc")))
+
+
 def _meeting(lines: DataFrame, edits: int | None, broadcast_classes: int) -> DataFrame:
-    """(n, h, doc): the lines that share a key with another line, by text, with their smallest document. They are
-    found on hashes, without forming pairs; few are."""
-    classes = _keyed(lines.select("n").distinct().select("n", _h1(F.col("n")).alias("h")), edits)
-    # outer, as Spark would else compute the keys once more, in a filter for empty arrays, before the distinct
+    """(n, h, doc): the lines (n, doc) that share a key with another line. They are found on hashes, without
+    forming pairs; few are."""
+    classes = _keyed(lines.select("n", _h1(F.col("n")).alias("h")), edits)
+    # outer, as Spark would else compute the keys once more, in a filter for empty arrays
     probe = classes.select(F.explode_outer("probes").alias("p"), "h").filter("p.key IS NOT NULL").select("p.key", "h")
     index = classes.select(F.explode_outer("segments").alias("ikey"), F.col("h").alias("ih")).filter("ikey IS NOT NULL")
     met = shared_table(probe.join(index, (F.col("key") == F.col("ikey")) & (F.col("h") != F.col("ih")), "left_semi"))
@@ -205,15 +212,14 @@ def _meeting(lines: DataFrame, edits: int | None, broadcast_classes: int) -> Dat
     )
     involved = shared_table(involved.distinct())
     involved = F.broadcast(involved) if involved.count() <= broadcast_classes else involved
-    texts = lines.withColumn("h", _h1(F.col("n"))).join(involved, "h", "left_semi")
-    return shared_table(texts.groupBy("n", "h").agg(F.min("rid").alias("doc")))
+    return shared_table(lines.select("n", _h1(F.col("n")).alias("h"), "doc").join(involved, "h", "left_semi").select("n", "h", "doc"))
 
 
 def earliest_links(
     lines: DataFrame, edits: int | None = EDITS, without: DataFrame | None = None, broadcast_classes: int = BROADCAST_CLASSES,
     first: int = FIRST, times: int = TIMES,
 ) -> DataFrame:
-    """(h1, h2, near_doc, near): for each different line text ``n`` of ``lines`` (rid, n) that has one, the earliest
+    """(h1, h2, near_doc, near): for each different line text ``n`` of ``lines`` (rid, n; or different texts: n, doc) that has one, the earliest
     other text before it (by smallest document, then by hash) within ``edits`` edits, or within the word edits of
     their bands if ``edits`` is null. Texts whose hashes are in ``without`` (h) look for none, but may be found.
 
@@ -222,8 +228,9 @@ def earliest_links(
     a group of near-copies costs a few comparisons for each, and yet every line is compared with all lines before
     it under its keys, up to the earliest that it is within the edits of.
     """
+    lines = lines if "doc" in lines.columns else different_texts(lines)
     lines = lines.filter(F.size(F.split("n", " ")) >= WORD_BANDS[0][0] if edits is None else F.length("n") > edits)
-    texts = _meeting(lines.select("rid", "n"), edits, broadcast_classes)
+    texts = _meeting(lines, edits, broadcast_classes)
     keyed_ = shared_table(_keyed(texts, edits))
     probe = keyed_.select(F.explode("probes").alias("p"), "h", "doc", "odd").filter("p.key IS NOT NULL")
     probe = probe.select("p.key", "p.same", F.lit(False).alias("index"), "h", "doc", "odd", F.lit(0).alias("most"))
@@ -260,21 +267,81 @@ def earliest_links(
             answered = pairs.join(linked, ["h", "ch"]).select("key", "h").distinct()
             asking = shared_table(asking.filter(F.col("place") > done + 1).join(answered, ["key", "h"], "left_anti"))
     if found is None:
-        return lines.limit(0).select(_h1(F.col("n")).alias("h1"), _h1(F.col("n")).alias("h2"), F.col("rid").alias("near_doc"), _h1(F.col("n")).alias("near"))
+        return lines.limit(0).select(_h1(F.col("n")).alias("h1"), _h1(F.col("n")).alias("h2"), F.col("doc").alias("near_doc"), _h1(F.col("n")).alias("near"))
     near = found.groupBy("h").agg(F.min(F.struct(F.col("c_doc").alias("near_doc"), F.col("ch").alias("near"))).alias("x"))
     line = F.array_join("n", " ") if edits is None else F.col("n")
     return near.join(texts.select("h", line.alias("n")), "h").select(F.col("h").alias("h1"), _h2(F.col("n")).alias("h2"), "x.near_doc", "x.near")
 
 
+def all_links(
+    lines: DataFrame, edits: int | None = EDITS, broadcast_classes: int = BROADCAST_CLASSES, block: int = BLOCK,
+) -> DataFrame:
+    """(h1, h2, doc, near, near_doc): every pair of different line texts ``n`` of ``lines`` (rid, n; or different texts: n, doc) within ``edits``
+    edits, or within the word edits of their bands if ``edits`` is null, in both directions: hashes and smallest
+    document of the one, hash and smallest document of the other.
+
+    Lines that share a key are all compared. A key with many lines is dealt in blocks of its probes and its
+    segments, each two of which meet once.
+    """
+    lines = lines if "doc" in lines.columns else different_texts(lines)
+    lines = lines.filter(F.size(F.split("n", " ")) >= WORD_BANDS[0][0] if edits is None else F.length("n") > edits)
+    keyed_ = shared_table(_keyed(_meeting(lines, edits, broadcast_classes), edits))
+    probe = keyed_.select(F.explode("probes").alias("p"), "h", "odd").filter("p.key IS NOT NULL")
+    probe = shared_table(probe.select("p.key", "p.same", "h", "odd").distinct())
+    index = shared_table(keyed_.select(F.explode("segments").alias("key"), F.col("h").alias("ih"), F.col("odd").alias("iodd"), "most"))
+    sizes = probe.groupBy("key").agg(F.count("*").alias("n")).join(index.groupBy("key").agg(F.count("*").alias("m")), "key")
+    blocks = [F.ceil(F.col(c) / block).cast("int").alias(out) for c, out in (("n", "ps"), ("m", "qs"))]
+    large = shared_table(sizes.filter((F.col("n") > block) | (F.col("m") > block)).select("key", *blocks))
+
+    def dealt(rows: DataFrame, h: str, own: str, own_parts: str, other: str, other_parts: str) -> DataFrame:
+        parts = {c: F.coalesce(c, F.lit(1)) for c in (own_parts, other_parts)}
+        rows = rows.join(large, "key", "left").withColumn(own, F.pmod(F.xxhash64(F.lit(3), h), parts[own_parts]).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), parts[other_parts] - 1))).drop("ps", "qs")
+
+    close = F.bit_count(F.col("odd").bitwiseXOR(F.col("iodd"))) <= F.col("most")
+    once = F.when(F.col("same"), F.col("h") > F.col("ih")).otherwise(F.col("h") != F.col("ih"))
+    met = dealt(probe, "h", "p", "ps", "q", "qs").join(dealt(index, "ih", "q", "qs", "p", "ps"), ["key", "p", "q"])
+    pairs = met.filter(close & once).select("h", "ih").distinct()
+    x, y = (keyed_.select(F.col("h").alias(h), F.col("n").alias(n), F.col("doc").alias(d)) for h, n, d in (("h", "b", "b_doc"), ("ih", "a", "a_doc")))
+    # b, the line that probes, is as long or longer
+    same = within_word_edits("a", "b") if edits is None else within_edits("split(a, '')", "split(b, '')", edits)
+    both = shared_table(pairs.join(x, "h").join(y, "ih").filter(F.expr(same)).select(
+        *[F.struct(_h1(t).alias("h1"), _h2(t).alias("h2"), F.col(d).alias("doc")).alias(c)
+          for c, d, t in ((c, d, F.array_join(c, " ") if edits is None else F.col(c)) for c, d in (("a", "a_doc"), ("b", "b_doc")))]
+    ))
+    ways = [both.select(f"{c}.*", F.col(f"{d}.h1").alias("near"), F.col(f"{d}.doc").alias("near_doc")) for c, d in ("ab", "ba")]
+    return ways[0].unionByName(ways[1])
+
+
+def _all_near(linkable: DataFrame, edits: int) -> DataFrame:
+    """(h1, h2, near_doc, near, n_links): for each line text that has links, what ``earliest_links`` finds, by word
+    edits first (null if all are later), and the number of other texts that it is within the edits of."""
+    links = all_links(linkable, None).withColumn("by_word", F.lit(True)).unionByName(all_links(linkable, edits).withColumn("by_word", F.lit(False)))
+    links = links.groupBy("h1", "h2", "doc", "near", "near_doc").agg(F.bool_or("by_word").alias("w"), F.bool_or(~F.col("by_word")).alias("c"))
+    other = F.struct("near_doc", "near")
+    earlier = other < F.struct(F.col("doc").alias("near_doc"), F.col("h1").alias("near"))
+    found = links.groupBy("h1", "h2").agg(
+        F.count("*").alias("n_links"), F.min(F.when(earlier & F.col("w"), other)).alias("by_word"), F.min(F.when(earlier & F.col("c"), other)).alias("by_char")
+    )
+    return found.withColumn("x", F.coalesce("by_word", "by_char")).select("h1", "h2", "x.near_doc", "x.near", "n_links")
+
+
+def _earliest_near(linkable: DataFrame, edits: int) -> DataFrame:
+    """(h1, h2, near_doc, near) as of ``_all_near``, without looking for the other links."""
+    near = shared_table(earliest_links(linkable, None))
+    return near.unionByName(earliest_links(linkable, edits, near.select(F.col("h1").alias("h")).distinct()))
+
+
 def line_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS,
-    short_lines: bool = False,
+    short_lines: bool = False, links: bool = True,
 ) -> DataFrame:
     """A row per document and line text in it: doc_id, rk (row key), lines (its line numbers, from 0), line (hash of
     the text as it is compared), first_doc_id (smallest document with this text), near and near_doc_id (hash and
     smallest document of the text that represents it: the earliest one before it, by smallest document, then by
-    hash, within the word edits of their bands, else within ``edits`` character edits; null if there is none) and
-    removed_lines (those of its lines that go).
+    hash, within the word edits of their bands, else within ``edits`` character edits; null if there is none),
+    removed_lines (those of its lines that go) and, with ``links``, n_links (how many other texts, earlier or later,
+    are within its word edits or character edits).
 
     Null ids count as 0, null texts as empty, which have no line. Rows that share an id count as one document;
     repeated rows give one result. An empty table gives no rows.
@@ -283,16 +350,16 @@ def line_classes(
     n = F.col("n")
     found = shared_table(lines.select("rid", "rk", "line", _h1(n).alias("h1"), _h2(n).alias("h2")))
     classes = found.groupBy("h1", "h2").agg(F.min("rid").alias("first_doc_id"))
-    linkable = lines.filter(F.length("n") >= min_chars)
-    near = shared_table(earliest_links(linkable, None))
-    rest = earliest_links(linkable, edits, near.select(F.col("h1").alias("h")).distinct())
-    classes = classes.join(shared_table(near.unionByName(rest)), ["h1", "h2"], "left")
+    linkable = different_texts(lines.filter(F.length("n") >= min_chars))
+    near = shared_table(_all_near(linkable, edits) if links else _earliest_near(linkable, edits))
+    classes = classes.join(near, ["h1", "h2"], "left")
+    counted = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if links else []
     own = found.groupBy("rid", "rk", "h1", "h2").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     late = F.col("near").isNotNull() | (F.col("rid") > F.col("first_doc_id"))
     gone = F.when(late, F.col("lines")).otherwise(F.slice("lines", 2, F.size("lines")))
     return own.join(classes, ["h1", "h2"]).select(
         F.col("rid").alias("doc_id"), "rk", "lines", F.col("h1").alias("line"), "first_doc_id", "near", F.col("near_doc").alias("near_doc_id"),
-        gone.alias("removed_lines"),
+        gone.alias("removed_lines"), *counted,
     )
 
 
@@ -301,7 +368,7 @@ def remove_lines(
     short_lines: bool = False,
 ) -> DataFrame:
     """The documents with all their columns and rows, without the lines that ``line_classes`` removes."""
-    classes = line_classes(docs, id_col, text_col, edits, min_chars, short_lines).filter(F.size("removed_lines") > 0)
+    classes = line_classes(docs, id_col, text_col, edits, min_chars, short_lines, False).filter(F.size("removed_lines") > 0)
     classes = classes.select(F.col("doc_id").alias("rid"), "rk", "removed_lines")
     rows, name = with_rest(docs, classes.groupBy("rid", "rk").agg(F.flatten(F.collect_set("removed_lines")).alias("gone")), id_col, text_col, "left")
     gone = F.col(name("gone"))
