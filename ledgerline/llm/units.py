@@ -27,7 +27,8 @@ class Memo(dict):
     def learn(self, texts: Iterable[Sequence[str]]) -> None:
         if len(self) > MEMO_ENTRIES:
             self.clear()
-        missing = list(set().union(*texts).difference(self))
+        # (a set's difference with a dict would walk through the whole dict)
+        missing = [p for p in set().union(*texts) if p not in self]
         if missing:
             self.update(zip(missing, self.encode(missing)))
 
@@ -38,7 +39,6 @@ class Memo(dict):
             self.clear()
         out = [list(map(self.get, parts)) for parts in texts]
         gaps = [(parts, found, [n for n, v in enumerate(found) if v is None]) for parts, found in zip(texts, out) if None in found]
-        # (a set's difference with a dict would walk through the whole dict)
         missing = [p for p in {parts[n] for parts, _, places in gaps for n in places} if p not in self]
         if missing:
             self.update(zip(missing, self.encode(missing)))

@@ -469,6 +469,19 @@ def test_sentencepiece_round_trip(docs):
     assert sentencepiece_scan.encode(empty(docs), PIECES).count() == 0
 
 
+def test_a_memo_looks_up_new_parts_without_walking_through_the_known_ones():
+    from ledgerline.llm.units import Memo
+
+    class Known(Memo):
+        def __iter__(self):
+            raise AssertionError("walked through the whole memo")
+
+    memo = Known(lambda parts: [p.upper() for p in parts])
+    memo.learn([["a", "b"], ["b", "c"]])
+    memo.learn([["c", "d"]])
+    assert [memo[p] for p in "abcd"] == ["A", "B", "C", "D"]
+
+
 def test_sentencepiece_scan_equals_the_library():
     pieces, rng = sentencepiece_scan.Pieces(PIECES), random.Random(5)
     some = ["the", "ing", "er", "a", "b", "Z", " ", "  ", "\n", "é", "日", "x1", "...", "😀", "addEvent", "\t", "▁"]
