@@ -11,8 +11,9 @@ word replaced, added or left out) as ``WORD_BANDS`` allows the line with fewer w
 * Lines that share a key with another line are found on hashes, without forming pairs. Only their texts
   are fetched. Under a key they stand in order, and are compared with the first ones, those that find no link
   with the next ones, in growing steps; pairs are kept if their characters' counts differ in parity for
-  at most ``2 * edits`` codes (an edit changes two counts at most), and verified with a banded bit-parallel
-  edit automaton: one bit per diagonal of the band, one vector per number of edits, all in one long.
+  at most ``2 * edits`` codes (an edit changes two counts at most), and verified: characters by Spark's bounded
+  ``levenshtein``, words with a banded bit-parallel edit automaton: one bit per diagonal of the band, one vector
+  per number of edits, all in one long.
 
 For word edits, a line is the array of its words: segments and probes are slices of it, the tau of a
 segment is that of the band its line is in, and the parities are those of hashed words.
@@ -56,18 +57,29 @@ def _h2(n: Column) -> Column:
     return F.xxhash64(F.lit(7), n)
 
 
-def _segment_hash(edits: int, length: str, number: str, move: str, part: str = "substring") -> str:
-    """SQL hash of the substring of ``n`` that lies ``move`` characters right of segment ``number`` (from 0)
-    of a line of this length; null where it would leave the line. The last segments are longer.
-    With ``part`` slice, ``n`` is an array of words."""
-    first_long = f"({edits + 1} - ({length}) % {edits + 1})"
-    short = f"int(({length}) div {edits + 1})"
+def _segment(edits: int | str, length: str, number: str, move: str, part: str = "substring") -> tuple[str, str]:
+    """SQL for whether ``n`` has a substring that lies ``move`` characters right of segment ``number`` (from 0) of a
+    line of this length, and for its hash. The last segments are longer. With ``part`` slice, ``n`` is an array of words."""
+    segments = f"({edits} + 1)"
+    first_long = f"({segments} - ({length}) % {segments})"
+    short = f"int(({length}) div {segments})"
     start = f"(1 + {number} * {short} + greatest(0, {number} - {first_long}) + {move})"
     size = f"({short} + int({number} >= {first_long}))"
-    return (
-        f"CASE WHEN {start} >= 1 AND {start} + {size} - 1 <= len "
-        f"THEN xxhash64({length}, {number}, {part}(n, {start}, {size})) END"
-    )
+    return f"{start} >= 1 AND {start} + {size} - 1 <= len", f"xxhash64({length}, {number}, {part}(n, {start}, {size}))"
+
+
+def _segment_hash(edits: int, length: str, number: str, move: str, part: str = "substring") -> str:
+    """SQL hash of ``_segment``, null where it would leave the line."""
+    there, key = _segment(edits, length, number, move, part)
+    return f"CASE WHEN {there} THEN {key} END"
+
+
+def _places(edits: int) -> list[tuple[int, int, int]]:
+    """The places a line looks at: (characters shorter, segment, move)."""
+    return [
+        (shorter, i, move) for shorter in range(edits + 1) for i in range(edits + 1)
+        for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)
+    ]
 
 
 def index_keys(edits: int, part: str = "substring") -> str:
@@ -81,11 +93,7 @@ def probe_keys(edits: int, part: str = "substring") -> str:
     One expression over the places to look at: (characters shorter, segment, move). Written out, they
     would make a method too large for the JVM to compile.
     """
-    places = [
-        f"struct({shorter} AS shorter, {i} AS i, {move} AS move)"
-        for shorter in range(edits + 1) for i in range(edits + 1)
-        for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)
-    ]
+    places = [f"struct({shorter} AS shorter, {i} AS i, {move} AS move)" for shorter, i, move in _places(edits)]
     return (
         f"transform(array({', '.join(places)}), p -> struct("
         f"{_segment_hash(edits, 'len - p.shorter', 'p.i', 'p.move', part)} AS key, p.shorter = 0 AS same))"
@@ -115,11 +123,7 @@ def word_probe_keys(bands: tuple[tuple[int, int], ...] = WORD_BANDS) -> str:
     parts = []
     for least, end, edits in _banded(bands):
         there = f"len >= {least}" + (f" AND len < {end + edits}" if end else "")
-        places = [
-            f"struct({shorter} AS shorter, {i} AS i, {move} AS move)"
-            for shorter in range(edits + 1) for i in range(edits + 1)
-            for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)
-        ]
+        places = [f"struct({shorter} AS shorter, {i} AS i, {move} AS move)" for shorter, i, move in _places(edits)]
         inside = f"len - p.shorter >= {least}" + (f" AND len - p.shorter < {end}" if end else "")
         key = f"CASE WHEN {inside} THEN {_segment_hash(edits, 'len - p.shorter', 'p.i', 'p.move', 'slice')} END"
         parts.append(
@@ -197,13 +201,44 @@ def different_texts(lines: DataFrame) -> DataFrame:
     return shared_table(lines.groupBy("n").agg(F.min("rid").alias("doc")))
 
 
+def _key_rows(lines: DataFrame, edits: int | None, probing: bool) -> DataFrame:
+    """(key, h): the probes, or the index keys, of ``_keyed`` as rows, for lines (n, h).
+
+    A row per place, from a constant list, then its key: Spark compiles this, but not functions over arrays, which
+    take some ten times as long a key.
+    """
+    bands = [(0, None, edits)] if edits is not None else _banded(WORD_BANDS)
+
+    def listed(least: int, end: int | None, own: int) -> list[str]:
+        places = _places(own) if probing else [(0, i, 0) for i in range(own + 1)]
+        return [
+            f"struct({own} AS edits, {least} AS least, {end or (1 << 31) - 1} AS end, {shorter} AS shorter, {i} AS i, {move} AS move)"
+            for shorter, i, move in places
+        ]
+
+    if edits is None:
+        part, lines = "slice", lines.select(F.split("n", " ").alias("n"), "h").withColumn("len", F.size("n"))
+        # the places of all bands that a line of so many words takes part in
+        marks = sorted({m for least, end, own in bands for m in (least, *([end + own] if end else []))}, reverse=True)
+        cases = []
+        for mark in marks:
+            held = [x for band in bands if band[0] <= mark and (band[1] is None or mark < band[1] + band[2]) for x in listed(*band)]
+            cases.append(f"WHEN size(n) >= {mark} THEN array({', '.join(held)})")
+        places = f"CASE {' '.join(cases)} END"
+    else:
+        part, lines = "substring", lines.select("n", "h", F.length("n").alias("len"))
+        places = f"array({', '.join(listed(*bands[0]))})"
+    there, key = _segment("p.edits", "len - p.shorter", "p.i", "p.move", part)
+    rows = lines.select("n", "h", "len", F.explode(F.expr(places)).alias("p"))
+    rows = rows.filter(f"len - p.shorter >= p.least AND len - p.shorter < p.end AND {there}")
+    return rows.select(F.expr(key).alias("key"), "h")
+
+
 def _meeting(lines: DataFrame, edits: int | None, broadcast_classes: int) -> DataFrame:
     """(n, h, doc): the lines (n, doc) that share a key with another line. They are found on hashes, without
     forming pairs; few are."""
-    classes = _keyed(lines.select("n", _h1(F.col("n")).alias("h")), edits)
-    # outer, as Spark would else compute the keys once more, in a filter for empty arrays
-    probe = classes.select(F.explode_outer("probes").alias("p"), "h").filter("p.key IS NOT NULL").select("p.key", "h")
-    index = classes.select(F.explode_outer("segments").alias("ikey"), F.col("h").alias("ih")).filter("ikey IS NOT NULL")
+    classes = lines.select("n", _h1(F.col("n")).alias("h"))
+    probe, index = _key_rows(classes, edits, True), _key_rows(classes, edits, False).toDF("ikey", "ih")
     met = shared_table(probe.join(index, (F.col("key") == F.col("ikey")) & (F.col("h") != F.col("ih")), "left_semi"))
     keys = shared_table(met.select("key").distinct())
     keys = F.broadcast(keys) if keys.count() <= broadcast_classes else keys
@@ -259,7 +294,7 @@ def earliest_links(
         # b is the longer one
         a, b = F.when(F.col("x_len") <= F.col("y_len"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x_len") <= F.col("y_len"), F.col("y")).otherwise(F.col("x"))
         both = both.select("h", "ch", "c_doc", a.alias("a"), b.alias("b"))
-        same = within_word_edits("a", "b") if edits is None else within_edits("split(a, '')", "split(b, '')", edits)
+        same = within_word_edits("a", "b") if edits is None else f"levenshtein(a, b, {edits}) >= 0"
         linked = shared_table(both.filter(F.expr(same)).select("h", "ch", "c_doc"))
         found = linked if found is None else found.unionByName(linked)
         done = upto
@@ -304,7 +339,7 @@ def all_links(
     pairs = met.filter(close & once).select("h", "ih").distinct()
     x, y = (keyed_.select(F.col("h").alias(h), F.col("n").alias(n), F.col("doc").alias(d)) for h, n, d in (("h", "b", "b_doc"), ("ih", "a", "a_doc")))
     # b, the line that probes, is as long or longer
-    same = within_word_edits("a", "b") if edits is None else within_edits("split(a, '')", "split(b, '')", edits)
+    same = within_word_edits("a", "b") if edits is None else f"levenshtein(a, b, {edits}) >= 0"
     both = shared_table(pairs.join(x, "h").join(y, "ih").filter(F.expr(same)).select(
         *[F.struct(_h1(t).alias("h1"), _h2(t).alias("h2"), F.col(d).alias("doc")).alias(c)
           for c, d, t in ((c, d, F.array_join(c, " ") if edits is None else F.col(c)) for c, d in (("a", "a_doc"), ("b", "b_doc")))]
