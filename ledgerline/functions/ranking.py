@@ -149,10 +149,17 @@ def _narrowed(df: DataFrame, spans: Sequence[Span], found: dict[tuple[str, int],
     return [Span(*key, tuple(sorted(ranks))) for key, ranks in left.items()]
 
 
+def _span_values(df: DataFrame, spans: Sequence[Span]) -> DataFrame:
+    """(span, v): the values that lie in the spans."""
+    # most rows are in no span: they go before the functions over arrays, which Spark does not compile
+    df = df.where(reduce(or_, [s.holds() for s in spans]))
+    each = F.array(*[F.struct(F.lit(i).alias("span"), s.value().alias("v")) for i, s in enumerate(spans)])
+    return df.select(F.inline(F.filter(each, lambda x: x["v"].isNotNull())))
+
+
 def _sorted_spans(df: DataFrame, spans: Sequence[Span], found: dict[tuple[str, int], float]) -> None:
     """Values of spans with few rows: counted per value and summed up in order, one task per span."""
-    each = F.array(*[F.struct(F.lit(i).alias("span"), s.value().alias("v")) for i, s in enumerate(spans)])
-    held = df.select(F.inline(F.filter(each, lambda x: x["v"].isNotNull())))
+    held = _span_values(df, spans)
     upto = F.sum("n").over(Window.partitionBy("span").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     counted = held.groupBy("span", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
     wanted = [(i, r - s.below) for i, s in enumerate(spans) for r in s.ranks]

@@ -106,3 +106,12 @@ def test_empty_tables(spark):
     assert cust.rfm_scores(none).count() == 0
     clean = cln.clean(spark.read.parquet(f"{SF_SMALL}/orders.parquet").limit(0))
     assert clean.cleaned.count() == 0
+
+
+def test_rows_outside_all_spans_go_before_the_functions_over_arrays(spark):
+    df = spark.createDataFrame([(float(i), None if i % 3 else float(-i)) for i in range(100)], "a double, b double")
+    spans = [ranking.Span("a", 10.0, 13.0, 11, 2, (11,)), ranking.Span("b", -4.0, None, 32, 2, (33,))]
+    held = ranking._span_values(df, spans)
+    assert sorted(map(tuple, held.collect())) == [(0, 11.0), (0, 12.0), (1, -3.0), (1, 0.0)]
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan.split("Generate")[1]
