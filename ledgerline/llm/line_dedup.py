@@ -25,6 +25,8 @@ characters are not linked; with ``short_lines`` they still form classes of equal
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ EDITS = 2
 MIN_CHARS = 20
 #: (words, word edits): lines of so many words or more, up to the next band, may differ in so many words.
 WORD_BANDS = ((8, 1), (32, 2), (128, 3))
+#: Words from which on lines are found by segments of words alone, for character edits as well.
+LONG = 16
 #: Lines of a key that are compared with all others of it at first, and how many times as many after that.
 FIRST, TIMES = 4, 16
 #: Keys or classes that are broadcast at most (8 bytes each); beyond, they are joined by shuffling.
@@ -133,17 +137,43 @@ def word_probe_keys(bands: tuple[tuple[int, int], ...] = WORD_BANDS) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def word_parities() -> str:
-    """SQL long: bit h % 64 is set if words of hash h occur an odd number of times in the array ``n``."""
-    return "aggregate(n, 0L, (bits, c) -> bits ^ shiftleft(1L, int(xxhash64(c) & 63L)))"
+def word_parities(words: str = "n") -> str:
+    """SQL long: bit h % 64 is set if words of hash h occur an odd number of times in this array."""
+    return f"aggregate({words}, 0L, (bits, c) -> bits ^ shiftleft(1L, int(xxhash64(c) & 63L)))"
 
 
-def within_word_edits(a: str, b: str, bands: tuple[tuple[int, int], ...] = WORD_BANDS) -> str:
-    """SQL for "a and b differ in as many words as a's band allows"; b has as many words as a or more. Both are arrays."""
+def _without_start(pair: str) -> str:
+    """SQL: of a struct of different arrays a and b, b as long or longer, both from where they differ first on, and the size."""
+    differ = "greatest(1, int(array_position(zip_with(t.a, t.b, (x, y) -> x <=> y), false)))"
+    left = ", ".join(f"slice(t.{c}, p, size(t.{c}) - p + 1) AS {c}" for c in "ab")
+    return f"transform(array({pair}), t -> transform(array({differ}), p -> struct(t.size AS size, {left}))[0])[0]"
+
+
+def _middle_within(edits: int) -> str:
+    """SQL for "the arrays t.a and t.b are within the edits"; both ends differ, b is as long or longer.
+
+    Their first and last step is then an edit: with two edits, all between these is alike. For more, ``within_edits``.
+    """
+    if edits == 1:
+        return "size(t.b) <= 1"
+    if edits > 2:
+        return within_edits("t.a", "t.b", edits)
+    # (skipped at the start of a, of b, at the end of a, of b), by how much longer b is
+    steps = {0: [(1, 1, 1, 1), (0, 1, 1, 0), (1, 0, 0, 1)], 1: [(0, 1, 1, 1), (1, 1, 0, 1)], 2: [(0, 1, 0, 1)]}
     cases = " ".join(
-        f"WHEN size({a}) >= {least} THEN {within_edits(a, b, edits)}" for least, edits in reversed(bands)
+        f"WHEN {more} THEN " + " OR ".join(f"slice(t.a, {1 + i}, size(t.a) - {i + k}) = slice(t.b, {1 + j}, size(t.b) - {j + m})" for i, j, k, m in ways)
+        for more, ways in steps.items()
     )
-    return f"CASE {cases} ELSE false END"
+    return f"(size(t.b) <= 2 OR CASE size(t.b) - size(t.a) {cases} ELSE false END)"
+
+
+def within_word_edits(a: str, b: str, bands: tuple[tuple[int, int], ...] = WORD_BANDS) -> str:
+    """SQL for "a and b differ in as many words as a's band allows"; b has as many words as a or more. Both are arrays,
+    and differ. What they begin and end with alike does not count, and is left out first."""
+    middle = _without_start(f"struct(size({a}) AS size, {a} AS a, {b} AS b)")
+    middle = _without_start(f"transform(array({middle}), t -> struct(t.size AS size, reverse(t.a) AS a, reverse(t.b) AS b))[0]")
+    cases = " ".join(f"WHEN t.size >= {least} THEN {_middle_within(edits)}" for least, edits in reversed(bands))
+    return f"transform(array({middle}), t -> CASE {cases} ELSE false END)[0]"
 
 
 def letter_parities() -> str:
@@ -196,13 +226,18 @@ def _keyed(classes: DataFrame, edits: int | None) -> DataFrame:
     return classes.withColumns({name: F.expr(sql) for name, sql in exprs.items()})
 
 
-def different_texts(lines: DataFrame) -> DataFrame:
-    """(n, doc): the different texts of lines (rid, n) with their smallest document, written once."""
-    return shared_table(lines.groupBy("n").agg(F.min("rid").alias("doc")))
+def _texts_with_parities(texts: DataFrame, edits: int | None) -> DataFrame:
+    """The texts (n, h, doc) that are long enough to have keys, with ``len``, ``odd`` and ``most`` as of ``_keyed`` and with
+    ``words``, their array of words (null for character edits), written once."""
+    words = F.split("n", " ") if edits is None else F.lit(None).cast("array<string>")
+    texts = texts.withColumn("words", words).withColumn("len", F.length("n") if edits is not None else F.size("words"))
+    odd, most = (word_parities("words"), f"2 * ({word_edits('len')})") if edits is None else (letter_parities(), str(2 * edits))
+    texts = texts.filter(F.col("len") >= (WORD_BANDS[0][0] if edits is None else edits + 1))
+    return shared_table(texts.withColumn("odd", F.expr(odd)).withColumn("most", F.expr(most)))
 
 
-def _key_rows(lines: DataFrame, edits: int | None, probing: bool) -> DataFrame:
-    """(key, h): the probes, or the index keys, of ``_keyed`` as rows, for lines (n, h).
+def _key_rows(lines: DataFrame, edits: int | None, probing: bool, more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, h, *more): the probes, or the index keys, of ``_keyed`` as rows, for lines (n, h, *more).
 
     A row per place, from a constant list, then its key: Spark compiles this, but not functions over arrays, which
     take some ten times as long a key.
@@ -217,7 +252,7 @@ def _key_rows(lines: DataFrame, edits: int | None, probing: bool) -> DataFrame:
         ]
 
     if edits is None:
-        part, lines = "slice", lines.select(F.split("n", " ").alias("n"), "h").withColumn("len", F.size("n"))
+        part, lines = "slice", lines.select(F.split("n", " ").alias("n"), F.struct("h", *more).alias("of")).withColumn("len", F.size("n"))
         # the places of all bands that a line of so many words takes part in
         marks = sorted({m for least, end, own in bands for m in (least, *([end + own] if end else []))}, reverse=True)
         cases = []
@@ -226,52 +261,99 @@ def _key_rows(lines: DataFrame, edits: int | None, probing: bool) -> DataFrame:
             cases.append(f"WHEN size(n) >= {mark} THEN array({', '.join(held)})")
         places = f"CASE {' '.join(cases)} END"
     else:
-        part, lines = "substring", lines.select("n", "h", F.length("n").alias("len"))
+        part, lines = "substring", lines.select("n", F.struct("h", *more).alias("of"), F.length("n").alias("len"))
         places = f"array({', '.join(listed(*bands[0]))})"
     there, key = _segment("p.edits", "len - p.shorter", "p.i", "p.move", part)
-    rows = lines.select("n", "h", "len", F.explode(F.expr(places)).alias("p"))
+    rows = lines.select("n", "of", "len", F.explode(F.expr(places)).alias("p"))
     rows = rows.filter(f"len - p.shorter >= p.least AND len - p.shorter < p.end AND {there}")
-    return rows.select(F.expr(key).alias("key"), "h")
-
-
-def _meeting(lines: DataFrame, edits: int | None, broadcast_classes: int) -> DataFrame:
-    """(n, h, doc): the lines (n, doc) that share a key with another line. They are found on hashes, without
-    forming pairs; few are."""
-    classes = lines.select("n", _h1(F.col("n")).alias("h"))
-    probe, index = _key_rows(classes, edits, True), _key_rows(classes, edits, False).toDF("ikey", "ih")
-    met = shared_table(probe.join(index, (F.col("key") == F.col("ikey")) & (F.col("h") != F.col("ih")), "left_semi"))
-    keys = shared_table(met.select("key").distinct())
-    keys = F.broadcast(keys) if keys.count() <= broadcast_classes else keys
-    involved = met.select("h").unionByName(
-        index.join(keys, F.col("ikey") == F.col("key"), "left_semi").select(F.col("ih").alias("h"))
-    )
-    involved = shared_table(involved.distinct())
+    return rows.select(F.expr(key).alias("key"), "of.*")
+
+
+def _base(size: str) -> str:
+    """SQL for a size with all binary digits after the first three as 0: by it lines of about one size are cut alike."""
+    low = f"greatest(0, length(bin({size})) - 3)"
+    return f"shiftleft(shiftright({size}, {low}), {low})"
+
+
+def _common_keys(lines: DataFrame, edits: int | None, words: bool) -> DataFrame:
+    """(key, h): few keys of each line (n, h), of which lines within the character edits (unless null), and with
+    ``words`` those within the word edits of their bands, have one in common.
+
+    ``tau + 1`` segments are cut from the ``_base`` of the shorter line's size, those of the first half at its
+    start and the others at its end. One of them is unchanged with just as many edits before it as there are
+    segments, so it moved by no more than those before it, seen from the start, or after it, seen from the end. The first
+    and the last segment are thus one key each, which serves the shorter line and the longer one, of any length.
+
+    Lines of ``LONG`` words or more have segments of words for both kinds of edits: one character edit changes two
+    neighbouring words at most (a space that goes joins them) and their number by one. With a word left out
+    between segments, it thus changes one segment.
+    """
+    if words:
+        own = word_edits
+        if edits is not None:
+            own = lambda size: f"CASE WHEN {size} >= {LONG} THEN greatest({word_edits(size)}, {edits}) ELSE {word_edits(size)} END"
+        kinds = sorted({e for _, e in WORD_BANDS} | ({max(e, edits) for _, e in WORD_BANDS} if edits is not None else set()))
+        split = lines.select(F.split("n", " ").alias("n"), "h").withColumn("len", F.size("n"))
+        found = _segments_of(split, own, WORD_BANDS[0][0], kinds, "slice", "int(e > 1)")
+        if edits is None:
+            return found
+        few = F.expr(f"octet_length(substring_index(n, ' ', {LONG - 1 + edits})) = octet_length(n)")
+        return found.unionByName(_common_keys(lines.filter(few), edits, False))
+    return _segments_of(lines.select("n", "h", F.length("n").alias("len")), lambda size: str(edits), edits + 1, [edits], "substring", "0")
+
+
+def _segments_of(lines: DataFrame, own: Callable[[str], str], least: int, kinds: list[int], part: str, gap: str) -> DataFrame:
+    """(key, h): the segments of ``_common_keys`` of lines (n, h, len) of this size or more; ``own`` is the SQL for a
+    size's edits, which are among ``kinds``, ``gap`` what is left out between segments."""
+
+    def places(edits: int) -> str:
+        found = []
+        for i in range(edits + 1):
+            before = min(i, edits - i)  # segments before it, seen from the nearer end
+            found += [f"struct({i} AS i, {before} AS before, {move} AS move)" for move in range(-before, before + 1)]
+        return f"array({', '.join(found)})"
+
+    shorter = F.explode(F.array(*[F.lit(d) for d in range(max(kinds) + 1)]))
+    rows = lines.select("n", "h", "len", shorter.alias("d")).filter(f"len - d >= {least}")
+    e, base, e1, base1 = (f("(len - d)") if k < 2 else f("(len - d + 1)") for k, f in enumerate((own, _base, own, _base)))
+    rows = rows.withColumns({"e": F.expr(e), "base": F.expr(base), "new": F.expr(f"d = 0 OR {e} != {e1} OR {base} != {base1}")}).filter("d <= e AND new")
+    cases = " ".join(f"WHEN {edits} THEN {places(edits)}" for edits in kinds)
+    size = f"int(greatest(0, base - e * {gap}) div (e + 1))"
+    rows = rows.select("n", "h", "len", "e", "base", F.expr(size).alias("size"), F.explode(F.expr(f"CASE e {cases} END")).alias("p"))
+    start = f"CASE WHEN 2 * p.i <= e THEN p.before * (size + {gap}) + p.move ELSE len - p.before * (size + {gap}) - size - p.move END"
+    rows = rows.withColumn("start", F.expr(f"greatest(1, int(1 + {start}))"))
+    return rows.select(F.expr(f"xxhash64('{part}', e, base, p.i, {part}(n, start, size))").alias("key"), "h")
+
+
+def _meeting(lines: DataFrame, edits: int | None, words: bool, broadcast_classes: int = BROADCAST_CLASSES) -> DataFrame:
+    """(n, h, doc): the different texts of lines (n, doc) with their smallest document, as far as they share a key of
+    ``_common_keys`` with another text. They are found on hashes, without forming pairs; few are."""
+    lines = lines if "h" in lines.columns else lines.withColumn("h", _h1(F.col("n")))
+    own = Window.partitionBy("key")
+    rows = _common_keys(lines, edits, words).select("h", (F.min("h").over(own) != F.max("h").over(own)).alias("several"))
+    involved = shared_table(rows.filter("several").select("h").distinct())
     involved = F.broadcast(involved) if involved.count() <= broadcast_classes else involved
-    return shared_table(lines.select("n", _h1(F.col("n")).alias("h"), "doc").join(involved, "h", "left_semi").select("n", "h", "doc"))
+    texts = lines.select("n", "h", "doc").join(involved, "h", "left_semi")
+    return shared_table(texts.groupBy("h", "n").agg(F.min("doc").alias("doc")).select("n", "h", "doc"))
 
 
 def earliest_links(
     lines: DataFrame, edits: int | None = EDITS, without: DataFrame | None = None, broadcast_classes: int = BROADCAST_CLASSES,
-    first: int = FIRST, times: int = TIMES,
+    first: int = FIRST, times: int = TIMES, met: bool = False,
 ) -> DataFrame:
     """(h1, h2, near_doc, near): for each different line text ``n`` of ``lines`` (rid, n; or different texts: n, doc) that has one, the earliest
     other text before it (by smallest document, then by hash) within ``edits`` edits, or within the word edits of
-    their bands if ``edits`` is null. Texts whose hashes are in ``without`` (h) look for none, but may be found.
+    their bands if ``edits`` is null. With ``met``, ``lines`` are what ``_meeting`` found. Texts whose hashes are in ``without`` (h) look for none, but may be found.
 
     The lines under a key stand in order. They are compared with its first ``first`` lines; those that found one
     leave the key, the others are compared with the next lines, ``times`` as many as were passed, and so on. So
     a group of near-copies costs a few comparisons for each, and yet every line is compared with all lines before
     it under its keys, up to the earliest that it is within the edits of.
     """
-    lines = lines if "doc" in lines.columns else different_texts(lines)
-    lines = lines.filter(F.size(F.split("n", " ")) >= WORD_BANDS[0][0] if edits is None else F.length("n") > edits)
-    texts = _meeting(lines, edits, broadcast_classes)
-    keyed_ = shared_table(_keyed(texts, edits))
-    probe = keyed_.select(F.explode("probes").alias("p"), "h", "doc", "odd").filter("p.key IS NOT NULL")
-    probe = probe.select("p.key", "p.same", F.lit(False).alias("index"), "h", "doc", "odd", F.lit(0).alias("most"))
-    index = keyed_.select(
-        F.explode("segments").alias("key"), F.lit(True).alias("same"), F.lit(True).alias("index"), "h", "doc", "odd", "most"
-    )
+    lines = lines if "doc" in lines.columns else lines.select("n", F.col("rid").alias("doc"))
+    texts = _texts_with_parities(lines if met else _meeting(lines, edits, edits is None, broadcast_classes), edits)
+    probe = _key_rows(texts, edits, True, ("doc", "odd")).withColumns({"index": F.lit(False), "most": F.lit(0)})
+    index = _key_rows(texts, edits, False, ("doc", "odd", "most")).withColumn("index", F.lit(True))
     # a line may stand under a key twice, by probe and by segment: it has one place there
     order = Window.partitionBy("key").orderBy("doc", "h")
     rows = probe.unionByName(index).distinct().withColumn("place", F.dense_rank().over(order))
@@ -280,7 +362,7 @@ def earliest_links(
     asking = rows if without is None else rows.join(without, "h", "left_anti")
     asking = asking.filter("place > 1")
     done, found = 0, None
-    texts = keyed_.select("h", "n", "len", "doc")
+    line = "words" if edits is None else "n"
     while done < most_places - 1:
         upto = max(first, done * times)
         there = rows.filter((F.col("place") > done) & (F.col("place") <= upto))
@@ -289,8 +371,8 @@ def earliest_links(
         close = F.bit_count(F.col("q.odd").bitwiseXOR(F.col("c.odd"))) <= F.greatest("q.most", "c.most")
         pairs = shared_table(q.join(c, meet & close).select("q.key", F.col("q.h").alias("h"), F.col("c.h").alias("ch")).distinct())
         both = pairs.select("h", "ch").distinct()
-        both = both.join(texts.select("h", F.col("n").alias("x"), F.col("len").alias("x_len")), "h")
-        both = both.join(texts.select(F.col("h").alias("ch"), F.col("n").alias("y"), F.col("len").alias("y_len"), F.col("doc").alias("c_doc")), "ch")
+        both = both.join(texts.select("h", F.col(line).alias("x"), F.col("len").alias("x_len")), "h")
+        both = both.join(texts.select(F.col("h").alias("ch"), F.col(line).alias("y"), F.col("len").alias("y_len"), F.col("doc").alias("c_doc")), "ch")
         # b is the longer one
         a, b = F.when(F.col("x_len") <= F.col("y_len"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x_len") <= F.col("y_len"), F.col("y")).otherwise(F.col("x"))
         both = both.select("h", "ch", "c_doc", a.alias("a"), b.alias("b"))
@@ -304,26 +386,24 @@ def earliest_links(
     if found is None:
         return lines.limit(0).select(_h1(F.col("n")).alias("h1"), _h1(F.col("n")).alias("h2"), F.col("doc").alias("near_doc"), _h1(F.col("n")).alias("near"))
     near = found.groupBy("h").agg(F.min(F.struct(F.col("c_doc").alias("near_doc"), F.col("ch").alias("near"))).alias("x"))
-    line = F.array_join("n", " ") if edits is None else F.col("n")
-    return near.join(texts.select("h", line.alias("n")), "h").select(F.col("h").alias("h1"), _h2(F.col("n")).alias("h2"), "x.near_doc", "x.near")
+    return near.join(texts.select("h", "n"), "h").select(F.col("h").alias("h1"), _h2(F.col("n")).alias("h2"), "x.near_doc", "x.near")
 
 
 def all_links(
     lines: DataFrame, edits: int | None = EDITS, broadcast_classes: int = BROADCAST_CLASSES, block: int = BLOCK,
+    met: bool = False,
 ) -> DataFrame:
     """(h1, h2, doc, near, near_doc): every pair of different line texts ``n`` of ``lines`` (rid, n; or different texts: n, doc) within ``edits``
     edits, or within the word edits of their bands if ``edits`` is null, in both directions: hashes and smallest
     document of the one, hash and smallest document of the other.
 
-    Lines that share a key are all compared. A key with many lines is dealt in blocks of its probes and its
+    With ``met``, ``lines`` are what ``_meeting`` found. Lines that share a key are all compared. A key with many lines is dealt in blocks of its probes and its
     segments, each two of which meet once.
     """
-    lines = lines if "doc" in lines.columns else different_texts(lines)
-    lines = lines.filter(F.size(F.split("n", " ")) >= WORD_BANDS[0][0] if edits is None else F.length("n") > edits)
-    keyed_ = shared_table(_keyed(_meeting(lines, edits, broadcast_classes), edits))
-    probe = keyed_.select(F.explode("probes").alias("p"), "h", "odd").filter("p.key IS NOT NULL")
-    probe = shared_table(probe.select("p.key", "p.same", "h", "odd").distinct())
-    index = shared_table(keyed_.select(F.explode("segments").alias("key"), F.col("h").alias("ih"), F.col("odd").alias("iodd"), "most"))
+    lines = lines if "doc" in lines.columns else lines.select("n", F.col("rid").alias("doc"))
+    texts = _texts_with_parities(lines if met else _meeting(lines, edits, edits is None, broadcast_classes), edits)
+    probe = shared_table(_key_rows(texts, edits, True, ("len", "odd")).distinct())
+    index = shared_table(_key_rows(texts, edits, False, ("len", "odd", "most")).toDF("key", "ih", "ilen", "iodd", "most"))
     sizes = probe.groupBy("key").agg(F.count("*").alias("n")).join(index.groupBy("key").agg(F.count("*").alias("m")), "key")
     blocks = [F.ceil(F.col(c) / block).cast("int").alias(out) for c, out in (("n", "ps"), ("m", "qs"))]
     large = shared_table(sizes.filter((F.col("n") > block) | (F.col("m") > block)).select("key", *blocks))
@@ -334,16 +414,15 @@ def all_links(
         return rows.withColumn(other, F.explode(F.sequence(F.lit(0), parts[other_parts] - 1))).drop("ps", "qs")
 
     close = F.bit_count(F.col("odd").bitwiseXOR(F.col("iodd"))) <= F.col("most")
-    once = F.when(F.col("same"), F.col("h") > F.col("ih")).otherwise(F.col("h") != F.col("ih"))
+    once = F.when(F.col("len") == F.col("ilen"), F.col("h") > F.col("ih")).otherwise(F.col("h") != F.col("ih"))
     met = dealt(probe, "h", "p", "ps", "q", "qs").join(dealt(index, "ih", "q", "qs", "p", "ps"), ["key", "p", "q"])
     pairs = met.filter(close & once).select("h", "ih").distinct()
-    x, y = (keyed_.select(F.col("h").alias(h), F.col("n").alias(n), F.col("doc").alias(d)) for h, n, d in (("h", "b", "b_doc"), ("ih", "a", "a_doc")))
+    line = "words" if edits is None else "n"
+    x, y = (texts.select(F.col("h").alias(h), F.col(line).alias(c), F.struct(F.col("h").alias("h1"), _h2(F.col("n")).alias("h2"), "doc").alias(of))
+            for h, c, of in (("h", "b", "of_b"), ("ih", "a", "of_a")))
     # b, the line that probes, is as long or longer
     same = within_word_edits("a", "b") if edits is None else f"levenshtein(a, b, {edits}) >= 0"
-    both = shared_table(pairs.join(x, "h").join(y, "ih").filter(F.expr(same)).select(
-        *[F.struct(_h1(t).alias("h1"), _h2(t).alias("h2"), F.col(d).alias("doc")).alias(c)
-          for c, d, t in ((c, d, F.array_join(c, " ") if edits is None else F.col(c)) for c, d in (("a", "a_doc"), ("b", "b_doc")))]
-    ))
+    both = shared_table(pairs.join(x, "h").join(y, "ih").filter(F.expr(same)).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
     ways = [both.select(f"{c}.*", F.col(f"{d}.h1").alias("near"), F.col(f"{d}.doc").alias("near_doc")) for c, d in ("ab", "ba")]
     return ways[0].unionByName(ways[1])
 
@@ -351,7 +430,8 @@ def all_links(
 def _all_near(linkable: DataFrame, edits: int) -> DataFrame:
     """(h1, h2, near_doc, near, n_links): for each line text that has links, what ``earliest_links`` finds, by word
     edits first (null if all are later), and the number of other texts that it is within the edits of."""
-    links = all_links(linkable, None).withColumn("by_word", F.lit(True)).unionByName(all_links(linkable, edits).withColumn("by_word", F.lit(False)))
+    met = _meeting(linkable, edits, True)
+    links = all_links(met, None, met=True).withColumn("by_word", F.lit(True)).unionByName(all_links(met, edits, met=True).withColumn("by_word", F.lit(False)))
     links = links.groupBy("h1", "h2", "doc", "near", "near_doc").agg(F.bool_or("by_word").alias("w"), F.bool_or(~F.col("by_word")).alias("c"))
     other = F.struct("near_doc", "near")
     earlier = other < F.struct(F.col("doc").alias("near_doc"), F.col("h1").alias("near"))
@@ -363,8 +443,9 @@ def _all_near(linkable: DataFrame, edits: int) -> DataFrame:
 
 def _earliest_near(linkable: DataFrame, edits: int) -> DataFrame:
     """(h1, h2, near_doc, near) as of ``_all_near``, without looking for the other links."""
-    near = shared_table(earliest_links(linkable, None))
-    return near.unionByName(earliest_links(linkable, edits, near.select(F.col("h1").alias("h")).distinct()))
+    met = _meeting(linkable, edits, True)
+    near = shared_table(earliest_links(met, None, met=True))
+    return near.unionByName(earliest_links(met, edits, near.select(F.col("h1").alias("h")).distinct(), met=True))
 
 
 def line_classes(
@@ -383,9 +464,9 @@ def line_classes(
     """
     lines = _lines(docs, id_col, text_col, 1 if short_lines else min_chars)
     n = F.col("n")
-    found = shared_table(lines.select("rid", "rk", "line", _h1(n).alias("h1"), _h2(n).alias("h2")))
+    found = shared_table(lines.select("rid", "rk", "line", "n", _h1(n).alias("h1"), _h2(n).alias("h2")))
     classes = found.groupBy("h1", "h2").agg(F.min("rid").alias("first_doc_id"))
-    linkable = different_texts(lines.filter(F.length("n") >= min_chars))
+    linkable = found.filter(F.length("n") >= min_chars).select("n", F.col("h1").alias("h"), F.col("rid").alias("doc"))
     near = shared_table(_all_near(linkable, edits) if links else _earliest_near(linkable, edits))
     classes = classes.join(near, ["h1", "h2"], "left")
     counted = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if links else []

@@ -553,3 +553,50 @@ def test_toxicity_without_labels(spark, docs):
     got = toxicity.toxicity(docs, none)
     assert got.count() == docs.count() and got.filter("predicted = 1").count() == 0
     assert toxicity.toxicity(empty(docs), none).count() == 0
+
+
+@pytest.mark.parametrize("bands", [((1, 1),), ((1, 2),), ((1, 3),), ((1, 1), (4, 2), (6, 3))])
+def test_word_edits_without_common_ends_equal_the_edit_distance(spark, bands):
+    rng = random.Random(11)
+    lines = {tuple(rng.choice("xyz") for _ in range(rng.randint(1, 8))) for _ in range(150)}
+    pairs = [(list(a), list(b)) for a in lines for b in lines if a != b and 0 <= len(b) - len(a) <= 3][:6000]
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    got = {(tuple(r.a), tuple(r.b)): r.near for r in df.withColumn("near", F.expr(line_dedup.within_word_edits("a", "b", bands))).collect()}
+    edits = lambda x: max(e for least, e in bands if len(x) >= least)
+    assert got == {(tuple(a), tuple(b)): edit_distance(a, b) <= edits(a) for a, b in pairs} and len(set(got.values())) == 2
+
+
+@pytest.mark.parametrize("edits,words", [(None, True), (2, False), (2, True), (4, True)])
+def test_lines_within_the_edits_have_one_of_few_keys_in_common(spark, edits, words):
+    """Check failure on CPU: each line had some 28 keys before. Letters, spaces and words are replaced, added, left out."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.choice([1, 1, 2, 3, 6])))
+    pairs = []
+    for size in [*range(2, 40), 62, 63, 64, 65, 66, 126, 127, 128, 129, 130, 131] * 12:
+        x = [word() for _ in range(size)]
+        own = max([e for least, e in line_dedup.WORD_BANDS if size >= least + 3], default=0)
+        if words and own and (edits is None or rng.random() < 0.5):
+            y = list(x)
+            for _ in range(rng.randint(1, own)):
+                i, what = rng.randrange(len(y) + 1), rng.random()
+                y[i : i + (what > 0.3)] = [word()] if what < 0.7 else []
+            y = " ".join(y)
+        elif edits is not None:
+            y = list(" ".join(x))
+            for _ in range(rng.randint(1, edits)):
+                i, what = rng.choice([rng.randrange(len(y) + 1), *[k for k, c in enumerate(y) if c == " "]][-9:]), rng.random()
+                y[i : i + (what > 0.3)] = [rng.choice("ab  ")] if what < 0.7 else []
+            y = re.sub("  +", " ", "".join(y)).strip()
+        else:
+            continue
+        x = " ".join(x)
+        near = edits is not None and edit_distance(x, y) <= edits
+        if x != y and min(len(x), len(y)) > 8 and (near or words and edit_distance(x.split(), y.split()) <= own):
+            pairs.append((x, y))
+    df = spark.createDataFrame([(n,) for n in {n for pair in pairs for n in pair}], "n string").withColumn("h", F.col("n"))
+    keys = collections.defaultdict(set)
+    rows = line_dedup._common_keys(df, edits, words).collect()
+    for r in rows:
+        keys[r.h].add(r.key)
+    assert len(pairs) > 300 and all(keys[x] & keys[y] for x, y in pairs)
+    assert edits == 4 or len(rows) < 14 * len(keys)
