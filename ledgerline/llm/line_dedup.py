@@ -8,12 +8,13 @@ word replaced, added or left out) as ``WORD_BANDS`` allows the line with fewer w
   line within ``edits`` edits. Keys are hashes of (L, number of the segment, segment).
 * Probe: for each length L not above its own, a line looks up the substrings that can be a segment of
   such a line, at the places that the numbers of edits to the left and right allow.
-* Lines that share a key with another line are found on hashes, without forming pairs. Only their texts
-  are fetched. Under a key they stand in order, and are compared with the first ones, those that find no link
-  with the next ones, in growing steps; pairs are kept if their characters' counts differ in parity for
-  at most ``2 * edits`` codes (an edit changes two counts at most), and verified: characters by Spark's bounded
-  ``levenshtein``, words with a banded bit-parallel edit automaton: one bit per diagonal of the band, one vector
-  per number of edits, all in one long.
+* Lines that share one of fewer, coarser keys (``_common_keys``) with another line are found on hashes, without
+  forming pairs. Only their texts are fetched, and get the keys above. Under a key they stand in order, and are
+  compared with the first ones, those that find no link with the next ones, in growing steps; pairs are kept if
+  their characters' counts differ in parity for at most ``2 * edits`` codes (an edit changes two counts at most), and
+  verified: characters by Spark's bounded ``levenshtein``, words by what is left without common ends: with up to two
+  edits by equal slices, with more by a banded bit-parallel edit automaton: one bit per diagonal of the band, one
+  vector per number of edits, all in one long.
 
 For word edits, a line is the array of its words: segments and probes are slices of it, the tau of a
 segment is that of the band its line is in, and the parities are those of hashed words.
